@@ -3,24 +3,46 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from solvara.llm import decontaminate, jaccard_join
+from solvara.llm import decontaminate, jaccard_join, mixing, toxicity, training_order
 from solvara.llm.common import materialize
 
 
+def toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity scorer rejects go."""
+    return toxicity.without_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays."""
     return jaccard_join.one_of_each(docs)
 
 
-def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a passage of the benchmark go."""
     return decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
-STAGES = [("near_duplicates", near_duplicates), ("decontamination", decontamination)]
+def source_mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document stands in the mix as often as its source's target asks (0 to 3 times)."""
+    return mixing.repeat_rows(docs)
+
+
+def token_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token sequences of all rows in training order, as fixed-stride shards."""
+    return training_order.training_shards(docs)
+
+
+STAGES = [
+    ("toxic_documents", toxic_documents),
+    ("near_duplicates", near_duplicates),
+    ("benchmark_passages", benchmark_passages),
+    ("source_mixture", source_mixture),
+    ("token_shards", token_shards),
+]
 
-#: SQL can't express the toxicity model or the token stage.
+#: SQL can't express the toxicity model or the tokens.
 ORACLE_SQL = None
 
 

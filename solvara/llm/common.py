@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,6 +31,16 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
+@cache
+def letters() -> np.ndarray:
+    """Whether each code point is a letter."""
+    return np.array([chr(c).isalpha() if not 0xD800 <= c < 0xE000 else False for c in range(0x110000)])
+
+
+def code_points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Writes ``df`` as Parquet under the shared folder and reads it back (cuts the lineage)."""
     spark = df.sparkSession

@@ -20,15 +20,19 @@ LEVELS, BITS, HASH_BITS = 3, 10, 60
 BROADCAST_SOURCES = 20_000
 
 
+def _hash(doc_id, text):
+    text = F.md5(F.coalesce(text, F.lit("")).cast("binary"))
+    key = F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), text)
+    return F.conv(F.substring(F.md5(key.cast("binary")), 1, 15), 16, 10).cast("long")
+
+
 def sized(docs: DataFrame) -> DataFrame:
     """(doc_id, source, size, hash): words of the whole text and a 60-bit hash of id and text."""
-    text = F.coalesce("text", F.lit(""))
-    key = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.md5(text.cast("binary")))
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.col("source").cast("string").alias("source"),
-        F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        F.conv(F.substring(F.md5(key.cast("binary")), 1, 15), 16, 10).cast("long").alias("hash"),
+        F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+        _hash(F.col("doc_id"), F.col("text")).alias("hash"),
     )
 
 
@@ -90,6 +94,25 @@ def _known(df: DataFrame, few: bool) -> DataFrame:
     return F.broadcast(df) if few else df
 
 
+def plan(rows: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: int = MOST) -> tuple[DataFrame, bool]:
+    """(source, source_size, target, whole, below) of each source of ``sized`` rows, and whether they are few.
+
+    A document is taken ``whole`` times, and once more if its hash is below the threshold.
+    """
+    goal = materialize(targets(rows, weights, most), "targets")
+    few = goal.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
+    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
+    goal = goal.withColumn("whole", whole).withColumn("budget", F.col("target") - F.col("whole") * F.col("source_size"))
+    named = _known(goal.select(F.col("source").alias("__source"), "rank"), few)
+    ranked = rows.join(named, F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
+    limit = thresholds(ranked, goal)
+    return goal.join(limit, "rank", "left").select("source", "source_size", "target", "whole", F.coalesce("below", F.lit(0)).alias("below")), few
+
+
+def _times(hash_column: str):
+    return F.col("whole") + (F.shiftright(hash_column, HASH_BITS - BITS * LEVELS) < F.col("below")).cast("long")
+
+
 def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: int = MOST) -> DataFrame:
     """Per document: doc_id, size, source_size, target, taken, times (how often the mix has it).
 
@@ -99,20 +122,22 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: int = MOS
     one decision, an empty table gives no rows, and other columns are ignored.  Reruns agree.
     """
     rows = materialize(sized(docs), "sized")
-    goal = materialize(targets(rows, weights, most), "targets")
-    few = goal.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
-    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
-    goal = goal.withColumn("whole", whole).withColumn("budget", F.col("target") - F.col("whole") * F.col("source_size"))
-    named = goal.select(F.col("source").alias("__source"), "rank")
-    ranked = rows.join(_known(named, few), F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
-    limit = thresholds(ranked, goal)
-    plan = goal.drop("source").join(F.broadcast(limit), "rank", "left")
-    more = (F.shiftright("hash", HASH_BITS - BITS * LEVELS) < F.coalesce("below", F.lit(0))).cast("long")
-    return (
-        ranked.join(_known(plan, few), "rank")
-        .withColumn("times", F.col("whole") + more)
-        .select("doc_id", "size", "source_size", "target", (F.col("times") * F.col("size")).alias("taken"), "times", "hash")
-    )
+    goal, few = plan(rows, weights, most)
+    found = rows.join(_known(goal.withColumnRenamed("source", "__source"), few), F.col("source").eqNullSafe(F.col("__source")))
+    return found.withColumn("times", _times("hash")).select("doc_id", "size", "source_size", "target", (F.col("times") * F.col("size")).alias("taken"), "times")
+
+
+def repeat_rows(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: int = MOST) -> DataFrame:
+    """The mix itself: each row of ``docs`` as often as ``mix`` says, all columns."""
+    rows = materialize(sized(docs), "sized")
+    goal, few = plan(rows, weights, most)
+    own = docs.columns
+    named = docs.toDF(*(f"__own_{k}" for k in range(len(own))))
+    named = named.withColumn("__hash", _hash(F.col(f"__own_{own.index('doc_id')}"), F.col(f"__own_{own.index('text')}")))
+    source = F.col(f"__own_{own.index('source')}").cast("string")
+    found = named.join(_known(goal.withColumnRenamed("source", "__source"), few), source.eqNullSafe(F.col("__source")))
+    copies = found.withColumn("__copy", F.explode(F.array_repeat(F.lit(0), _times("__hash").cast("int"))))
+    return copies.select(*(f"__own_{k}" for k in range(len(own)))).toDF(*own)
 
 
 #: The same rules for DuckDB, with one cumulative sum over the last level's buckets.
