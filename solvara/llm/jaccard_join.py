@@ -31,10 +31,11 @@ from solvara.llm.common import components, join_groups, materialize, small_batch
 
 SHINGLE, PERCENT = 5, 80
 #: Tokens in one shard of the shared-shingle count, and documents of one map-side block.
-SHARD_TOKENS, FLUSH_DOCS = 2_000_000, 8192
-#: Size of the table of frequent shingles that only steers the order; documents in one tree.
-FREQUENT, TREE_DOCS = 50_000, 4096
-FANOUT, FIRST = 16, 3
+SHARD_TOKENS, FLUSH_DOCS = 2_000_000, 4096
+#: Entries of the table of frequent shingles, which only steers the order, and the documents that
+#: make one frequent; documents in one tree.
+FREQUENT, OFTEN, TREE_DOCS = 50_000, 16, 4096
+FANOUT, FIRST = 16, 2
 MULT, MIX1, MIX2 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 U64 = np.uint64
 
@@ -130,135 +131,157 @@ def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * common >= percent * (len(x) + len(y) - common)
 
 
-def dual_traversal(a: SignatureTree, b: SignatureTree | None, percent: int, labels: np.ndarray | None = None, first: bool = False) -> list[tuple[int, int]]:
-    """Links between two trees, or within one (``b`` None).
+def dual_traversal(a: SignatureTree, b: SignatureTree | None, percent: int, labels: np.ndarray, other_labels: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Links between two trees, or within one (``b`` None), that join different labels.
 
-    With ``labels`` pairs that already are connected are passed over, and links join labels: the
-    result then is a spanning forest.  With ``first`` the walk ends at the first link.
+    Pairs of one label are connected already and passed over; a link makes its two labels one, so
+    the result is a spanning forest over the labels.
     """
-    same, other = b is None, b or a
+    same = b is None
+    b, right = (a, labels) if same else (b, other_labels)
     found: list[tuple[int, int]] = []
-    top_a, top_b = len(a.levels) - 1, len(other.levels) - 1
-    stack = [(top_a, 0, top_b, 0)]
+    stack = [(len(a.levels) - 1, 0, len(b.levels) - 1, 0)]
+    if stack[0][0] == stack[0][2] == 0 and not same and labels[0] != right[0] and linked(a.sets[0], b.sets[0], percent):
+        found.append((0, 0))
     while stack:
         la, i, lb, j = stack.pop()
         if la == 0 and lb == 0:
             continue
-        da = max(la - 1, 0) if la >= lb else la
-        db = max(lb - 1, 0) if lb >= la else lb
+        da = la - 1 if la >= lb else la
+        db = lb - 1 if lb >= la else lb
         kids_a = np.arange(i * FANOUT, min((i + 1) * FANOUT, len(a.levels[da][1]))) if da < la else np.array([i])
-        kids_b = np.arange(j * FANOUT, min((j + 1) * FANOUT, len(other.levels[db][1]))) if db < lb else np.array([j])
-        if labels is not None and da == 0 and db == 0 and len(np.unique(labels[np.concatenate([kids_a, kids_b])])) == 1:
+        kids_b = np.arange(j * FANOUT, min((j + 1) * FANOUT, len(b.levels[db][1]))) if db < lb else np.array([j])
+        leaves = da == 0 and db == 0
+        if leaves and not (apart := labels[kids_a][:, None] != right[kids_b][None, :]).any():
             continue
-        ok = possible(a.levels[da], kids_a, other.levels[db], kids_b, percent)
+        ok = possible(a.levels[da], kids_a, b.levels[db], kids_b, percent)
+        if leaves:
+            ok &= apart
         if same:
-            ok &= kids_a[:, None] < kids_b[None, :] if da == 0 and db == 0 else kids_a[:, None] <= kids_b[None, :]
+            ok &= kids_a[:, None] < kids_b[None, :] if leaves else kids_a[:, None] <= kids_b[None, :]
         for p, q in zip(*np.nonzero(ok)):
             x, y = int(kids_a[p]), int(kids_b[q])
-            if da or db:
+            if not leaves:
                 stack.append((da, x, db, y))
-            elif labels is None or labels[x] != labels[y]:
-                if linked(a.sets[x], other.sets[y], percent):
-                    found.append((x, y))
-                    if first:
-                        return found
-                    if labels is not None:
-                        labels[labels == labels[y]] = labels[x]
-    if top_a == 0 and top_b == 0 and not same and bool(possible(a.levels[0], np.array([0]), other.levels[0], np.array([0]), percent)[0, 0]) and linked(a.sets[0], other.sets[0], percent):
-        found.append((0, 0))
+            elif labels[x] != right[y] and linked(a.sets[x], b.sets[y], percent):
+                found.append((x, y))
+                keep, gone = labels[x], right[y]
+                labels[labels == gone] = keep
+                if not same:
+                    right[right == gone] = keep
     return found
 
 
 # ---------------------------------------------------------------- step 1: shared shingles
 
-COUNTED = "kind int, uid long, idx int, doc_id long, set_key binary, n int, token long"
-
+PACKED = "kind int, uid long, one binary, two binary, three binary"
 
-def _counted(kind: int, rows: int, **columns) -> pa.RecordBatch:
-    types = {"uid": pa.int64(), "idx": pa.int32(), "doc_id": pa.int64(), "set_key": pa.binary(), "n": pa.int32(), "token": pa.int64()}
-    data = [pa.array(np.full(rows, kind, np.int32))] + [pa.array(columns[c], t) if c in columns else pa.nulls(rows, t) for c, t in types.items()]
-    return pa.RecordBatch.from_arrays(data, ["kind", *types])
 
+def count_shared(docs: DataFrame, k: int = SHINGLE) -> tuple[DataFrame, DataFrame, int]:
+    """Documents with their shared shingles, frequent shingles, and the shift that gives a token's shard.
 
-def count_shared(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
-    """Rows of three kinds: 0 documents, 1 shared shingles of a document, 2 frequent shingles.
-
-    The tokens of a shard travel as packed arrays, four bytes each: the shard is the token's upper
-    bits, and of the others the lower 32 are kept (two tokens that agree in these are counted as
-    shared, which lets a document more through, never less).
+    The first result has doc_id, set_key, n and shared.  The tokens of a shard travel as packed
+    arrays, six bytes each: the shard is the token's upper bits, and of the others the lower 32 are
+    kept (two tokens that agree in these are counted as shared, which lets a document more through,
+    never less), with the document's number in its map-side block.
     """
     small_batches(docs.sparkSession)
     shards, words = 16, text_bytes(docs) / 6
     while shards * SHARD_TOKENS < words and shards < 1 << 20:
         shards *= 2
-    shift = U64(64 - (shards.bit_length() - 1))
+    shift = 64 - (shards.bit_length() - 1)
 
-    def blocks(uid: int, ids: list, sets: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    def blocks(uid: int, ids: list, sets: list[np.ndarray]) -> pa.RecordBatch:
         sizes = np.array([len(s) for s in sets], dtype=np.int64)
         tokens = np.concatenate([*sets, np.zeros(0, U64)])
-        # sets are sorted, so each document's tokens are already in order of their shards
-        shard, doc = (tokens >> shift).astype(np.int64), np.repeat(np.arange(len(sets)), sizes)
-        order = np.argsort(shard, kind="stable")
-        low, doc = tokens.astype(np.uint32)[order], doc[order]
+        shard = (tokens >> U64(shift)).astype(np.int32)
+        order = np.argsort(shard, kind="stable")  # documents stay in order within a shard
+        low, doc = tokens.astype("<u4")[order], np.repeat(np.arange(len(sets)), sizes).astype("<u2")[order]
         edge = np.searchsorted(shard[order], np.arange(shards + 1))
-        out = [(s, uid, np.bincount(doc[edge[s] : edge[s + 1]], minlength=len(sets)).astype("<u4").tobytes(), low[edge[s] : edge[s + 1]].tobytes(), None, None, None) for s in range(shards) if edge[s] < edge[s + 1]]
-        out.append((shards + uid % shards, uid, sizes.astype("<u4").tobytes(), None, b"".join(map(set_key, sets)), np.array([x or 0 for x in ids], "<i8").tobytes(), np.array([x is None for x in ids]).tobytes()))
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.int64(), *[pa.binary()] * 5))], ["shard", "uid", "counts", "low", "keys", "ids", "nulls"])
+        out = [(s, uid, low[x:y].tobytes(), doc[x:y].tobytes(), None) for s, (x, y) in enumerate(zip(edge[:-1], edge[1:])) if x < y]
+        named = np.array([x is not None for x in ids])
+        facts = np.stack([np.array([x or 0 for x in ids], dtype="<i8"), sizes.astype("<i8"), named.astype("<i8")])
+        out.append((shards + uid % shards, uid, facts.tobytes(), b"".join(map(set_key, sets)), b""))
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.int64(), *[pa.binary()] * 3))], ["shard", "uid", "one", "two", "three"])
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         number, part = 0, TaskContext.get().partitionId()
-        ids, sets = [], []
+        ids, sets, held = [], [], 0
         for b in batches:
-            ids += b.column(0).to_pylist()
-            sets += shingle_sets(b.column(1).to_pylist(), k)
-            if len(ids) >= FLUSH_DOCS or sum(map(len, sets)) > 2 * SHARD_TOKENS:
-                yield from blocks(part << 32 | number, ids, sets)
-                number, ids, sets = number + 1, [], []
+            own = shingle_sets(b.column(1).to_pylist(), k)
+            ids, sets, held = ids + b.column(0).to_pylist(), sets + own, held + sum(map(len, own))
+            if len(ids) > FLUSH_DOCS or held > SHARD_TOKENS:
+                yield blocks(part << 32 | number, ids, sets)
+                number, ids, sets, held = number + 1, [], [], 0
         if ids:
-            yield from blocks(part << 32 | number, ids, sets)
+            yield blocks(part << 32 | number, ids, sets)
+
+    def packed(rows: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*rows)) or [[]] * 5
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int64(), *[pa.binary()] * 3))], [x.split()[0] for x in PACKED.split(", ")])
 
     def gather(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, uids, counts, lows = key[0].as_py(), [], [], []
+        shard, uids, lows, docs_of = key[0].as_py(), [], [], []
         for b in batches:
             for row in b.to_pylist():
-                n = np.frombuffer(row["counts"], "<u4").astype(np.int64)
                 if shard >= shards:
-                    null = np.frombuffer(row["nulls"], bool)
-                    keys = [row["keys"][16 * i : 16 * i + 16] for i in range(len(n))]
-                    yield _counted(0, len(n), uid=np.full(len(n), row["uid"]), idx=np.arange(len(n), dtype=np.int32), doc_id=[None if x else i for i, x in zip(np.frombuffer(row["ids"], "<i8").tolist(), null.tolist())], set_key=keys, n=n.astype(np.int32))
+                    yield packed([(0, row["uid"], row["one"], row["two"], None)])
                 else:
                     uids.append(row["uid"])
-                    counts.append(n)
-                    lows.append(np.frombuffer(row["low"], "<u4"))
+                    lows.append(np.frombuffer(row["one"], "<u4"))
+                    docs_of.append(np.frombuffer(row["two"], "<u2"))
         if not lows:
             return
         low = np.concatenate(lows)
         order = np.argsort(low, kind="stable")
         ranked = low[order]
+        equal = ranked[1:] == ranked[:-1]
         twin = np.zeros(len(low), dtype=bool)
-        twin[1:] |= ranked[1:] == ranked[:-1]
-        twin[:-1] |= twin[1:] & (ranked[1:] == ranked[:-1])
+        twin[1:] |= equal
+        twin[:-1] |= equal
         shared = np.empty(len(low), dtype=bool)
         shared[order] = twin
         value, times = np.unique(ranked[twin], return_counts=True)
-        often = np.flatnonzero(times >= 16)
-        if len(often) > FREQUENT:
-            often = often[np.argsort(-times[often], kind="stable")[:FREQUENT]]
-        yield _counted(2, len(often), n=times[often].astype(np.int32), token=((np.int64(shard) << 32) | value[often].astype(np.int64)))
+        often = np.flatnonzero(times >= OFTEN)
+        often = often[np.argsort(-times[often], kind="stable")[:FREQUENT]]
+        if len(often):
+            yield packed([(2, 0, (np.int64(shard) << 32 | value[often].astype(np.int64)).astype("<i8").tobytes(), times[often].astype("<i8").tobytes(), None)])
         at = 0
-        for uid, n in zip(uids, counts):
-            total = np.concatenate([[0], np.cumsum(shared[at : at + n.sum()])])
-            upto = np.cumsum(n)
-            got = total[upto] - total[upto - n]
-            idx = np.flatnonzero(got)
-            yield _counted(1, len(idx), uid=np.full(len(idx), uid), idx=idx.astype(np.int32), n=got[idx].astype(np.int32))
-            at += n.sum()
+        for uid, doc in zip(uids, docs_of):
+            idx, count = np.unique(doc[shared[at : at + len(doc)]], return_counts=True)
+            at += len(doc)
+            if len(idx):
+                yield packed([(1, uid, idx.astype("<u2").tobytes(), count.astype("<u4").tobytes(), None)])
+
+    def total(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        facts, shared, later = None, None, []
+        for b in batches:
+            for row in b.to_pylist():
+                if row["kind"] == 0:
+                    facts, keys = np.frombuffer(row["one"], "<i8").reshape(3, -1), row["two"]
+                else:
+                    later.append((np.frombuffer(row["one"], "<u2"), np.frombuffer(row["two"], "<u4")))
+        doc, n, named = facts
+        shared = np.zeros(len(doc), np.int64)
+        for idx, count in later:
+            shared[idx] += count
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(doc, mask=named == 0), pa.array([keys[16 * i : 16 * i + 16] for i in range(len(doc))], pa.binary()), pa.array(n.astype(np.int32)), pa.array(shared.astype(np.int32))],
+            ["doc_id", "set_key", "n", "shared"],
+        )
+
+    def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for token, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(token, "<i8")), pa.array(np.frombuffer(n, "<i8"))], ["token", "n"])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary"))
-    dealt = rows.mapInArrow(split, "shard int, uid long, counts binary, low binary, keys binary, ids binary, nulls binary")
-    return materialize(dealt.groupBy("shard").applyInArrow(gather, COUNTED).withColumn("shift", F.lit(int(shift))), "shared")
+    dealt = rows.mapInArrow(split, "shard int, uid long, one binary, two binary, three binary")
+    counted = materialize(dealt.groupBy("shard").applyInArrow(gather, PACKED), "shared")
+    found = counted.where("kind < 2").groupBy("uid").applyInArrow(total, "doc_id long, set_key binary, n int, shared int")
+    return found, counted.where("kind = 2").select("one", "two").mapInArrow(opened, "token long, n long"), shift
 
 
 # ---------------------------------------------------------------- steps 2 and 3: trees
@@ -274,12 +297,12 @@ def _ordered(tokens: np.ndarray, often: np.ndarray, rank: np.ndarray, shift: int
     return tokens[np.lexsort((tokens, place))]
 
 
-SET = "set_key binary, n int, tokens binary, prefix array<long>"
+SET = "set_key binary, n int, tokens binary, firsts array<long>, prefix array<long>"
 LINK = "a binary, b binary"
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, frequent: DataFrame, shift: int, k: int, percent: int) -> DataFrame:
-    """(set_key, n, tokens, prefix) of the documents in ``wanted``; frequent tokens come last in a prefix."""
+    """(set_key, n, tokens, firsts, prefix) of the documents in ``wanted``; frequent tokens come last in a prefix."""
     small_batches(docs.sparkSession)
     table = sorted(frequent.orderBy(F.desc("n"), "token").limit(FREQUENT).collect(), key=lambda r: r["token"])
     often = np.array([r["token"] for r in table], dtype=np.int64)
@@ -290,11 +313,11 @@ def _sets(docs: DataFrame, wanted: DataFrame, frequent: DataFrame, shift: int, k
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often, rank = held.value
         for b in batches:
-            sets = shingle_sets(b.column(0).to_pylist(), k)
+            sets = [s for s in shingle_sets(b.column(0).to_pylist(), k) if len(s)]
             prefix = [_ordered(s, often, rank, shift)[: len(s) - (-(-percent * len(s) // 100)) + 1].view(np.int64) for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([set_key(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int32()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array(prefix, pa.list_(pa.int64()))],
-                ["set_key", "n", "tokens", "prefix"],
+                [pa.array([set_key(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int32()), pa.array([s.tobytes() for s in sets], pa.binary()), *(pa.array(x, pa.list_(pa.int64())) for x in ([s[:FIRST].view(np.int64) for s in sets], prefix))],
+                ["set_key", "n", "tokens", "firsts", "prefix"],
             )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
@@ -315,8 +338,13 @@ def _links(pairs: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.binary()), pa.array([p[1] for p in pairs], pa.binary())], ["a", "b"])
 
 
+def _part(count):
+    """Which part of a large block a document is dealt to: parts have ``TREE_DOCS`` documents or so."""
+    return F.pmod(F.xxhash64("set_key"), F.ceil(F.coalesce(count, F.lit(1)) / TREE_DOCS))
+
+
 def block_links(sets: DataFrame, percent: int) -> DataFrame:
-    """Step 2: spanning links within blocks of documents that share one of their first shingles."""
+    """Step 2: spanning links within blocks of documents that share one of their smallest tokens."""
 
     def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, tokens = _load(batches, "set_key", "tokens")
@@ -327,47 +355,49 @@ def block_links(sets: DataFrame, percent: int) -> DataFrame:
         tree = SignatureTree(values, bits_for(values))
         yield _links([(keys[x], keys[y]) for x, y in dual_traversal(tree, None, percent, np.arange(len(keys)))])
 
-    firsts = sets.select("set_key", "tokens", F.explode(F.slice("prefix", 1, FIRST)).alias("block"))
+    firsts = sets.select("set_key", F.explode("firsts").alias("block"))
     size = firsts.groupBy("block").agg(F.count(F.lit(1)).alias("docs")).where("docs > 1")
-    # a block of many documents is dealt into trees of bounded size; step 3 covers what lies between
-    salt = F.pmod(F.xxhash64("set_key", "block"), F.ceil(F.col("docs") / TREE_DOCS))
-    return firsts.join(size, "block").withColumn("salt", salt).groupBy("block", "salt").applyInArrow(run, LINK)
+    placed = firsts.join(size, "block").withColumn("part", _part(F.col("docs"))).select("set_key", "block", "part")
+    return sets.select("set_key", "tokens").join(placed, "set_key").groupBy("block", "part").applyInArrow(run, LINK)
 
 
 def remainder_links(sets: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
-    """Step 3: one link for each pair of groups of different components that has any.
+    """Step 3: links between components, as spanning forests of the units that are joined.
 
-    A group is a component, or a part of ``TREE_DOCS`` of a larger one.  Groups are joined if they
-    share a prefix shingle and their ranges of sizes can agree.
+    A unit is a part of a block of documents with the same smallest token; step 2 has settled all
+    pairs within it.  Two units are joined, tree against tree, if documents of different components
+    in them share a prefix shingle and their ranges of sizes can agree.
     """
-    known = sets.select("set_key", "n", "prefix").join(roots.select(F.col("node").alias("set_key"), "root"), "set_key", "left")
-    known = known.withColumn("root", F.coalesce("root", "set_key"))
-    size = known.groupBy("root").agg(F.count(F.lit(1)).alias("docs"))
-    heavy = size.where(F.col("docs") > TREE_DOCS)
-    known = known.join(heavy, "root", "left").withColumn("unit", F.struct("root", F.pmod(F.xxhash64("set_key"), F.ceil(F.coalesce("docs", F.lit(1)) / TREE_DOCS)).alias("part")))
+    known = sets.select("set_key", "n", "prefix", F.col("firsts")[0].alias("block")).join(roots.select(F.col("node").alias("set_key"), "root"), "set_key", "left")
+    size = known.groupBy("block").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") > TREE_DOCS)
+    known = known.join(size, "block", "left").withColumn("root", F.coalesce("root", "set_key")).withColumn("unit", F.xxhash64("block", _part(F.col("docs"))))
     known = materialize(known.select("set_key", "n", "prefix", "root", "unit"), "known")
     posted = known.select("root", "unit", "n", F.explode("prefix").alias("token"))
-    posted = posted.groupBy("token", "unit").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    contested = posted.groupBy("token").agg(F.min("unit.root").alias("r1"), F.max("unit.root").alias("r2")).where("r1 != r2")
+    posted = posted.groupBy("token", "unit").agg(F.min("root").alias("r"), F.max("root").alias("s"), F.min("n").alias("low"), F.max("n").alias("high"))
+    contested = posted.groupBy("token").agg(F.min("r").alias("r"), F.max("s").alias("s"), F.count(F.lit(1)).alias("units")).where("units > 1 AND r != s")
     posted = posted.join(contested.select("token"), "token")
-    other = posted.select("token", *(F.col(c).alias(f"{c}2") for c in ("unit", "low", "high")))
-    pairs = posted.join(other, "token").where((F.col("unit.root") < F.col("unit2.root")) & (100 * F.col("high") >= percent * F.col("low2")) & (100 * F.col("high2") >= percent * F.col("low")))
+    other = posted.select("token", *(F.col(c).alias(f"{c}2") for c in ("unit", "r", "s", "low", "high")))
+    apart = (F.least("r", "r2") != F.greatest("s", "s2")) & (100 * F.col("high") >= percent * F.col("low2")) & (100 * F.col("high2") >= percent * F.col("low"))
+    pairs = posted.join(other, "token").where((F.col("unit") < F.col("unit2")) & apart)
     pairs = materialize(pairs.select("unit", "unit2").distinct().withColumn("pair", F.xxhash64("unit", "unit2")), "pairs")
-    full = sets.select("set_key", "tokens").join(known.select("set_key", "unit"), "set_key")
+    full = sets.select("set_key", "tokens").join(known.select("set_key", "unit", "root"), "set_key")
     sides = [pairs.select("pair", F.col(c).alias("unit"), F.lit(k).alias("side")) for k, c in enumerate(("unit", "unit2"))]
 
     def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        side, keys, tokens = _load(batches, "side", "set_key", "tokens")
-        trees, names, widths = [], [], []
+        side, keys, tokens, root = _load(batches, "side", "set_key", "tokens", "root")
+        numbers = {r: k for k, r in enumerate(dict.fromkeys(root))}
+        trees, names, labels, widths = [], [], [], []
         for s in (0, 1):
-            own = {k: np.frombuffer(t, U64) for k, t, x in zip(keys, tokens, side) if x == s}
-            order = _tree_order(list(own.values()))
+            own = {k: (np.frombuffer(t, U64), numbers[r]) for k, t, r, x in zip(keys, tokens, root, side) if x == s}
+            order = _tree_order([t for t, _ in own.values()])
             names.append([list(own)[k] for k in order])
-            trees.append([list(own.values())[k] for k in order])
+            rows = [own[k] for k in names[-1]]
+            trees.append([t for t, _ in rows])
+            labels.append(np.array([r for _, r in rows]))
             widths.append(bits_for(trees[-1]))
         if all(trees):
             a, b = (SignatureTree(t, max(widths)) for t in trees)
-            yield _links([(names[0][x], names[1][y]) for x, y in dual_traversal(a, b, percent, first=True)])
+            yield _links([(names[0][x], names[1][y]) for x, y in dual_traversal(a, b, percent, *labels)])
 
     return full.join(sides[0].union(sides[1]), "unit").groupBy("pair").applyInArrow(run, LINK)
 
@@ -381,23 +411,18 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -
     the smallest; a component of null ids only has a null component_id.  Equal texts, repeated rows
     and texts of one set are one node.  An empty table gives no rows; other columns are ignored.
     """
-    counted = count_shared(docs, k)
-    rows = counted.where("kind = 0").select("uid", "idx", "doc_id", "set_key", "n")
-    shared = counted.where("kind = 1").groupBy("uid", "idx").agg(F.sum("n").alias("shared"))
-    rows = materialize(rows.join(shared, ["uid", "idx"], "left").select("doc_id", "set_key", "n", ((100 * F.col("shared") >= percent * F.col("n")) & (F.col("n") > 0)).alias("near")), "rows")
+    counted, frequent, shift = count_shared(docs, k)
+    rows = materialize(counted.select("doc_id", "set_key", "n", ((100 * F.col("shared") >= percent * F.col("n")) & (F.col("n") > 0)).alias("near")), "rows")
     near = rows.where("near")
     groups = materialize(near.groupBy("set_key").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("docs")), "groups")
-    head = counted.select("shift").head()
-    if head is None:
-        return rows.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    sets = _sets(docs, groups.select(F.col("doc_id").alias("wanted")), counted.where("kind = 2").select("n", "token"), head["shift"], k, percent)
+    sets = _sets(docs, groups.select(F.col("doc_id").alias("wanted")), frequent, shift, k, percent)
     links = materialize(block_links(sets, percent), "block-links")
     rest = materialize(remainder_links(sets, components(links), percent), "rest-links")
     roots = components(links.union(rest))
     named = groups.join(roots.select(F.col("node").alias("set_key"), "root"), "set_key", "left").withColumn("root", F.coalesce("root", "set_key"))
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     named = named.join(least, "root").select("set_key", "component_id", "docs")
-    alone = rows.where("near IS NULL OR NOT near").select("doc_id", "n", F.col("doc_id").alias("component_id"))
+    alone = rows.where("NOT near").select("doc_id", "n", F.col("doc_id").alias("component_id"))
     together = join_groups(near.select("doc_id", "n", "set_key"), named, "set_key", "docs").select("doc_id", "n", "component_id")
     return alone.unionByName(together).select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
 
