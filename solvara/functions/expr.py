@@ -127,7 +127,7 @@ def money(x: Column | str) -> Column:
     """An amount as text in B, M or K, with its sign."""
     x = col(x).cast("double")
     a, sign = F.abs(x), F.when(x < 0, "-").otherwise("")
-    scaled = lambda by, unit: F.concat(sign, F.lit("$"), F.format_number(a / by, "0.00"), F.lit(unit))
+    scaled = lambda by, unit: F.concat(sign, F.lit("$"), F.format_number(a / by, 2), F.lit(unit))
     return F.when(a >= 1e9, scaled(1e9, "B")).when(a >= 1e6, scaled(1e6, "M")).when(a >= 1e3, scaled(1e3, "K")).otherwise(scaled(1.0, ""))
 
 
