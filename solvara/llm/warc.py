@@ -47,7 +47,7 @@ def record_id(*parts: object) -> str:
 
 def plain_text(page: str) -> str:
     """Visible text: one line for each run of inline content, character references decoded."""
-    lines = _TAG.sub("", _BREAK.sub("\n", _HIDDEN.sub(" ", page))).split("\n")
+    lines = _TAG.sub("", _BREAK.sub("\0", _HIDDEN.sub(" ", page.replace("\0", " ")))).split("\0")
     found = (_SPACE.sub(" ", html.unescape(x)).strip() for x in lines)
     return "\n".join(x for x in found if x)
 
