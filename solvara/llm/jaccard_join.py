@@ -379,9 +379,10 @@ def remainder_links(sets: DataFrame, roots: DataFrame, percent: int) -> DataFram
     other = posted.select("token", *(F.col(c).alias(f"{c}2") for c in ("unit", "r", "s", "low", "high")))
     apart = (F.least("r", "r2") != F.greatest("s", "s2")) & (100 * F.col("high") >= percent * F.col("low2")) & (100 * F.col("high2") >= percent * F.col("low"))
     pairs = posted.join(other, "token").where((F.col("unit") < F.col("unit2")) & apart)
-    pairs = materialize(pairs.select("unit", "unit2").distinct().withColumn("pair", F.xxhash64("unit", "unit2")), "pairs")
-    full = sets.select("set_key", "tokens").join(known.select("set_key", "unit", "root"), "set_key")
-    sides = [pairs.select("pair", F.col(c).alias("unit"), F.lit(k).alias("side")) for k, c in enumerate(("unit", "unit2"))]
+    pairs = materialize(pairs.select("unit", "unit2").distinct(), "pairs")
+    tasks, halves = _tasks(known, pairs)
+    if tasks is None:
+        return sets.select(F.col("set_key").alias("a"), F.col("set_key").alias("b")).limit(0)
 
     def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         side, keys, tokens, root = _load(batches, "side", "set_key", "tokens", "root")
@@ -390,16 +391,53 @@ def remainder_links(sets: DataFrame, roots: DataFrame, percent: int) -> DataFram
         for s in (0, 1):
             own = {k: (np.frombuffer(t, U64), numbers[r]) for k, t, r, x in zip(keys, tokens, root, side) if x == s}
             order = _tree_order([t for t, _ in own.values()])
-            names.append([list(own)[k] for k in order])
+            held = list(own)
+            names.append([held[k] for k in order])
             rows = [own[k] for k in names[-1]]
             trees.append([t for t, _ in rows])
             labels.append(np.array([r for _, r in rows]))
             widths.append(bits_for(trees[-1]))
-        if all(trees):
+        if trees[0] and trees[1]:
             a, b = (SignatureTree(t, max(widths)) for t in trees)
             yield _links([(names[0][x], names[1][y]) for x, y in dual_traversal(a, b, percent, *labels)])
+        elif trees[0]:
+            tree = SignatureTree(trees[0], widths[0])
+            yield _links([(names[0][x], names[0][y]) for x, y in dual_traversal(tree, None, percent, labels[0])])
 
-    return full.join(sides[0].union(sides[1]), "unit").groupBy("pair").applyInArrow(run, LINK)
+    full = sets.select("set_key", "tokens").join(halves.join(known.select("set_key", "root"), "set_key"), "set_key")
+    return full.groupBy("task").applyInArrow(run, LINK)
+
+
+def _tasks(known: DataFrame, pairs: DataFrame) -> tuple[DataFrame | None, DataFrame | None]:
+    """(set_key, task, side): which documents each tree join of step 3 reads.
+
+    Units that are linked by pairs, directly or not, are a family.  A family is joined with itself
+    in chunks of ``TREE_DOCS`` documents (one chunk: one tree) where that reads fewer rows than its
+    pairs of units would; else each pair of units is a task of its own.  Either way every pair of
+    units meets, so no link is missed.
+    """
+    if pairs.isEmpty():
+        return None, None
+    as_key = lambda x: F.unhex(F.lpad(F.hex(x), 16, "0"))
+    family = components(pairs.select(as_key(F.col("unit")).alias("a"), as_key(F.col("unit2")).alias("b")))
+    family = family.select(F.col("node").alias("k"), F.col("root").alias("family"))
+    docs = known.groupBy("unit").agg(F.count(F.lit(1)).alias("docs"))
+    held = materialize(docs.withColumn("k", as_key(F.col("unit"))).join(family, "k").select("unit", "docs", "family"), "families")
+    size = held.groupBy("family").agg(F.sum("docs").alias("all"))
+    one, two = held.select("unit", "family", "docs"), held.select(F.col("unit").alias("unit2"), F.col("docs").alias("docs2"))
+    read = pairs.join(one, "unit").join(two, "unit2").groupBy("family").agg(F.sum(F.col("docs") + F.col("docs2")).alias("read"))
+    plan = size.join(read, "family").withColumn("chunks", F.ceil(F.col("all") / TREE_DOCS).cast("int")).withColumn("whole", F.col("all") * F.col("chunks") <= F.col("read"))
+    plan = materialize(held.join(plan, "family").select("unit", "family", "chunks", "whole"), "plan")
+    rows = known.select("set_key", "unit").join(plan, "unit")
+    chunk = F.pmod(F.xxhash64("set_key"), F.col("chunks")).cast("int")
+    # chunk c of a family meets every chunk: itself as one tree, the others as sides 0 and 1
+    meets = F.expr("explode(sequence(0, chunks - 1))")
+    whole = rows.where("whole").withColumn("c", chunk).select("set_key", "family", "c", meets.alias("o"))
+    whole = whole.select("set_key", F.xxhash64("family", F.least("c", "o"), F.greatest("c", "o")).alias("task"), (F.col("c") > F.col("o")).cast("int").alias("side"))
+    single = pairs.join(plan.where("NOT whole").select("unit"), "unit", "left_semi").withColumn("task", F.xxhash64("unit", "unit2"))
+    sides = single.select("unit", "task", F.lit(0).alias("side")).union(single.select(F.col("unit2").alias("unit"), "task", F.lit(1).alias("side")))
+    parts = rows.where("NOT whole").select("set_key", "unit").join(sides, "unit").select("set_key", "task", "side")
+    return pairs, whole.union(parts)
 
 
 def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
