@@ -28,6 +28,8 @@ SEQ_LEN, SHARD_SLOTS, KEY = 1024, 1024, 0x5EED
 ROUNDS = 6
 #: Words that an encoder remembers.
 CACHE = 500_000
+#: Files up to which the table of their first indexes is broadcast; beyond, it is joined by a shuffle.
+BROADCAST_FILES = 20_000
 U64 = np.uint64
 
 
@@ -140,6 +142,8 @@ def numbered(rows: DataFrame) -> DataFrame:
     per = spot.groupBy("__file").agg(F.count(F.lit(1)).alias("rows"))
     before = F.coalesce(F.sum("rows").over(Window.orderBy("__file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     start = per.select("__file", before.alias("__start"))
+    if per.limit(BROADCAST_FILES + 1).count() <= BROADCAST_FILES:
+        start = F.broadcast(start)
     return spot.join(start, "__file").withColumn("index", F.col("__start") + F.col("__row")).drop("__file", "__row", "__start")
 
 
