@@ -33,8 +33,8 @@ SHINGLE, PERCENT = 5, 80
 #: Tokens in one shard of the shared-shingle count, and documents of one map-side block.
 SHARD_TOKENS, FLUSH_DOCS = 2_000_000, 4096
 #: Entries of the table of frequent shingles, which only steers the order, and the documents that
-#: make one frequent; documents in one tree.
-FREQUENT, OFTEN, TREE_DOCS = 50_000, 16, 4096
+#: make one frequent; documents and tokens in one tree.
+FREQUENT, OFTEN, TREE_DOCS, TREE_TOKENS = 50_000, 16, 4096, 4_000_000
 FANOUT, FIRST = 16, 2
 MULT, MIX1, MIX2 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 U64 = np.uint64
@@ -338,9 +338,22 @@ def _links(pairs: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.binary()), pa.array([p[1] for p in pairs], pa.binary())], ["a", "b"])
 
 
-def _part(count):
-    """Which part of a large block a document is dealt to: parts have ``TREE_DOCS`` documents or so."""
-    return F.pmod(F.xxhash64("set_key"), F.ceil(F.coalesce(count, F.lit(1)) / TREE_DOCS))
+def _parts(docs: str, tokens: str):
+    """How many trees a group of documents is dealt to: each of bounded documents and tokens."""
+    return F.ceil(F.greatest(F.col(docs) / TREE_DOCS, F.col(tokens) / TREE_TOKENS)).cast("int")
+
+
+def _part(parts):
+    """The part that a document is dealt to."""
+    return F.pmod(F.xxhash64("set_key"), parts)
+
+
+def _placed(sets: DataFrame) -> DataFrame:
+    """(set_key, block, part, place) of each document's first tokens; steps 2 and 3 share it, so that a
+    unit of step 3 never holds two documents that step 2 did not compare."""
+    firsts = sets.select("set_key", "n", F.posexplode("firsts").alias("place", "block"))
+    size = firsts.groupBy("block").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("held")).withColumn("parts", _parts("docs", "held"))
+    return firsts.join(size, "block").select("set_key", "block", _part(F.col("parts")).alias("part"), "place", "docs")
 
 
 def block_links(sets: DataFrame, percent: int) -> DataFrame:
@@ -355,9 +368,7 @@ def block_links(sets: DataFrame, percent: int) -> DataFrame:
         tree = SignatureTree(values, bits_for(values))
         yield _links([(keys[x], keys[y]) for x, y in dual_traversal(tree, None, percent, np.arange(len(keys)))])
 
-    firsts = sets.select("set_key", F.explode("firsts").alias("block"))
-    size = firsts.groupBy("block").agg(F.count(F.lit(1)).alias("docs")).where("docs > 1")
-    placed = firsts.join(size, "block").withColumn("part", _part(F.col("docs"))).select("set_key", "block", "part")
+    placed = _placed(sets).where("docs > 1").select("set_key", "block", "part")
     return sets.select("set_key", "tokens").join(placed, "set_key").groupBy("block", "part").applyInArrow(run, LINK)
 
 
@@ -368,9 +379,9 @@ def remainder_links(sets: DataFrame, roots: DataFrame, percent: int) -> DataFram
     pairs within it.  Two units are joined, tree against tree, if documents of different components
     in them share a prefix shingle and their ranges of sizes can agree.
     """
-    known = sets.select("set_key", "n", "prefix", F.col("firsts")[0].alias("block")).join(roots.select(F.col("node").alias("set_key"), "root"), "set_key", "left")
-    size = known.groupBy("block").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") > TREE_DOCS)
-    known = known.join(size, "block", "left").withColumn("root", F.coalesce("root", "set_key")).withColumn("unit", F.xxhash64("block", _part(F.col("docs"))))
+    unit = _placed(sets).where("place = 0").select("set_key", F.xxhash64("block", "part").alias("unit")).distinct()
+    known = sets.select("set_key", "n", "prefix").join(roots.select(F.col("node").alias("set_key"), "root"), "set_key", "left").join(unit, "set_key")
+    known = known.withColumn("root", F.coalesce("root", "set_key"))
     known = materialize(known.select("set_key", "n", "prefix", "root", "unit"), "known")
     posted = known.select("root", "unit", "n", F.explode("prefix").alias("token"))
     posted = posted.groupBy("token", "unit").agg(F.min("root").alias("r"), F.max("root").alias("s"), F.min("n").alias("low"), F.max("n").alias("high"))
@@ -421,12 +432,12 @@ def _tasks(known: DataFrame, pairs: DataFrame) -> tuple[DataFrame | None, DataFr
     as_key = lambda x: F.unhex(F.lpad(F.hex(x), 16, "0"))
     family = components(pairs.select(as_key(F.col("unit")).alias("a"), as_key(F.col("unit2")).alias("b")))
     family = family.select(F.col("node").alias("k"), F.col("root").alias("family"))
-    docs = known.groupBy("unit").agg(F.count(F.lit(1)).alias("docs"))
-    held = materialize(docs.withColumn("k", as_key(F.col("unit"))).join(family, "k").select("unit", "docs", "family"), "families")
-    size = held.groupBy("family").agg(F.sum("docs").alias("all"))
+    docs = known.groupBy("unit").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("held"))
+    held = materialize(docs.withColumn("k", as_key(F.col("unit"))).join(family, "k").select("unit", "docs", "held", "family"), "families")
+    size = held.groupBy("family").agg(F.sum("docs").alias("all"), F.sum("held").alias("tokens"))
     one, two = held.select("unit", "family", "docs"), held.select(F.col("unit").alias("unit2"), F.col("docs").alias("docs2"))
     read = pairs.join(one, "unit").join(two, "unit2").groupBy("family").agg(F.sum(F.col("docs") + F.col("docs2")).alias("read"))
-    plan = size.join(read, "family").withColumn("chunks", F.ceil(F.col("all") / TREE_DOCS).cast("int")).withColumn("whole", F.col("all") * F.col("chunks") <= F.col("read"))
+    plan = size.join(read, "family").withColumn("chunks", _parts("all", "tokens")).withColumn("whole", F.col("all") * F.col("chunks") <= F.col("read"))
     plan = materialize(held.join(plan, "family").select("unit", "family", "chunks", "whole"), "plan")
     rows = known.select("set_key", "unit").join(plan, "unit")
     chunk = F.pmod(F.xxhash64("set_key"), F.col("chunks")).cast("int")

@@ -73,9 +73,9 @@ def corpus(seed):
     return rows
 
 
-@pytest.mark.parametrize(("seed", "tree", "often", "shard"), [(1, 4096, 16, 2_000_000), (2, 7, 2, 300), (3, 16, 3, 40)])
+@pytest.mark.parametrize(("seed", "tree", "often", "shard"), [(1, 4096, 16, 2_000_000), (2, 7, 2, 300), (3, 16, 3, 40), (4, 2, 2, 100), (5, 3, 50, 60)])
 def test_components_equal_brute_force(spark, monkeypatch, seed, tree, often, shard):
-    for name, value in (("TREE_DOCS", tree), ("OFTEN", often), ("SHARD_TOKENS", shard), ("FLUSH_DOCS", 20)):
+    for name, value in (("TREE_DOCS", tree), ("TREE_TOKENS", 900 * tree), ("OFTEN", often), ("SHARD_TOKENS", shard), ("FLUSH_DOCS", 20)):
         monkeypatch.setattr(jj, name, value)
     rows = corpus(seed)
     df = spark.createDataFrame([(d, t, 1) for d, t in rows], "doc_id long, text string, component_id int").repartition(3)
