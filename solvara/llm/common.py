@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows in one Arrow batch: bounds what a Python worker holds of very long texts.
-BATCH_ROWS = 1000
+BATCH_ROWS = 256
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -140,7 +140,7 @@ class Features:
             parts = [e.split(".") for e in path]
             names = [f"{min(k, 3)}:{p[0]}" for k, p in enumerate(reversed(parts))]
             names += [f"in:{p[0]}" for p in parts] + [f"name:{w}" for p in parts for w in p[1:]]
-            if len(self.paths) > 100_000:
+            if len(self.paths) > 20_000:
                 self.paths.clear()
             found = self.paths[path] = sorted({zlib.crc32(x.encode()) % BUCKETS for x in names})
         return found
@@ -148,7 +148,7 @@ class Features:
     def word(self, word: str) -> int:
         found = self.words.get(word)
         if found is None:
-            if len(self.words) > 500_000:
+            if len(self.words) > 200_000:
                 self.words.clear()
             found = self.words[word] = zlib.crc32(word.lower().encode("utf-8", "replace")) % BUCKETS
         return found
