@@ -11,8 +11,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
@@ -28,79 +27,23 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 END_ID = 50256
 SEQ_LEN, SHARD_SLOTS, KEY = 1024, 1024, 0x5EED
 ROUNDS = 6
-#: Words that an encoder remembers.
-CACHE = 200_000
 #: Files up to which the table of their first indexes is broadcast; beyond, it is joined by a shuffle.
 BROADCAST_FILES = 20_000
-#: Text in which a blank follows white space, or that holds the mark that pieces are cut at.
-LOOSE = re.compile(r"\s |\0")
 U64 = np.uint64
 
 
 # ---------------------------------------------------------------- tokens
 
 
-class WordCachingEncoder:
-    """A byte-level BPE encoder that encodes each distinct piece between single blanks once.
-
-    The split pattern never looks behind, and no match crosses the blank before a word unless white
-    space ends the piece before it; such pieces are encoded together, so the ids are those of the
-    whole text.
-    """
-
-    def __init__(self, path: str):
-        import public_tokenizers
-        import tiktoken
-
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.encode = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        self.seen: dict[str, bytes] = {}
-
-    def packed(self, text: str) -> bytes:
-        """The ids of a text as little-endian 16-bit numbers."""
-        if LOOSE.search(text):
-            return self._pack(self.encode(text)) if len(text) < 1000 else b"".join(map(self.packed_piece, self._joined(text)))
-        return self._known(text.replace(" ", "\0 ").split("\0"))
-
-    def _pack(self, ids: list[int]) -> bytes:
-        return np.array(ids, dtype="<u2").tobytes()
-
-    def packed_piece(self, piece: str) -> bytes:
-        found = self.seen.get(piece)
-        if found is None:
-            if len(self.seen) >= CACHE:
-                self.seen.clear()
-            found = self._pack(self.encode(piece))
-            if len(piece) <= 64:
-                self.seen[piece] = found
-        return found
-
-    def _known(self, pieces: list[str]) -> bytes:
-        found = list(map(self.seen.get, pieces))
-        if None in found:
-            found = [self.packed_piece(p) if f is None else f for p, f in zip(pieces, found)]
-        return b"".join(found)
-
-    def _joined(self, text: str) -> Iterator[str]:
-        """Pieces that begin at a blank; one that white space ends is joined with the next."""
-        held = ""
-        for k, piece in enumerate(text.split(" ")):
-            held += " " + piece if k else piece
-            if piece and not piece[-1].isspace():
-                yield held
-                held = ""
-        if held:
-            yield held
-
-    def ids(self, text: str) -> list[int]:
-        return np.frombuffer(self.packed(text), "<u2").tolist()
-
-
 @cache
-def encoder(path: str) -> WordCachingEncoder:
-    """One encoder for each Python worker, kept from task to task."""
-    return WordCachingEncoder(path)
+def encoder(path: str) -> Callable[[str], list[int]]:
+    """Encodes whole texts as byte-level BPE without special tokens; kept from task to task."""
+    import public_tokenizers
+    import tiktoken
+
+    with open(path, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
 
 SEQUENCE = "doc_id long, part int, n_tokens int, ids binary"
@@ -115,11 +58,11 @@ def sequences(docs: DataFrame, tokenizer: str = TOKENIZER, seq_len: int = SEQ_LE
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer).packed
+        encode = encoder(tokenizer)
         for b in batches:
             out: tuple[list, ...] = ([], [], [], [])
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                ids = np.frombuffer(encode(text or "") + END_ID.to_bytes(2, "little"), "<u2")
+                ids = np.array([*encode(text or ""), END_ID], dtype="<u2")
                 for part, start in enumerate(range(0, len(ids), seq_len)):
                     own = ids[start : start + seq_len]
                     for column, value in zip(out, (doc, part, len(own), own.tobytes())):
