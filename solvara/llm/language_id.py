@@ -102,9 +102,13 @@ def gram_rates(train: DataFrame) -> DataFrame:
             tongue = np.array([names.index(x) for x in langs], dtype=np.int64)
             count: list[Counter] = [Counter() for _ in names]
             for h, own, _ in grams(texts):
-                pair = np.unique(np.stack([h, own.astype(U64)]), axis=1)
+                order = np.lexsort((h, own))
+                h, own = h[order], own[order]
+                first = np.ones(len(h), bool)  # of an n-gram in a text
+                first[1:] = (h[1:] != h[:-1]) | (own[1:] != own[:-1])
+                h, spoken = h[first], tongue[own[first]]
                 for k in range(len(names)):
-                    value, times = np.unique(pair[0][tongue[pair[1].astype(np.int64)] == k], return_counts=True)
+                    value, times = np.unique(h[spoken == k], return_counts=True)
                     count[k].update(dict(zip(value.tolist(), times.tolist())))
             for k, lang in enumerate(names):
                 g = np.fromiter(count[k], U64, len(count[k])).view(np.int64)
