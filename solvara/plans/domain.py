@@ -199,8 +199,7 @@ def nlp10(t):
     return r.groupBy("user_id").agg(F.round(F.sum(c("value") * w) / F.sum(w), 6).alias("decayed"), F.round(F.max("value") - F.min("value"), 6).alias("span"), F.round(F.avg("value"), 6).alias("mean"))
 
 
-def _window(t):
-    q = quotes(t).where("day < DATE '1996-01-01'")
+def _window(q):
     return network.window_returns(timejoin.returns(q, "ticker", "day", "price", (1,)), "ticker", "day", "return_1", months=2, min_valid=0.1)
 
 
@@ -210,12 +209,13 @@ def _window(t):
     p AS (SELECT ym, ticker, count(*) AS valid FROM s GROUP BY ALL)
     SELECT strftime(ym, '%Y-%m-%d') AS ym, count(*) AS tickers, sum(valid)::BIGINT AS points FROM p JOIN d USING (ym) WHERE valid >= 0.1 * days GROUP BY 1""")
 def net01(t):
-    w = _window(t).groupBy("ym", "ticker").agg(F.count(F.lit(1)).alias("valid"))
+    # as in its SQL; the queries below take every month
+    w = _window(quotes(t).where("day < DATE '1996-01-01'")).groupBy("ym", "ticker").agg(F.count(F.lit(1)).alias("valid"))
     return w.groupBy(day_text("ym").alias("ym")).agg(F.count(F.lit(1)).alias("tickers"), F.sum("valid").alias("points"))
 
 
 def _edges(t):
-    return network.correlations(_window(t).where("ym >= DATE '1995-10-01'"), "ticker", "day")
+    return network.correlations(_window(quotes(t)), "ticker", "day")
 
 
 @query("net02_correlation")
