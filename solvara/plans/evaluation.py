@@ -93,7 +93,7 @@ def stt02(t):
 
 @query("stt03_bootstrap")
 def stt03(t):
-    return metrics.bootstrap_auc(scored(t), "a", "y", "event_id", 50)
+    return metrics.bootstrap(scored(t), "a", "y", "event_id")
 
 
 _EDGES = "list_distinct([" + ", ".join(f"quantile_cont({{c}}, {k / 10})" for k in range(1, 10)) + "])"
@@ -178,7 +178,7 @@ def str01(t):
 
 @query("str03_monte_carlo")
 def str03(t):
-    return metrics.monte_carlo(_portfolio(t), "entity", "margin", n=200)
+    return metrics.monte_carlo(_portfolio(t), "entity", "margin")
 
 
 @query("scr02_batch", f"""WITH p AS (SELECT entity, {_PD} AS p FROM sheet) SELECT entity, round(p, 8) AS probability, CASE WHEN p >= 0.5 THEN 'reject' ELSE 'accept' END AS decision,

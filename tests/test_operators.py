@@ -222,3 +222,58 @@ def test_network_has_every_month(spark):
     line = sources.table(spark, folder, "lineitem").agg(F.min("l_shipdate").alias("a"), F.max("l_shipdate").alias("b")).first()
     months = {r.ym for r in plans.QUERIES["net02_correlation"](spark, folder).select("ym").distinct().collect()}
     assert min(months).year <= line.a.year + 1 and (max(months).year, max(months).month) == (line.b.year, line.b.month)
+
+
+def test_bootstrap_metrics(spark):
+    import random
+
+    r = random.Random(5)
+    data = [(k, round(r.random(), 1), int(r.random() < 0.4)) for k in range(120)]
+    b = 60
+    # the row weights as drawn; metrics of each replicate by hand
+    drawn = spark.createDataFrame(data, "id long, s double, y int").crossJoin(spark.range(1, b + 1).selectExpr("int(id) AS replicate"))
+    u = (F.pmod(F.xxhash64("id", "replicate", F.lit(42)), F.lit(2**30)) + 0.5) / float(2**30)
+    limits = (0.367879441, 0.735758882, 0.919698603, 0.981011843, 0.996340153, 0.999405815)
+    each = {}
+    for x in drawn.select("replicate", "s", "y", u.alias("u")).collect():
+        each.setdefault(x.replicate, []).extend([(x.s, x.y)] * sum(x.u > c for c in limits))
+    want = {"pr_auc": [], "roc_auc": [], "f2": [], "brier": []}
+    for rows_ in each.values():
+        pos, neg = [s for s, y in rows_ if y], [s for s, y in rows_ if not y]
+        want["roc_auc"].append(sum((p > q) + (p == q) / 2 for p in pos for q in neg) / len(pos) / len(neg))
+        want["brier"].append(sum((y - s) ** 2 for s, y in rows_) / len(rows_))
+        tp, fp = sum(s >= 0.3 for s in pos), sum(s >= 0.3 for s in neg)
+        want["f2"].append(5 * tp / (5 * tp + 4 * (len(pos) - tp) + fp))
+        area, p0, r0 = 0.0, 1.0, 0.0
+        for t in sorted({s for s, _ in rows_}, reverse=True):
+            tp, fp = sum(s >= t for s in pos), sum(s >= t for s in neg)
+            p1, r1 = tp / (tp + fp), tp / len(pos)
+            area, p0, r0 = area + (r1 - r0) * (p1 + p0) / 2, p1, r1
+        want["pr_auc"].append(area)
+    got = {x.metric: x for x in metrics.bootstrap(drawn.select("id", "s", "y").distinct(), "s", "y", "id", b).collect()}
+    assert set(got) == set(want)
+    for name, values in want.items():
+        assert math.isclose(got[name].mean, sum(values) / b)
+        v, at = sorted(values), 0.025 * (b - 1)
+        assert math.isclose(got[name].low, v[int(at)] + (at - int(at)) * (v[int(at) + 1] - v[int(at)]))
+
+
+def test_registered_draws(spark, monkeypatch):
+    from solvara.plans import QUERIES
+
+    seen = {}
+    for name, count in (("bootstrap", "b"), ("monte_carlo", "n")):
+        own = getattr(metrics, name)
+
+        def watched(*args, own=own, name=name, count=count, **kw):
+            import inspect
+
+            bound = inspect.signature(own).bind(*args, **kw)
+            bound.apply_defaults()
+            seen[name] = bound.arguments[count]
+            return own(*args, **kw)
+
+        monkeypatch.setattr(metrics, name, watched)
+    for q in ("stt03_bootstrap", "str03_monte_carlo"):
+        QUERIES[q](spark, "/root/testdata/sf0.001")
+    assert seen == {"bootstrap": 1000, "monte_carlo": 1000}
