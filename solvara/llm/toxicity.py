@@ -2,7 +2,7 @@
 
 Features of a whole text are lexicon densities, closeness of second-person words to lexicon
 words, capitals, punctuation and obfuscation rates.  The lexicon (words and word beginnings) is
-learned from labelled documents, besides a short list of common insults.
+learned from all labelled documents that aren't held out, besides a short list of common insults.
 """
 
 from __future__ import annotations
@@ -131,25 +131,42 @@ def training_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return materialize(texts.join(F.broadcast(own), "doc_id"), "toxicity-train")
 
 
-def learn_lexicon(train: DataFrame) -> dict[str, float]:
-    """Words and word beginnings (marked ``*``) that stand in toxic documents far more often."""
+def count_entries(train: DataFrame) -> DataFrame:
+    """(entry, part, toxic, clean): in how many documents of each crc part a word or word beginning stands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            count: tuple[Counter, Counter] = (Counter(), Counter())
-            for text, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            count: dict[int, tuple[Counter, Counter]] = {}
+            for text, toxic, part in zip(*(b.column(k).to_pylist() for k in range(3))):
                 distinct = set(WORD.findall((text or "").lower()))
-                count[toxic > 0].update({x for w in distinct for x in (w, *(w[:k] + "*" for k in STEMS if k <= len(w)))})
-            names = list(count[0].keys() | count[1].keys())
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([count[1][x] for x in names], pa.int64()), pa.array([count[0][x] for x in names], pa.int64())], ["entry", "toxic", "clean"])
+                count.setdefault(part, (Counter(), Counter()))[toxic > 0].update({x for w in distinct for x in (w, *(w[:k] + "*" for k in STEMS if k <= len(w)))})
+            for part, (clean, toxic) in count.items():
+                names = list(clean.keys() | toxic.keys())
+                numbers = ([part] * len(names), [toxic[x] for x in names], [clean[x] for x in names])
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *(pa.array(x, pa.int64()) for x in numbers)], ["entry", "part", "toxic", "clean"])
 
-    total = {r["toxic"] > 0: r["count"] for r in train.groupBy("toxic").count().collect()}
-    t, c = F.lit(total.get(True, 0)), F.lit(total.get(False, 0))
+    found = train.select("text", "toxic", crc32_mod4(F.col("doc_id")).alias("part")).mapInArrow(run, "entry string, part long, toxic long, clean long")
+    found = found.groupBy("entry", "part").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    # an entry that is too rare in all parts together is too rare in any of them
+    wide = found.groupBy("entry").agg(F.collect_list(F.struct("part", "toxic", "clean")).alias("parts"), F.sum("toxic").alias("all"))
+    return materialize(wide.where(F.col("all") >= MIN_DOCS).select("entry", F.inline("parts")), "toxicity-entries")
+
+
+def learn_lexicon(entries: DataFrame, t: int, c: int, without: int | None = None) -> dict[str, float]:
+    """Words and word beginnings (marked ``*``) that stand in toxic documents far more often.
+
+    ``t`` and ``c``: toxic and clean documents that were counted; part ``without`` is left out.
+    """
+    if not t or not c:
+        return {}
+    if without is not None:
+        entries = entries.where(F.col("part") != without)
+    t, c = F.lit(t), F.lit(c)
     a, b = F.col("toxic"), F.col("clean")
     share = t / (t + c)
     side = lambda x, p: F.when(x > 0, x * F.log(x / ((a + b) * p))).otherwise(0.0)
     found = (
-        train.select("text", "toxic").mapInArrow(run, "entry string, toxic long, clean long").groupBy("entry").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+        entries.groupBy("entry").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
         .where((a >= MIN_DOCS) & (a * c > b * t))
         .withColumn("g2", 2 * (side(a, share) + side(b, 1 - share)))
         .withColumn("weight", F.log((a + 0.5) / (t + 1)) - F.log((b + 0.5) / (c + 1)))
@@ -160,6 +177,20 @@ def learn_lexicon(train: DataFrame) -> dict[str, float]:
     return {r["entry"]: r["weight"] for r in found.collect()}
 
 
+def add_features(df: DataFrame, text: str, out: str, lexica: dict[int, dict[str, float]], part) -> DataFrame:
+    """``df`` with a feature vector; the lexicon of a row is chosen by column ``part``."""
+    held = df.sparkSession.sparkContext.broadcast(lexica)
+    scorers: dict[int, Scorer] = {}
+
+    @F.pandas_udf("array<double>")
+    def features(texts: pd.Series, parts: pd.Series) -> pd.Series:
+        if not scorers:
+            scorers.update({k: Scorer(x) for k, x in held.value.items()})
+        return pd.Series([scorers[k].row(t) for t, k in zip(texts, parts)])
+
+    return df.withColumn(out, array_to_vector(features(F.col(text).cast("string"), part)))
+
+
 class Model:
     """A fitted scorer: lexicon, trees and calibration, or a constant where labels can't teach more."""
 
@@ -167,15 +198,7 @@ class Model:
         self.lexicon, self.trees, self.isotonic, self.rate = lexicon, trees, isotonic, rate
 
     def features(self, df: DataFrame, text: str, out: str) -> DataFrame:
-        held = df.sparkSession.sparkContext.broadcast(self.lexicon)
-        scorers: list[Scorer] = []
-
-        @F.pandas_udf("array<double>")
-        def features(texts: pd.Series) -> pd.Series:
-            scorer = scorers[0] if scorers else (scorers.append(Scorer(held.value)) or scorers[0])
-            return pd.Series([scorer.row(t) for t in texts])
-
-        return df.withColumn(out, array_to_vector(features(F.col(text).cast("string"))))
+        return add_features(df, text, out, {0: self.lexicon}, F.lit(0))
 
     def score(self, df: DataFrame, text: str = "text", out: str = "score") -> DataFrame:
         """``df`` with a score column; all other columns stay (helper columns start with ``__tox``)."""
@@ -189,18 +212,25 @@ class Model:
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    """Lexicon and trees learn from two thirds of the training documents, calibration from the rest."""
+    """The lexicon learns from all training documents, trees from two thirds, calibration from the rest.
+
+    Trees and calibration see each document by a lexicon learned without its crc part.
+    """
     small_batches(docs.sparkSession)
     train = training_documents(docs, labels)
     part = crc32_mod4(F.col("doc_id"))
-    count = {(r["c"], r["toxic"] > 0): r["count"] for r in train.groupBy((part == 3).alias("c"), "toxic").count().collect()}
+    each = {(r["part"], r["toxic"] > 0): r["count"] for r in train.groupBy(part.alias("part"), "toxic").count().collect()}
+    total = lambda y, parts: sum(n for (p, z), n in each.items() if z == y and p in parts)
+    count = {(c, y): total(y, (3,) if c else (0, 1)) for c in (False, True) for y in (False, True)}
     positive, rows = sum(n for (_, y), n in count.items() if y), sum(count.values())
     rate = positive / rows if rows else 0.0
     if not count.get((False, True)) or not count.get((False, False)):
         return Model({}, None, None, float(rate))
-    lexicon = learn_lexicon(train.where(part != 3))
-    model = Model(lexicon, None, None, float(rate))
-    data = model.features(train, "text", "__tox_x").select(part.alias("part"), F.col("toxic").cast("double").alias("label"), "__tox_x")
+    entries = count_entries(train)
+    lexicon = learn_lexicon(entries, total(True, (0, 1, 3)), total(False, (0, 1, 3)))
+    others = {k: [p for p in (0, 1, 3) if p != k] for k in (0, 1, 3)}
+    folds = {k: learn_lexicon(entries, total(True, p), total(False, p), k) for k, p in others.items()}
+    data = add_features(train, "text", "__tox_x", folds, part).select(part.alias("part"), F.col("toxic").cast("double").alias("label"), "__tox_x")
     data = materialize(data.repartition(8), "toxicity-features")
     trees = GBTClassifier(
         featuresCol="__tox_x", labelCol="label", predictionCol="__tox_prediction",

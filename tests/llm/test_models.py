@@ -40,6 +40,27 @@ def test_toxicity_held_out(spark):
     assert kept.columns == docs.columns and kept.count() == sum(g.predicted == 0 for g in got)
 
 
+def test_lexicon_learns_from_all_parts(spark):
+    r = random.Random(9)
+    part = lambda k: zlib.crc32(str(k).encode()) % 4
+    toxic = {p: [k for k in range(900) if part(k) == p][:20] for p in range(4)}
+    rows, labels = [], []
+    for k in range(900):
+        own = [f"word{r.randrange(300)}" for _ in range(20)]
+        bad = k in toxic[part(k)]
+        if bad:
+            own.append("grobor")
+        if k in toxic[part(k)][:2] and part(k) != 2:
+            own.append("bomenteco")  # two toxic documents of each part: only all parts together reach the bar
+        if bad and part(k) == 2:
+            own.append("zapfen")
+        rows.append((k, " ".join(own)))
+        labels.append((k, 1, int(bad)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    lexicon = toxicity.fit(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).lexicon
+    assert "grobor" in lexicon and "bomenteco" in lexicon and "zapfen" not in lexicon
+
+
 def test_toxicity_without_labels(spark):
     docs = spark.createDataFrame([(1, "a"), (2, None)], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
