@@ -245,7 +245,7 @@ def net07(t):
 
 @query("net08_communities")
 def net08(t):
-    return network.communities(network.spanning_forest(_edges(t)))
+    return network.modularity_communities(network.spanning_forest(_edges(t)))
 
 
 @query("net09_spatial_lag", "SELECT entity, round(coalesce((sum((equity < 0)::INTEGER) OVER w - (equity < 0)::INTEGER) / nullif(count(*) OVER w - 1, 0), 0), 6) AS exposure FROM sheet WINDOW w AS (PARTITION BY nation)")

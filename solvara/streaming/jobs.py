@@ -1,4 +1,4 @@
-"""Structured Streaming jobs: drop-folder ingest, sliding decayed sums and latest value by key."""
+"""Structured Streaming jobs: drop-folder ingest, sliding counts and sums, and latest value by key."""
 
 from __future__ import annotations
 

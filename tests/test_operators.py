@@ -277,3 +277,17 @@ def test_registered_draws(spark, monkeypatch):
     for q in ("stt03_bootstrap", "str03_monte_carlo"):
         QUERIES[q](spark, "/root/testdata/sf0.001")
     assert seen == {"bootstrap": 1000, "monte_carlo": 1000}
+
+
+def test_modularity_communities(spark):
+    # two stars of equal edges joined by one edge as short as theirs, and a pair in a tree of its own
+    edges = [(1, k, 1.0) for k in (2, 3, 4, 5)] + [(6, k, 1.0) for k in (7, 8, 9, 10)] + [(1, 6, 1.0), (20, 21, 3.0)]
+    got = {r.node: r.community for r in network.modularity_communities(forest(spark, edges)).collect()}
+    assert got == {**dict.fromkeys(range(1, 6), 1), **dict.fromkeys(range(6, 11), 6), 20: 20, 21: 20}
+
+
+def test_pagerank_meets_its_tolerance(spark):
+    # a star with four equal leaves: hub h = 0.03 + 0.85 * (1 - h)
+    got = {r.node: r.pagerank for r in network.pagerank(forest(spark, [(1, k, 1.0) for k in range(2, 6)])).collect()}
+    hub = 0.88 / 1.85
+    assert abs(got[1] - hub) < 1e-5 and all(abs(got[k] - (1 - hub) / 4) < 1e-5 for k in range(2, 6))
