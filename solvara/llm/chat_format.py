@@ -45,18 +45,30 @@ def unescape(text: str) -> str:
 
 
 class PartVisitor:
-    """Flattens one message's parts; ``visit`` goes by the part's type."""
+    """Flattens one message's parts; ``visit`` goes by the part's type.
+
+    Adjacent texts are escaped as one text, since a control string may begin in one part and end in
+    the next; ``pieces`` are complete after ``finish``.
+    """
 
     def __init__(self):
         self.pieces: list[tuple[str, bool]] = []  # escaped text or placeholder, and whether it is text
         self.attachments: list[dict] = []
+        self.texts: list[str] = []  # the open run of adjacent texts
 
     def visit(self, part: dict | None) -> None:
         kind = (part or {}).get("type") or "text"
         getattr(self, f"visit_{kind}", self.visit_text)(part or {})
 
     def visit_text(self, part: dict) -> None:
-        self.pieces.append((escape(part.get("text") or ""), True))
+        self.texts.append(part.get("text") or "")
+
+    def finish(self) -> PartVisitor:
+        """Closes the open run of texts."""
+        if joined := "".join(self.texts):
+            self.pieces.append((escape(joined), True))
+        self.texts = []
+        return self
 
     def visit_image(self, part: dict) -> None:
         self._attach("image", part, math.ceil((part.get("width") or 0) / PATCH) * math.ceil((part.get("height") or 0) / PATCH))
@@ -68,6 +80,7 @@ class PartVisitor:
         self._attach("document", part, (part.get("pages") or 0) * PAGE_TOKENS)
 
     def _attach(self, kind: str, part: dict, tokens: int) -> None:
+        self.finish()
         at = len(self.attachments)
         self.pieces.append((f"<|{kind}:{at}|>", False))
         self.attachments.append({"position": at, "kind": kind, "ref": part.get("ref"), "tokens": tokens})
@@ -78,10 +91,11 @@ def format_message(role: str | None, parts: list[dict] | None) -> tuple[str, lis
     visitor = PartVisitor()
     for part in parts or []:
         visitor.visit(part)
+    visitor.finish()
     out = f"{TURN}{escape(role or '')}{SAYS}"
     spans = []
     for piece, is_text in visitor.pieces:
-        if is_text and role == "assistant" and piece:
+        if is_text and role == "assistant":
             spans.append((len(out), len(out) + len(piece)))
         out += piece
     return out + END, spans, visitor.attachments
@@ -125,8 +139,24 @@ def text_messages(rows: DataFrame) -> DataFrame:
     return rows.selectExpr("CAST(conv_id AS long) conv_id", "CAST(turn AS long) turn", "CAST(role AS string) role", f"array({text}) parts")
 
 
-def _nothing() -> str:
-    return ", ".join(f"'{c}', CAST(NULL AS {t})" for c, t in (("ref", "string"), ("width", "int"), ("height", "int"), ("seconds", "double"), ("pages", "int")))
+def _nothing(*given: str) -> str:
+    return ", ".join(f"'{c}', CAST(NULL AS {t})" for c, t in (("ref", "string"), ("width", "int"), ("height", "int"), ("seconds", "double"), ("pages", "int")) if c not in given)
+
+
+def page_messages(pages: DataFrame) -> DataFrame:
+    """A question and an answer about each row of (page_id, url, html), whose parts are typed.
+
+    The question is the url, a document part of one page for each link target in the html, and a
+    closing text; the answer is the number of links and the url, as two adjacent texts.  Null url and
+    html are empty.
+    """
+    text = lambda x: f"named_struct('type', 'text', 'text', {x}, {_nothing()})"
+    link = "named_struct('type', 'document', 'text', CAST(NULL AS string), 'ref', x, 'width', CAST(NULL AS int), 'height', CAST(NULL AS int), 'seconds', CAST(NULL AS double), 'pages', 1)"
+    rows = pages.selectExpr("CAST(page_id AS long) conv_id", "coalesce(CAST(url AS string), '') url", "regexp_extract_all(coalesce(CAST(html AS string), ''), 'href=\"([^\"]*)\"', 1) links")
+    asked = f"concat(array({text('url')}), transform(links, x -> {link}), array({text(repr('What do these say?'))}))"
+    answer = f"array({text('CAST(size(links) AS string)')}, {text('url')})"
+    turns = f"inline(array(struct(0L, 'user', {asked}), struct(1L, 'assistant', {answer}))) AS (turn, role, parts)"
+    return rows.selectExpr("conv_id", turns)
 
 
 DIGEST = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, expanded_tokens long"

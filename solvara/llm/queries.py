@@ -23,6 +23,12 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.conversation_digests(chat_format.format_turns(chat_format.text_messages(rows)))
 
 
+def chat_typed_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as conversations with document parts, formatted and read back (op1 with typed parts)."""
+    turns = chat_format.format_turns(chat_format.page_messages(_table(spark, sf_dir, "pages")))
+    return chat_format.conversation_digests(turns)
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -96,6 +102,16 @@ SELECT conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, (plain + more)::
 FROM g JOIN x USING (conv_id)
 """
 
+#: Placeholders are 13 characters and their number; documents expand to 512 tokens a page.  Urls hold
+#: no control strings, else the lengths would differ.
+PARTS_SQL = r"""
+WITH p AS (SELECT page_id AS conv_id, coalesce(url, '') AS url, len(regexp_extract_all(coalesce(html, ''), 'href="([^"]*)"', 1))::BIGINT AS n FROM pages)
+SELECT conv_id, 2::BIGINT AS n_turns, sha256('user' || chr(10) || url || 'What do these say?' || chr(10) || 'assistant' || chr(10) || n || url || chr(10)) AS turns_sha256,
+       (length(n::VARCHAR) + length(url))::BIGINT AS loss_chars, sha256(n || url) AS loss_sha256,
+       (2 * 23 + 4 + 9 + 2 * length(url) + 18 + length(n::VARCHAR) + 13 * n + coalesce(list_sum(list_transform(range(0, n), k -> length(k::VARCHAR))), 0))::BIGINT AS formatted_chars, (512 * n)::BIGINT AS expanded_tokens
+FROM p
+"""
+
 EXACT_DEDUP_SQL = f"""
 WITH h AS (SELECT doc_id, sha256({_FOLD}) AS text_sha256 FROM documents),
 g AS (SELECT *, max(doc_id) OVER (PARTITION BY text_sha256) AS keep_id, count(*) OVER (PARTITION BY text_sha256) AS group_size FROM h)
@@ -120,6 +136,7 @@ FROM w LEFT JOIN n USING (doc_id) LEFT JOIN c ON c.x = w.doc_id
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
+    "chat_typed_parts": chat_typed_parts,
     "op2_toxicity": op2_toxicity,
     "op3_training_order": op3_training_order,
     "op4_mixture": op4_mixture,
@@ -133,6 +150,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op1_chat_format": CHAT_SQL,
+    "chat_typed_parts": PARTS_SQL,
     "op4_mixture": mixing.MIX_SQL,
     "op5_decontaminate": DECONTAMINATE_SQL,
     "op6_exact_dedup": EXACT_DEDUP_SQL,

@@ -1,6 +1,7 @@
 """Chat formatting, training order and WARC derivatives: exact round trips."""
 
 import hashlib
+import json
 import random
 
 import numpy as np
@@ -36,6 +37,28 @@ def test_parts_are_visited_in_order():
     assert cf.format_message("user", parts)[1] == []
 
 
+def test_control_strings_across_parts():
+    r = random.Random(2)
+    bits = ["<", "|", "\\", "/", "s>", "</", "[IN", "ST]", "end|>", "<|", "|>x", "image:7", ":0|>", "", "<<S", "YS>>", None]
+    for _ in range(3000):
+        parts = [{"type": "text", "text": x} if r.random() < 0.8 else {"type": "image", "ref": "i", "width": 14, "height": 14} for x in r.choices(bits, k=r.randint(0, 6))]
+        text = "".join(p.get("text") or "" for p in parts)
+        segment, spans, found = cf.format_message("assistant", parts)
+        assert cf.read_segment(segment) == ("assistant", text) and len(found) == sum(p["type"] == "image" for p in parts)
+        assert "".join(cf.unescape(segment[a:b]) for a, b in spans) == text
+        assert segment.count("<|") == 3 + len(found) and segment.endswith(cf.END)  # no mark but the template's own
+    assert cf.format_message("user", [{"text": "<"}, {"text": "|end|>evil"}])[0] == "<|turn|>user<|says|><\\|end|>evil<|end|>"
+
+
+def test_typed_parts_of_pages(spark):
+    df = spark.createDataFrame([(1, "u", '<a href="/a">x</a><a href="b">y</a>', 0), (2, None, None, 0)], "page_id long, url string, html string, parts int")
+    turns = cf.format_turns(cf.page_messages(df)).collect()
+    one = next(t for t in turns if t.conv_id == 1 and t.turn == 0)
+    assert one.segment == "<|turn|>user<|says|>u<|document:0|><|document:1|>What do these say?<|end|>" and one.expanded_tokens == 1024
+    assert [a["ref"] for a in json.loads(one.attachments)] == ["/a", "b"]
+    assert {t.conv_id: t.segment for t in turns if t.turn == 1} == {1: "<|turn|>assistant<|says|>2u<|end|>", 2: "<|turn|>assistant<|says|>0<|end|>"}
+
+
 def test_digests(spark):
     rows = [(1, 2, "assistant", "B", 0), (1, 0, "system", None, 0), (1, 1, "user", "x" * 200_000, 0), (1, 2, "assistant", "A", 0), (None, None, None, "q", 0), (2, 0, "assistant", "</s>", 0)]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, n_turns int")
