@@ -74,6 +74,19 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, parts:
     return heavy.unionByName(light)
 
 
+def repeated_ids(rows: DataFrame) -> DataFrame:
+    """(doc_id, times) of the ids that stand in more than one row, and of the null id."""
+    return materialize(rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("times")).where("times > 1 OR doc_id IS NULL"), "repeated")
+
+
+def rows_of_ids(rows: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The rows whose ``key`` is one of ``ids(doc_id, times)``, a null id included; hot ids stay where they are."""
+    named = ids.where("doc_id IS NOT NULL").select(F.col("doc_id").alias(key), "times")
+    nulls = rows.where(F.col(key).isNull())
+    found = join_groups(rows, named, key, "times").select(*rows.columns)
+    return found if ids.where("doc_id IS NULL").isEmpty() else found.unionByName(nulls)
+
+
 def components(links: DataFrame) -> DataFrame:
     """Connected components of ``links(a, b)``: one row (node, root) for each linked node.
 

@@ -26,8 +26,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, IntegerType, StructField, StructType
 
-from solvara.llm.common import components, join_groups, materialize, small_batches, text_bytes
+from solvara.llm.common import components, join_groups, materialize, repeated_ids, rows_of_ids, small_batches, text_bytes
 
 SHINGLE, PERCENT = 5, 80
 #: Tokens in one shard of the shared-shingle count, and documents of one map-side block.
@@ -131,11 +132,12 @@ def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * common >= percent * (len(x) + len(y) - common)
 
 
-def dual_traversal(a: SignatureTree, b: SignatureTree | None, percent: int, labels: np.ndarray, other_labels: np.ndarray | None = None) -> list[tuple[int, int]]:
+def dual_traversal(a: SignatureTree, b: SignatureTree | None, percent: int, labels: np.ndarray, other_labels: np.ndarray | None = None, every: bool = False) -> list[tuple[int, int]]:
     """Links between two trees, or within one (``b`` None), that join different labels.
 
     Pairs of one label are connected already and passed over; a link makes its two labels one, so
-    the result is a spanning forest over the labels.
+    the result is a spanning forest over the labels.  With ``every`` labels stay as they are, and
+    all links between different labels are found.
     """
     same = b is None
     b, right = (a, labels) if same else (b, other_labels)
@@ -165,6 +167,8 @@ def dual_traversal(a: SignatureTree, b: SignatureTree | None, percent: int, labe
                 stack.append((da, x, db, y))
             elif labels[x] != right[y] and linked(a.sets[x], b.sets[y], percent):
                 found.append((x, y))
+                if every:
+                    continue
                 keep, gone = labels[x], right[y]
                 labels[labels == gone] = keep
                 if not same:
@@ -301,8 +305,9 @@ SET = "set_key binary, n int, tokens binary, firsts array<long>, prefix array<lo
 LINK = "a binary, b binary"
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, frequent: DataFrame, shift: int, k: int, percent: int) -> DataFrame:
-    """(set_key, n, tokens, firsts, prefix) of the documents in ``wanted``; frequent tokens come last in a prefix."""
+def _sets(docs: DataFrame, wanted: DataFrame, again: DataFrame, frequent: DataFrame, shift: int, k: int, percent: int) -> DataFrame:
+    """(set_key, n, tokens, firsts, prefix) of ``wanted(doc_id, set_key)``, one row for each set; frequent
+    tokens come last in a prefix.  Rows of the repeated ids ``again`` are reduced to one for each set."""
     small_batches(docs.sparkSession)
     table = sorted(frequent.orderBy(F.desc("n"), "token").limit(FREQUENT).collect(), key=lambda r: r["token"])
     often = np.array([r["token"] for r in table], dtype=np.int64)
@@ -313,16 +318,23 @@ def _sets(docs: DataFrame, wanted: DataFrame, frequent: DataFrame, shift: int, k
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often, rank = held.value
         for b in batches:
-            sets = [s for s in shingle_sets(b.column(0).to_pylist(), k) if len(s)]
+            found = [(d, s) for d, s in zip(b.column(0).to_pylist(), shingle_sets(b.column(1).to_pylist(), k)) if len(s)]
+            ids, sets = [d for d, _ in found], [s for _, s in found]
             prefix = [_ordered(s, often, rank, shift)[: len(s) - (-(-percent * len(s) // 100)) + 1].view(np.int64) for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([set_key(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int32()), pa.array([s.tobytes() for s in sets], pa.binary()), *(pa.array(x, pa.list_(pa.int64())) for x in ([s[:FIRST].view(np.int64) for s in sets], prefix))],
-                ["set_key", "n", "tokens", "firsts", "prefix"],
+                [pa.array(ids, pa.int64()), pa.array([set_key(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int32()), pa.array([s.tobytes() for s in sets], pa.binary()), *(pa.array(x, pa.list_(pa.int64())) for x in ([s[:FIRST].view(np.int64) for s in sets], prefix))],
+                ["doc_id", "set_key", "n", "tokens", "firsts", "prefix"],
             )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    rows = rows.join(wanted, rows["doc_id"].eqNullSafe(wanted["wanted"]), "left_semi").select("text")
-    return materialize(rows.mapInArrow(run, SET), "sets")
+    once = wanted.join(again.select("doc_id"), "doc_id", "left_anti").where("doc_id IS NOT NULL").select("doc_id")
+    made = rows.join(once, "doc_id", "left_semi").mapInArrow(run, "doc_id long, " + SET).drop("doc_id")
+    if not again.isEmpty():
+        more = rows_of_ids(rows, again).mapInArrow(run, "doc_id long, " + SET)
+        named = wanted.select(F.col("set_key").alias("__key"), F.col("doc_id").alias("__id"))
+        more = more.dropDuplicates(["doc_id", "set_key"]).join(named, (F.col("set_key") == F.col("__key")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+        made = made.unionByName(more.drop("doc_id"))
+    return materialize(made, "sets")
 
 
 def _load(batches: Iterator[pa.RecordBatch], *names: str) -> list[list]:
@@ -356,8 +368,8 @@ def _placed(sets: DataFrame) -> DataFrame:
     return firsts.join(size, "block").select("set_key", "block", _part(F.col("parts")).alias("part"), "place", "docs")
 
 
-def block_links(sets: DataFrame, percent: int) -> DataFrame:
-    """Step 2: spanning links within blocks of documents that share one of their smallest tokens."""
+def block_links(sets: DataFrame, percent: int, every: bool = False) -> DataFrame:
+    """Step 2: spanning links (or all) within blocks of documents that share one of their smallest tokens."""
 
     def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, tokens = _load(batches, "set_key", "tokens")
@@ -366,14 +378,14 @@ def block_links(sets: DataFrame, percent: int) -> DataFrame:
         order = _tree_order(values)
         keys, values = [keys[k] for k in order], [values[k] for k in order]
         tree = SignatureTree(values, bits_for(values))
-        yield _links([(keys[x], keys[y]) for x, y in dual_traversal(tree, None, percent, np.arange(len(keys)))])
+        yield _links([(keys[x], keys[y]) for x, y in dual_traversal(tree, None, percent, np.arange(len(keys)), every=every)])
 
     placed = _placed(sets).where("docs > 1").select("set_key", "block", "part")
     return sets.select("set_key", "tokens").join(placed, "set_key").groupBy("block", "part").applyInArrow(run, LINK)
 
 
-def remainder_links(sets: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
-    """Step 3: links between components, as spanning forests of the units that are joined.
+def remainder_links(sets: DataFrame, roots: DataFrame, percent: int, every: bool = False) -> DataFrame:
+    """Step 3: links between components, as spanning forests of the units that are joined (or all links).
 
     A unit is a part of a block of documents with the same smallest token; step 2 has settled all
     pairs within it.  Two units are joined, tree against tree, if documents of different components
@@ -410,10 +422,10 @@ def remainder_links(sets: DataFrame, roots: DataFrame, percent: int) -> DataFram
             widths.append(bits_for(trees[-1]))
         if trees[0] and trees[1]:
             a, b = (SignatureTree(t, max(widths)) for t in trees)
-            yield _links([(names[0][x], names[1][y]) for x, y in dual_traversal(a, b, percent, *labels)])
+            yield _links([(names[0][x], names[1][y]) for x, y in dual_traversal(a, b, percent, *labels, every=every)])
         elif trees[0]:
             tree = SignatureTree(trees[0], widths[0])
-            yield _links([(names[0][x], names[0][y]) for x, y in dual_traversal(tree, None, percent, labels[0])])
+            yield _links([(names[0][x], names[0][y]) for x, y in dual_traversal(tree, None, percent, labels[0], every=every)])
 
     full = sets.select("set_key", "tokens").join(halves.join(known.select("set_key", "root"), "set_key"), "set_key")
     return full.groupBy("task").applyInArrow(run, LINK)
@@ -451,6 +463,30 @@ def _tasks(known: DataFrame, pairs: DataFrame) -> tuple[DataFrame | None, DataFr
     return pairs, whole.union(parts)
 
 
+def _prepared(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Rows (doc_id, set_key, n, near), repeated ids, groups (set_key, least doc_id, docs) and the groups' sets."""
+    counted, frequent, shift = count_shared(docs, k)
+    rows = materialize(counted.select("doc_id", "set_key", "n", ((100 * F.col("shared") >= percent * F.col("n")) & (F.col("n") > 0)).alias("near")), "rows")
+    again = repeated_ids(rows)
+    groups = materialize(rows.where("near").groupBy("set_key").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("docs")), "groups")
+    return rows, again, groups, _sets(docs, groups, again, frequent, shift, k, percent)
+
+
+def _grouped(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows, repeated ids, and (set_key, doc_id, docs, component_id, keep_key) of the sets that may link.
+
+    keep_key is the set that stays of its component: that of the smallest (doc_id, set_key), null ids last.
+    """
+    rows, again, groups, sets = _prepared(docs, k, percent)
+    links = materialize(block_links(sets, percent), "block-links")
+    rest = materialize(remainder_links(sets, components(links), percent), "rest-links")
+    roots = components(links.union(rest))
+    named = groups.join(roots.select(F.col("node").alias("set_key"), "root"), "set_key", "left").withColumn("root", F.coalesce("root", "set_key"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "set_key"))
+    least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"), first.alias("first")).select("root", "component_id", F.col("first.set_key").alias("keep_key"))
+    return rows, again, named.join(least, "root").drop("root")
+
+
 def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles, component_id.
 
@@ -460,30 +496,72 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -
     the smallest; a component of null ids only has a null component_id.  Equal texts, repeated rows
     and texts of one set are one node.  An empty table gives no rows; other columns are ignored.
     """
-    counted, frequent, shift = count_shared(docs, k)
-    rows = materialize(counted.select("doc_id", "set_key", "n", ((100 * F.col("shared") >= percent * F.col("n")) & (F.col("n") > 0)).alias("near")), "rows")
-    near = rows.where("near")
-    groups = materialize(near.groupBy("set_key").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("docs")), "groups")
-    sets = _sets(docs, groups.select(F.col("doc_id").alias("wanted")), frequent, shift, k, percent)
-    links = materialize(block_links(sets, percent), "block-links")
-    rest = materialize(remainder_links(sets, components(links), percent), "rest-links")
-    roots = components(links.union(rest))
-    named = groups.join(roots.select(F.col("node").alias("set_key"), "root"), "set_key", "left").withColumn("root", F.coalesce("root", "set_key"))
-    least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    named = named.join(least, "root").select("set_key", "component_id", "docs")
+    rows, _, named = _grouped(docs, k, percent)
     alone = rows.where("NOT near").select("doc_id", "n", F.col("doc_id").alias("component_id"))
-    together = join_groups(near.select("doc_id", "n", "set_key"), named, "set_key", "docs").select("doc_id", "n", "component_id")
+    together = join_groups(rows.where("near").select("doc_id", "n", "set_key"), named.select("set_key", "component_id", "docs"), "set_key", "docs").select("doc_id", "n", "component_id")
     return alone.unionByName(together).select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
 
 
+def near_links(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
+    """Classes and all links between them: (doc_id, set_key, n) of each row, and (a, b) with ``a < b``.
+
+    Rows of one set_key have equal sets and link with each other, if ``n`` isn't 0; every other link
+    is a pair of set_keys, each once.
+    """
+    rows, _, _, sets = _prepared(docs, k, percent)
+    none = sets.select(F.col("set_key").alias("node"), F.col("set_key").alias("root")).limit(0)
+    found = block_links(sets, percent, every=True).unionByName(remainder_links(sets, none, percent, every=True))
+    return rows.select("doc_id", "set_key", "n"), found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def link_counts(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """Per row of ``docs``: doc_id, set_key and n_links, the number of other rows that it links with."""
+    rows, links = near_links(docs, k, percent)
+    held = materialize(rows.where("n > 0").groupBy("set_key").agg(F.count(F.lit(1)).alias("docs")), "classes")
+    both = links.union(links.select("b", "a"))
+    far = both.join(held.withColumnRenamed("set_key", "b"), "b").groupBy(F.col("a").alias("set_key")).agg(F.sum("docs").alias("far"))
+    per = held.join(far, "set_key", "left").select("set_key", "docs", (F.col("docs") - 1 + F.coalesce("far", F.lit(0))).alias("n_links"))
+    empty = rows.where("n = 0").select("doc_id", "set_key", F.lit(0).cast("long").alias("n_links"))
+    return join_groups(rows.where("n > 0"), per, "set_key", "docs").select("doc_id", "set_key", "n_links").unionByName(empty)
+
+
+def _with_set_keys(rows: DataFrame, text: str, k: int) -> DataFrame:
+    """``rows`` with __set_key and __n of the text column."""
+    at = rows.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = shingle_sets([None if t is None else t.encode() for t in b.column(at).to_pylist()], k)
+            more = [pa.array([set_key(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int32())]
+            yield pa.RecordBatch.from_arrays([*b.columns, *more], [*b.schema.names, "__set_key", "__n"])
+
+    schema = StructType([*rows.schema.fields, StructField("__set_key", BinaryType()), StructField("__n", IntegerType())])
+    return rows.mapInArrow(run, schema)
+
+
 def one_of_each(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """The documents that stay: of each component the one with the smallest doc_id, all columns.
+    """The documents that stay: of each component one row, that of the smallest doc_id, all columns.
 
-    Of rows that repeat this doc_id one stays; rows without a doc_id all stay.
+    Where an id repeats, the row with the smallest set of this id in the component stays; a component
+    of rows without ids keeps one of them.  Null, empty and blank texts link with nothing and all stay.
     """
-    keep = near_duplicates(docs, k, percent).where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"))
-    keep = materialize(keep.select(F.col("doc_id").alias("__keep"), "rows"), "keep")
+    rows, again, named = _grouped(docs, k, percent)
+    named = materialize(named.select("set_key", "docs", "keep_key", F.col("doc_id").alias("keep_id")), "named")
+    again = again.select("doc_id", "times")
+    near = join_groups(rows.where("near").select("doc_id", "set_key"), named, "set_key", "docs")
+    stays = (F.col("set_key") == F.col("keep_key")) & F.col("doc_id").eqNullSafe(F.col("keep_id"))
+    gone = materialize(near.where(~stays & F.col("doc_id").isNotNull()).select("doc_id").union(again.where("doc_id IS NOT NULL").select("doc_id")).distinct(), "gone")
     own = docs.columns
-    once = docs.join(keep.where("rows = 1"), docs["doc_id"] == F.col("__keep"), "left_semi")
-    again = docs.join(keep.where("rows > 1"), docs["doc_id"] == F.col("__keep"), "left_semi").dropDuplicates(["doc_id"])
-    return once.unionByName(again).unionByName(docs.where("doc_id IS NULL")).select(*own)
+    made = docs.toDF(*(f"__own_{j}" for j in range(len(own))))
+    made = made.withColumns({"__id": F.col(f"__own_{own.index('doc_id')}").cast("long"), "__text": F.col(f"__own_{own.index('text')}").cast("string")})
+    once = made.where("__id IS NOT NULL").join(gone.withColumnRenamed("doc_id", "__id"), "__id", "left_anti")
+    kept = once.select(*made.columns[:-2])
+    if not again.isEmpty():
+        small_batches(docs.sparkSession)
+        more = _with_set_keys(rows_of_ids(made, again, "__id"), "__text", k)
+        empty, full = more.where("__n = 0"), more.where("__n > 0").dropDuplicates(["__id", "__set_key"])
+        full = full.join(named.withColumnRenamed("set_key", "__set_key"), "__set_key", "left")
+        full = full.where(F.col("keep_key").isNull() | ((F.col("__set_key") == F.col("keep_key")) & F.col("__id").eqNullSafe(F.col("keep_id"))))
+        for part in (empty, full):
+            kept = kept.unionByName(part.select(*kept.columns))
+    return kept.toDF(*own)

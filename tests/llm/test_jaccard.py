@@ -92,11 +92,48 @@ def test_empty_and_blank(spark):
 
 def test_one_of_each(spark):
     text = " ".join(f"w{k}" for k in range(50))
-    rows = [(4, text, "a"), (2, text + " end", "b"), (2, text + " end", "b"), (9, "short one", None), (None, "x", None), (None, "x", None)]
+    rows = [(4, text, "a"), (2, text + " end", "b"), (2, text + " end", "b"), (9, "short one", None), (None, "x", None), (None, "x", None), (None, "", None), (None, None, None), (9, "", None), (9, "", None)]
+    # unrelated texts of one id, each the least of its group
+    other = [" ".join(f"{p}{k}" for k in range(40)) for p in "pq"]
+    rows += [(5, other[0], "c"), (5, other[1], "d"), (6, other[0] + " more", "e"), (7, other[1].upper(), "f"), (None, other[0], "g"), (5, "nobody has this text but id five", "h")]
     df = spark.createDataFrame(rows, "doc_id long, text string, rows string")
     got = jj.one_of_each(df)
     assert got.columns == df.columns
-    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted([(2, text + " end"), (9, "short one"), (None, "x"), (None, "x")], key=str)
+    want = [(2, text + " end"), (9, "short one"), (None, "x"), (None, ""), (None, None), (9, ""), (9, ""), (5, other[0]), (5, other[1]), (5, rows[-1][1])]
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted(want, key=str)
+
+
+@pytest.mark.parametrize(("seed", "tree"), [(1, 4096), (2, 7)])
+def test_all_links(spark, monkeypatch, seed, tree):
+    monkeypatch.setattr(jj, "TREE_DOCS", tree)
+    rows = corpus(seed)
+    rows = [(k, t) for k, (_, t) in enumerate(rows)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    sets = [shingles(t) for _, t in rows]
+    linked = {(i, j) for i in range(len(sets)) for j in range(len(sets)) if i != j and sets[i] and 100 * (o := len(sets[i] & sets[j])) >= 80 * (len(sets[i]) + len(sets[j]) - o)}
+    members, links = jj.near_links(df)
+    keys = {}
+    for m in members.collect():
+        if m.n:
+            keys.setdefault(bytes(m.set_key), []).append(m.doc_id)
+    pairs = links.collect()
+    assert len(pairs) == len({(bytes(p.a), bytes(p.b)) for p in pairs}) and all(p.a < p.b for p in pairs)
+    got = {(i, j) for ids in keys.values() for i in ids for j in ids if i != j}
+    got |= {x for p in pairs for i in keys[bytes(p.a)] for j in keys[bytes(p.b)] for x in ((i, j), (j, i))}
+    assert got == linked
+    counted = {r.doc_id: r.n_links for r in jj.link_counts(df).collect()}
+    per = collections.Counter(i for i, _ in linked)
+    assert counted == {k: per[k] for k, _ in rows}
+
+
+def test_repeated_rows_stay_few(spark):
+    # one id and text in a third of all rows: each set is read once, so nothing grows with the square of its rows
+    text = " ".join(f"w{k}" for k in range(30))
+    df = spark.createDataFrame([(7, text)] * 1500 + [(None, text)] * 500 + [(k + 10, f"{text} x{k}") for k in range(40)] + [(k + 100, " ".join(f"o{k}_{j}" for j in range(9))) for k in range(2000)], "doc_id long, text string").repartition(5)
+    _, _, _, sets = jj._prepared(df, 5, 80)
+    assert sets.count() == sets.select("set_key").distinct().count() == 41
+    assert jj.one_of_each(df).count() == 2001
+    assert {(r.component_id, r["count"]) for r in jj.near_duplicates(df).groupBy("component_id").count().where("count > 1").collect()} == {(7, 2040)}
 
 
 def test_traversal_loses_no_link():
