@@ -26,12 +26,18 @@ def test_cuckoo_filter_insert_delete_grow():
     gone = set(r.sample(keys, 2500))
     assert all(f.delete(k) for k in gone) and not any(f.delete(k) for k in gone)
     assert [k in f for k in keys] == [k not in gone for k in keys]
+    assert f.live == 2500 and sorted(x[0] for x in f.items()) == sorted(set(keys) - gone)
     for k in gone:
         f.insert(k, 2, 7)
-    assert all(f.keys[k] == (2, 7) for k in gone)
+    assert {x[0]: (x[1], x[2]) for x in f.items() if x[0] in gone} == {k: (2, 7) for k in gone}
+    # the filter spares reading content: of unknown digests hardly any is compared
+    f.read = 0
+    assert not any(hashlib.sha256(f"y{k}".encode()).digest() in f for k in range(20_000)) and f.read < 40
     # a fingerprint hit alone is not taken for a copy
-    near = next(h for k in range(10**6) if (h := hashlib.sha256(f"x{k}".encode()).digest()) not in f.keys and f.maybe(h))
+    near = next(h for k in range(10**6) if f.maybe(h := hashlib.sha256(f"x{k}".encode()).digest()))
     assert near not in f and f.insert(near)
+    # copies go one by one, the digest with the last of them
+    assert f.insert(b"z" * 32, 3, 5) and f.delete(b"z" * 32, 2) and b"z" * 32 in f and f.delete(b"z" * 32, 1) and b"z" * 32 not in f
 
 
 def test_exact_duplicates_edges(spark):
@@ -51,13 +57,30 @@ def test_exact_duplicates_edges(spark):
     assert ed.deduplicate(df.where("doc_id < 6")).count() == 3
 
 
+def test_deduplicate_by_id_and_text(spark):
+    rows = [(5, "A"), (5, "B"), (9, "b"), (5, "a"), (None, "q"), (None, "Q"), (None, "b"), (3, None), (4, ""), (7, "x" * 100_000), (7, "X" * 100_000)]
+    df = spark.createDataFrame([(i, t, "s", "clash", 0) for i, t in rows], DOCS).repartition(3)
+    got = ed.deduplicate(df)
+    assert got.columns == df.columns
+    # of each text the row with the largest id; a repeated one counts once
+    want = [(4, ""), (5, "a"), (7, "x" * 100_000), (9, "b"), (None, "q")]
+    assert sorted(((r.doc_id, lower(r.text)) for r in got.collect()), key=str) == sorted(want, key=str)
+    assert ed.deduplicate(df.limit(0)).count() == 0
+
+
 def test_index_changes(spark):
     d = [hashlib.sha256(str(k).encode()).digest() for k in range(40)]
     index = ed.build_index(spark.createDataFrame([(k, d[k % 20]) for k in range(40)], "doc_id long, digest binary"), 4)
     assert {(bytes(r.digest), r.group_size, r.keep_id) for r in index.collect()} == {(d[k], 2, k + 20) for k in range(20)}
-    changes = spark.createDataFrame([(d[0], None, None, False), (d[30], 1, 99, True), (d[1], 3, 500, True)], "digest binary, copies long, doc_id long, add boolean")
-    live = {bytes(r.digest): (r.group_size, r.keep_id) for r in ed.apply_changes(index, changes, 4).collect()}
-    assert d[0] not in live and live[d[30]] == (1, 99) and live[d[1]] == (5, 500) and len(live) == 20
+    changes = spark.createDataFrame([(d[0], None, None, False), (d[30], 1, 99, True), (d[1], 3, 500, True), (d[2], 1, None, False), (d[39], 1, None, False), (None, 1, 1, True)], "digest binary, copies long, doc_id long, add boolean")
+    for shards in (None, 1, 4, 9):  # an index may be dealt to other shards
+        made = ed.apply_changes(index, changes, shards).collect()
+        live = {bytes(r.digest): (r.group_size, r.keep_id) for r in made}
+        assert d[0] not in live and live[d[30]] == (1, 99) and live[d[1]] == (5, 500) and live[d[2]] == (1, 22) and len(live) == len(made) == 20
+        assert {r.shards for r in made} == {shards or 4}
+    again = ed.apply_changes(ed.apply_changes(index, changes), changes.limit(0)).collect()
+    assert {bytes(r.digest) for r in again} == set(live)
+    assert ed.apply_changes(None, changes, 2).count() == 2
 
 
 def test_hot_group(spark):
