@@ -35,7 +35,7 @@ SHINGLE, PERCENT = 5, 80
 SHARD_TOKENS, FLUSH_DOCS = 2_000_000, 4096
 #: Entries of the table of frequent shingles, which only steers the order, and the documents that
 #: make one frequent; documents and tokens in one tree.
-FREQUENT, OFTEN, TREE_DOCS, TREE_TOKENS = 50_000, 16, 4096, 4_000_000
+FREQUENT, OFTEN, TREE_DOCS, TREE_TOKENS = 50_000, 16, 1024, 1_000_000
 FANOUT, FIRST = 16, 2
 MULT, MIX1, MIX2 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 U64 = np.uint64
@@ -338,8 +338,18 @@ def _sets(docs: DataFrame, wanted: DataFrame, again: DataFrame, frequent: DataFr
 
 
 def _load(batches: Iterator[pa.RecordBatch], *names: str) -> list[list]:
+    """Columns of a group as lists; ``tokens`` as views of the group's own memory."""
     table = pa.Table.from_batches(list(batches))
-    return [table[c].to_pylist() for c in names]
+    return [_views(table[c]) if c == "tokens" else table[c].to_pylist() for c in names]
+
+
+def _views(column: pa.ChunkedArray) -> list[np.ndarray]:
+    out: list[np.ndarray] = []
+    for chunk in column.chunks:
+        _, offsets, data = chunk.buffers()
+        edge = np.frombuffer(offsets, np.int32)[chunk.offset : chunk.offset + len(chunk) + 1].tolist()
+        out += [np.frombuffer(data, U64, (y - x) // 8, x) if y > x else np.zeros(0, U64) for x, y in zip(edge[:-1], edge[1:])]
+    return out
 
 
 def _tree_order(sets: list[np.ndarray]) -> list[int]:
@@ -374,7 +384,7 @@ def block_links(sets: DataFrame, percent: int, every: bool = False) -> DataFrame
     def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, tokens = _load(batches, "set_key", "tokens")
         own = dict(zip(keys, tokens))
-        keys, values = list(own), [np.frombuffer(t, U64) for t in own.values()]
+        keys, values = list(own), list(own.values())
         order = _tree_order(values)
         keys, values = [keys[k] for k in order], [values[k] for k in order]
         tree = SignatureTree(values, bits_for(values))
@@ -412,7 +422,7 @@ def remainder_links(sets: DataFrame, roots: DataFrame, percent: int, every: bool
         numbers = {r: k for k, r in enumerate(dict.fromkeys(root))}
         trees, names, labels, widths = [], [], [], []
         for s in (0, 1):
-            own = {k: (np.frombuffer(t, U64), numbers[r]) for k, t, r, x in zip(keys, tokens, root, side) if x == s}
+            own = {k: (t, numbers[r]) for k, t, r, x in zip(keys, tokens, root, side) if x == s}
             order = _tree_order([t for t, _ in own.values()])
             held = list(own)
             names.append([held[k] for k in order])
