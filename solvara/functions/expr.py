@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Mapping, Sequence
 
@@ -55,6 +56,43 @@ def normal_cdf(x: Column | str) -> Column:
     return F.when(x >= 0, 1.0 - tail).otherwise(tail)
 
 
+def normal_tail(x: Column | str) -> Column:
+    """The upper tail of the standard normal distribution, off by at most 7.5e-8; beyond 3 by a continued
+    fraction, since a difference from 1 would lose its digits there."""
+    x = col(x)
+    far = x
+    for k in range(40, 0, -1):
+        far = x + F.lit(float(k)) / far
+    density = F.exp(-x * x / 2.0) / 2.5066282746310002
+    return F.when(x > 3, density / far).otherwise(1.0 - normal_cdf(x))
+
+
+def chi2_tail(x: Column | str, df: int) -> Column:
+    """The upper tail of the chi-squared distribution with a whole number of degrees (finite sums)."""
+    x = F.greatest(col(x), F.lit(0.0))
+    half, total = x / 2.0, F.lit(0.0)
+    if df % 2 == 0:
+        term = F.exp(-half)
+        for k in range(df // 2):
+            total = total + term
+            term = term * half / (k + 1.0)
+        return total
+    term = F.sqrt(half) * F.exp(-half) / math.gamma(1.5)
+    for k in range(1, (df - 1) // 2 + 1):
+        total = total + term
+        term = term * half / (k + 0.5)
+    return 2.0 * normal_tail(F.sqrt(x)) + total
+
+
+def ks_tail(gap: Column | str, root: Column) -> Column:
+    """The asymptotic p-value of a two-sample gap; ``root`` is the root of n * m / (n + m)."""
+    x = root * col(gap)
+    total = F.lit(0.0)
+    for k in range(1, 101):
+        total = total + (2.0 if k % 2 else -2.0) * F.exp(-2.0 * k * k * x * x)
+    return F.when(x < 0.2, 1.0).otherwise(F.least(F.greatest(total, F.lit(0.0)), F.lit(1.0)))
+
+
 def parse_timestamp(x: Column | str, formats: Sequence[str]) -> Column:
     """The first format that fits, else null; a leading weekday name is taken off."""
     text = F.regexp_replace(F.trim(col(x)), r"^[A-Za-z]{3},\s*", "")
@@ -67,6 +105,11 @@ def word_count(x: Column | str) -> Column:
     return F.when(text == "", 0).otherwise(F.size(F.split(text, " ")))
 
 
+def word_pattern(words: Sequence[str]) -> str:
+    """A pattern for any of some whole words, ignoring case; letters, digits and _ of all scripts are parts of words."""
+    return r"(?iu)(?<![\pL\pN_])(?:" + "|".join(words) + r")(?![\pL\pN_])"
+
+
 def title_and_summary(title: Column | str, summary: Column | str) -> Column:
     """Title and summary as one text; a missing summary, "nan" or a repeated title adds nothing."""
     t, s = F.trim(col(title)), F.trim(F.coalesce(col(summary), F.lit("")))

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from solvara.functions import phrase_any
+from solvara.functions import phrase_any, word_pattern
 from solvara.operators.finance import consolidate_events
 
 
@@ -33,8 +33,8 @@ def merged_events(parts: Sequence[DataFrame], whitelist: DataFrame | None = None
 
 
 def lexicon_score(df: DataFrame, text: str, good: Sequence[str], bad: Sequence[str], out: str = "sentiment") -> DataFrame:
-    """(good - bad) / (good + bad) of word hits in the text, 0 without hits."""
-    count = lambda words: F.regexp_count(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"\b(?:" + "|".join(words) + r")\b"))
+    """(good - bad) / (good + bad) of whole words found in the text, 0 without any."""
+    count = lambda words: F.regexp_count(F.coalesce(text, F.lit("")), F.lit(word_pattern(words)))
     g, b = count(good), count(bad)
     return df.withColumn(out, F.coalesce(F.try_divide((g - b).cast("double"), (g + b).cast("double")), F.lit(0.0)))
 

@@ -8,6 +8,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from solvara.functions import clip, ratio
+from solvara.operators.ordered import quantiles
+
+
+def median(df: DataFrame, column: str, out: str) -> DataFrame:
+    """One row: the median of a column over all rows."""
+    return quantiles(df, column, [0.5]).select(F.col("q")[0].alias(out))
 
 
 def accounting_ratios(df: DataFrame) -> DataFrame:
@@ -89,7 +95,7 @@ def debt_cascade(df: DataFrame, debt: str, assets: str, sector: str, out: str =
     own = F.nullif(F.col(debt), F.lit(0.0))
     share = F.when(F.col(assets) > 0, own / F.col(assets))
     by = df.groupBy(sector).agg(F.median(own).alias("__sd"), F.median(share).alias("__ss"))
-    market = df.agg(F.median(own).alias("__md"))
+    market = median(df.withColumn("__own", own), "__own", "__md")
     joined = df.join(by.withColumnRenamed(sector, "__s"), F.col(sector).eqNullSafe(F.col("__s")), "left").crossJoin(F.broadcast(market))
     scaled = F.when(F.col(assets) > 0, F.col(assets) * F.coalesce("__ss", F.lit(0.25)))
     return joined.withColumn(out, F.coalesce(own, scaled, F.col("__sd"), F.col("__md"), F.lit(last))).drop("__s", "__sd", "__ss", "__md")
@@ -111,7 +117,7 @@ def hier_impute(df: DataFrame, column: str, levels: Sequence[Sequence[str]], def
             on = same if on is None else on & same
         rows = rows.join(med, on, "left")
         parts.append(F.col(f"__m{k}"))
-    rows = rows.crossJoin(F.broadcast(df.agg(F.median(column).alias("__all"))))
+    rows = rows.crossJoin(F.broadcast(median(df, column, "__all")))
     parts.append(F.col("__all"))
     level = None
     for k, p in enumerate(parts):
@@ -121,7 +127,10 @@ def hier_impute(df: DataFrame, column: str, levels: Sequence[Sequence[str]], def
 
 def fit_median_scale(train: DataFrame, columns: Sequence[str]) -> DataFrame:
     """One row: median, mean and population deviation (after median imputation) of each column."""
-    med = train.agg(*[F.median(c).alias(f"{c}__median") for c in columns])
+    med = None
+    for c in columns:
+        one = median(train, c, f"{c}__median")
+        med = one if med is None else med.crossJoin(F.broadcast(one))
     filled = train.crossJoin(F.broadcast(med)).select(*[F.coalesce(c, f"{c}__median").alias(c) for c in columns])
     scale = filled.agg(*[x for c in columns for x in (F.avg(c).alias(f"{c}__mean"), F.stddev_pop(c).alias(f"{c}__std"))])
     return med.crossJoin(F.broadcast(scale))
@@ -134,7 +143,10 @@ def apply_median_scale(df: DataFrame, fitted: DataFrame, columns: Sequence[str])
 
 def winsorise(df: DataFrame, columns: Sequence[str], low: float = 0.01, high: float = 0.99) -> DataFrame:
     """Values beyond the two quantiles are moved to them."""
-    edges = df.agg(*[F.percentile(c, F.array(F.lit(low), F.lit(high))).alias(f"__{c}") for c in columns])
+    edges = None
+    for c in columns:
+        one = quantiles(df, c, [low, high], out=f"__{c}")
+        edges = one if edges is None else edges.crossJoin(F.broadcast(one))
     made = {c: F.when(F.col(c).isNotNull(), F.least(F.greatest(F.col(c), F.col(f"__{c}")[0]), F.col(f"__{c}")[1])) for c in columns}
     return df.crossJoin(F.broadcast(edges)).withColumns(made).select(*df.columns)
 

@@ -1,7 +1,7 @@
 """Evaluation, significance, drift and risk, all from one table of counts per distinct score.
 
 ``score_counts`` reduces any number of rows to one row per group and score; ranks, curves and
-thresholds are windows over that small table, partitioned by group.
+thresholds come from running sums over these counts, dealt to ranges of scores.
 """
 
 from __future__ import annotations
@@ -11,7 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from solvara.functions import softplus
+from solvara.functions import chi2_tail, ks_tail, normal_tail, softplus
+from solvara.operators.ordered import quantiles, running_sums
 
 
 def score_counts(df: DataFrame, score: str, label: str, by: Sequence[str] = ()) -> DataFrame:
@@ -21,10 +22,23 @@ def score_counts(df: DataFrame, score: str, label: str, by: Sequence[str] = ())
 
 
 def _ranked(counts: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Positives and negatives at or above each score, before it, and in all."""
-    down = Window.partitionBy(*by).orderBy(F.desc("score"))
-    upto, whole = down.rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy(*by)
-    return counts.withColumns({"tp": F.sum("pos").over(upto), "fp": F.sum("neg").over(upto), "P": F.sum("pos").over(whole), "N": F.sum("neg").over(whole)})
+    """Positives and negatives at or above each score, and in all."""
+    r = running_sums(counts, [F.desc("score")], ["pos", "neg"], by)
+    return r.withColumnsRenamed({"pos_upto": "tp", "neg_upto": "fp", "pos_all": "P", "neg_all": "N"})
+
+
+def _curve(ranked: DataFrame) -> DataFrame:
+    """Precision and recall at each score, and before it (1 and 0 at the start)."""
+    c = F.col
+    tp, fp = c("tp") - c("pos"), c("fp") - c("neg")
+    return ranked.where("pos + neg > 0").withColumns(
+        {
+            "precision": c("tp") / (c("tp") + c("fp")),
+            "recall": F.try_divide(c("tp").cast("double"), c("P")),
+            "p0": F.coalesce(F.try_divide(tp.cast("double"), tp + fp), F.lit(1.0)),
+            "r0": F.coalesce(F.try_divide(tp.cast("double"), c("P")), F.lit(0.0)),
+        }
+    )
 
 
 def roc_auc(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -39,9 +53,7 @@ def pr_auc(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
     The curve starts at recall 0 with precision 1.
     """
-    r = _ranked(counts, by).withColumns({"precision": F.col("tp") / (F.col("tp") + F.col("fp")), "recall": F.try_divide(F.col("tp").cast("double"), F.col("P"))})
-    down = Window.partitionBy(*by).orderBy(F.desc("score"))
-    r = r.withColumns({"p0": F.coalesce(F.lag("precision").over(down), F.lit(1.0)), "r0": F.coalesce(F.lag("recall").over(down), F.lit(0.0))})
+    r = _curve(_ranked(counts, by))
     step = F.col("recall") - F.col("r0")
     return r.groupBy(*by).agg(F.sum(step * (F.col("precision") + F.col("p0")) / 2.0).alias("pr_auc"), F.sum(step * F.col("precision")).alias("average_precision"))
 
@@ -107,8 +119,7 @@ def gains_lift(counts: DataFrame, parts: int = 10) -> DataFrame:
 
     Rows of one score are taken in proportion where a cut falls among them.
     """
-    w = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    c = counts.withColumn("rows", F.col("pos") + F.col("neg")).withColumns({"end": F.sum("rows").over(w)})
+    c = running_sums(counts.withColumn("rows", F.col("pos") + F.col("neg")), [F.desc("score")], ["rows"]).withColumnRenamed("rows_upto", "end")
     total = counts.agg(F.sum("pos").alias("P"), F.sum(F.col("pos") + F.col("neg")).alias("n"))
     cuts = total.select("P", "n", F.explode(F.sequence(F.lit(1), F.lit(parts))).alias("part")).withColumn("k", F.floor(F.col("n") * F.col("part") / parts))
     start = F.col("end") - F.col("rows")
@@ -119,14 +130,15 @@ def gains_lift(counts: DataFrame, parts: int = 10) -> DataFrame:
 
 
 def mcnemar(df: DataFrame, label: str, a: str, b: str, tau_a: float, tau_b: float) -> DataFrame:
-    """Discordant counts of two classifiers and the statistic with continuity correction."""
+    """Discordant counts of two classifiers, the statistic with continuity correction and its p-value."""
     ok_a, ok_b = (F.col(a) >= tau_a) == (F.col(label) == 1), (F.col(b) >= tau_b) == (F.col(label) == 1)
     n = df.agg(F.sum((ok_a & ~ok_b).cast("long")).alias("b"), F.sum((~ok_a & ok_b).cast("long")).alias("c"))
-    return n.withColumn("chi2", F.coalesce(F.try_divide(F.pow(F.greatest(F.abs(F.col("b") - F.col("c")) - 1, F.lit(0)).cast("double"), F.lit(2.0)), (F.col("b") + F.col("c")).cast("double")), F.lit(0.0)))
+    n = n.withColumn("chi2", F.coalesce(F.try_divide(F.pow(F.greatest(F.abs(F.col("b") - F.col("c")) - 1, F.lit(0)).cast("double"), F.lit(2.0)), (F.col("b") + F.col("c")).cast("double")), F.lit(0.0)))
+    return n.withColumn("p_value", chi2_tail(F.col("chi2"), 1))
 
 
 def delong(df: DataFrame, label: str, a: str, b: str) -> DataFrame:
-    """AUCs of two scores, the variance of their difference and z.
+    """AUCs of two scores, the variance of their difference, z and its two-sided p-value.
 
     Placements come from cumulative counts of each distinct score, joined back to the rows: no pairs.
     """
@@ -141,21 +153,27 @@ def delong(df: DataFrame, label: str, a: str, b: str) -> DataFrame:
     var = lambda x, where: F.var_samp(F.when(where, x))
     diff = var(F.col("va") - F.col("vb"), one) / m + var(F.col("wa") - F.col("wb"), zero) / n
     out = rows.agg(F.avg(F.when(one, F.col("va"))).alias("auc_a"), F.avg(F.when(one, F.col("vb"))).alias("auc_b"), diff.alias("variance"))
-    return out.withColumn("z", F.coalesce(F.try_divide(F.col("auc_a") - F.col("auc_b"), F.sqrt("variance")), F.lit(0.0)))
+    out = out.withColumn("z", F.coalesce(F.try_divide(F.col("auc_a") - F.col("auc_b"), F.sqrt("variance")), F.lit(0.0)))
+    return out.withColumn("p_value", 2.0 * normal_tail(F.abs("z")))
 
 
 def _edges(df: DataFrame, column: str, bins: int) -> DataFrame:
     """One row: the distinct inner quantile edges of a column."""
-    inner = F.array(*[F.lit(k / bins) for k in range(1, bins)])
-    return df.agg(F.array_distinct(F.percentile(column, inner)).alias("edges"))
+    inner = [k / bins for k in range(1, bins)]
+    return quantiles(df, column, inner, out="edges").select(F.coalesce(F.array_distinct("edges"), F.array().cast("array<double>")).alias("edges"))
 
 
 def hosmer_lemeshow(df: DataFrame, score: str, label: str, bins: int = 10) -> DataFrame:
-    """The statistic over quantile bins of the score (right-closed, equal edges merged), and its degrees."""
+    """The statistic over quantile bins of the score (right-closed, equal edges merged), its degrees and p-value
+    (null without a degree)."""
     b = F.size(F.filter("edges", lambda e: F.col(score) > e))
     g = df.crossJoin(F.broadcast(_edges(df, score, bins))).groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(label).cast("double")).alias("o"), F.sum(score).alias("e"))
     term = F.try_divide(F.pow(F.col("o") - F.col("e"), F.lit(2.0)), F.col("e") * (1.0 - F.col("e") / F.col("n")))
-    return g.agg(F.sum(term).alias("statistic"), (F.count(F.lit(1)) - 2).alias("df"))
+    found = g.agg(F.sum(term).alias("statistic"), (F.count(F.lit(1)) - 2).alias("df"))
+    p = None
+    for k in range(1, bins - 1):
+        p = F.when(F.col("df") == k, chi2_tail(F.col("statistic"), k)) if p is None else p.when(F.col("df") == k, chi2_tail(F.col("statistic"), k))
+    return found.withColumn("p_value", p)
 
 
 def psi(ref: DataFrame, cur: DataFrame, column: str, buckets: int = 10, eps: float = 1e-4) -> DataFrame:
@@ -170,12 +188,14 @@ def psi(ref: DataFrame, cur: DataFrame, column: str, buckets: int = 10, eps: flo
 
 
 def ks_2samp(ref: DataFrame, cur: DataFrame, column: str) -> DataFrame:
-    """The largest gap of two empirical distributions, from counts per distinct value."""
+    """The largest gap of two empirical distributions, from counts per distinct value, and its asymptotic p-value."""
     both = ref.select(column, F.lit(1).alias("r")).unionByName(cur.select(column, F.lit(0).alias("r"))).where(F.col(column).isNotNull())
     c = both.groupBy(column).agg(F.sum("r").alias("nr"), F.sum(1 - F.col("r")).alias("nc"))
-    upto, whole = Window.orderBy(column).rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy()
-    gap = F.abs(F.sum("nr").over(upto) / F.sum("nr").over(whole) - F.sum("nc").over(upto) / F.sum("nc").over(whole))
-    return c.withColumn("gap", gap).agg(F.max("gap").alias("ks"))
+    c = running_sums(c, [column], ["nr", "nc"])
+    gap = F.abs(F.try_divide(F.col("nr_upto").cast("double"), F.col("nr_all")) - F.try_divide(F.col("nc_upto").cast("double"), F.col("nc_all")))
+    found = c.agg(F.max(gap).alias("ks"), F.max("nr_all").alias("n"), F.max("nc_all").alias("m"))
+    size = F.sqrt(F.col("n") * F.col("m") / (F.col("n") + F.col("m")))
+    return found.select("ks", ks_tail(F.col("ks"), size).alias("p_value"))
 
 
 def drift_report(ref: DataFrame, cur: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -230,10 +250,8 @@ def bootstrap(df: DataFrame, score: str, label: str, key: str, b: int = 1000, se
     weight = sum(((u > c).cast("int") for c in (0.367879441, 0.735758882, 0.919698603, 0.981011843, 0.996340153, 0.999405815)), F.lit(0))
     counts = df.select(F.col(score).alias("score"), F.col(label).alias("y"), key).withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(b)))).withColumn("w", weight)
     counts = counts.groupBy("replicate", "score").agg(F.sum(F.col("y") * F.col("w")).alias("pos"), F.sum((1 - F.col("y")) * F.col("w")).alias("neg"))
-    c, down = F.col, Window.partitionBy("replicate").orderBy(F.desc("score"))
-    r = _ranked(counts.where("pos + neg > 0"), ["replicate"]).where("P > 0 AND N > 0")
-    r = r.withColumns({"precision": c("tp") / (c("tp") + c("fp")), "recall": c("tp") / c("P")})
-    r = r.withColumns({"p0": F.coalesce(F.lag("precision").over(down), F.lit(1.0)), "r0": F.coalesce(F.lag("recall").over(down), F.lit(0.0))})
+    c = F.col
+    r = _curve(_ranked(counts.where("pos + neg > 0"), ["replicate"]).where("P > 0 AND N > 0"))
     hit = lambda n: F.sum(F.when(c("score") >= tau, c(n)).otherwise(0))
     each = r.groupBy("replicate").agg(
         F.sum((c("recall") - c("r0")) * (c("precision") + c("p0")) / 2.0).alias("pr_auc"),
@@ -262,9 +280,8 @@ def spearman(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """
     ranked = df.select(*columns)
     for c in columns:
-        counts = df.groupBy(c).agg(F.count(F.lit(1)).alias("__n"))
-        upto = F.sum("__n").over(Window.orderBy(c).rowsBetween(Window.unboundedPreceding, 0))
-        ranked = ranked.join(counts.select(c, (upto - (F.col("__n") - 1) / 2.0).alias(f"__r_{c}")), c)
+        counts = running_sums(df.groupBy(c).agg(F.count(F.lit(1)).alias("__n")), [c], ["__n"])
+        ranked = ranked.join(counts.select(c, (F.col("__n_upto") - (F.col("__n") - 1) / 2.0).alias(f"__r_{c}")), c)
     pairs = [(x, y) for k, x in enumerate(columns) for y in columns[k + 1 :]]
     row = ranked.agg(*[F.corr(f"__r_{x}", f"__r_{y}").alias(f"{x}|{y}") for x, y in pairs])
     return row.select(F.explode(F.array(*[F.struct(F.lit(x).alias("f1"), F.lit(y).alias("f2"), F.col(f"{x}|{y}").alias("rho")) for x, y in pairs])).alias("p")).select("p.*")

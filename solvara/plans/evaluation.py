@@ -10,6 +10,9 @@ from solvara.plans.registry import day_text, filings, query, rounded, scored, sh
 
 c = F.col
 
+#: The upper tail of the standard normal distribution by the midpoint rule.
+_TAIL = "(SELECT sum(exp(-power({z} + (k + 0.5) * 0.001, 2) / 2)) * 0.001 / 2.5066282746310002 FROM range(0, 12000) steps(k))"
+
 _CURVE = """WITH n AS (SELECT a AS s, sum(y) AS pos, sum(1 - y) AS neg FROM scored GROUP BY 1),
   r AS (SELECT *, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp, sum(pos) OVER () AS P, sum(neg) OVER () AS N FROM n WINDOW w AS (ORDER BY s DESC))"""
 
@@ -79,16 +82,16 @@ def eva14(t):
   x AS (SELECT i, j, CASE WHEN p.a > q.a THEN 1 WHEN p.a = q.a THEN 0.5 ELSE 0 END::DOUBLE AS u, CASE WHEN p.b > q.b THEN 1 WHEN p.b = q.b THEN 0.5 ELSE 0 END::DOUBLE AS v FROM p, q),
   m AS (SELECT avg(u) AS u, avg(v) AS v FROM x GROUP BY i), n AS (SELECT avg(u) AS u, avg(v) AS v FROM x GROUP BY j),
   s AS (SELECT (SELECT var_samp(u - v) / count(*) FROM m) + (SELECT var_samp(u - v) / count(*) FROM n) AS variance, (SELECT avg(u) FROM m) AS auc_a, (SELECT avg(v) FROM m) AS auc_b)
-  SELECT round(auc_a, 8) AS auc_a, round(auc_b, 8) AS auc_b, round(variance, 10) AS variance, round((auc_a - auc_b) / sqrt(variance), 5) AS z FROM s""")
+  SELECT round(auc_a, 8) AS auc_a, round(auc_b, 8) AS auc_b, round(variance, 10) AS variance, round((auc_a - auc_b) / sqrt(variance), 5) AS z, round(2 * """ + _TAIL.format(z="abs((auc_a - auc_b) / sqrt(variance))") + """, 5) AS p_value FROM s""")
 def stt01(t):
     d = metrics.delong(scored(t), "y", "a", "b")
-    return rounded(rounded(rounded(d, 8, "auc_a", "auc_b"), 10, "variance"), 5, "z")
+    return rounded(rounded(rounded(d, 8, "auc_a", "auc_b"), 10, "variance"), 5, "z", "p_value")
 
 
 @query("stt02_mcnemar", """WITH k AS (SELECT (a >= 0.5) = (y = 1) AS ka, (b >= 0.5) = (y = 1) AS kb FROM scored), n AS (SELECT sum((ka AND NOT kb)::INTEGER)::BIGINT AS b, sum((NOT ka AND kb)::INTEGER)::BIGINT AS c FROM k)
-  SELECT b, c, round(coalesce(power(greatest(abs(b - c) - 1, 0), 2) / nullif(b + c, 0), 0), 8)::DOUBLE AS chi2 FROM n""")
+  SELECT b, c, round(x, 8)::DOUBLE AS chi2, round(2 * """ + _TAIL.format(z="sqrt(x)") + """, 5) AS p_value FROM (SELECT *, coalesce(power(greatest(abs(b - c) - 1, 0), 2) / nullif(b + c, 0), 0)::DOUBLE AS x FROM n)""")
 def stt02(t):
-    return rounded(metrics.mcnemar(scored(t), "y", "a", "b", 0.5, 0.5), 8, "chi2")
+    return rounded(rounded(metrics.mcnemar(scored(t), "y", "a", "b", 0.5, 0.5), 8, "chi2"), 5, "p_value")
 
 
 @query("stt03_bootstrap")
@@ -99,10 +102,11 @@ def stt03(t):
 _EDGES = "list_distinct([" + ", ".join(f"quantile_cont({{c}}, {k / 10})" for k in range(1, 10)) + "])"
 
 
-@query("stt04_hosmer_lemeshow", f"""WITH e AS (SELECT {_EDGES.format(c='a')} AS edges FROM scored), g AS (SELECT len(list_filter(edges, lambda x: a > x)) AS bin, count(*) AS n, sum(y) AS o, sum(a) AS e FROM scored, e GROUP BY 1)
-  SELECT round(sum(power(o - e, 2) / nullif(e * (1 - e / n), 0)), 6) AS statistic, (count(*) - 2)::BIGINT AS df FROM g""")
+@query("stt04_hosmer_lemeshow", f"""WITH e AS (SELECT {_EDGES.format(c='a')} AS edges FROM scored), g AS (SELECT len(list_filter(edges, lambda x: a > x)) AS bin, count(*) AS n, sum(y) AS o, sum(a) AS e FROM scored, e GROUP BY 1),
+  h AS (SELECT sum(power(o - e, 2) / nullif(e * (1 - e / n), 0)) AS s, (count(*) - 2)::BIGINT AS df FROM g)
+  SELECT round(s, 6) AS statistic, df, round((SELECT sum(power(s + (k + 0.5) * 0.01, df / 2.0 - 1) * exp(-(s + (k + 0.5) * 0.01) / 2)) * 0.01 / (power(2, df / 2.0) * gamma(df / 2.0)) FROM range(0, 40000) steps(k)), 5) AS p_value FROM h""")
 def stt04(t):
-    return rounded(metrics.hosmer_lemeshow(scored(t), "a", "y"), 6, "statistic")
+    return rounded(rounded(metrics.hosmer_lemeshow(scored(t), "a", "y"), 6, "statistic"), 5, "p_value")
 
 
 def _halves(t):
@@ -117,9 +121,10 @@ def drf01(t):
 
 
 @query("drf02_ks", """WITH v AS (SELECT l_extendedprice AS x, sum((year(l_shipdate) <= 1998)::INTEGER) AS nr, sum((year(l_shipdate) > 1998)::INTEGER) AS nc FROM lineitem GROUP BY 1),
-  k AS (SELECT abs(sum(nr) OVER (ORDER BY x) / sum(nr) OVER () - sum(nc) OVER (ORDER BY x) / sum(nc) OVER ()) AS gap FROM v) SELECT round(max(gap), 8) AS ks FROM k""")
+  k AS (SELECT abs(sum(nr) OVER (ORDER BY x) / sum(nr) OVER () - sum(nc) OVER (ORDER BY x) / sum(nc) OVER ()) AS gap FROM v), m AS (SELECT max(gap) AS d, (SELECT sum(nr) * sum(nc) / sum(nr + nc) FROM v) AS en FROM k)
+  SELECT round(d, 8) AS ks, round(CASE WHEN sqrt(en) * d < 0.2 THEN 1 ELSE greatest(0, least(1, (SELECT sum(CASE WHEN j % 2 = 1 THEN 2 ELSE -2 END * exp(-2 * j * j * en * d * d)) FROM range(1, 101) x(j)))) END, 6)::DOUBLE AS p_value FROM m""")
 def drf02(t):
-    return rounded(metrics.ks_2samp(*_halves(t), "l_extendedprice"), 8, "ks")
+    return rounded(rounded(metrics.ks_2samp(*_halves(t), "l_extendedprice"), 8, "ks"), 6, "p_value")
 
 
 @query("drf03_report")

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from solvara.functions import clip, normal_cdf, ratio, word_count
-from solvara.operators import events, finance, metrics, scoring, timejoin
+from solvara.functions import clip, normal_cdf, ratio, word_count, word_pattern
+from solvara.operators import events, finance, metrics, ordered, scoring, timejoin
 from solvara.plans.registry import day_text, filings, query, quotes, rounded, scored, sheet
 
 c = F.col
@@ -44,8 +44,8 @@ def ag23(t):
 
 @query("wn12_cumulative_positives", "WITH n AS (SELECT a AS score, sum(y)::BIGINT AS pos, count(*) AS rows FROM scored GROUP BY 1) SELECT score, sum(pos) OVER (ORDER BY score DESC)::BIGINT AS tp, sum(n.rows) OVER (ORDER BY score DESC)::BIGINT AS seen FROM n")
 def wn12(t):
-    w = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    return metrics.score_counts(scored(t), "a", "y").select("score", F.sum("pos").over(w).alias("tp"), F.sum(c("pos") + c("neg")).over(w).alias("seen"))
+    counts = metrics.score_counts(scored(t), "a", "y").withColumn("rows", c("pos") + c("neg"))
+    return ordered.running_sums(counts, [F.desc("score")], ["pos", "rows"]).select("score", c("pos_upto").alias("tp"), c("rows_upto").alias("seen"))
 
 
 @query("st01_total_order", "SELECT id, row_number() OVER (PARTITION BY year(filed) ORDER BY filings.filed, id) AS place FROM filings")
@@ -59,9 +59,9 @@ def sc05(t):
     return f.select("id", day_text(F.add_months("filed", 12)).alias("a"), day_text(F.date_sub("filed", 30)).alias("b"), day_text(F.trunc("filed", "MM")).alias("m"))
 
 
-@query("sc07_word_regex", r"SELECT doc_id, regexp_matches(text, '(?i)\b(the|und|les)\b')::INTEGER AS hit FROM documents")
+@query("sc07_word_regex", r"SELECT doc_id, regexp_matches(text, '(?i)(?:^|[^\pL\pN_])(?:the|und|les)(?:[^\pL\pN_]|$)')::INTEGER AS hit FROM documents")
 def sc07(t):
-    return t("documents").select("doc_id", c("text").rlike(r"(?i)\b(the|und|les)\b").cast("int").alias("hit"))
+    return t("documents").select("doc_id", c("text").rlike(word_pattern(["the", "und", "les"])).cast("int").alias("hit"))
 
 
 @query("sc13_arrays", "SELECT user_id, len(k)::INTEGER AS kinds, array_to_string(k, ',') AS joined FROM (SELECT user_id, list_sort(list(DISTINCT event_type)) AS k FROM events GROUP BY user_id)")
@@ -135,7 +135,7 @@ def nlp03(t):
     return rounded(events.composite_topic(d, {"x": 1.0, "z": 0.9}, F.lit(0.5)), 6, "intensity").select("doc_id", "topic", "intensity", "flagged")
 
 
-@query("nlp04_lexicon_sentiment", r"""WITH k AS (SELECT doc_id, len(regexp_extract_all(lower(text), '\b(?:the|und)\b')) AS g, len(regexp_extract_all(lower(text), '\b(?:idiot|scum)\b')) AS b FROM documents)
+@query("nlp04_lexicon_sentiment", r"""WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\pL\pN_]+') AS w FROM documents), k AS (SELECT doc_id, len(list_filter(w, lambda x: x IN ('the', 'und'))) AS g, len(list_filter(w, lambda x: x IN ('idiot', 'scum'))) AS b FROM w)
   SELECT doc_id, round(coalesce((g - b) / nullif(g + b, 0), 0), 8)::DOUBLE AS sentiment FROM k""")
 def nlp04(t):
     return rounded(events.lexicon_score(t("documents"), "text", ["the", "und"], ["idiot", "scum"]).select("doc_id", "sentiment"), 8, "sentiment")

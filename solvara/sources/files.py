@@ -20,6 +20,13 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/solvara-{name}-{uuid.uuid4().hex}"
 
 
+def saved(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read back: computed once, and a lost executor costs no more."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
@@ -81,16 +88,23 @@ def extract_links(df: DataFrame, key: str, html: str, base: Column | str, suffix
 
 def write_swap(df: DataFrame, path: str) -> str:
     """Writes beside ``path`` and then moves the result there, so that an input is never overwritten
-    while it is read."""
+    while it is read.  The old table is moved aside first and deleted last; a failed move raises."""
     spark = df.sparkSession
     staging = f"{path}-staging-{uuid.uuid4().hex}"
     df.write.parquet(staging)
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     target = jvm.org.apache.hadoop.fs.Path(path)
     fs = target.getFileSystem(conf)
-    if fs.exists(target):
-        fs.delete(target, True)
-    fs.rename(jvm.org.apache.hadoop.fs.Path(staging), target)
+    aside = jvm.org.apache.hadoop.fs.Path(f"{path}-old-{uuid.uuid4().hex}")
+    there = fs.exists(target)
+    if there and not fs.rename(target, aside):
+        raise OSError(f"could not move {path} aside; the new table is at {staging}")
+    if not fs.rename(jvm.org.apache.hadoop.fs.Path(staging), target):
+        if there:
+            fs.rename(aside, target)
+        raise OSError(f"could not move {staging} to {path}; the old table stays")
+    if there:
+        fs.delete(aside, True)
     return path
 
 
