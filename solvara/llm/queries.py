@@ -108,7 +108,7 @@ PARTS_SQL = r"""
 WITH p AS (SELECT page_id AS conv_id, coalesce(url, '') AS url, len(regexp_extract_all(coalesce(html, ''), 'href="([^"]*)"', 1))::BIGINT AS n FROM pages)
 SELECT conv_id, 2::BIGINT AS n_turns, sha256('user' || chr(10) || url || 'What do these say?' || chr(10) || 'assistant' || chr(10) || n || url || chr(10)) AS turns_sha256,
        (length(n::VARCHAR) + length(url))::BIGINT AS loss_chars, sha256(n || url) AS loss_sha256,
-       (2 * 23 + 4 + 9 + 2 * length(url) + 18 + length(n::VARCHAR) + 13 * n + coalesce(list_sum(list_transform(range(0, n), k -> length(k::VARCHAR))), 0))::BIGINT AS formatted_chars, (512 * n)::BIGINT AS expanded_tokens
+       (2 * 23 + 4 + 9 + 2 * length(url) + 18 + length(n::VARCHAR) + 13 * n + coalesce(list_sum(list_transform(range(0, n), lambda k: length(k::VARCHAR))), 0))::BIGINT AS formatted_chars, (512 * n)::BIGINT AS expanded_tokens
 FROM p
 """
 
