@@ -1,34 +1,39 @@
 """Training-order materialisation of token sequences as fixed-stride binary shards.
 
-Documents are encoded and cut into sequences of a fixed length; a keyed Feistel permutation with
-cycle-walking gives every sequence a global slot.  Slots are range-partitioned, and each shard
-holds ``shard_slots`` consecutive slots as one payload of equal records, so a reader finds slot
-``s`` at ``(s mod shard_slots) * record_bytes`` of shard ``s div shard_slots`` and can resume
-anywhere.
+Documents are encoded and cut into sequences of a fixed length.  The sequences stand in one order
+that doesn't depend on how the table is partitioned (doc_id, digest of the text, part; equal rows are
+interchangeable), and a keyed Feistel permutation with cycle-walking gives each place a global slot.
+Slots are range-partitioned, and each shard holds ``shard_slots`` consecutive slots as equal
+records, so a reader finds slot ``s`` at ``(s mod shard_slots) * record_bytes`` of shard
+``s div shard_slots`` and can resume anywhere.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import json
+import re
+import uuid
 from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from solvara.llm.common import materialize, small_batches
+from solvara.operators.ordered import running_sums
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The file's last rank plus one: free, and used after each document and as padding.
 END_ID = 50256
 SEQ_LEN, SHARD_SLOTS, KEY = 1024, 1024, 0x5EED
 ROUNDS = 6
-#: Files up to which the table of their first indexes is broadcast; beyond, it is joined by a shuffle.
-BROADCAST_FILES = 20_000
+#: Documents up to which the table of their first places (8 bytes each) is broadcast; beyond, it is joined by a shuffle.
+BROADCAST_DOCS = 4_000_000
 U64 = np.uint64
 
 
@@ -36,38 +41,52 @@ U64 = np.uint64
 
 
 @cache
-def encoder(path: str) -> Callable[[str], list[int]]:
-    """Encodes whole texts as byte-level BPE without special tokens; kept from task to task."""
-    import public_tokenizers
+def encoder(path: str, pattern: str | None = None) -> Callable[[str], list[int]]:
+    """Encodes whole texts as byte-level BPE without special tokens; kept from task to task.
+
+    ``path`` is a file of ranks that every executor has; ``pattern`` splits texts (that of the public
+    tokenizers' package, if none is given).
+    """
     import tiktoken
 
+    if pattern is None:
+        from public_tokenizers import PATTERN as pattern  # noqa: N811
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
 
-SEQUENCE = "doc_id long, part int, n_tokens int, ids binary"
+SEQUENCE = "task int, block long, place int, doc_id long, digest binary, copy int, n_parts int, part int, n_tokens int, ids binary"
+_SEQUENCE = (pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
 
 
-def sequences(docs: DataFrame, tokenizer: str = TOKENIZER, seq_len: int = SEQ_LEN) -> DataFrame:
-    """(doc_id, part, n_tokens, ids) rows: each document's ids and an end id, cut into ``seq_len``.
+def sequences(docs: DataFrame, tokenizer: str = TOKENIZER, seq_len: int = SEQ_LEN, pattern: str | None = None) -> DataFrame:
+    """Each document's ids and an end id, cut into ``seq_len``: doc_id, part of n_parts, n_tokens and ids.
 
     ids are little-endian 16-bit (all vocabularies used have under 65,536 ids) and not padded here.
-    A null text counts as empty and gives one sequence of the end id alone.
+    A null text counts as empty and gives one sequence of the end id alone.  task, block and place say
+    where the document was read, digest is that of its text, copy counts equal documents of a task.
     """
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer)
-        for b in batches:
-            out: tuple[list, ...] = ([], [], [], [])
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+        from pyspark import TaskContext
+
+        encode = encoder(tokenizer, pattern)
+        task = TaskContext.get().partitionId()
+        seen: dict[tuple[int | None, bytes], int] = {}
+        for number, b in enumerate(batches):
+            out: tuple[list, ...] = tuple([] for _ in _SEQUENCE)
+            for place, (doc, text) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist())):
                 ids = np.array([*encode(text or ""), END_ID], dtype="<u2")
-                for part, start in enumerate(range(0, len(ids), seq_len)):
+                digest = hashlib.sha256((text or "").encode("utf-8", "replace")).digest()[:16]
+                copy = seen[doc, digest] = seen.get((doc, digest), -1) + 1
+                starts = range(0, len(ids), seq_len)
+                for part, start in enumerate(starts):
                     own = ids[start : start + seq_len]
-                    for column, value in zip(out, (doc, part, len(own), own.tobytes())):
+                    for column, value in zip(out, (task, task << 32 | number, place, doc, digest, copy, len(starts), part, len(own), own.tobytes())):
                         column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int32(), pa.int32(), pa.binary()))], ["doc_id", "part", "n_tokens", "ids"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, _SEQUENCE)], [x.split()[0] for x in SEQUENCE.split(", ")])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SEQUENCE)
 
@@ -107,36 +126,64 @@ def feistel(index: np.ndarray, n: int, key: int = KEY, inverse: bool = False) ->
     return out.astype(np.int64)
 
 
-def numbered(rows: DataFrame) -> DataFrame:
-    """``rows`` (read from files) with ``index`` 0..n-1: the place of a row in its file after all rows of files before."""
-    spot = rows.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
-    per = spot.groupBy("__file").agg(F.count(F.lit(1)).alias("rows"))
-    before = F.coalesce(F.sum("rows").over(Window.orderBy("__file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    start = per.select("__file", before.alias("__start"))
-    if per.limit(BROADCAST_FILES + 1).count() <= BROADCAST_FILES:
-        start = F.broadcast(start)
-    return spot.join(start, "__file").withColumn("index", F.col("__start") + F.col("__row")).drop("__file", "__row", "__start")
+def first_places(made: DataFrame) -> tuple[DataFrame, int, int, str]:
+    """(block, firsts), documents, sequences and fingerprint of ``sequences`` rows (written ones).
+
+    ``firsts`` has, for each document of a block, the place of its first sequence among all sequences
+    in the order of (doc_id, digest, task, copy).  Equal documents have equal sequences, so which task
+    read them makes no difference.  The fingerprint is that of all (doc_id, digest, n_parts).
+    """
+    docs = made.where("part = 0").select("task", "block", "place", "doc_id", "digest", "copy", "n_parts")
+    held = docs.groupBy("doc_id", "digest", "task").agg((F.count(F.lit(1)) * F.max("n_parts")).alias("size"))
+    order = running_sums(held, ["doc_id", "digest", "task"], ["size"])
+    order = order.select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest"), F.col("task").alias("__task"), (F.col("size_upto") - F.col("size")).alias("first"))
+    found = docs.join(order, docs["doc_id"].eqNullSafe(order["__id"]) & (docs["digest"] == order["__digest"]) & (docs["task"] == order["__task"]))
+    first = F.struct("place", (F.col("first") + F.col("copy") * F.col("n_parts")).alias("first"))
+    firsts = found.groupBy("block").agg(F.transform(F.array_sort(F.collect_list(first)), lambda x: x["first"]).alias("firsts"))
+    mark = F.xxhash64("doc_id", "digest", "n_parts")
+    total = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum("n_parts"), F.lit(0)), F.sum(F.pmod(mark, F.lit(2**31))), F.sum(F.pmod(F.shiftright(mark, 31), F.lit(2**31)))).first()
+    return firsts, int(total[0]), int(total[1]), hashlib.sha256(repr(tuple(total)).encode()).hexdigest()
+
+
+def placed_sequences(docs: DataFrame, tokenizer: str, seq_len: int, shard_slots: int, key: int, pattern: str | None) -> tuple[DataFrame, int, str]:
+    """(slot, shard, doc_id, part, ids) of all sequences, their number and the input's fingerprint."""
+    made = materialize(sequences(docs, tokenizer, seq_len, pattern), "sequences")
+    firsts, documents, n, mark = first_places(made)
+    if documents <= BROADCAST_DOCS:
+        firsts = F.broadcast(firsts)
+
+    @F.pandas_udf("long")
+    def slot(index: pd.Series) -> pd.Series:
+        return pd.Series(feistel(index.to_numpy(), n, key))
+
+    index = F.element_at("firsts", F.col("place") + 1) + F.col("part")
+    rows = made.join(firsts, "block").select(slot(index).alias("slot"), "doc_id", "part", "ids")
+    return rows.withColumn("shard", F.floor(F.col("slot") / shard_slots)), n, mark
+
+
+def _in_order(placed: DataFrame, n: int, shard_slots: int) -> DataFrame:
+    parts = max(1, min(-(-n // shard_slots), max(int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions")), n // (16 * shard_slots))))
+    return placed.repartitionByRange(parts, "shard").sortWithinPartitions("slot").select("slot", "doc_id", "part", "ids")
+
+
+def _padded(ids: bytes, record: int) -> bytes:
+    return ids + END_ID.to_bytes(2, "little") * ((record - len(ids)) // 2)
 
 
 SHARD = "shard long, first_slot long, n_slots int, record_bytes int, n_tokens long, payload_sha256 string, doc_ids array<long>, parts array<int>, payload binary"
 
 
-def training_shards(docs: DataFrame, tokenizer: str = TOKENIZER, seq_len: int = SEQ_LEN, shard_slots: int = SHARD_SLOTS, key: int = KEY) -> DataFrame:
-    """The shards of all sequences of ``docs`` (doc_id, text) in training order.
+def training_shards(docs: DataFrame, tokenizer: str = TOKENIZER, seq_len: int = SEQ_LEN, shard_slots: int = SHARD_SLOTS, key: int = KEY, pattern: str | None = None) -> DataFrame:
+    """The shards of all sequences of ``docs`` (doc_id, text) in training order, as rows.
 
     Each row is one shard: its number, first slot, slots, bytes of a record, ids without padding,
     SHA-256 of the payload, document and part of each slot, and the payload of ``n_slots`` records of
     ``seq_len`` little-endian 16-bit ids, padded with the end id.  Every document gives at least one
     sequence (null and empty texts one end id); repeated rows give sequences of their own; an empty
-    table gives no shards; other columns are ignored.  All shards but the last are full.
+    table gives no shards; other columns are ignored.  All shards but the last are full.  The same
+    rows give the same shards however they are partitioned.
     """
-    made = materialize(sequences(docs, tokenizer, seq_len), "sequences")
-    n = made.count()
-
-    @F.pandas_udf("long")
-    def slot(index: pd.Series) -> pd.Series:
-        return pd.Series(feistel(index.to_numpy(), n, key))
-
+    placed, n, _ = placed_sequences(docs, tokenizer, seq_len, shard_slots, key, pattern)
     record = 2 * seq_len
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,7 +191,7 @@ def training_shards(docs: DataFrame, tokenizer: str = TOKENIZER, seq_len: int =
         shard = None
 
         def flush() -> pa.RecordBatch:
-            payload = b"".join(ids + END_ID.to_bytes(2, "little") * (seq_len - len(ids) // 2) for _, _, _, ids in held)
+            payload = b"".join(_padded(ids, record) for _, _, _, ids in held)
             row = [shard, shard * shard_slots, len(held), record, sum(len(x[3]) // 2 for x in held), hashlib.sha256(payload).hexdigest(), [x[1] for x in held], [x[2] for x in held], payload]
             kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kinds)], [c.split()[0] for c in SHARD.split(", ")])
@@ -159,31 +206,130 @@ def training_shards(docs: DataFrame, tokenizer: str = TOKENIZER, seq_len: int =
         if held:
             yield flush()
 
-    placed = numbered(made).withColumn("slot", slot("index")).withColumn("shard", F.floor(F.col("slot") / shard_slots))
-    parts = max(1, min(-(-n // shard_slots), max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), n // (16 * shard_slots))))
-    ordered = placed.repartitionByRange(parts, "shard").sortWithinPartitions("slot")
-    return ordered.select("slot", "doc_id", "part", "ids").mapInArrow(pack, SHARD)
+    return _in_order(placed, n, shard_slots).mapInArrow(pack, SHARD)
+
+
+# ---------------------------------------------------------------- files
+
+#: What stands beside each record: whether the document has an id, the id, the part.
+PLACE = np.dtype([("known", "u1"), ("doc_id", "<i8"), ("part", "<i4")])
+_NAME = re.compile(r"shard-(\d{12})\.bin$")
+
+
+def _store(path: str):
+    """The file system of a path or URI (local, HDFS or an object store) and the path within it."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path)
+
 
+def _name(shard: int, kind: str = "bin") -> str:
+    return f"shard-{shard:012d}.{kind}"
 
-def write_shards(shards: DataFrame, path: str) -> None:
-    """Writes the shards that ``path`` doesn't hold yet, so that an interrupted write can be taken up."""
-    spark = shards.sparkSession
-    try:
-        there = spark.read.parquet(path).select("shard")
-    except Exception as error:  # noqa: BLE001
-        if "PATH_NOT_FOUND" not in str(error) and "UNABLE_TO_INFER_SCHEMA" not in str(error):
-            raise
-        there = None
-    (shards if there is None else shards.join(there, "shard", "left_anti")).write.mode("append").parquet(path)
+
+def _put(store, path: str, data: bytes) -> None:
+    """Writes a file under another name and moves it, so that a file is whole or absent."""
+    part = f"{path}.{uuid.uuid4().hex}.part"
+    with store.open_output_stream(part) as out:
+        out.write(data)
+    store.move(part, path)
+
+
+def _header(path: str) -> dict | None:
+    """The description of the shards under ``path``, if any were begun."""
+    from pyarrow import fs
+
+    store, root = _store(path)
+    if store.get_file_info(f"{root}/_order.json").type == fs.FileType.NotFound:
+        return None
+    with store.open_input_stream(f"{root}/_order.json") as f:
+        return json.loads(f.read())
+
+
+def _whole_shards(path: str, header: dict) -> list[int]:
+    """Numbers of the shards that are there with all their records."""
+    from pyarrow import fs
+
+    store, root = _store(path)
+    slots, n, found = header["shard_slots"], header["sequences"], []
+    for info in store.get_file_info(fs.FileSelector(root)):
+        if m := _NAME.search(info.base_name):
+            shard = int(m[1])
+            if info.size == min(slots, n - shard * slots) * 2 * header["seq_len"]:
+                found.append(shard)
+    return found
+
+
+def write_shards(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, seq_len: int = SEQ_LEN, shard_slots: int = SHARD_SLOTS, key: int = KEY, pattern: str | None = None) -> int:
+    """Writes one file of equal records for each shard under ``path`` (a folder on a shared file system).
+
+    ``shard-<number>.bin`` has the records, ``.idx`` the document and part of each, ``_order.json``
+    how they were made.  A shard is moved to its name when whole, so an interrupted write is taken
+    up by calling this again: shards that are there are neither sorted nor written again.  Other
+    documents, or other parameters, than those the folder was begun with raise ValueError.  Returns
+    the number of shards written.
+    """
+    placed, n, mark = placed_sequences(docs, tokenizer, seq_len, shard_slots, key, pattern)
+    header = {"sequences": n, "seq_len": seq_len, "shard_slots": shard_slots, "key": key, "end_id": END_ID, "tokenizer": tokenizer.rsplit("/", 1)[-1], "documents": mark}
+    store, root = _store(path)
+    store.create_dir(root, recursive=True)
+    begun = _header(path)
+    if begun is None:
+        _put(store, f"{root}/_order.json", json.dumps(header).encode())
+    elif begun != header:
+        raise ValueError(f"{path} holds shards of {begun}, not of {header}")
+    if there := _whole_shards(path, header):
+        placed = placed.join(F.broadcast(docs.sparkSession.createDataFrame([(x,) for x in there], "shard long")), "shard", "left_anti")
+    record = 2 * seq_len
+
+    def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, base = _store(path)
+        shard, held, places = None, [], []
+
+        def close() -> pa.RecordBatch:
+            _put(own, f"{base}/{_name(shard, 'idx')}", np.array(places, PLACE).tobytes())
+            _put(own, f"{base}/{_name(shard)}", b"".join(held))
+            return pa.RecordBatch.from_arrays([pa.array([shard], pa.int64())], ["shard"])
+
+        for b in batches:
+            for at, doc, part, ids in zip(*(b.column(k).to_pylist() for k in range(4))):
+                if shard is not None and at // shard_slots != shard:
+                    yield close()
+                    held, places = [], []
+                shard = at // shard_slots
+                held.append(_padded(ids, record))
+                places.append((doc is not None, doc or 0, part))
+        if held:
+            yield close()
+
+    return _in_order(placed, n, shard_slots).mapInArrow(save, "shard long").count()
 
 
 def read_slots(spark: SparkSession, path: str, first: int, last: int) -> DataFrame:
-    """(slot, doc_id, part, ids) of the slots first..last, from the shards that hold them only."""
-    shards = spark.read.parquet(path).where((F.col("first_slot") <= last) & (F.col("first_slot") + F.col("n_slots") > first))
-    at = shards.select("*", F.posexplode("doc_ids").alias("k", "doc_id"))
-    return at.select(
-        (F.col("first_slot") + F.col("k")).alias("slot"),
-        "doc_id",
-        F.col("parts")[F.col("k")].alias("part"),
-        F.expr("substring(payload, k * record_bytes + 1, record_bytes)").alias("ids"),
-    ).where(F.col("slot").between(first, last))
+    """(slot, doc_id, part, ids) of the slots first..last: each task reads its records and no others.
+
+    Slots beyond the last sequence give no rows; a shard that was not written yet raises an error.
+    """
+    header = _header(path)
+    if header is None:
+        raise FileNotFoundError(path)
+    slots, record = header["shard_slots"], 2 * header["seq_len"]
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = _store(path)
+        for b in batches:
+            wanted = b.column(0).to_numpy()
+            for run in np.split(wanted, np.flatnonzero((np.diff(wanted) != 1) | (np.diff(wanted // slots) != 0)) + 1):
+                if not len(run):
+                    continue
+                shard, at = divmod(int(run[0]), slots)
+                data = []
+                for kind, size in (("bin", record), ("idx", PLACE.itemsize)):
+                    with store.open_input_file(f"{root}/{_name(shard, kind)}") as f:
+                        data.append(f.read_at(len(run) * size, at * size))
+                place = np.frombuffer(data[1], PLACE)
+                ids = [data[0][k : k + record] for k in range(0, len(data[0]), record)]
+                yield pa.RecordBatch.from_arrays([pa.array(run), pa.array(place["doc_id"], mask=place["known"] == 0), pa.array(place["part"]), pa.array(ids, pa.binary())], ["slot", "doc_id", "part", "ids"])
+
+    wanted = spark.range(max(first, 0), max(min(last + 1, header["sequences"]), 0))
+    return wanted.mapInArrow(read, "slot long, doc_id long, part int, ids binary")

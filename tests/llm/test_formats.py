@@ -98,14 +98,51 @@ def test_shards(spark, tmp_path):
         got += [(d, p, tuple(row.tolist())) for d, p, row in zip(s.doc_ids, s.parts, table)]
     assert sorted(got, key=str) == sorted(want, key=str)
     assert [g[:2] for g in got[:50]] != sorted((g[:2] for g in got[:50]), key=str)  # not in input order
+    assert to.training_shards(df.limit(0)).count() == 0
+    # files: the same records, read by their places
     path = str(tmp_path / "shards")
-    half = spark.createDataFrame([x for x in found if x.shard % 2], shards.schema)
-    to.write_shards(half, path)
-    to.write_shards(spark.createDataFrame(found, shards.schema), path)  # takes up what is missing
-    assert spark.read.parquet(path).count() == len(found)
+    assert to.write_shards(df, path, seq_len=16, shard_slots=32) == len(found)
+    assert all((tmp_path / "shards" / to._name(x.shard)).read_bytes() == x.payload for x in found)
     part = sorted(to.read_slots(spark, path, 30, 66).collect(), key=lambda x: x.slot)
     assert [x.slot for x in part] == list(range(30, 67)) and all((x.doc_id, x.part, tuple(np.frombuffer(x.ids, "<u2").tolist())) == got[x.slot] for x in part)
-    assert to.training_shards(df.limit(0)).count() == 0
+    assert to.read_slots(spark, path, -5, 10**6).count() == len(got) and to.read_slots(spark, path, 10**6, 10**7).count() == 0
+
+
+def test_order_does_not_depend_on_partitions(spark, monkeypatch):
+    r = random.Random(8)
+    rows = [(r.randrange(12) if k % 3 else None, " ".join(r.choices(["a", "b", "c d e f g h"], k=r.choice([0, 1, 2, 30])))) for k in range(120)] + [(5, "same text " * 9)] * 60
+    made = []
+    for parts, limit in ((1, 4_000_000), (3, 4_000_000), (7, 0)):
+        monkeypatch.setattr(to, "BROADCAST_DOCS", limit)
+        r.shuffle(rows)
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+        found = to.training_shards(df, seq_len=8, shard_slots=16).collect()
+        made.append({x.shard: (bytes(x.payload), tuple(x.doc_ids), tuple(x.parts)) for x in found})
+    assert made[0] == made[1] == made[2] and len(made[0]) > 10
+
+
+def test_interrupted_write_is_taken_up(spark, tmp_path):
+    rows = [(k, f"text {k} " * (k % 20)) for k in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    whole, half = tmp_path / "whole", tmp_path / "half"
+    args = {"seq_len": 16, "shard_slots": 16}
+    n = to.write_shards(df.repartition(2), str(whole), **args)
+    half.mkdir()
+    for f in whole.iterdir():  # as a killed write leaves it: some shards, one cut, one under its first name
+        k = to._NAME.search(f.name)
+        if f.name == "_order.json" or k and int(k[1]) % 2:
+            (half / f.name).write_bytes(f.read_bytes()[: 40 if k and int(k[1]) == 3 else None])
+    (half / "shard-000000000004.bin.0abc.part").write_bytes(b"begun")
+    wrote = to.write_shards(df.repartition(5), str(half), **args)
+    assert wrote == n - (n // 2 - 1)
+    names = [f.name for f in whole.iterdir() if f.suffix in (".bin", ".json")]
+    assert all((half / x).read_bytes() == (whole / x).read_bytes() for x in names)
+    assert to.write_shards(df, str(half), **args) == 0
+    for other, options in ((df.where("doc_id > 0"), args), (df, args | {"key": 1}), (df, args | {"shard_slots": 8})):
+        with pytest.raises(ValueError):
+            to.write_shards(other, str(half), **options)
+    with pytest.raises(FileNotFoundError):
+        to.read_slots(spark, str(tmp_path / "none"), 0, 1)
 
 
 PAGE = "<html lang=fr><head><title>A &amp; B</title><script>x()</script></head><body><a href='/p?q=1&amp;r=2'>go</a><p>One<b>two</b>\n three<div>four</div><a href=/p?q=1&r=2>again</a></body></html>"
