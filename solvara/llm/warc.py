@@ -13,6 +13,7 @@ import hashlib
 import html
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 from urllib.parse import urljoin
 
@@ -90,15 +91,63 @@ def decode(body: bytes, content_type: str) -> tuple[str, str]:
         return body.decode("utf-8", "replace"), "utf-8"
 
 
+def dechunked(body: bytes) -> bytes:
+    """The body of a chunked transfer; reading ends at the last chunk, or keeps what a cut body has."""
+    out, at = [], 0
+    while (end := body.find(b"\r\n", at)) >= 0:
+        try:
+            size = int(body[at:end].split(b";")[0], 16)
+        except ValueError:
+            return body if not out else b"".join(out)
+        if not size:
+            break
+        out.append(body[end + 2 : end + 2 + size])
+        at = end + 2 + size + 2
+    return b"".join(out)
+
+
+def unpacked(body: bytes, encoding: str) -> tuple[bytes, str]:
+    """The body without its content encodings, and the name of one that can't be undone (or "").
+
+    gzip, deflate and zstd are undone; a cut stream gives what it has.
+    """
+    for name in reversed([x.strip().lower() for x in encoding.split(",") if x.strip()]):
+        if name in ("identity", "none"):
+            continue
+        try:
+            if name in ("gzip", "x-gzip", "deflate"):
+                raw = name == "deflate" and (len(body) < 2 or body[0] & 15 != 8 or (body[0] << 8 | body[1]) % 31)
+                body = zlib.decompressobj(-15 if raw else 47).decompress(body)
+            elif name == "zstd":
+                import zstandard
+
+                body = zstandard.ZstdDecompressor().decompressobj().decompress(body)
+            else:
+                return b"", name
+        except Exception:  # noqa: BLE001  (each library has an error of its own)
+            return b"", name
+    return body, ""
+
+
 def derive_record(headers: dict[str, str], block: bytes) -> list[tuple[dict[str, str], bytes]]:
-    """The metadata and the conversion record of one response, as (headers, block)."""
-    source, target = headers.get("WARC-Record-ID", ""), headers.get("WARC-Target-URI", "")
+    """The metadata and the conversion record of one response, as (headers, block).
+
+    Transfer and content encodings are undone first; a body whose encoding can't be undone has an empty
+    conversion, and its metadata name the encoding.  Header names are matched in any case.
+    """
+    known = {k.lower(): v for k, v in headers.items()}
+    source, target = known.get("warc-record-id") or "", known.get("warc-target-uri") or ""
     status, http, body = split_http(block)
+    if "chunked" in http.get("transfer-encoding", "").lower():
+        body = dechunked(body)
+    payload = body
+    body, unknown = unpacked(body, http.get("content-encoding", ""))
     page, charset = decode(body, http.get("content-type", ""))
     title = _TITLE.search(page)
     language = _LANG.search(page)
-    digest = headers.get("WARC-Payload-Digest") or sha1(body)
+    digest = known.get("warc-payload-digest") or sha1(payload)
     fields = [("source-status", status), *((f"source-{k}", v) for k, v in http.items()), ("charset", charset)]
+    fields += [("undecoded", unknown)] if unknown else []
     fields += [("title", _SPACE.sub(" ", html.unescape(title[1])).strip())] if title else []
     fields += [("language", language[1])] if language else []
     fields += [("outlink", x) for x in links(page, target)]
@@ -112,7 +161,7 @@ def derive_record(headers: dict[str, str], block: bytes) -> list[tuple[dict[str,
             "WARC-Record-ID": record_id(kind, source),
             "WARC-Refers-To": source,
             "WARC-Target-URI": target,
-            "WARC-Date": headers.get("WARC-Date", UNDATED),
+            "WARC-Date": known.get("warc-date") or UNDATED,
             "WARC-Source-Payload-Digest": digest,
             "WARC-Block-Digest": sha1(data),
             "Content-Type": content_type,
@@ -128,33 +177,116 @@ def to_bytes(headers: dict[str, str], block: bytes) -> bytes:
     return gzip.compress(head.encode() + b"\r\n" + block + b"\r\n\r\n", mtime=0)
 
 
-def from_bytes(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """The records of a WARC file, plain or gzipped; reading ends at the first broken record."""
-    if data[:2] == b"\x1f\x8b":
-        data = gzip.decompress(data)
+_MAGIC, _START = b"\x1f\x8b\x08", re.compile(rb"(?:^|\n)(WARC/\d)")
+
+
+def _members(data: bytes) -> Iterator[tuple[bytes, str]]:
+    """The members of a gzip file, decompressed one by one; a member that breaks off gives what it has and a
+    problem, and reading goes on at the next one.  A plain file is one member."""
+    if data[:2] != b"\x1f\x8b":
+        yield data, ""
+        return
     at = 0
-    while (start := data.find(b"WARC/", at)) >= 0 and (end := data.find(b"\r\n\r\n", start)) >= 0:
-        lines = data[start:end].decode("utf-8", "replace").split("\r\n")[1:]
-        headers = {k.strip(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
-        size = int(headers.get("Content-Length", 0))
-        yield headers, data[end + 4 : end + 4 + size]
-        at = end + 4 + size
+    while at < len(data):
+        unzip, problem = zlib.decompressobj(31), ""
+        out = []
+        try:
+            step = at
+            while step < len(data) and not unzip.eof:
+                out.append(unzip.decompress(data[step : step + 65536]))
+                step += 65536
+            problem = "" if unzip.eof else "gzip member is cut"
+        except zlib.error:
+            problem = "gzip member is broken"
+        yield b"".join(out), problem
+        if not problem:
+            at = min(step, len(data)) - len(unzip.unused_data)
+        if problem or data[at : at + 2] != _MAGIC[:2]:
+            follow = data.find(_MAGIC, at + 1)
+            at = follow if follow >= 0 else len(data)
+
+
+def from_bytes(data: bytes) -> Iterator[tuple[dict[str, str], bytes, str]]:
+    """(headers, block, problem) of the records of a WARC file, plain or gzipped.
+
+    problem is empty for a good record.  A record without a usable Content-Length or with less text
+    than that, and a member that can't be decompressed, is given with its problem; reading goes on at
+    the next start of a record.  Names of WARC headers are given as the format writes them, whatever
+    case they have in the file.
+    """
+    for member, fault in _members(data):
+        at = 0
+        while found := _START.search(member, at):
+            start = found.start(1)
+            end = member.find(b"\r\n\r\n", start)
+            skip = 4
+            if end < 0:
+                end, skip = member.find(b"\n\n", start), 2
+            if end < 0:
+                yield {}, b"", "header is cut"
+                break
+            lines = member[start:end].decode("utf-8", "replace").splitlines()[1:]
+            headers = {_proper(k.strip()): v.strip() for k, _, v in (x.partition(":") for x in lines if ":" in x)}
+            size = headers.get("Content-Length", "")
+            block = end + skip
+            if not (size.isascii() and size.isdigit()):
+                yield headers, b"", "no usable Content-Length"
+                at = block - 1
+                continue
+            if block + int(size) > len(member):
+                yield headers, member[block:], fault or "block is cut"
+                break
+            yield headers, member[block : block + int(size)], ""
+            at = max(block + int(size) - 1, start + 1)
+        else:
+            if fault:
+                yield {}, b"", fault
+
+
+#: Names of WARC 1.1 headers.
+WARC_HEADERS = (
+    "WARC-Type WARC-Record-ID WARC-Date Content-Length Content-Type WARC-Concurrent-To WARC-Block-Digest WARC-Payload-Digest WARC-IP-Address WARC-Refers-To WARC-Refers-To-Target-URI "
+    "WARC-Refers-To-Date WARC-Target-URI WARC-Truncated WARC-Warcinfo-ID WARC-Filename WARC-Profile WARC-Identified-Payload-Type WARC-Segment-Number WARC-Segment-Origin-ID WARC-Segment-Total-Length"
+).split()
+_PROPER = {x.lower(): x for x in WARC_HEADERS}
+
+
+def _proper(name: str) -> str:
+    return _PROPER.get(name.lower(), name)
 
 
 RECORD = "headers map<string,string>, block binary"
 _HEADERS = pa.map_(pa.string(), pa.string())
 
 
-def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """(headers, block) of all records of the WARC files under ``path`` (a file is read by one task)."""
+def scan_warc(spark: SparkSession, path: str) -> DataFrame:
+    """(file, headers, block, problem) of all records of the WARC files under ``path``; problem is null for good ones.
+
+    A file is read by one task, member by member: it needs the memory of the file as stored (a task's
+    small files together, up to a split) and of its largest member.  Files are at most 2 GB, as is usual.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for data in b.column(0).to_pylist():
-                for headers, block in from_bytes(data):
-                    yield pa.RecordBatch.from_arrays([pa.array([list(headers.items())], _HEADERS), pa.array([block], pa.binary())], ["headers", "block"])
+            for file, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                for headers, block, problem in from_bytes(data):
+                    columns = ([file], pa.string()), ([list(headers.items())], _HEADERS), ([block], pa.binary()), ([problem or None], pa.string())
+                    yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in columns], ["file", "headers", "block", "problem"])
+
+    small_batches(spark)
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, f"file string, {RECORD}, problem string")
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, RECORD)
+
+def read_warc(spark: SparkSession, path: str) -> DataFrame:
+    """(headers, block) of the good records of the WARC files under ``path``."""
+    return scan_warc(spark, path).where("problem IS NULL").select("headers", "block")
+
+
+def warc_report(spark: SparkSession, path: str) -> DataFrame:
+    """(file, records, broken, problems): good and broken records of each file with any, and what was wrong."""
+    return scan_warc(spark, path).groupBy("file").agg(
+        F.count_if(F.col("problem").isNull()).alias("records"), F.count("problem").alias("broken"), F.array_sort(F.collect_set("problem")).alias("problems")
+    )
 
 
 def page_responses(pages: DataFrame) -> DataFrame:
@@ -194,10 +326,11 @@ def derivatives(records: DataFrame) -> DataFrame:
         out = []
         for head, block in zip(heads.to_pylist(), blocks.to_pylist()):
             head = dict(head or [])
-            made = derive_record(head, block or b"") if head.get("WARC-Type") == "response" else []
+            kind = next((v for k, v in head.items() if k.lower() == "warc-type"), "")
+            made = derive_record(head, block or b"") if (kind or "").lower() == "response" else []
             out.append([{"record_type": h["WARC-Type"], "record_id": h["WARC-Record-ID"], "refers_to": h.get("WARC-Refers-To"), "headers": list(h.items()), "block": data} for h, data in made])
-        kind = pa.struct([("record_type", pa.string()), ("record_id", pa.string()), ("refers_to", pa.string()), ("headers", _HEADERS), ("block", pa.binary())])
-        return pa.array(out, pa.list_(kind))
+        row = pa.struct([("record_type", pa.string()), ("record_id", pa.string()), ("refers_to", pa.string()), ("headers", _HEADERS), ("block", pa.binary())])
+        return pa.array(out, pa.list_(row))
 
     rest = [c for c in records.columns if c not in ("headers", "block")]
     return records.select(*rest, F.explode(derive("headers", "block")).alias("__made")).select(*rest, "__made.*")

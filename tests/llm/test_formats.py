@@ -1,8 +1,10 @@
 """Chat formatting, training order and WARC derivatives: exact round trips."""
 
+import gzip
 import hashlib
 import json
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -175,6 +177,51 @@ def test_warc_derivatives(spark, tmp_path):
     assert warc.derivatives(other).count() == 0
 
 
+def record(kind, block, extra=""):
+    return f"WARC/1.0\r\nwarc-type: {kind}\r\nWarc-Record-Id: <urn:{len(block)}>\r\n{extra}content-length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n"
+
+
+def test_broken_files_are_read_on(spark, tmp_path):
+    one, two, three = record("response", b"first"), record("response", b"second block"), record("metadata", b"WARC/1.0 inside\r\n\r\nWARC/1")
+    bad = b"WARC/1.0\r\nWARC-Type: response\r\nContent-Length: many\r\n\r\nabc\r\n\r\n"
+    read = lambda data: [(h.get("WARC-Type"), b, p) for h, b, p in warc.from_bytes(data)]
+    assert read(one + two) == [("response", b"first", ""), ("response", b"second block", "")]
+    assert read(one + bad + three) == [("response", b"first", ""), ("response", b"", "no usable Content-Length"), ("metadata", b"WARC/1.0 inside\r\n\r\nWARC/1", "")]
+    assert read(one + two[:-12]) == [("response", b"first", ""), ("response", two[:-12].split(b"\r\n\r\n")[1], "block is cut")]
+    assert read(b"") == [] and read(b"\r\n\r\n" + one) == [("response", b"first", "")] and read(b"no warc at all") == []
+    zipped = [gzip.compress(x, mtime=0) for x in (one, two, three)]
+    assert [x[1] for x in read(b"".join(zipped))] == [b"first", b"second block", b"WARC/1.0 inside\r\n\r\nWARC/1"]
+    assert [x[1] for x in read(gzip.compress(one + two + three))] == [b"first", b"second block", b"WARC/1.0 inside\r\n\r\nWARC/1"]
+    spoilt = bytearray(b"".join(zipped))
+    spoilt[len(zipped[0]) + 14 : len(zipped[0]) + 40] = b"\xff" * 26
+    found = read(bytes(spoilt))
+    assert [x[1] for x in found if not x[2]] == [b"first", b"WARC/1.0 inside\r\n\r\nWARC/1"] and len([x for x in found if x[2]]) == 1
+    cut = read(b"".join(zipped)[:-20])
+    assert [x[1] for x in cut if not x[2]] == [b"first", b"second block"] and len(cut) == 3
+    for name, data in (("a.warc", one + bad), ("b.warc.gz", b"".join(zipped)[:-20]), ("c.warc", b"")):
+        (tmp_path / name).write_bytes(data)
+    report = {r.file.rsplit("/", 1)[-1]: (r.records, r.broken, len(r.problems)) for r in warc.warc_report(spark, str(tmp_path)).collect()}
+    assert report == {"a.warc": (1, 1, 1), "b.warc.gz": (2, 1, 1)}
+    assert warc.read_warc(spark, str(tmp_path)).count() == 3
+
+
+def test_encoded_bodies():
+    page = "<title>Té</title><p>one</p><p>two</p>".encode()
+    chunks = b"".join(f"{len(x):x};n=1\r\n".encode() + x + b"\r\n" for x in (page[:7], page[7:])) + b"0\r\n\r\n"
+    head = lambda *lines: ("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n" + "".join(x + "\r\n" for x in lines) + "\r\n").encode()
+    text = lambda block: warc.derive_record({"warc-type": "response", "warc-record-id": "<urn:x>"}, block)[1][1].decode()
+    packed = gzip.compress(page)
+    raw = zlib.compressobj(wbits=-15)
+    for block in (
+        head() + page, head("Transfer-Encoding: chunked") + chunks, head("Content-Encoding: gzip") + packed, head("content-encoding: deflate") + zlib.compress(page), head("Content-Encoding: deflate") + raw.compress(page) + raw.flush(),
+        head("Transfer-Encoding: chunked", "Content-Encoding: gzip") + f"{len(packed):x}\r\n".encode() + packed + b"\r\n0\r\n\r\n",
+    ):
+        assert text(block) == "Té\none\ntwo"
+    meta, conversion = warc.derive_record({"WARC-Type": "response", "WARC-Record-ID": "<urn:x>"}, head("Content-Encoding: br") + b"\x0b\x02")
+    assert conversion[1] == b"" and b"undecoded: br" in meta[1] and meta[0]["WARC-Refers-To"] == "<urn:x>"
+    assert warc.dechunked(b"zz\r\nplain") == b"zz\r\nplain" and warc.dechunked(b"5\r\nab") == b"ab"
+
+
 def test_charsets():
     assert warc.decode("é".encode("latin-1"), "text/html; charset=ISO-8859-1") == ("é", "iso-8859-1")
     assert warc.decode(b"<meta charset=latin1>\xe9", "")[0].endswith("é")
