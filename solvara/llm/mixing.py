@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from solvara.llm.common import materialize
+from solvara.operators.ordered import running_sums
 
 WORD = r"[^\x20\x09-\x0D]+"
 MOST = 3
@@ -36,56 +37,64 @@ def sized(docs: DataFrame) -> DataFrame:
     )
 
 
-def targets(rows: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: int = MOST) -> DataFrame:
-    """(rank, source, source_size, target): the share of each source of all words.
+def targets(rows: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: int = MOST) -> tuple[DataFrame, bool]:
+    """(rank, source, source_size, target), the share of each source of all words, and whether sources are few.
 
     Sources by code point, null last, take the weights in turn.  A target stops at ``most`` times
     its source's size; the excess goes to the others by weight, until none is above: with sources
     ordered by ``most * size / weight`` those that stop are a prefix, and the rest share one level.
+    Up to ``BROADCAST_SOURCES`` sources are ordered in one task, more by running sums over ranges.
     """
-    per = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("rows"))
-    rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
+    per = materialize(rows.groupBy("source").agg(F.sum("size").alias("source_size")).withColumn("one", F.lit(1).cast("long")), "sources")
+    few = per.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
+    sums = _window_sums if few else running_sums
+    per = sums(per, [F.col("source").asc_nulls_last()], ["one"]).withColumn("rank", F.col("one_upto") - 1).drop("one_upto", "one_all")
     w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.col("rank") % len(weights) + 1).cast("int"))
-    per = per.withColumn("rank", rank).withColumn("w", w).withColumn("cap", F.lit(float(most)) * F.col("source_size"))
-    order = Window.orderBy(F.col("cap") / F.col("w"), "rank")
-    before, after, whole = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(0, Window.unboundedFollowing), Window.partitionBy()
-    total = F.sum("source_size").over(whole).cast("double")
-    level = (total - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("w").over(after)
-    per = per.withColumn("at", F.row_number().over(order)).withColumn("level", level)
-    free = F.when(F.col("level") * F.col("w") < F.col("cap"), F.struct("at", "level"))
-    level = F.coalesce(F.min(free).over(whole)["level"], F.lit(0.0))
-    level = F.when(F.count(free).over(whole) == 0, F.lit(float("inf"))).otherwise(level)
-    return per.withColumn("target", F.least("cap", level * F.col("w"))).select("rank", "source", "source_size", "target")
-
-
-def thresholds(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    per = per.withColumn("w", w).withColumn("cap", F.lit(float(most)) * F.col("source_size")).withColumn("fill", F.col("cap") / F.col("w"))
+    per = sums(per, ["fill", "rank"], ["cap", "w", "source_size", "one"])
+    level = (F.col("source_size_all").cast("double") - (F.col("cap_upto") - F.col("cap"))) / (F.col("w_all") - F.col("w_upto") + F.col("w"))
+    per = per.withColumn("level", level)
+    free = F.when(F.col("level") * F.col("w") < F.col("cap"), F.struct(F.col("one_upto").alias("at"), "level"))
+    first = per.agg(F.coalesce(F.min(free)["level"], F.lit(float("inf"))).alias("free_level"))
+    per = per.crossJoin(F.broadcast(first))
+    return per.select("rank", "source", "source_size", F.least("cap", F.col("free_level") * F.col("w")).alias("target")), few
+
+
+def _window_sums(df: DataFrame, order: list, values: list[str]) -> DataFrame:
+    """``running_sums`` of a bounded table, in one task."""
+    w = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    whole = Window.partitionBy()
+    return df.withColumns({f"{v}_upto": F.sum(v).over(w) for v in values} | {f"{v}_all": F.sum(v).over(whole) for v in values})
+
+
+def thresholds(rows: DataFrame, plan: DataFrame, few: bool) -> DataFrame:
     """(rank, below): the rows of a source with ``hash >> (60 - 30) < below`` are taken once more.
 
     ``rows`` has rank, size and hash; ``plan`` has rank and budget, the words beyond whole repeats.
+    Where sources aren't few, the state of a level is joined by a shuffle (whose skewed partitions
+    are split when it runs).
     """
     state = plan.where("budget > 0").select("rank", F.lit(0).cast("long").alias("prefix"), F.col("budget").alias("rest"), F.lit(0).cast("long").alias("held"))
     for k in range(LEVELS):
         done, left = HASH_BITS - BITS * k, HASH_BITS - BITS * (k + 1)
-        boundary = rows.withColumn("prefix", F.shiftright("hash", done)).join(F.broadcast(state.select("rank", "prefix")), ["rank", "prefix"])
+        boundary = rows.withColumn("prefix", F.shiftright("hash", done)).join(_known(state.select("rank", "prefix"), few), ["rank", "prefix"])
         bucket = F.shiftright("hash", left).bitwiseAND(2**BITS - 1)
         sums = boundary.groupBy("rank", bucket.alias("bucket")).agg(F.sum("size").alias("held"))
         running = F.sum("held").over(Window.partitionBy("rank").orderBy("bucket"))
         crossing = (
             sums.withColumn("upto", running)
-            .join(F.broadcast(state.select("rank", "prefix", "rest")), "rank")
+            .join(_known(state.select("rank", "prefix", "rest"), few), "rank")
             .where("upto > rest")
             .groupBy("rank")
             .agg(F.min(F.struct("bucket", "upto", "held", "prefix", "rest")).alias("x"))
         )
-        state = materialize(
-            crossing.select(
-                "rank",
-                (F.col("x.prefix") * 2**BITS + F.col("x.bucket")).alias("prefix"),
-                (F.col("x.rest") - (F.col("x.upto") - F.col("x.held"))).alias("rest"),
-                F.col("x.held").alias("held"),
-            ).coalesce(1),
-            "boundary",
+        found = crossing.select(
+            "rank",
+            (F.col("x.prefix") * 2**BITS + F.col("x.bucket")).alias("prefix"),
+            (F.col("x.rest") - (F.col("x.upto") - F.col("x.held"))).alias("rest"),
+            F.col("x.held").alias("held"),
         )
+        state = materialize(found.coalesce(1) if few else found, "boundary")
     nearer = (F.col("held") - F.col("rest") <= F.col("rest")).cast("long")
     return state.select("rank", (F.col("prefix") + nearer).alias("below"))
 
@@ -99,13 +108,13 @@ def plan(rows: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: int = MO
 
     A document is taken ``whole`` times, and once more if its hash is below the threshold.
     """
-    goal = materialize(targets(rows, weights, most), "targets")
-    few = goal.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
+    goal, few = targets(rows, weights, most)
+    goal = materialize(goal, "targets")
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     goal = goal.withColumn("whole", whole).withColumn("budget", F.col("target") - F.col("whole") * F.col("source_size"))
     named = _known(goal.select(F.col("source").alias("__source"), "rank"), few)
     ranked = rows.join(named, F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
-    limit = thresholds(ranked, goal)
+    limit = thresholds(ranked, goal, few)
     return goal.join(limit, "rank", "left").select("source", "source_size", "target", "whole", F.coalesce("below", F.lit(0)).alias("below")), few
 
 

@@ -140,3 +140,12 @@ def test_mix_edges(spark):
     got = sorted(((r.doc_id, r.size, r.taken) for r in mixing.mix(df).collect()), key=str)
     assert got == [(1, 0, 0), (1, 0, 0), (None, 2, 2)]
     assert mixing.repeat_rows(df).columns == df.columns
+
+
+def test_many_sources_take_another_way_to_the_same_mix(spark, monkeypatch):
+    r = random.Random(11)
+    rows = [(k, "w " * r.randint(0, 30), r.choice([None, *(f"s{j}" for j in range(40))]) if k % 3 else "hot", "x", 1) for k in range(1500)]
+    df = spark.createDataFrame(rows, DOCS)
+    few = {x.doc_id: (x.source_size, round(x.target, 6), x.taken) for x in mixing.mix(df).collect()}
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 3)
+    assert {x.doc_id: (x.source_size, round(x.target, 6), x.taken) for x in mixing.mix(df).collect()} == few
