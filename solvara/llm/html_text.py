@@ -6,8 +6,9 @@ LSTM (numpy) sees the whole sequence and labels every block.  The text is that o
 labelled as article.
 
 The labeller is trained on layouts drawn from a rule: regions of known role (article, menu, header,
-footer, sidebar, notice, advert, form, comments) in semantic tags or in plain elements with the
-usual class names, filled with blocks of a bounded sample of the pages given.
+footer, sidebar, notice, advert, form, comments) in semantic tags, in plain elements with the
+usual class names or without any, or in the cells of a table, filled with passages of a bounded sample
+of the pages given.
 """
 
 from __future__ import annotations
@@ -24,8 +25,13 @@ from pyspark.sql import functions as F
 
 from solvara.llm.common import small_batches
 
-#: Pages whose blocks fill the training layouts (chosen by a hash of page_id), and layouts drawn.
-SAMPLE_PAGES, LAYOUTS, EPOCHS = 200, 1000, 9
+#: Pages whose text fills the training layouts (chosen by a hash of page_id), words of one passage of
+#: it, passages used (chosen by a hash of their text), and layouts drawn.
+SAMPLE_PAGES, PASSAGE_WORDS, PASSAGES, LAYOUTS, EPOCHS = 200, 200, 4000, 1200, 10
+#: Least probability of an article block.
+ARTICLE = 0.45
+#: Shares of layouts in semantic tags, named elements, both, unnamed elements, table cells.
+STYLES = (0.3, 0.34, 0.2, 0.09, 0.07)
 #: Share of training blocks whose words are hidden, so that paths and neighbours decide where words are new.
 BLIND, DECAY = 0.5, 0.02
 BUCKETS, WIDTH, HIDDEN = 4096, 12, 16
@@ -36,16 +42,16 @@ RUN_BLOCKS = 4000
 # ---------------------------------------------------------------- blocks
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|template|noscript|svg|iframe|object|canvas|math)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][\w:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[a-zA-Z/!?][^>]*(?:>|\Z)",
+    r"<!--.*?(?:-->|\Z)|<(script|style|template)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][\w:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[a-zA-Z/!?][^>]*(?:>|\Z)",
     re.S | re.I,
 )
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _HIDDEN = re.compile(r"\bhidden\b|display\s*:\s*none", re.I)
 _PARTS = re.compile(r"[a-z]{2,}")
-BLOCK = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html label legend li main menu nav ol optgroup option p pre search section select summary table tbody td textarea tfoot th thead title tr ul".split())
+BLOCK = frozenset("address article aside audio blockquote body button canvas caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html iframe label legend li main menu nav noscript object ol optgroup option p pre search section select summary table tbody td textarea tfoot th thead title tr ul video".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Start tags that end an open element of these names, as far as the nearest of the limits.
-_P_ENDS = BLOCK - frozenset("body button caption head html label legend li dd dt optgroup option td th tr tbody thead tfoot title".split())
+_P_ENDS = BLOCK - frozenset("audio canvas iframe noscript object video body button caption head html label legend li dd dt optgroup option td th tr tbody thead tfoot title".split())
 _CLOSES = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "option": ("option", ("select",)), "tr": ("tr", ("table",)), "td": ("td th", ("tr",)), "th": ("td th", ("tr",))}
 
 
@@ -53,7 +59,8 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, float]]:
     """The page's leaf blocks in order: path of block elements, text, share of it within links.
 
     Path elements are tag names with the words of class, id and role after dots.  Character
-    references are decoded, white space (``<br>`` included) becomes one blank.
+    references are decoded, white space (``<br>`` included) becomes one blank.  Only comments, scripts,
+    styles and templates are left out.
     """
     out: list[tuple[tuple[str, ...], str, float]] = []
     stack: list[tuple[str, str]] = []  # tag, path element ("" for inline tags)
@@ -88,6 +95,8 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, float]]:
         if not tag:
             continue
         tag = tag.lower()
+        if tag == "title" and any(t == "svg" for t, _ in stack):
+            continue  # the name of a drawing within a line
         if m[2]:
             k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), -1)
             if tag in BLOCK:
@@ -108,7 +117,7 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, float]]:
                         break
                     if stack[k][0] in limits:
                         break
-        if tag in VOID:
+        if tag in VOID or (tag not in BLOCK and m[4] and m[4].endswith("/")):
             continue
         element = ""
         if tag in BLOCK or tag in ("span", "a"):
@@ -283,8 +292,8 @@ class Labeller:
             np.add.at(g[name], np.array([b for q in lists for b in q], dtype=np.int64), part[rows] / size[rows, None])
         return g
 
-    def fit(self, pages: list, labels: list[np.ndarray], seed: int = 5, batch: int = 24, rate: float = 0.01) -> None:
-        """Adam over ``EPOCHS`` epochs; batches hold pages of like lengths."""
+    def fit(self, pages: list, labels: list[np.ndarray], seed: int = 5, batch: int = 40, rate: float = 0.015) -> None:
+        """Adam over ``EPOCHS`` epochs, at a pace that falls to a tenth; batches hold pages of like lengths."""
         r = np.random.default_rng(seed)
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
         v = {k: np.zeros_like(x) for k, x in self.p.items()}
@@ -297,9 +306,9 @@ class Labeller:
                     grad = np.clip(grad, -1, 1)
                     m[name] = 0.9 * m[name] + 0.1 * grad
                     v[name] = 0.99 * v[name] + 0.01 * grad * grad
-                    pace = rate
+                    pace = rate * (1 - 0.9 * step / (EPOCHS * len(batches)))
                     if name == "word":  # words of the pool say nothing of a block's role: only steady evidence stays
-                        pace = 0.3 * rate
+                        pace *= 0.3
                         self.p[name] *= 1 - DECAY
                     self.p[name] -= (pace * (m[name] / (1 - 0.9**step)) / (np.sqrt(v[name] / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
 
@@ -322,7 +331,7 @@ NAMES = {
 PHRASES = {
     "nav": "Home|About|News|Contact|Archive|Products|Blog|Menu|Next|Previous",
     "header": "Welcome|Daily News|The Journal|Skip to content",
-    "footer": "© 2024 All rights reserved.|Privacy policy|Terms of use|Imprint|Powered by|©",
+    "footer": "© 2024 All rights reserved.|Copyright 2024|Privacy policy|Terms of use|Imprint|Powered by|©",
     "side": "Related posts|Most read|Popular|You may also like|Trending|Newest",
     "ad": "Advertisement|Sponsored|Buy now|Special offer|Save 50%",
     "notice": "We use cookies to improve this site.|Accept all|This site uses cookies.|Subscribe to read on.|Please enable JavaScript.",
@@ -334,8 +343,8 @@ _TAGS = {"main": ("article", "main", "section", "div"), "nav": ("nav", "div", "u
 
 
 def layout(r: np.random.Generator, pool: list[str]) -> tuple[list, np.ndarray]:
-    """One page's blocks and labels: regions in a usual order, with semantic tags, named or unnamed elements."""
-    style = r.choice(["semantic", "named", "mixed"], p=[0.35, 0.4, 0.25])
+    """One page's blocks and labels: regions in a usual order, with semantic tags, named or unnamed elements, or table cells."""
+    style = r.choice(["semantic", "named", "mixed", "bare", "table"], p=STYLES)
     pick = lambda x: x[int(r.integers(len(x)))]
 
     def words(low: int, high: int) -> str:
@@ -348,14 +357,16 @@ def layout(r: np.random.Generator, pool: list[str]) -> tuple[list, np.ndarray]:
 
     def element(role: str) -> str:
         tags = _TAGS[role]
+        if style in ("bare", "table"):
+            return "form" if role == "form" and r.random() < 0.7 else "div" if style == "bare" else "td"
         tag = tags[0] if style == "semantic" or (style == "mixed" and r.random() < 0.5) else pick(tags[1:])
         if style == "semantic" and role in ("ad", "notice", "share", "comments") or tag in ("div", "section", "ul", "ol", "dialog") or r.random() < 0.4:
             return ".".join([tag, *{pick(NAMES[role].split()) for _ in range(int(r.integers(1, 3)))}])
         return tag
 
-    root = ("html", "body")
-    for _ in range(int(r.integers(0, 3))):
-        root += (pick(["div", "div.wrapper", "div.container", "div.page", "div.layout", "div.row", "div.col"]),)
+    root = ("html", "body", "table", "tr") if style == "table" else ("html", "body")
+    for _ in range(0 if style == "table" else int(r.integers(0, 3))):
+        root += ("div",) if style == "bare" else (pick(["div", "div.wrapper", "div.container", "div.page", "div.layout", "div.row", "div.col"]),)
     out: list[tuple[tuple[str, ...], str, float, int]] = [(("html", "head", "title"), words(3, 14), 0.0, 0)]
 
     def put(path: tuple[str, ...], text: str, link: float, label: int = 0) -> None:
@@ -371,7 +382,9 @@ def layout(r: np.random.Generator, pool: list[str]) -> tuple[list, np.ndarray]:
 
     def boilerplate(role: str, base: tuple[str, ...]) -> None:
         base += (element(role),)
-        if role == "nav":
+        if role == "nav" and r.random() < (0.5 if style in ("bare", "table") else 0.25):  # all links in one line
+            put(base, " ".join(phrase(role, 1, 2) for _ in range(int(r.integers(2, 7)))), 0.9 + 0.1 * float(r.random()))
+        elif role == "nav":
             listed(base, role, 1, 3, int(r.integers(2, 9)))
         elif role == "header":
             put(base + (pick(["h1", "p", "div", "div.logo", "h2"]),), phrase(role, 1, 6), float(r.random() < 0.5))
@@ -391,12 +404,14 @@ def layout(r: np.random.Generator, pool: list[str]) -> tuple[list, np.ndarray]:
             for _ in range(int(r.integers(1, 3))):
                 put(base + pick([(), ("p",), ("div",), ("button",)]), phrase(role, 2, 30), float(r.random() < 0.3))
         elif role == "comments":
-            if r.random() < 0.7:
-                put(base + (pick(["h2", "h3", "p"]),), phrase(role, 1, 4), 0.0)
-            item = pick([(), ("div.comment",), ("li", "p"), ("article", "p"), ("li.comment", "div"), ("div", "p"), ("p",)])
+            bare = style in ("bare", "table")  # only words tell
+            if bare or r.random() < 0.7:
+                put(base + (pick(["h2", "h3", "p"]),), f"{int(r.integers(1, 99))} comments" if bare and r.random() < 0.5 else phrase(role, 1, 4), 0.0)
+            item = pick([(), ("div",), ("div", "p"), ("p",)] if bare else [(), ("div.comment",), ("li", "p"), ("article", "p"), ("li.comment", "div"), ("div", "p"), ("p",)])
             for _ in range(int(r.integers(1, 6))):
-                if r.random() < 0.4:
-                    put(base + item[:1] + (pick(["cite", "div.meta", "p", "header"]),), phrase(role, 1, 3), 0.0)
+                if r.random() < (0.8 if bare else 0.4):
+                    by = f"{words(1, 2)} {pick(['says:', 'wrote:', 'replied:'])}" if r.random() < 0.5 else phrase(role, 1, 3)
+                    put(base + item[:1] + (pick(["cite", "div" if bare else "div.meta", "p", "header"]),), by, 0.0)
                 put(base + item, words(3, 60), 0.0)
         else:
             for _ in range(int(r.integers(1, 5))):
@@ -418,12 +433,14 @@ def layout(r: np.random.Generator, pool: list[str]) -> tuple[list, np.ndarray]:
         inner += (element("main") if r.random() < 0.6 else "div",)
     if r.random() < 0.85:
         put(inner + (("header", "h1") if r.random() < 0.1 else (pick(["h1", "h1", "h2"]),)), words(2, 14), 0.0, 1)
-    n = int(r.integers(1, 5)) if r.random() < 0.3 else int(r.integers(2, 22))
+    long = r.random() < 0.2  # many short lines
+    n = int(r.integers(20, 80)) if long else int(r.integers(1, 5)) if r.random() < 0.3 else int(r.integers(2, 22))
     leaf = pick(["p", "p", "p", "div", ""])
+    short = 0.9 if long else 0.3
     for k in range(n):
         kind = r.random()
         if kind < 0.8:
-            put(inner + ((leaf,) if leaf else ()), words(1, 12) if r.random() < 0.3 else words(8, 90), 0.0 if r.random() < 0.85 else float(r.random()), 1)
+            put(inner + ((leaf,) if leaf else ()), words(1, 4 if long else 12) if r.random() < short else words(8, 90), 0.0 if r.random() < 0.85 else float(r.random()), 1)
         elif kind < 0.87:
             put(inner + (pick(["h2", "h3", "h4"]),), words(1, 8), 0.0, 1)
         elif kind < 0.93:
@@ -457,11 +474,23 @@ def train(pool: list[str], seed: int = 5) -> Labeller:
 
 
 def fit(pages: DataFrame) -> Labeller:
-    """Trains on blocks of at most ``SAMPLE_PAGES`` pages (each block cut to 200 words there)."""
+    """Trains on at most ``PASSAGES`` passages of the text of at most ``SAMPLE_PAGES`` pages.
+
+    The whole text of the pages is cut into passages where it lies, and a hash chooses among all of
+    them, so that long pages and blocks count with all they hold.
+    """
+    small_batches(pages.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [text.split() for page in b.column(0).to_pylist() for _, text, share in blocks(page) if share < 0.5]
+            cut = [" ".join(x[k : k + PASSAGE_WORDS]) for x in found for k in range(0, len(x), PASSAGE_WORDS)]
+            yield pa.RecordBatch.from_arrays([pa.array(cut, pa.string())], ["passage"])
+
     rows = pages.select(F.col("page_id").cast("string").alias("id"), F.col("html").cast("string").alias("html")).where("html IS NOT NULL")
     ids = rows.select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(SAMPLE_PAGES)
-    sample = rows.join(F.broadcast(ids), "id").orderBy("id", "html").limit(2 * SAMPLE_PAGES).select(F.substring("html", 1, 20_000).alias("html")).collect()
-    return train([" ".join(text.split()[:200]) for row in sample for _, text, share in blocks(row["html"]) if share < 0.5])
+    sample = rows.join(F.broadcast(ids), "id").select("html").mapInArrow(run, "passage string").distinct()
+    return train([r["passage"] for r in sample.orderBy(F.xxhash64("passage"), "passage").limit(PASSAGES).collect()])
 
 
 def main_text(pages: DataFrame, model: Labeller | None = None) -> DataFrame:
@@ -479,7 +508,7 @@ def main_text(pages: DataFrame, model: Labeller | None = None) -> DataFrame:
         for b in batches:
             found = [blocks(x or "") for x in b.column(2).to_pylist()]
             chance = held.value.predict([features.of(x) for x in found])
-            texts = ["\n".join(x[1] for x, p in zip(page, own) if p >= 0.5) for page, own in zip(found, chance)]
+            texts = ["\n".join(x[1] for x, p in zip(page, own) if p >= ARTICLE) for page, own in zip(found, chance)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))

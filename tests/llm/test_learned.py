@@ -131,6 +131,17 @@ def test_blocks():
     assert got == [("div", "a bc"), ("p", "d"), ("p", "e f & g h")]
     assert [t for _, t, _ in html_text.blocks("<div>a</div>i<ul><li>j<li>k</ul><p")] == ["a", "i", "j", "k"]
     assert html_text.blocks("") == [] and html_text.blocks("<p></p><br>") == []
+    # only scripts, styles and templates swallow what they hold; an element that isn't closed loses nothing
+    text = lambda page: [t for _, t, _ in html_text.blocks(page)]
+    assert text('<p>a <svg viewBox="0 0 1 1"/> b</p><p>c</p>') == ["a b", "c"] and text("<p>E = <math><mi>m</mi></math>c</p>") == ["E = mc"]
+    assert text("<p>a</p><object><p>b</p><p>c") == ["a", "b", "c"] and text("<div>x<noscript>y</noscript>z</div>") == ["x", "y", "z"]
+    assert text("<p>one <svg><title>icon</title></svg> line</p>") == ["one icon line"] and text("<p>a</p><template><p>b") == ["a"]
+
+
+SEA = "<h1>A day at the sea</h1><p>We went to the sea early in the morning and stayed there until the evening came over the hills.</p><p>The water was cold, but nobody minded, and the children built a castle of sand.</p>"
+BARE = f"<html><body><div><a href=/>Home</a><a href=/n>News</a></div><div>{SEA}</div><div><h3>2 comments</h3><div>Anna says:</div><div>I like this very much, thanks.</div><div>Ben says:</div><div>Me too, great read.</div></div><div>Copyright 2024</div></body></html>"
+NAMED = f'<html><body><div class=menu><a href=/>Home</a></div><div id=content>{SEA}</div><div class=comments><p>I like this very much, thanks.</p></div><div class=footer>Copyright 2024</div></body></html>'
+TABLE = f"<html><body><table><tr><td><a href=/>Home</a> <a href=/a>About</a></td></tr><tr><td>{SEA}</td><td><a href=/x>Other story</a><br><a href=/y>More news</a></td></tr><tr><td>Copyright 2024</td></tr></table></body></html>"
 
 
 def test_labeller_on_unseen_layouts(spark):
@@ -147,6 +158,16 @@ def test_labeller_on_unseen_layouts(spark):
         own = model.predict([features.of(found)])[0] >= 0.5
         wrong += any(o != any(e.split(".")[0] == "article" for e in p) for o, (p, _, _) in zip(own, found))
     assert wrong <= 0.02 * pages.count()
+    story = [t for _, t, _ in html_text.blocks(SEA)]
+
+    def kept(page):
+        found = html_text.blocks(page)
+        return [t for (_, t, _), p in zip(found, model.predict([features.of(found)])[0]) if p >= html_text.ARTICLE]
+
+    assert kept(NAMED) == story
+    # without telling names: the story stays, comments and footer go
+    assert [t for t in kept(BARE) if t != "HomeNews"] == story
+    assert kept(TABLE)[:2] == story[:2] and set(kept(TABLE)) <= set(story)
     df = spark.createDataFrame([(1, "u", PAGE, 0), (2, None, None, 0), (3, "v", "", 0), (None, "w", "<article>" + "<p>word after word, a sentence.</p>" * 5000 + "</article>", 0)], "page_id long, url string, html string, n_chars int")
     got = {r.page_id: r for r in html_text.main_text(df, model).collect()}
     assert got[1].text == "Title & more\nFirst paragraph of the story that is long enough to be one.\nSecond été one here.\nan item of the list\ntwo items"
