@@ -26,7 +26,7 @@ from solvara.llm.common import code_points, crc32_mod4, letters, materialize, sm
 #: Labelled documents that are learned from, chosen by a hash of doc_id; words in the lexicon.
 TRAIN_ROWS, LEXICON = 20_000, 1000
 #: Least documents and least likelihood ratio (G squared) of a lexicon entry.
-MIN_DOCS, MIN_G2 = 4, 24.0
+MIN_DOCS, MIN_G2 = 4, 15.0
 THRESHOLD = 0.3
 STEMS = range(3, 8)
 TREES, DEPTH = 20, 4
