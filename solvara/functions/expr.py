@@ -191,14 +191,16 @@ def inflation_level(x: Column | str, rule: str = "base") -> Column:
 def intensity(text: Column | str, patterns: Mapping[str, float]) -> Column:
     """The largest weight among the regular expressions found in the text, ignoring case; else 0.
 
-    Patterns of one weight become one alternation, tried from the heaviest down, so that evaluation
-    stops at the first hit.
+    One alternation of all patterns decides first whether any of them is there, which most texts end
+    with; then patterns of one weight are tried together, from the heaviest down, to the first hit.
     """
     by: dict[float, list[str]] = {}
     for pattern, weight in patterns.items():
         by.setdefault(weight, []).append(pattern)
     text, out = F.coalesce(col(text), F.lit("")), None
-    for weight in sorted(by, reverse=True):
-        found = text.rlike("(?i)(?:" + "|".join(by[weight]) + ")")
-        out = F.when(found, F.lit(float(weight))) if out is None else out.when(found, F.lit(float(weight)))
-    return out.otherwise(0.0)
+    any_of = lambda found: text.rlike("(?i)(?:" + "|".join(found) + ")")
+    weights = sorted(by, reverse=True)
+    for weight in weights[:-1]:
+        out = F.when(any_of(by[weight]), F.lit(weight)) if out is None else out.when(any_of(by[weight]), F.lit(weight))
+    last = F.lit(weights[-1])
+    return F.when(any_of(list(patterns)), last if out is None else out.otherwise(last)).otherwise(0.0)

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from solvara.functions import phrase_any, word_pattern
+from solvara.functions import DISTRESS_TOPICS, TOPIC_WEIGHTS, intensity, phrase_any, word_pattern
 from solvara.operators.finance import consolidate_events
 
 
@@ -39,6 +39,37 @@ def lexicon_score(df: DataFrame, text: str, good: Sequence[str], bad: Sequence[s
     return df.withColumn(out, F.coalesce(F.try_divide((g - b).cast("double"), (g + b).cast("double")), F.lit(0.0)))
 
 
+def distress_topics(df: DataFrame, text: str, negative: Column, topics: Mapping[str, Mapping[str, float]] = DISTRESS_TOPICS) -> DataFrame:
+    """An intensity column for each topic, and their composite: topic, intensity and flagged.
+
+    The composite is the largest weighted topic, raised by 30 % of the negative share (0..1).  Below
+    0.20 no topic dominates; else bankruptcy comes before default, and default before litigation,
+    where their own intensities tie.  Null texts have no topic.
+    """
+    out = df.withColumns({name: intensity(text, found) for name, found in topics.items()})
+    best = F.greatest(*[F.col(t) * TOPIC_WEIGHTS[t] for t in topics])
+    share = F.least(F.greatest(F.coalesce(negative, F.lit(0.0)), F.lit(0.0)), F.lit(1.0))
+    out = out.withColumn("intensity", F.least(best * (1.0 + 0.30 * share), F.lit(1.0)))
+    c, names = F.col, ("chapter11_bankruptcy", "default_covenants", "litigation_fraud")
+    topic = F.when(c("intensity") < 0.20, "none")
+    for k, name in enumerate(names):
+        rest = names[k + 1 :]
+        topic = topic.when(c(name) >= F.greatest(*[c(x) for x in rest]) if len(rest) > 1 else c(name) >= c(rest[0]), name) if rest else topic.otherwise(name)
+    return out.withColumn("topic", topic).withColumn("flagged", (c("intensity") >= 0.25).cast("int"))
+
+
+def sentiment_shares(df: DataFrame, text: str, good: Sequence[str], bad: Sequence[str]) -> DataFrame:
+    """positive, negative and neutral shares of a text's words, and their index (positive - negative).
+
+    A lexicon in the place of a language model; an empty text is neutral.
+    """
+    body = F.coalesce(F.col(text), F.lit(""))
+    count = lambda words: F.regexp_count(body, F.lit(word_pattern(words))).cast("double")
+    total = F.greatest(F.regexp_count(body, F.lit(r"[\pL\pN_]+")), F.lit(1))
+    out = df.withColumns({"positive": count(good) / total, "negative": count(bad) / total})
+    return out.withColumns({"neutral": 1.0 - F.col("positive") - F.col("negative"), "index": F.col("positive") - F.col("negative")})
+
+
 def composite_topic(df: DataFrame, topics: Mapping[str, float], negative: Column, boost: float = 0.30, flag_at: float = 0.25) -> DataFrame:
     """The largest weighted topic raised by the negative share and kept within 0..1, its name, and a flag."""
     best = F.greatest(*[F.col(t) * w for t, w in topics.items()])

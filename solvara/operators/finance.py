@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from solvara.functions import clip, ratio
+from solvara.functions import clip, normal_cdf, ratio
 from solvara.operators.ordered import quantiles
 
 
@@ -37,6 +37,75 @@ def accounting_ratios(df: DataFrame) -> DataFrame:
     )
 
 
+def epsilon_ratios(df: DataFrame, eps: float = 1e-5) -> DataFrame:
+    """Ten ratios whose denominators are raised by ``eps``, and the five-factor score of the first five."""
+    c = F.col
+    over = lambda a, b: a / (c(b) + eps)
+    out = df.withColumns(
+        {
+            "r1_wc_ta": over(c("current_assets") - c("current_liabilities"), "total_assets"),
+            "r2_re_ta": over(c("retained_earnings"), "total_assets"),
+            "r3_ebit_ta": over(c("ebit"), "total_assets"),
+            "r4_mve_tl": over(c("market_value"), "total_liabilities"),
+            "r5_sales_ta": over(c("revenue"), "total_assets"),
+            "r6_current": over(c("current_assets"), "current_liabilities"),
+            "r7_quick": over(c("current_assets") - c("inventory"), "current_liabilities"),
+            "r8_debt_assets": over(c("total_liabilities"), "total_assets"),
+            "r9_net_margin": over(c("net_income"), "revenue"),
+            "r10_ebitda_margin": over(c("ebitda"), "revenue"),
+        }
+    )
+    return out.withColumn("z", 1.2 * c("r1_wc_ta") + 1.4 * c("r2_re_ta") + 3.3 * c("r3_ebit_ta") + 0.6 * c("r4_mve_tl") + 0.999 * c("r5_sales_ta"))
+
+
+def structural_proxies(df: DataFrame, entity: str, order: str, eps: float = 1e-5) -> DataFrame:
+    """Firm value, default point, three-period volatility of operating return, distance to default and its
+    probability, interest cover, cash flow to debt and working capital to sales.
+
+    The volatility of an entity's first row is 0.01.
+    """
+    c = F.col
+    w = Window.partitionBy(entity).orderBy(order).rowsBetween(-2, 0)
+    roa = c("ebit") / (c("total_assets") + eps)
+    out = df.withColumn("firm_value", c("market_value") + c("total_liabilities")).withColumn("default_point", c("current_liabilities") + 0.5 * c("long_term_debt"))
+    out = out.withColumn("__roa", roa).withColumn("roa_volatility", F.coalesce(F.stddev_samp("__roa").over(w), F.lit(0.01))).drop("__roa")
+    out = out.withColumn("dtd", F.ln((c("firm_value") + eps) / (c("default_point") + eps)) / (c("roa_volatility") + eps))
+    return out.withColumns(
+        {
+            "pd": normal_cdf(-c("dtd")),
+            "interest_cover": c("ebitda") / (c("long_term_debt") * 0.05 + eps),
+            "cash_flow_to_debt": (c("net_income") + c("depreciation")) / (c("total_liabilities") + eps),
+            "working_capital_to_sales": (c("current_assets") - c("current_liabilities")) / (c("revenue") + eps),
+        }
+    )
+
+
+def request_altman(df: DataFrame, out: str = "altman_z") -> DataFrame:
+    """The five-factor score of a scoring request: null and zero fields fall back to their stand-ins.
+
+    Assets: 1; earnings before interest: net income; market value and sales: assets; liabilities: assets
+    less equity, or half of the assets if that isn't positive.
+    """
+    set_ = lambda name: F.nullif(F.col(name).cast("double"), F.lit(0.0))
+    assets = F.when(F.coalesce(set_("total_assets"), F.lit(1.0)) > 0, F.coalesce(set_("total_assets"), F.lit(1.0))).otherwise(1.0)
+    d = df.withColumn("__ta", assets)
+    ta = F.col("__ta")
+    debt = F.coalesce(set_("total_liabilities"), ta - F.coalesce(F.col("equity").cast("double"), F.lit(0.0)))
+    d = d.withColumn("__tl", F.when(debt <= 0, ta * 0.5).otherwise(debt))
+    part = lambda *names: F.coalesce(*[set_(x) for x in names], F.lit(0.0)) / ta
+    z = 1.2 * part("working_capital") + 1.4 * part("retained_earnings") + 3.3 * part("ebit", "net_income")
+    z = z + 0.6 * F.coalesce(set_("market_value"), ta) / F.col("__tl") + 0.999 * F.coalesce(set_("revenue"), ta) / ta
+    return d.withColumn(out, z).drop("__ta", "__tl")
+
+
+def firm_value_and_sigma(df: DataFrame, debt: str, cap: str, assets: str, volatility: str, market: str) -> DataFrame:
+    """firm_asset_value: debt and market value together, at least the assets and 10,000; sigma_asset: own
+    volatility (if not 0), else the market's, else 0.35, and at least 0.05."""
+    value = F.greatest(F.col(debt) + F.col(cap), F.coalesce(assets, F.lit(0.0)), F.lit(10_000.0))
+    sigma = F.greatest(F.coalesce(F.nullif(F.col(volatility), F.lit(0.0)), market, F.lit(0.35)), F.lit(0.05))
+    return df.withColumns({"firm_asset_value": value, "sigma_asset": sigma})
+
+
 def altman_z(df: DataFrame, out: str = "altman_z") -> DataFrame:
     """The five-factor Z score (weights 1.2, 1.4, 3.3, 0.6, 0.999)."""
     wc = F.col("current_assets") - F.col("current_liabilities")
@@ -156,6 +225,17 @@ def pivot_facts(df: DataFrame, key: str, tag: str, value: str, tags: Sequence[st
     return df.groupBy(key).pivot(tag, list(tags)).agg(F.max_by(value, order))
 
 
+def combined_tags(df: DataFrame, synonyms: dict[str, Sequence[str]]) -> DataFrame:
+    """``<name>_combined``: the first of some synonymous columns that has a value."""
+    return df.withColumns({f"{name}_combined": F.coalesce(*found) for name, found in synonyms.items()})
+
+
+def balanced_sheet(df: DataFrame, assets: str, liabilities: str, equity: str) -> DataFrame:
+    """A missing one of assets, liabilities and equity as the other two give it."""
+    a, b, e = (F.col(x) for x in (assets, liabilities, equity))
+    return df.select("*").withColumns({assets: F.coalesce(a, b + e), liabilities: F.coalesce(b, a - e), equity: F.coalesce(e, a - b)})
+
+
 def consolidate_events(df: DataFrame, entity: str, date: str, source: str) -> DataFrame:
     """Earliest event of each entity with its source, all sources and their number."""
     return df.groupBy(entity).agg(

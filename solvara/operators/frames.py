@@ -8,6 +8,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from solvara.operators.ordered import running_sums
+
 
 def resolve_aliases(df: DataFrame, aliases: Mapping[str, Sequence[str]]) -> DataFrame:
     """Each target as the first non-null of its aliases that exist; null if none exists."""
@@ -82,3 +84,36 @@ def variant_match(df: DataFrame, right: DataFrame, key: str, variants: Sequence[
     rows = df.select("*", F.inline(tries)).join(right, F.col("variant") == F.col(right_key))
     best = F.min("rank").over(Window.partitionBy(key))
     return rows.withColumn("__best", best).where("rank = __best").drop("__best", "rank", "variant")
+
+
+def time_split(df: DataFrame, date: str, last_year: int, share: float = 0.8) -> DataFrame:
+    """``split``: train up to ``last_year``, test after it; where that leaves a side empty, the first ``share``
+    of the rows by date (those of one day together) are train."""
+    train = F.year(F.col(date)) <= last_year
+    sides = df.agg(F.count_if(train).alias("a"), F.count_if(~train).alias("b")).first()
+    if sides["a"] and sides["b"]:
+        return df.withColumn("split", F.when(train, "train").otherwise("test"))
+    days = running_sums(df.groupBy(date).agg(F.count(F.lit(1)).alias("__n")), [date], ["__n"])
+    rank = F.try_divide((F.col("__n_upto") - F.col("__n")).cast("double"), F.col("__n_all") - 1)
+    days = days.select(F.col(date).alias("__d"), F.coalesce(rank, F.lit(0.0)).alias("__p"))
+    return df.join(days, df[date].eqNullSafe(days["__d"])).withColumn("split", F.when(F.col("__p") <= share, "train").otherwise("test")).drop("__d", "__p")
+
+
+def panel_audit(df: DataFrame, key: Sequence[str], date: str, label: str) -> DataFrame:
+    """One row: rows, keys that repeat, first and last year, positives and negatives."""
+    repeated = df.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).agg(F.count_if(F.col("n") > 1).alias("duplicate_keys"))
+    y = F.col(label)
+    return df.agg(
+        F.count(F.lit(1)).alias("rows"), F.min(F.year(date)).alias("first_year"), F.max(F.year(date)).alias("last_year"), F.count_if(y == 1).alias("positives"), F.count_if(y == 0).alias("negatives")
+    ).crossJoin(F.broadcast(repeated))
+
+
+def date_inversions(df: DataFrame, earlier: str, later: str) -> DataFrame:
+    """One row: how often a date that should be later is earlier."""
+    return df.agg(F.count_if(F.col(later) < F.col(earlier)).alias("inversions"))
+
+
+def bad_probability_sums(df: DataFrame, columns: Sequence[str], tolerance: float = 1e-6) -> DataFrame:
+    """One row: rows whose probabilities don't sum to 1."""
+    total = sum((F.col(c) for c in columns), F.lit(0.0))
+    return df.agg(F.count_if(F.abs(total - 1.0) > tolerance).alias("bad_sums"))

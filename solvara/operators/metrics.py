@@ -199,13 +199,21 @@ def ks_2samp(ref: DataFrame, cur: DataFrame, column: str) -> DataFrame:
 
 
 def drift_report(ref: DataFrame, cur: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """feature, psi, ks, means, population deviations and a flag, one row for each column."""
+    """feature, psi, ks and its p-value, means, population deviations, a band, and whether the feature drifted
+    (PSI from 0.10 on, or p < 0.01 with a gap over 0.05), one row for each column."""
     out = None
     for c in columns:
         stats = ref.agg(F.avg(c).alias("ref_mean"), F.stddev_pop(c).alias("ref_std")).crossJoin(cur.agg(F.avg(c).alias("cur_mean"), F.stddev_pop(c).alias("cur_std")))
         row = psi(ref, cur, c).crossJoin(ks_2samp(ref, cur, c)).crossJoin(stats).withColumn("feature", F.lit(c))
         out = row if out is None else out.unionByName(row)
-    return out.withColumn("band", F.when(F.col("psi") >= 0.25, "severe").when(F.col("psi") >= 0.10, "moderate").otherwise("stable"))
+    out = out.withColumn("band", F.when(F.col("psi") >= 0.25, "severe").when(F.col("psi") >= 0.10, "moderate").otherwise("stable"))
+    return out.withColumn("drifted", (F.col("psi") >= 0.10) | ((F.col("p_value") < 0.01) & (F.col("ks") > 0.05)))
+
+
+def score_drift(ref: DataFrame, cur: DataFrame, score: str, tau: float) -> DataFrame:
+    """One row: PSI, KS gap and p-value of a score, mean scores and shares of alerts (score from ``tau`` on)."""
+    own = lambda df, name: df.agg(F.avg(score).alias(f"{name}_mean"), F.avg((F.col(score) >= tau).cast("double")).alias(f"{name}_alerts"))
+    return psi(ref, cur, score).crossJoin(ks_2samp(ref, cur, score)).crossJoin(own(ref, "ref")).crossJoin(own(cur, "cur"))
 
 
 def purged_folds(df: DataFrame, date: str, n_splits: int = 5, purge_days: int = 365) -> DataFrame:

@@ -17,6 +17,10 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from solvara.operators.finance import apply_median_scale, fit_median_scale, winsorise
+from solvara.operators.ordered import quantiles
+from solvara.sources import saved
+
 _HIDDEN = ["__x", "__raw", "__prob", "__pred"]
 
 
@@ -178,3 +182,198 @@ def isolation_forest(df: DataFrame, key: str, features: Sequence[str], trees: in
 def _path(n: int) -> float:
     """Mean depth of an unsuccessful search among ``n`` rows."""
     return 0.0 if n <= 1 else 1.0 if n == 2 else 2.0 * (math.log(n - 1) + 0.5772156649015329) - 2.0 * (n - 1) / n
+
+
+# ---------------------------------------------------------------- mixtures with named components
+
+
+def regime_order(rate: str, unemployment: str, growth: str) -> Callable[[list[dict[str, float]]], list[int]]:
+    """Three components as expansion, tightening and crisis: tightening has the highest rate, crisis the highest
+    unemployment (the lowest growth, if that is the same one), expansion is the rest."""
+
+    def order(means: list[dict[str, float]]) -> list[int]:
+        every = range(len(means))
+        tight = max(every, key=lambda k: (means[k][rate], -k))
+        crisis = max(every, key=lambda k: (means[k][unemployment], -k))
+        if crisis == tight:
+            crisis = min((k for k in every if k != tight), key=lambda k: (means[k][growth], k))
+        return [*(k for k in every if k not in (tight, crisis)), tight, crisis]
+
+    return order
+
+
+def sum_order(*columns: str) -> Callable[[list[dict[str, float]]], list[int]]:
+    """Components by the sum of some means, from the least."""
+    return lambda means: sorted(range(len(means)), key=lambda k: (sum(means[k][c] for c in columns), k))
+
+
+def normalised(df: DataFrame, scores: Sequence[str]) -> DataFrame:
+    """``<s>_prob``: each score's share of their sum (equal shares of 0), ``component`` and ``component_name`` of the
+    largest, the first one where they tie."""
+    total = sum((F.col(s) for s in scores), F.lit(0.0))
+    out = df.withColumns({f"{s}_prob": F.coalesce(F.try_divide(F.col(s).cast("double"), total), F.lit(1.0 / len(scores))) for s in scores})
+    p = F.array(*[F.col(f"{s}_prob") for s in scores])
+    out = out.withColumn("component", (F.array_position(p, F.array_max(p)) - 1).cast("int"))
+    return out.withColumn("component_name", F.array(*[F.lit(s) for s in scores])[F.col("component")])
+
+
+def named_mixture(df: DataFrame, features: Sequence[str], k: int, order: Callable[[list[dict[str, float]]], list[int]], names: Sequence[str], winsor: bool = False, seed: int = 42, starts: int = 5) -> DataFrame:
+    """``df`` with a probability column for each named component, their sum being 1, and ``component`` and
+    ``component_name`` of the largest.
+
+    Missing values take the median, values beyond P1 and P99 are moved there if ``winsor`` says so, all are
+    scaled, and ``order`` puts the fitted components (their means in the features' own units) in the order of names.
+    Of ``starts`` fits the likeliest is taken.
+    """
+    data = df.withColumns({f"__f_{f}": F.col(f).cast("double") for f in features})
+    inner = [f"__f_{f}" for f in features]
+    if winsor:
+        data = winsorise(data, inner)
+    fitted = fit_median_scale(data, inner)
+    scaled = saved(apply_median_scale(data, fitted, inner), "scaled")
+    units = fitted.first()
+    rows = _vector(scaled, inner)
+    fits = [GaussianMixture(featuresCol="__x", predictionCol="__pred", probabilityCol="__prob", k=k, seed=seed + j, maxIter=100).fit(rows) for j in range(starts)]
+    model = max(fits, key=lambda m: m.summary.logLikelihood)
+    means = [{f: float(r["mean"][j]) * (units[f"__f_{f}__std"] or 1.0) + units[f"__f_{f}__mean"] for j, f in enumerate(features)} for r in model.gaussiansDF.select("mean").collect()]
+    place = order(means)
+    p = vector_to_array("__prob")
+    out = model.transform(rows).withColumn("__p", F.array(*[p[j] for j in place]))
+    out = out.withColumns({n: F.col("__p")[j] for j, n in enumerate(names)}) if not set(names) & set(df.columns) else out
+    return normalised(out, names).drop("__p", *names, *inner, *_HIDDEN)
+
+
+def diagonal_mixture(df: DataFrame, features: Sequence[str], k: int, rounds: int = 60, tolerance: float = 1e-3, seed: int = 42) -> tuple[float, int, int]:
+    """(log-likelihood, rows, free parameters) of a mixture with diagonal covariances.
+
+    Each round of expectation and maximisation is one aggregate of sufficient statistics over all rows.
+    """
+    x = saved(df.select(*[F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f) for f in features]), "mixture")
+    total = x.agg(F.count(F.lit(1)).alias("n"), *[F.var_pop(f).alias(f) for f in features]).first()
+    n, d = total["n"], len(features)
+    start = x.distinct().orderBy(F.xxhash64(*features, F.lit(seed)), *features).limit(k).collect()
+    mean = [[float(r[f]) for f in features] for r in start]
+    var = [[max(total[f] or 0.0, 1e-6) for f in features] for _ in start]
+    weight, last = [1.0 / len(start)] * len(start), -math.inf
+    for _ in range(rounds):
+        logs = [
+            sum((-0.5 * (F.pow(F.col(f) - m, F.lit(2.0)) / v + math.log(2 * math.pi * v)) for f, m, v in zip(features, mean[j], var[j])), F.lit(math.log(max(weight[j], 1e-300))))
+            for j in range(len(start))
+        ]
+        rows = x.withColumn("__l", F.array(*logs)).withColumn("__top", F.array_max("__l"))
+        rows = rows.withColumn("__ll", F.col("__top") + F.ln(F.aggregate("__l", F.lit(0.0), lambda a, l: a + F.exp(l - F.col("__top")))))
+        rows = rows.withColumns({f"__r{j}": F.exp(F.col("__l")[j] - F.col("__ll")) for j in range(len(start))})
+        each = [e for j in range(len(start)) for e in (F.sum(f"__r{j}"), *[F.sum(F.col(f"__r{j}") * F.col(f)) for f in features], *[F.sum(F.col(f"__r{j}") * F.col(f) * F.col(f)) for f in features])]
+        got = [float(v) for v in rows.agg(F.sum("__ll"), *each).first()]
+        for j in range(len(start)):
+            own = got[1 + j * (2 * d + 1) : 1 + (j + 1) * (2 * d + 1)]
+            size = max(own[0], 1e-12)
+            weight[j] = own[0] / n
+            mean[j] = [s / size for s in own[1 : d + 1]]
+            var[j] = [max(q / size - m * m, 1e-6) for q, m in zip(own[d + 1 :], mean[j])]
+        if got[0] - last < tolerance * n:
+            break
+        last = got[0]
+    return got[0], n, len(start) * 2 * d + len(start) - 1
+
+
+def mixture_selection(df: DataFrame, features: Sequence[str], ks: Sequence[int] = (2, 3, 4, 5), seed: int = 42) -> DataFrame:
+    """(covariance, k, log_likelihood, bic, aic, best) of full and diagonal mixtures; best has the least BIC."""
+    full = [("full", r["k"], r["log_likelihood"], r["bic"], r["aic"]) for r in mixture_bic(df, features, ks, seed).collect()]
+    diag = []
+    for k in ks:
+        ll, n, free = diagonal_mixture(df, features, k, seed=seed)
+        diag.append(("diag", k, ll, free * math.log(max(n, 1)) - 2 * ll, 2 * free - 2 * ll))
+    rows = full + diag
+    least = min(r[3] for r in rows)
+    return df.sparkSession.createDataFrame([(*r, r[3] == least) for r in rows], "covariance string, k int, log_likelihood double, bic double, aic double, best boolean")
+
+
+# ---------------------------------------------------------------- scorecard on weights of evidence
+
+
+def merged_bins(bins: Sequence[tuple[float, int, int]], min_share: float = 0.05, most: int = 6) -> list[tuple[float, int, int]]:
+    """Neighbouring bins (upper edge, good, bad) merged until each has ``min_share`` of the rows, the event rate
+    is monotone, and there are at most ``most``.  Of neighbours the pair of the nearest rates is merged."""
+    bins = [b for b in bins if b[1] + b[2]]
+    total = sum(g + b for _, g, b in bins)
+    rate = lambda x: x[2] / (x[1] + x[2])
+
+    def join(k: int) -> None:
+        a, b = bins[k], bins[k + 1]
+        bins[k : k + 2] = [(b[0], a[1] + b[1], a[2] + b[2])]
+
+    def gap(k: int) -> tuple[float, int]:
+        return abs(rate(bins[k]) - rate(bins[k + 1])), k
+
+    while len(bins) > 1:
+        small = [k for k, (_, g, b) in enumerate(bins) if g + b < min_share * total]
+        if small:
+            k = min(small, key=lambda j: (bins[j][1] + bins[j][2], j))
+            join(min((x for x in (k - 1, k) if 0 <= x < len(bins) - 1), key=gap))
+            continue
+        steps = [rate(b) - rate(a) for a, b in zip(bins, bins[1:])]
+        turns = [k for k in range(len(steps)) if (steps[k] < 0 if rate(bins[-1]) >= rate(bins[0]) else steps[k] > 0)]
+        if not turns and len(bins) <= most:
+            break
+        join(min(turns or range(len(bins) - 1), key=gap))
+    return bins
+
+
+def woe_table(df: DataFrame, feature: str, label: str, prebins: int = 20, min_share: float = 0.05, most: int = 6) -> list[dict]:
+    """The bins of a feature: low (not included), high, good, bad, woe and iv; nulls have a bin of their own.
+
+    Rows are counted in quantile bins (each of 1 / ``prebins``, 5 % by default), and only their counts
+    are merged.  ``woe`` is ln((good / all good) / (bad / all bad)), with a half added to each count.
+    """
+    edges = quantiles(df, feature, [k / prebins for k in range(1, prebins)]).first()["q"]
+    edges = sorted(set(edges or []))
+    x = F.col(feature).cast("double")
+    place = F.when(x.isNull(), -1).otherwise(sum(((x > e).cast("int") for e in edges), F.lit(0)))
+    y = F.col(label).cast("int")
+    counts = {r["b"]: (r["good"], r["bad"]) for r in df.groupBy(place.alias("b")).agg(F.sum(1 - y).alias("good"), F.sum(y).alias("bad")).collect()}
+    good, bad = (sum(c[j] for c in counts.values()) for j in (0, 1))
+    found = merged_bins([(e, *counts.get(k, (0, 0))) for k, e in enumerate([*edges, math.inf])], min_share, most)
+    rows, low = [], -math.inf
+    for high, g, b in [*found, *([(None, *counts[-1])] if -1 in counts else [])]:
+        share = ((g + 0.5) / (good + 0.5), (b + 0.5) / (bad + 0.5))
+        woe = math.log(share[0] / share[1])
+        rows.append({"feature": feature, "low": None if high is None else low, "high": high, "good": int(g), "bad": int(b), "woe": woe, "iv": (share[0] - share[1]) * woe})
+        low = high if high is not None else low
+    return rows
+
+
+def woe_scorecard(train: DataFrame, features: Sequence[str], label: str, low: float = 300.0, high: float = 850.0, c: float = 0.1) -> Callable[[DataFrame], DataFrame]:
+    """A function that adds ``score`` (probability) and ``points``; its ``table`` has the bins with their points.
+
+    Features become weights of evidence, a balanced logistic model is fitted to them, and points run from
+    ``low`` for the worst bins together to ``high`` for the best.
+    """
+    tables = {f: woe_table(train, f, label) for f in features}
+
+    def evidence(df: DataFrame) -> DataFrame:
+        made = {}
+        for f, bins in tables.items():
+            x = F.col(f).cast("double")
+            missing = next((b["woe"] for b in bins if b["high"] is None), 0.0)
+            out = F.when(x.isNull(), F.lit(missing))
+            for b in (b for b in bins if b["high"] is not None and b["high"] < math.inf):
+                out = out.when(x <= b["high"], F.lit(b["woe"]))
+            made[f"__woe_{f}"] = out.otherwise(F.lit(next((b["woe"] for b in bins if b["high"] == math.inf), 0.0)))
+        return df.withColumns(made)
+
+    names = [f"__woe_{f}" for f in features]
+    rows = evidence(train)
+    score = fit_classifier(balanced_weight(rows, label, "__weight"), names, label, "logistic", "__weight", maxIter=300, regParam=1.0 / (c * max(rows.count(), 1)))
+    weight = dict(zip(features, map(float, score.model.coefficients)))
+    ends = {f: (min(weight[f] * b["woe"] for b in tables[f]), max(weight[f] * b["woe"] for b in tables[f])) for f in features}
+    best, worst = sum(e[0] for e in ends.values()), sum(e[1] for e in ends.values())
+    scale = (high - low) / (worst - best) if worst > best else 0.0
+
+    def apply(df: DataFrame) -> DataFrame:
+        out = score(evidence(df))
+        margin = sum((F.col(f"__woe_{f}") * weight[f] for f in features), F.lit(0.0))
+        return out.withColumn("points", high - (margin - best) * scale).drop(*names)
+
+    apply.table = [b | {"points": high / len(features) - (weight[f] * b["woe"] - best / len(features)) * scale} for f in features for b in tables[f]]
+    return apply

@@ -7,11 +7,17 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from solvara.functions import ladder, logistic
+from solvara.functions import inflation_level, ladder, logistic
+from solvara.operators.finance import apply_median_scale
+from solvara.operators.ordered import quantiles
 
 #: Probability tiers and scorecard bands, from the highest bound down.
 TIERS = ((0.50, "critical"), (0.25, "high"), (0.10, "moderate"))
 BANDS = ((750, "A"), (700, "B"), (650, "C"), (600, "D"), (550, "E"))
+#: Rating bands of the two scorecard services ("D" below), and decisions of the first.
+RATING_BANDS = ((750, "AAA"), (700, "AA"), (650, "A"), (600, "BBB"), (550, "BB"), (500, "B"), (450, "CCC"))
+SERVICE_BANDS = ((780, "AAA"), (720, "AA"), (660, "A"), (600, "BBB"), (540, "BB"), (480, "B"), (400, "CCC"))
+RATING_DECISIONS = ((600, "approve"), (550, "watch"), (500, "high risk"))
 
 
 def score_batch(df: DataFrame, probability: Column | str, tau: float, fn_cost: float = 6e6, fp_cost: float = 250e3) -> DataFrame:
@@ -45,6 +51,81 @@ def scorecard_points(p: Column, low: float = 300.0, high: float = 850.0) -> Colu
     return high - (high - low) * p
 
 
+def rated(df: DataFrame, points: str) -> DataFrame:
+    """Both rating bands, the decision and the implied probability of scorecard points kept within 300..850."""
+    p = F.least(F.greatest(F.col(points), F.lit(300.0)), F.lit(850.0))
+    out = df.withColumn(points, p)
+    return out.withColumns(
+        {
+            "rating": ladder(points, RATING_BANDS, "D"),
+            "service_rating": ladder(points, SERVICE_BANDS, "D"),
+            "decision": ladder(points, RATING_DECISIONS, "reject"),
+            "implied_pd": F.least(F.greatest((850.0 - F.col(points)) / 550.0, F.lit(0.0001)), F.lit(0.9999)),
+        }
+    )
+
+
+def fallback_pd(df: DataFrame, out: str = "pd") -> DataFrame:
+    """A probability from four flags: negative working capital, negative income, distance to default below 1
+    and assets above three times the equity (2.5 times without positive equity), within 0.001..0.999."""
+    c = F.col
+    assets = F.coalesce(F.nullif(c("total_assets"), F.lit(0.0)), F.lit(1.0))
+    equity = F.coalesce(F.nullif(c("equity"), F.lit(0.0)), F.lit(1.0))
+    leverage = F.when(equity > 0, assets / F.greatest(equity, F.lit(1.0))).otherwise(2.5)
+    logit = F.lit(-2.15)
+    for flag, weight in ((c("working_capital") < 0, 0.85), (c("net_income") < 0, 0.64), (c("distance_to_default") < 1.0, 0.75), (leverage > 3.0, 0.55)):
+        logit = logit + F.when(flag, weight).otherwise(0.0)
+    return df.withColumn(out, F.least(F.greatest(logistic(logit), F.lit(0.001)), F.lit(0.999)))
+
+
+def prepared_features(df: DataFrame, features: Sequence[str], defaults: Mapping[str, float], fitted: DataFrame, inflation: str | None = None) -> DataFrame:
+    """Request rows as model input: absent columns and nulls get their defaults, a yearly inflation rate
+    becomes an index level, then missing values get the training median and all are scaled.
+
+    ``fitted`` is the row of ``fit_median_scale``; text that isn't a number counts as null.
+    """
+    have = set(df.columns)
+    value = {f: F.col(f).try_cast("double") if f in have else F.lit(None).cast("double") for f in features}
+    value = {f: F.when(~F.isnan(v), v) for f, v in value.items()}
+    if inflation in value:
+        value[inflation] = inflation_level(value[inflation], "signed")
+    filled = {f: F.coalesce(v, F.lit(defaults.get(f)).cast("double")) for f, v in value.items()}
+    return apply_median_scale(df.withColumns(filled), fitted, list(features))
+
+
+def cohort_rows(df: DataFrame, key: str, label: str, healthy: Column, n: int, mode: str = "random", seed: int = 42, distressed: float = 0.12) -> DataFrame:
+    """``n`` repeatable sample rows of a cohort: solvent (label 0, healthy ones first if there are any),
+    distressed (label 1), or random, with about a share of distressed rows."""
+    order = F.xxhash64(F.col(key), F.lit(seed))
+    bad, good = F.col(label) == 1, F.col(label) == 0
+    if mode == "distressed":
+        return df.where(bad).orderBy(order, key).limit(n)
+    if mode == "solvent":
+        return df.where(good).orderBy(F.when(healthy, 0).otherwise(1), order, key).limit(n)
+    first = round(distressed * n)
+    few = df.where(bad).orderBy(order, key).limit(first)
+    return few.unionByName(df.where(good).orderBy(order, key).limit(n - first))
+
+
+def synthetic_rows(df: DataFrame, features: Sequence[str], n: int, positive: Sequence[str] = (), seed: int = 42) -> DataFrame:
+    """``n`` rows drawn around the medians: normal noise of a tenth of the quartile distance (at least 15 % of
+    the median, and 1); ``positive`` features are at least 0.01."""
+    stats = None
+    for f in features:
+        one = quantiles(df, f, [0.25, 0.5, 0.75], out=f)
+        stats = one if stats is None else stats.crossJoin(F.broadcast(one))
+    rows = df.sparkSession.range(n).crossJoin(F.broadcast(stats))
+    uniform = lambda k, salt: (F.pmod(F.xxhash64("id", F.lit(k), F.lit(salt), F.lit(seed)), F.lit(2**40)) + 0.5) / float(2**40)
+    made = []
+    for k, f in enumerate(features):
+        noise = F.sqrt(-2.0 * F.ln(uniform(k, 1))) * F.cos(6.283185307179586 * uniform(k, 2))
+        q = F.col(f)
+        spread = F.greatest(F.abs(q[2] - q[0]), F.abs(q[1]) * 0.15, F.lit(1.0))
+        value = q[1] + 0.10 * spread * noise
+        made.append(F.round(F.greatest(value, F.lit(0.01)) if f in positive else value, 2).alias(f))
+    return rows.select("id", *made)
+
+
 def attributions(df: DataFrame, key: str, coefficients: Mapping[str, float], means: DataFrame) -> DataFrame:
     """(key, feature, phi): exact additive parts of a linear margin, ``coef * (x - mean)``.
 

@@ -23,6 +23,20 @@ def asof_join(left: DataFrame, right: DataFrame, by: str, left_ts: str, right_ts
     return carried.select(*left.columns, F.col("__last.__rt").alias(f"asof_{right_ts}"), *[F.col(f"__last.{c}").alias(c) for c in columns])
 
 
+def series_asof(left: DataFrame, series: DataFrame, date: str, month: str, columns: Sequence[str]) -> DataFrame:
+    """Left rows with the values of one monthly series that stand at their date: the last month up to it.
+
+    The series is carried on over the months between, which is a table of months only, and joined by
+    month, so that no time line of all rows is sorted.  Dates before the series have nulls.
+    """
+    ends = series.agg(F.min(month).alias("__a")).crossJoin(left.agg(F.max(date).alias("__b")))
+    spine = ends.where("__a <= __b").select(F.explode(F.sequence(F.trunc("__a", "MM"), F.trunc("__b", "MM"), F.expr("interval 1 month"))).alias("__m"))
+    w = Window.orderBy("__m").rowsBetween(Window.unboundedPreceding, 0)
+    known = spine.join(series.withColumn("__here", F.lit(1)), F.col("__m") == F.col(month), "left")
+    carried = known.withColumn("__last", F.last(F.when(F.col("__here") == 1, F.struct(*columns)), ignorenulls=True).over(w)).select("__m", *[F.col(f"__last.{c}").alias(c) for c in columns])
+    return left.join(carried, F.trunc(F.col(date), "MM") == F.col("__m"), "left").drop("__m")
+
+
 def closed_month_join(left: DataFrame, right: DataFrame, by: str, date: str, month: str, offset: int = 1) -> DataFrame:
     """Left rows with the right row of the month that closed ``offset`` months before the date.
 
@@ -32,6 +46,20 @@ def closed_month_join(left: DataFrame, right: DataFrame, by: str, date: str, mon
     return left.withColumn("__m", key).join(right.withColumnRenamed(month, "__m"), [by, "__m"], "left").withColumnRenamed("__m", month)
 
 
+def alternate_key_join(left: DataFrame, right: DataFrame, keys: Sequence[str], right_key: str, date: str, month: str, defaults: dict[str, object]) -> DataFrame:
+    """Left rows with the right row of the same month under the first of ``keys`` that is a column of ``left``.
+
+    Keys are compared trimmed and in upper case; columns in ``defaults`` take theirs where nothing fits.
+    """
+    key = next((k for k in keys if k in left.columns), None)
+    if key is None:
+        raise ValueError(f"none of {list(keys)} is a column")
+    same = lambda x: F.upper(F.trim(F.col(x)))
+    r = right.select(same(right_key).alias("__key"), F.trunc(F.col(month), "MM").alias("__month"), *defaults)
+    joined = left.join(r, (same(key) == F.col("__key")) & (F.trunc(F.col(date), "MM") == F.col("__month")), "left")
+    return joined.withColumns({c: F.coalesce(F.col(c), F.lit(v)) for c, v in defaults.items()}).drop("__key", "__month")
+
+
 def densify(df: DataFrame, by: str, date: str, step: str = "1 month") -> DataFrame:
     """Each key with every period from its first to its last date."""
     unit = {"1 month": "MM", "1 day": "DD"}[step]

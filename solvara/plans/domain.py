@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from solvara.functions import intensity, ratio
-from solvara.operators import finance, network, timejoin
+from solvara.functions import DISTRESS_TOPICS, intensity, ratio
+from solvara.operators import events, finance, network, timejoin
 from solvara.plans.registry import day_text, filings, query, quotes, rounded, sheet
 
 c = F.col
@@ -152,29 +152,55 @@ def imp04(t):
     return finance.winsorise(filings(t).select("id", "amount"), ["amount"]).select("id", F.round("amount", 4).alias("amount"))
 
 
-#: Topics over words of the given texts.
-TOPICS = {
-    "default": {r"\bpathetic\b": 0.7, r"\bworthless\b": 1.0, r"\bloser\b": 0.5},
-    "court": {r"\blicensed under\b": 0.9, r"\bcopyright\b": 0.6},
-    "people": {r"\bidiot\b": 0.8, r"\bclown\b": 0.4, r"\bscum\b": 0.8},
-}
+#: Headlines that are put before the given texts, which hold no financial news.
+HEADLINES = (
+    "Retailer files for Chapter 11 as lenders balk", "Quarter in line with forecasts", "Maker warns of covenant breach", "SEC investigation widens", "Bond default looms for shipper", "New stores in spring",
+    "Airline in bankruptcy court over leases", "Cash crunch at builder", "Class action lawsuit against lender", "Auditor raises going concern doubt", "Rating cut to junk", "Financial restructuring agreed",
+)
+_NEWS = "news AS (SELECT doc_id, CASE doc_id % 12 " + " ".join(f"WHEN {k} THEN '{x}'" for k, x in enumerate(HEADLINES)) + " END || chr(10) || coalesce(text, '') AS text FROM documents)"
+
+
+def _news(t):
+    titles = F.array(*[F.lit(x) for x in HEADLINES])
+    return t("documents").select("doc_id", F.concat(F.element_at(titles, (c("doc_id") % 12 + 1).cast("int")), F.lit("\n"), F.coalesce("text", F.lit(""))).alias("text"))
 
 
 def _topic_sql(p: dict) -> str:
-    order = sorted(p.items(), key=lambda kv: -kv[1])
-    return "CASE " + " ".join(f"WHEN regexp_matches(text, '(?i){k}') THEN {v}" for k, v in order) + " ELSE 0.0 END"
+    by: dict[float, list[str]] = {}
+    for pattern, weight in p.items():
+        by.setdefault(weight, []).append(pattern)
+    return "(CASE " + " ".join(f"WHEN regexp_matches(text, '(?i)(?:{'|'.join(by[w])})') THEN {w}" for w in sorted(by, reverse=True)) + " ELSE 0 END)::DOUBLE"
+
+
+_TOPICS = f"{_NEWS}, i AS (SELECT doc_id, " + ", ".join(f"{_topic_sql(p)} AS {n}" for n, p in DISTRESS_TOPICS.items()) + " FROM news)"
+
+
+@query("nlp02_topic_intensity", f"WITH {_TOPICS} SELECT * FROM i")
+def nlp02(t):
+    return _news(t).select("doc_id", *[intensity("text", p).alias(n) for n, p in DISTRESS_TOPICS.items()])
 
 
 @query(
-    "nlp02_topic_intensity",
-    "WITH i AS (SELECT doc_id, "
-    + ", ".join(f"{_topic_sql(p)}::DOUBLE AS {n}" for n, p in TOPICS.items())
-    + ' FROM documents) SELECT doc_id, "default", court, people, round(greatest("default", 0.9 * court, 0.8 * people), 6)::DOUBLE AS composite, (greatest("default", 0.9 * court, 0.8 * people) >= 0.25)::INTEGER AS flagged FROM i',
+    "nlp03_composite",
+    f"""WITH {_TOPICS}, n AS (SELECT *, (doc_id % 5) / 4.0 AS neg, greatest(chapter11_bankruptcy, 0.9 * default_covenants, 0.8 * litigation_fraud) AS best FROM i), x AS (SELECT *, least(best * (1 + 0.3 * neg), 1.0) AS v FROM n)
+    SELECT doc_id, round(v, 6)::DOUBLE AS intensity, (v >= 0.25)::INTEGER AS flagged, CASE WHEN v < 0.2 THEN 'none' WHEN chapter11_bankruptcy >= greatest(default_covenants, litigation_fraud) THEN 'chapter11_bankruptcy' WHEN default_covenants >= litigation_fraud THEN 'default_covenants' ELSE 'litigation_fraud' END AS topic FROM x""",
 )
-def nlp02(t):
-    d = t("documents").select("doc_id", *[intensity("text", p).alias(n) for n, p in TOPICS.items()])
-    d = d.withColumn("composite", F.round(F.greatest(c("default"), 0.9 * c("court"), 0.8 * c("people")), 6))
-    return d.withColumn("flagged", (c("composite") >= 0.25).cast("int"))
+def nlp03(t):
+    n = events.distress_topics(_news(t), "text", (c("doc_id") % 5) / 4.0)
+    return rounded(n, 6, "intensity").select("doc_id", "intensity", "flagged", "topic")
+
+
+_GOOD, _BAD = ("agreed", "forecasts", "new", "spring"), ("breach", "default", "crunch", "junk", "doubt", "bankruptcy", "lawsuit")
+
+
+@query(
+    "nlp04_lexicon_sentiment",
+    f"""WITH {_NEWS}, w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\pL\\pN_]+') AS w FROM news), k AS (SELECT doc_id, greatest(len(w), 1) AS n, len(list_filter(w, lambda x: x IN {_GOOD})) AS g, len(list_filter(w, lambda x: x IN {_BAD})) AS b FROM w)
+    SELECT doc_id, round(g / n, 8) AS positive, round(b / n, 8) AS negative, round(1 - g / n - b / n, 8) AS neutral, round(g / n - b / n, 8) AS "index" FROM k""",
+)
+def nlp04(t):
+    s = events.sentiment_shares(_news(t), "text", _GOOD, _BAD)
+    return rounded(s.select("doc_id", "positive", "negative", "neutral", "index"), 8, "positive", "negative", "neutral", "index")
 
 
 @query(
@@ -203,14 +229,13 @@ def _window(q):
     return network.window_returns(timejoin.returns(q, "ticker", "day", "price", (1,)), "ticker", "day", "return_1", months=2, min_valid=0.1)
 
 
-@query("net01_window", """WITH r AS (SELECT ticker, day, price / nullif(lag(price) OVER (PARTITION BY ticker ORDER BY day), 0) - 1 AS ret FROM quotes WHERE day < DATE '1996-01-01'),
+@query("net01_window", """WITH r AS (SELECT ticker, day, price / nullif(lag(price) OVER (PARTITION BY ticker ORDER BY day), 0) - 1 AS ret FROM quotes),
     s AS (SELECT ticker, day, ret, (date_trunc('month', day) + to_months(k::INTEGER))::DATE AS ym FROM r, range(0, 2) x(k) WHERE ret IS NOT NULL),
     d AS (SELECT ym, count(DISTINCT day) AS days FROM s GROUP BY ym HAVING max(date_trunc('month', day)::DATE) = ym),
     p AS (SELECT ym, ticker, count(*) AS valid FROM s GROUP BY ALL)
     SELECT strftime(ym, '%Y-%m-%d') AS ym, count(*) AS tickers, sum(valid)::BIGINT AS points FROM p JOIN d USING (ym) WHERE valid >= 0.1 * days GROUP BY 1""")
 def net01(t):
-    # as in its SQL; the queries below take every month
-    w = _window(quotes(t).where("day < DATE '1996-01-01'")).groupBy("ym", "ticker").agg(F.count(F.lit(1)).alias("valid"))
+    w = _window(quotes(t)).groupBy("ym", "ticker").agg(F.count(F.lit(1)).alias("valid"))
     return w.groupBy(day_text("ym").alias("ym")).agg(F.count(F.lit(1)).alias("tickers"), F.sum("valid").alias("points"))
 
 

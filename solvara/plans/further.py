@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from solvara.functions import clip, normal_cdf, ratio, word_count, word_pattern
+from solvara.functions import clip, normal_cdf, word_count, word_pattern
 from solvara.operators import events, finance, metrics, ordered, scoring, timejoin
 from solvara.plans.registry import day_text, filings, query, quotes, rounded, scored, sheet
 
@@ -93,18 +93,65 @@ def lbl04(t):
     return events.merged_events([events.headline_events(d, "source", "doc_id", "text", ["licensed under"])], white).select("entity", "first_date")
 
 
-@query("rat06_protected", "SELECT entity, round(net_income / (total_assets + 1e-9), 8) AS r1, round(current_assets / (current_liabilities + 1e-9), 4) AS r2 FROM sheet WHERE total_assets > 0 AND current_liabilities > 0")
+_STATEMENT = """x AS (SELECT o_orderkey AS id, o_custkey AS entity, CAST(o_orderdate AS DATE) AS day, o_totalprice AS total_assets, o_totalprice * 0.4 AS current_assets, sum(l_extendedprice * l_discount) AS current_liabilities, sum(l_extendedprice * l_tax) * 2 AS long_term_debt,
+  sum(l_extendedprice) - o_totalprice AS net_income, sum(l_extendedprice * 0.05) AS ebit, sum(l_quantity) AS inventory, count(*) * 100.0 AS depreciation FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey, o_custkey, o_orderdate, o_totalprice),
+  y AS (SELECT *, current_liabilities + long_term_debt AS total_liabilities, net_income * 3 AS retained_earnings, total_assets * 0.7 AS market_value, total_assets * 1.1 AS revenue, ebit + depreciation AS ebitda FROM x)"""
+
+
+def _statement(t):
+    """Statements with all positions: sums of an order's lines."""
+    l, price = t("lineitem"), c("l_extendedprice")
+    s = l.groupBy(c("l_orderkey").alias("id")).agg(
+        F.sum(price * c("l_discount")).alias("current_liabilities"), (F.sum(price * c("l_tax")) * 2).alias("long_term_debt"), F.sum(price).alias("sold"),
+        F.sum(price * 0.05).alias("ebit"), F.sum("l_quantity").alias("inventory"), (F.count(F.lit(1)) * 100.0).alias("depreciation"),
+    )
+    x = t("orders").select(c("o_orderkey").alias("id"), c("o_custkey").alias("entity"), F.to_date("o_orderdate").alias("day"), c("o_totalprice").alias("total_assets")).join(s, "id")
+    x = x.withColumns({"current_assets": c("total_assets") * 0.4, "net_income": c("sold") - c("total_assets"), "total_liabilities": c("current_liabilities") + c("long_term_debt"), "market_value": c("total_assets") * 0.7, "revenue": c("total_assets") * 1.1, "ebitda": c("ebit") + c("depreciation")})
+    return x.withColumn("retained_earnings", c("net_income") * 3)
+
+
+_R = {
+    "r1_wc_ta": "(current_assets - current_liabilities) / (total_assets + 1e-5)", "r2_re_ta": "retained_earnings / (total_assets + 1e-5)", "r3_ebit_ta": "ebit / (total_assets + 1e-5)", "r4_mve_tl": "market_value / (total_liabilities + 1e-5)", "r5_sales_ta": "revenue / (total_assets + 1e-5)",
+    "r6_current": "current_assets / (current_liabilities + 1e-5)", "r7_quick": "(current_assets - inventory) / (current_liabilities + 1e-5)", "r8_debt_assets": "total_liabilities / (total_assets + 1e-5)", "r9_net_margin": "net_income / (revenue + 1e-5)", "r10_ebitda_margin": "ebitda / (revenue + 1e-5)",
+}
+
+
+@query("rat06_protected", f"WITH {_STATEMENT}, r AS (SELECT id, {', '.join(f'{v} AS {k}' for k, v in _R.items())} FROM y) SELECT id, {', '.join(f'round({k}, 6) AS {k}' for k in _R if k not in ('r6_current', 'r7_quick', 'r4_mve_tl'))}, round(r6_current, 0) AS r6_current, round(r7_quick, 0) AS r7_quick, round(r4_mve_tl, 0) AS r4_mve_tl, round(1.2 * r1_wc_ta + 1.4 * r2_re_ta + 3.3 * r3_ebit_ta + 0.6 * r4_mve_tl + 0.999 * r5_sales_ta, 0) AS z FROM r")
 def rat06(t):
-    s = sheet(t).where("total_assets > 0 AND current_liabilities > 0")
-    return s.select("entity", F.round(c("net_income") / (c("total_assets") + 1e-9), 8).alias("r1"), F.round(c("current_assets") / (c("current_liabilities") + 1e-9), 4).alias("r2"))
+    r = finance.epsilon_ratios(_statement(t)).select("id", *_R, "z")
+    big = ["r6_current", "r7_quick", "r4_mve_tl", "z"]  # no denominator: values of 1e9 and more
+    return rounded(rounded(r, 6, *[k for k in _R if k not in big]), 0, *big)
 
 
-@query("rat09_structural")
-def rat09(t):
+@query("rat08_request_altman", """WITH r AS (SELECT entity, total_assets AS ta0, nullif(net_income, 0) AS ni, nullif(ebit * (entity % 3), 0) AS eb, nullif(retained_earnings * (entity % 2), 0) AS re, nullif(equity, 0) AS eq, nullif(current_liabilities, 0) AS tl0, nullif(cash, 0) AS mv, nullif(revenue * (entity % 2), 0) AS sales, nullif(current_assets - current_liabilities, 0) AS wc FROM sheet),
+  a AS (SELECT *, CASE WHEN coalesce(nullif(ta0, 0), 1) > 0 THEN coalesce(nullif(ta0, 0), 1) ELSE 1 END AS ta FROM r), b AS (SELECT *, coalesce(tl0, ta - coalesce(eq, 0)) AS tl1 FROM a), d AS (SELECT *, CASE WHEN tl1 <= 0 THEN ta * 0.5 ELSE tl1 END AS tl FROM b)
+  SELECT entity, round(1.2 * coalesce(wc, 0) / ta + 1.4 * coalesce(re, 0) / ta + 3.3 * coalesce(eb, ni, 0) / ta + 0.6 * coalesce(mv, ta) / tl + 0.999 * coalesce(sales, ta) / ta, 4) AS altman_z FROM d""")
+def rat08(t):
     s = sheet(t)
-    point = c("current_liabilities") + 0.5 * F.greatest(c("total_assets") - c("current_liabilities"), F.lit(0.0))
-    dtd = finance.distance_to_default(c("total_assets"), point, F.lit(0.35))
-    return s.select("entity", dtd.alias("dtd"), normal_cdf(-dtd).alias("pd"), ratio("operating_cash_flow", "total_assets").alias("cash_to_assets"))
+    r = s.select("entity", "total_assets", "net_income", "equity", (c("ebit") * (c("entity") % 3)).alias("ebit"), (c("retained_earnings") * (c("entity") % 2)).alias("retained_earnings"), c("current_liabilities").alias("total_liabilities"), c("cash").alias("market_value"), (c("revenue") * (c("entity") % 2)).alias("revenue"), (c("current_assets") - c("current_liabilities")).alias("working_capital"))
+    return rounded(finance.request_altman(r), 4, "altman_z").select("entity", "altman_z")
+
+
+@query("rat09_structural", f"""WITH {_STATEMENT}, v AS (SELECT *, market_value + total_liabilities AS firm_value, current_liabilities + 0.5 * long_term_debt AS default_point, coalesce(stddev_samp(ebit / (total_assets + 1e-5)) OVER (PARTITION BY entity ORDER BY day, id ROWS 2 PRECEDING), 0.01) AS vol FROM y)
+  SELECT id, round(firm_value, 6) AS firm_value, round(default_point, 6) AS default_point, round(vol, 6) AS roa_volatility, round(ln((firm_value + 1e-5) / (default_point + 1e-5)) / (vol + 1e-5), 2) + 0 AS dtd, round((net_income + depreciation) / (total_liabilities + 1e-5), 0) + 0 AS cash_flow_to_debt,
+  round((current_assets - current_liabilities) / (revenue + 1e-5), 6) AS working_capital_to_sales, round(ebitda / (long_term_debt * 0.05 + 1e-5), 0) AS interest_cover FROM v""")
+def rat09(t):
+    s = finance.structural_proxies(_statement(t).withColumn("at", F.struct("day", "id")), "entity", "at")
+    s = rounded(rounded(rounded(s, 2, "dtd"), 6, "firm_value", "default_point", "roa_volatility", "working_capital_to_sales"), 0, "cash_flow_to_debt", "interest_cover")
+    return s.select("id", "firm_value", "default_point", "roa_volatility", "dtd", "cash_flow_to_debt", "working_capital_to_sales", "interest_cover")
+
+
+@query("rat09_pd", "WITH s AS (SELECT entity, (ln(total_assets / current_liabilities) + 0.05 - 0.35 * 0.35 / 2) / 0.35 AS d FROM sheet WHERE total_assets > 0 AND current_liabilities > 0) SELECT entity, round(CASE WHEN d >= 0 THEN (SELECT sum(exp(-power(d + (k + 0.5) * 0.001, 2) / 2)) * 0.001 / 2.5066282746310002 FROM range(0, 9000) steps(k)) ELSE 1 - (SELECT sum(exp(-power(-d + (k + 0.5) * 0.001, 2) / 2)) * 0.001 / 2.5066282746310002 FROM range(0, 9000) steps(k)) END, 5) AS pd FROM s")
+def rat09_pd(t):
+    s = sheet(t).where("total_assets > 0 AND current_liabilities > 0")
+    return s.select("entity", F.round(normal_cdf(-finance.distance_to_default(c("total_assets"), c("current_liabilities"), F.lit(0.35))), 5).alias("pd"))
+
+
+@query("mkt05_firm_value", "WITH v AS (SELECT l_suppkey AS id, sum(l_extendedprice * l_discount) AS debt, sum(l_extendedprice) / 10 AS cap, max(l_extendedprice) AS assets, CASE WHEN l_suppkey % 3 > 0 THEN stddev_samp(l_discount) * (l_suppkey % 3 - 1) END AS vol FROM lineitem GROUP BY l_suppkey) SELECT id, round(greatest(debt + cap, assets, 10000), 2) AS firm_asset_value, round(greatest(coalesce(nullif(vol, 0), CASE WHEN id % 2 = 0 THEN 0.3 END, 0.35), 0.05), 8) AS sigma_asset FROM v")
+def mkt05(t):
+    v = t("lineitem").groupBy(c("l_suppkey").alias("id")).agg(F.sum(c("l_extendedprice") * c("l_discount")).alias("debt"), (F.sum("l_extendedprice") / 10).alias("cap"), F.max("l_extendedprice").alias("assets"), F.stddev_samp("l_discount").alias("sd"))
+    v = v.withColumns({"vol": F.when(c("id") % 3 > 0, c("sd") * (c("id") % 3 - 1)), "market": F.when(c("id") % 2 == 0, 0.3)})
+    return rounded(rounded(finance.firm_value_and_sigma(v, "debt", "cap", "assets", "vol", "market"), 2, "firm_asset_value"), 8, "sigma_asset").select("id", "firm_asset_value", "sigma_asset")
 
 
 @query("rat10_velocity", "SELECT id, round(coalesce(amount - lag(amount) OVER w, 0), 4) AS delta_amount, coalesce(id - lag(id) OVER w, 0)::DOUBLE AS delta_id FROM filings WINDOW w AS (PARTITION BY entity ORDER BY filings.filed, id)")
@@ -126,21 +173,6 @@ def mkt08(t):
     return s.select("entity", F.round(clip(finance.distance_to_default(c("total_assets"), c("current_liabilities"), F.lit(0.25)), -2, 10), 6).alias("dtd"))
 
 
-@query("nlp03_composite", """WITH i AS (SELECT doc_id, CASE WHEN regexp_matches(text, '(?i)worthless') THEN 1.0 ELSE 0 END::DOUBLE AS x, CASE WHEN regexp_matches(text, '(?i)licensed under') THEN 0.9 ELSE 0 END::DOUBLE AS z FROM documents), b AS (SELECT *, greatest(x, 0.9 * z) AS best FROM i)
-  SELECT doc_id, CASE WHEN best > 0 AND x = best THEN 'x' WHEN best > 0 THEN 'z' ELSE 'none' END AS topic, round(least(best * 1.15, 1), 6)::DOUBLE AS intensity, (least(best * 1.15, 1) >= 0.25)::INTEGER AS flagged FROM b""")
-def nlp03(t):
-    from solvara.functions import intensity
-
-    d = t("documents").select("doc_id", intensity("text", {"worthless": 1.0}).alias("x"), intensity("text", {"licensed under": 0.9}).alias("z"))
-    return rounded(events.composite_topic(d, {"x": 1.0, "z": 0.9}, F.lit(0.5)), 6, "intensity").select("doc_id", "topic", "intensity", "flagged")
-
-
-@query("nlp04_lexicon_sentiment", r"""WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\pL\pN_]+') AS w FROM documents), k AS (SELECT doc_id, len(list_filter(w, lambda x: x IN ('the', 'und'))) AS g, len(list_filter(w, lambda x: x IN ('idiot', 'scum'))) AS b FROM w)
-  SELECT doc_id, round(coalesce((g - b) / nullif(g + b, 0), 0), 8)::DOUBLE AS sentiment FROM k""")
-def nlp04(t):
-    return rounded(events.lexicon_score(t("documents"), "text", ["the", "und"], ["idiot", "scum"]).select("doc_id", "sentiment"), 8, "sentiment")
-
-
 @query("nlp08_annual_sentiment", "SELECT y::INTEGER AS y, round(coalesce(m, CASE WHEN y IN (2001, 2008) THEN -0.5 ELSE 0 END), 6)::DOUBLE AS mood FROM (SELECT unnest(range(1994, 2010)) AS y) LEFT JOIN (SELECT year(o_orderdate) AS y, avg((o_orderstatus = 'F')::INTEGER) AS m FROM orders GROUP BY 1) USING (y)")
 def nlp08(t):
     m = t("orders").groupBy(F.year("o_orderdate").alias("y")).agg(F.avg((c("o_orderstatus") == "F").cast("int")).alias("m"))
@@ -155,11 +187,11 @@ def nlp11(t):
     return d.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("chars"), 4).alias("chars"), F.round(F.avg("w"), 4).alias("words"), F.max("w").alias("longest"), F.round(F.percentile("w", F.lit(0.95)), 4).alias("p95"))
 
 
-@query("mac02_monthly_macro", "SELECT f.id, round(m.level, 4) AS level FROM filings f ASOF LEFT JOIN (SELECT 1 AS k, date_trunc('month', o_orderdate)::DATE AS month, avg(o_totalprice) AS level FROM orders GROUP BY 2) m ON m.k = 1 AND m.month <= f.filed")
+@query("mac02_monthly_macro", "SELECT f.id, round(m.level, 4) AS level FROM filings f ASOF LEFT JOIN (SELECT 1 AS k, date_trunc('month', o_orderdate)::DATE AS month, avg(o_totalprice) AS level FROM orders WHERE month(o_orderdate) % 3 = 1 GROUP BY 2) m ON m.k = 1 AND m.month <= f.filed")
 def mac02(t):
-    # one series: the month of the filing is matched by key, so no single time line of all rows is sorted
-    m = t("orders").groupBy(F.trunc("o_orderdate", "MM").alias("month")).agg(F.avg("o_totalprice").alias("level"))
-    return filings(t).join(m, F.trunc("filed", "MM") == c("month"), "left").select("id", F.round("level", 4).alias("level"))
+    # a series with gaps: two of three months have no value
+    m = t("orders").where("month(o_orderdate) % 3 = 1").groupBy(F.trunc("o_orderdate", "MM").alias("month")).agg(F.avg("o_totalprice").alias("level"))
+    return timejoin.series_asof(filings(t), m, "filed", "month", ["level"]).select("id", F.round("level", 4).alias("level"))
 
 
 @query("cv02_fold_audit", """WITH d AS (SELECT DISTINCT filed FROM filings), k AS (SELECT filed, ntile(6) OVER (ORDER BY filed) AS chunk FROM d), g AS (SELECT chunk, min(filed) AS lo, max(filed) AS hi FROM k GROUP BY 1),

@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from solvara import sources, streaming
-from solvara.functions import title_and_summary
-from solvara.operators import frames, metrics, models
-from solvara.plans.registry import day_text, filings, query, rounded, scored
+from solvara.operators import frames, metrics, models, scoring, timejoin
+from solvara.plans.registry import day_text, filings, query, rounded, scored, sheet
 
 c = F.col
 FEATURES = [f"x{k}" for k in range(6)]
@@ -56,18 +55,51 @@ def sel01(t):
 def sel03(t):
     m = _matrix(t)
     rho = [tuple(r) for r in metrics.spearman(m, FEATURES).collect()]
-    kept = models.prune_collinear(rho, {f: float(k) for k, f in enumerate(FEATURES)}, 0.1)
+    importance = {r["feature"]: r["importance"] for r in models.random_probes(m, FEATURES, "y").collect()}
+    kept = models.prune_collinear(rho, importance, 0.75)
     return m.agg(*[F.avg(f).alias(f) for f in kept]).unpivot([], kept, "feature", "mean")
 
 
+#: A month's economy: mean discount as its rate, orders still open as the unemployed, growth of orders.
+def _economy(t):
+    o, l = t("orders"), t("lineitem")
+    a = o.groupBy(F.trunc("o_orderdate", "MM").alias("month")).agg(F.avg((c("o_orderstatus") == "O").cast("double")).alias("unemployment"), F.count(F.lit(1)).alias("n"))
+    b = l.groupBy(F.trunc("l_shipdate", "MM").alias("month")).agg(F.avg("l_discount").alias("rate"))
+    before = a.select(F.add_months("month", 12).alias("month"), c("n").alias("before"))
+    return a.join(b, "month", "left").join(before, "month", "left").withColumn("growth", F.try_divide(c("n").cast("double"), c("before")) - 1)
+
+
+@query("gmm01_regimes")
+def gmm01(t):
+    names = ["expansion", "tightening", "crisis"]
+    m = models.named_mixture(_economy(t), ["rate", "unemployment", "growth"], 3, models.regime_order("rate", "unemployment", "growth"), names)
+    return m.select(day_text("month").alias("month"), *[f"{n}_prob" for n in names], c("component").alias("label"), c("component_name").alias("name"))
+
+
 @query("gmm02_archetypes")
 def gmm02(t):
-    return models.mixture(_matrix(t), FEATURES[:3], 3, "x0", ["low", "middle", "high"]).select("vec_id", "component", "component_name", "probability")
+    s = sheet(t).withColumn("working_capital", c("current_assets") - c("current_liabilities"))
+    names = [f"archetype{k}" for k in range(4)]
+    m = models.named_mixture(s, ["working_capital", "current_assets", "net_income", "equity"], 4, models.sum_order("working_capital", "current_assets"), names, winsor=True)
+    return m.select("entity", *[f"{n}_prob" for n in names], c("component").alias("label"), c("component_name").alias("name"))
 
 
 @query("gmm03_bic")
 def gmm03(t):
-    return models.mixture_bic(_matrix(t), FEATURES[:3], [2, 3])
+    return models.mixture_selection(_matrix(t), FEATURES[:3])
+
+
+@query("gmm04_argmax", "WITH q AS (SELECT event_id, a / nullif(a + b, 0) AS p, b / nullif(a + b, 0) AS q FROM scored) SELECT event_id, round(coalesce(p, 0.5), 8) AS x_prob, round(coalesce(q, 0.5), 8) AS y_prob, CASE WHEN coalesce(p, 0.5) >= coalesce(q, 0.5) THEN 'x' ELSE 'y' END AS name FROM q")
+def gmm04(t):
+    p = models.normalised(scored(t).select("event_id", c("a").alias("x"), c("b").alias("y")), ["x", "y"])
+    return rounded(p.select("event_id", "x_prob", "y_prob", c("component_name").alias("name")), 8, "x_prob", "y_prob")
+
+
+@query("mdl08_scorecard")
+def mdl08(t):
+    train, test = _fold(_matrix(t))
+    fitted = models.woe_scorecard(train, FEATURES, "y")
+    return scoring.rated(fitted(test), "points").select("vec_id", "score", "points", "rating", "service_rating", "decision", "implied_pd", "y")
 
 
 @query("ano01_isolation_forest")
@@ -120,30 +152,57 @@ def _landed(t, name):
     return e.sparkSession, path
 
 
-@query("stm01_ingest", "SELECT event_id, user_id FROM events")
-def stm01(t):
+def _drop_folder(t):
+    """A folder of good files and one that can't be read, ingested."""
     spark, folder = _landed(t, "drop")
     target = sources.shared_path(spark, "ingested")
-    streaming.ingest_folder(spark, folder, target, sources.shared_path(spark, "ingest-mark"))
+    schema = spark.read.parquet(folder).schema
+    spark.range(1).select(F.lit("no table").alias("value")).coalesce(1).write.mode("append").option("compression", "none").text(f"{folder}/bad")
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path(f"{folder}/bad")
+    fs = at.getFileSystem(conf)
+    for f in fs.listStatus(at):
+        if f.getPath().getName().startswith("part-"):
+            fs.rename(f.getPath(), jvm.org.apache.hadoop.fs.Path(f"{folder}/part-bad.parquet"))
+    fs.delete(at, True)
+    streaming.ingest_folder(spark, folder, target, sources.shared_path(spark, "ingest-mark"), schema)
+    return spark, folder, target
+
+
+@query("stm01_ingest", "SELECT event_id, user_id FROM events")
+def stm01(t):
+    spark, _, target = _drop_folder(t)
     return spark.read.parquet(target).select("event_id", "user_id")
 
 
-@query("stm02_sliding", "SELECT user_id, strftime(w, '%Y-%m-%d') AS window_end, count(*) AS rows, round(sum(value), 4) AS total FROM (SELECT user_id, value, CAST(ts AS DATE) + 1 + unnest(range(0, 7))::INTEGER AS w FROM events) GROUP BY ALL")
+@query("src05_ingest_report", "SELECT true AS ingested, count(*)::BIGINT AS rows FROM events UNION ALL SELECT false, 0")
+def src05(t):
+    spark, folder, target = _drop_folder(t)
+    return streaming.ingest_report(spark, folder, target).groupBy("ingested").agg(F.sum("rows").alias("rows"))
+
+
+@query("stm02_sliding", """SELECT user_id, strftime(w, '%Y-%m-%d') AS window_end, count(*) AS rows, round(sum(value), 4) AS total, round(sum(value * exp(-ln(2) / 14 * date_diff('microsecond', ts, CAST(w AS TIMESTAMP)) / 86400e6)), 4) AS decayed
+  FROM (SELECT user_id, value, ts, CAST(ts AS DATE) + 1 + unnest(range(0, 30))::INTEGER AS w FROM events) GROUP BY ALL""")
 def stm02(t):
-    e = t("events").withColumn("ts", c("ts").cast("timestamp"))
-    s = streaming.sliding_counts(e, "user_id", "ts", "value")
-    return s.select("user_id", F.date_format("window_end", "yyyy-MM-dd").alias("window_end"), "rows", F.round("total", 4).alias("total"))
+    spark, folder = _landed(t, "sliding-in")
+    s = streaming.sliding_totals(spark, folder, "user_id", "ts", "value")
+    return s.select("user_id", F.date_format("window_end", "yyyy-MM-dd").alias("window_end"), "rows", F.round("total", 4).alias("total"), F.round("decayed", 4).alias("decayed"))
 
 
-@query("stm03_latest", "SELECT user_id, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS ts, arg_max(value, ts) AS value FROM events GROUP BY user_id")
+@query("stm03_latest", "SELECT user_id, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS ts, arg_max(value, ts) AS value FROM events GROUP BY user_id HAVING max(ts) > (SELECT max(ts) FROM events) - INTERVAL 12 HOUR")
 def stm03(t):
     spark, folder = _landed(t, "latest-in")
-    return streaming.latest_by_key(spark, folder, "user_id", "ts", "value").withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
+    return streaming.latest_by_key(spark, folder, "user_id", "ts", "value", "12 hours").withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
 
 
-@query("jn18_alternate_key", "SELECT c_custkey, trim(c_name) || '. ' || c_mktsegment AS joined FROM customer")
+@query("jn18_alternate_key", """WITH f AS (SELECT upper(trim(c_name)) AS k, date_trunc('month', o_orderdate)::DATE AS m, count(*) AS n, round(sum(o_totalprice), 2) AS v FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL)
+  SELECT o_orderkey AS id, coalesce(n, 0) AS n, coalesce(v, -1.0) AS v FROM orders JOIN customer ON o_custkey = c_custkey LEFT JOIN f ON k = upper(trim(c_name)) AND m = (date_trunc('month', o_orderdate) + INTERVAL 1 MONTH)::DATE""")
 def jn18(t):
-    return t("customer").select("c_custkey", title_and_summary("c_name", "c_mktsegment").alias("joined"))
+    # filings without a ticker meet the next month's news features by company name, written otherwise there
+    o = t("orders").join(t("customer"), c("o_custkey") == c("c_custkey")).select(c("o_orderkey").alias("id"), c("c_name").alias("company_name"), F.to_date("o_orderdate").alias("day"), "o_totalprice")
+    news = o.groupBy(F.concat(F.lit(" "), F.lower("company_name")).alias("ticker"), F.trunc("day", "MM").alias("month")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("v"))
+    left = o.select("id", "company_name", F.add_months("day", 1).alias("day"))
+    return timejoin.alternate_key_join(left, news, ["ticker", "company_name"], "ticker", "day", "month", {"n": 0, "v": -1.0}).select("id", "n", "v")
 
 
 @query("prj08_sanitised", "SELECT r_regionkey AS \"r_regionkey\", r_name AS r_name_ FROM region")

@@ -51,6 +51,19 @@ def typed(df: DataFrame, types: dict[str, str]) -> DataFrame:
     return df.withColumns({c: F.col(c).try_cast(t) for c, t in types.items()})
 
 
+def joined_facts(header: DataFrame, values: DataFrame, key: str, types: dict[str, str], dates: dict[str, str]) -> DataFrame:
+    """Values with their header by ``key``, each text column tried as its type or date; what does not fit is null."""
+    out = typed(header.join(values, key), types)
+    return out.withColumns({c: F.to_date(F.try_to_timestamp(F.col(c), F.lit(f))) for c, f in dates.items()})
+
+
+def annual_series(df: DataFrame, day: str, value: str) -> DataFrame:
+    """(y, n, mean, volatility) of a series of texts in which "." (or anything else that is no number) is missing;
+    volatility is the sample deviation, 0 of a single value."""
+    v = F.col(value).try_cast("double")
+    return df.groupBy(F.year(day).alias("y")).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.coalesce(F.stddev_samp(v), F.lit(0.0)).alias("volatility"))
+
+
 def explode_map(df: DataFrame, json: str, value_type: str, key: str = "key", value: str = "value") -> DataFrame:
     """One row per entry of a JSON object column."""
     parsed = F.from_json(F.col(json), f"map<string,{value_type}>")
@@ -119,3 +132,19 @@ def write_report(df: DataFrame, path: str, kind: str = "json") -> None:
         df.write.mode("overwrite").csv(path, header=True)
     else:
         df.write.mode("overwrite").json(path)
+
+
+def write_nested_report(records: DataFrame, summary: DataFrame, path: str, order: Sequence[str]) -> None:
+    """One JSON document of a one-row ``summary`` and the list of ``records`` (a report, not a table) in ``order``."""
+    first = F.struct(*order, *[c for c in records.columns if c not in order])
+    listed = records.agg(F.array_sort(F.collect_list(first)).alias("records"))
+    summary.select(F.struct(*summary.columns).alias("summary")).crossJoin(listed).coalesce(1).write.mode("overwrite").json(path)
+
+
+def described(df: DataFrame, name: str) -> DataFrame:
+    """Registers ``df`` as a view and gives its columns: name, type and the rows of the view."""
+    df.createOrReplaceTempView(name)
+    spark = df.sparkSession
+    n = spark.table(name).agg(F.count(F.lit(1)).alias("rows"))
+    columns = spark.sql(f"DESCRIBE {name}").select(F.col("col_name").alias("name"), F.col("data_type").alias("type"))
+    return columns.crossJoin(F.broadcast(n))

@@ -1,21 +1,35 @@
-"""Structured Streaming jobs: drop-folder ingest, sliding counts and sums, and latest value by key."""
+"""Structured Streaming jobs: drop-folder ingest, sliding counts and decayed sums, and latest value by key with expiry."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from solvara.sources import shared_path
 
 
-def ingest_folder(spark: SparkSession, folder: str, target: str, checkpoint: str) -> None:
-    """Appends every new Parquet file of ``folder`` to ``target`` once; ends when all are read."""
-    schema = spark.read.parquet(folder).schema
-    stream = spark.readStream.schema(schema).parquet(folder)
-    query = stream.writeStream.format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(target)
+def ingest_folder(spark: SparkSession, folder: str, target: str, checkpoint: str, schema=None) -> None:
+    """Appends every new Parquet file of ``folder`` to ``target`` once; ends when all are read.
+
+    A file that can't be read is passed over and does not stop the others (``ingest_report`` names it).
+    Without ``schema`` that of the readable files is taken.
+    """
+    schema = schema or spark.read.option("ignoreCorruptFiles", True).option("mergeSchema", True).parquet(folder).schema
+    stream = spark.readStream.schema(schema).option("ignoreCorruptFiles", True).parquet(folder)
+    query = stream.select("*", F.col("_metadata.file_path").alias("source_file")).writeStream.format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(target)
     query.awaitTermination()
 
 
+def ingest_report(spark: SparkSession, folder: str, target: str) -> DataFrame:
+    """(source_file, rows, ingested) of every file that landed: rows that reached the target, and false where none did."""
+    landed = spark.read.format("binaryFile").load(folder).select(F.col("path").alias("source_file"))
+    done = spark.read.parquet(target).groupBy("source_file").agg(F.count(F.lit(1)).alias("rows"))
+    name = lambda df: df.withColumn("__n", F.element_at(F.split("source_file", "/"), -1))
+    both = name(landed).join(name(done).select("__n", "rows"), "__n", "left")
+    return both.select("source_file", F.coalesce("rows", F.lit(0)).alias("rows"), F.col("rows").isNotNull().alias("ingested"))
+
+
 def _memory_free(stream: DataFrame, name: str, mode: str) -> DataFrame:
     """Runs a bounded stream to its end, keeping the last state of every key in a table."""
     spark = stream.sparkSession
@@ -28,22 +42,61 @@ def _memory_free(stream: DataFrame, name: str, mode: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def sliding_counts(events: DataFrame, by: str, ts: str, value: str, window: str = "7 days", slide: str = "1 day", late: str = "2 days") -> DataFrame:
-    """Count and sum of ``value`` for each key and sliding window; rows later than ``late`` are dropped.
+def sliding_counts(events: DataFrame, by: str, ts: str, value: str, window: str = "30 days", slide: str = "1 day", late: str = "2 days", half_life: float = 14.0) -> DataFrame:
+    """Count, sum and decayed sum of ``value`` for each key and sliding window; rows later than ``late`` are dropped.
 
-    Works on a stream and on a batch; on a stream a window is emitted once the watermark passes it.
+    A value counts half for every ``half_life`` days before the window's end.  Works on a stream and on a
+    batch; on a stream a window is emitted once the watermark passes it.
     """
-    w = F.window(F.col(ts), window, slide)
-    return events.withWatermark(ts, late).groupBy(by, w.alias("w")).agg(F.count(F.lit(1)).alias("rows"), F.sum(value).alias("total")).select(by, F.col("w.end").alias("window_end"), "rows", "total")
+    rows = events.withWatermark(ts, late).withColumn("__w", F.window(F.col(ts), window, slide))
+    age = (F.unix_micros(F.col("__w.end")) - F.unix_micros(F.col(ts))) / 86_400e6
+    decayed = F.sum(F.col(value) * F.exp(-F.log(F.lit(2.0)) / half_life * age))
+    made = rows.groupBy(by, "__w").agg(F.count(F.lit(1)).alias("rows"), F.sum(value).alias("total"), decayed.alias("decayed"))
+    return made.select(by, F.col("__w.end").alias("window_end"), "rows", "total", "decayed")
 
 
-def latest_by_key(spark: SparkSession, folder: str, key: str, ts: str, value: str) -> DataFrame:
-    """The newest value of each key in a folder that is read as a stream."""
+def sliding_totals(spark: SparkSession, folder: str, by: str, ts: str, value: str, **options) -> DataFrame:
+    """The windows of ``sliding_counts`` over a folder that is read as a stream, as they stand at its end."""
     schema = spark.read.parquet(folder).schema
-    stream = spark.readStream.schema(schema).parquet(folder)
-    newest = stream.groupBy(key).agg(F.max(ts).alias(ts), F.max_by(value, ts).alias(value))
-    states = _memory_free(newest, "latest", "update")
-    return states.groupBy(key).agg(F.max_by(ts, "__batch").alias(ts), F.max_by(value, "__batch").alias(value))
+    stream = spark.readStream.schema(schema).parquet(folder).withColumn(ts, F.col(ts).cast("timestamp"))
+    states = _memory_free(sliding_counts(stream, by, ts, value, **options), "sliding", "update")
+    last = F.max_by(F.struct("rows", "total", "decayed"), "__batch").alias("s")
+    return states.groupBy(by, "window_end").agg(last).select(by, "window_end", "s.*")
+
+
+def latest_by_key(spark: SparkSession, folder: str, key: str, ts: str, value: str, ttl: str = "90 days") -> DataFrame:
+    """The newest value of each key in a folder that is read as a stream; values older than ``ttl`` expire.
+
+    Each key's state holds its newest row and a timer; when event time passes the row's time plus ``ttl``,
+    the state is dropped and the key leaves the result.
+    """
+    source = spark.read.parquet(folder)
+    kind = {f.name: f.dataType.simpleString() for f in source.schema}
+    days, unit = ttl.split()
+    alive = int(float(days) * {"days": 86_400_000, "hours": 3_600_000, "minutes": 60_000}[unit])
+
+    def newest(keys, parts, state: GroupState):
+        import pandas as pd
+
+        if state.hasTimedOut:
+            state.remove()
+            yield pd.DataFrame({key: [keys[0]], "at": [0], value: [None], "expired": [True]})
+            return
+        at, best = state.get if state.exists else (-1, None)
+        for part in parts:
+            k = part["__at"].to_numpy().argmax()
+            if part["__at"].iloc[k] > at:
+                at, best = int(part["__at"].iloc[k]), part[value].iloc[k].item()
+        state.update((at, best))
+        state.setTimeoutTimestamp(max(at // 1000 + alive, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({key: [keys[0]], "at": [at], value: [best], "expired": [False]})
+
+    stream = spark.readStream.schema(source.schema).parquet(folder).withColumn(ts, F.col(ts).cast("timestamp"))
+    rows = stream.withWatermark(ts, "0 seconds").select(key, ts, value, F.unix_micros(ts).alias("__at"))
+    found = rows.groupBy(key).applyInPandasWithState(newest, f"{key} {kind[key]}, at long, {value} {kind[value]}, expired boolean", f"at long, value {kind[value]}", "update", GroupStateTimeout.EventTimeTimeout)
+    states = _memory_free(found, "latest", "update")
+    last = states.groupBy(key).agg(F.max_by(F.struct("at", value, "expired"), "__batch").alias("s"))
+    return last.where("NOT s.expired").select(key, F.timestamp_micros("s.at").alias(ts), f"s.{value}")
 
 
 def stream_counts(spark: SparkSession, folder: str, key: str) -> DataFrame:
