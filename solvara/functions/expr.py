@@ -43,28 +43,28 @@ def softmax(values: Column | str) -> Column:
     return F.transform(e, lambda v: v / total)
 
 
-def normal_cdf(x: Column | str) -> Column:
-    """Standard normal distribution function; a rational approximation, off by at most 7.5e-8."""
+def normal_tail(x: Column | str) -> Column:
+    """The upper tail of the standard normal distribution, to about 15 digits."""
     x = col(x)
-    # fixed values: Abramowitz and Stegun 26.2.17
-    p, b = 0.2316419, (0.319381530, -0.356563782, 1.781477937, -1.821255978, 1.330274429)
-    t = 1.0 / (1.0 + p * F.abs(x))
-    poly = F.lit(0.0)
-    for c in reversed(b):
-        poly = (poly + c) * t
-    tail = F.exp(-x * x / 2.0) / 2.5066282746310002 * poly
-    return F.when(x >= 0, 1.0 - tail).otherwise(tail)
+    a = F.abs(x)
+    # fixed values: rational approximation of Hart as published by West (2005)
+    up = (3.52624965998911e-02, 0.700383064443688, 6.37396220353165, 33.912866078383, 112.079291497871, 221.213596169931, 220.206867912376)
+    down = (8.83883476483184e-02, 1.75566716318264, 16.064177579207, 86.7807322029461, 296.564248779674, 637.333633378831, 793.826512519948, 440.413735824752)
+    top, bottom, far = F.lit(up[0]), F.lit(down[0]), a + 0.65
+    for c in up[1:]:
+        top = top * a + c
+    for c in down[1:]:
+        bottom = bottom * a + c
+    for k in (4.0, 3.0, 2.0, 1.0):
+        far = a + k / far
+    density = F.exp(-a * a / 2.0)
+    tail = F.when(a < 7.07106781186547, density * top / bottom).otherwise(density / far / 2.5066282746310002)
+    return F.when(x >= 0, tail).otherwise(1.0 - tail)
 
 
-def normal_tail(x: Column | str) -> Column:
-    """The upper tail of the standard normal distribution, off by at most 7.5e-8; beyond 3 by a continued
-    fraction, since a difference from 1 would lose its digits there."""
-    x = col(x)
-    far = x
-    for k in range(40, 0, -1):
-        far = x + F.lit(float(k)) / far
-    density = F.exp(-x * x / 2.0) / 2.5066282746310002
-    return F.when(x > 3, density / far).otherwise(1.0 - normal_cdf(x))
+def normal_cdf(x: Column | str) -> Column:
+    """Standard normal distribution function."""
+    return normal_tail(-col(x))
 
 
 def chi2_tail(x: Column | str, df: int) -> Column:

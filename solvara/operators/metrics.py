@@ -210,6 +210,13 @@ def drift_report(ref: DataFrame, cur: DataFrame, columns: Sequence[str]) -> Data
     return out.withColumn("drifted", (F.col("psi") >= 0.10) | ((F.col("p_value") < 0.01) & (F.col("ks") > 0.05)))
 
 
+def drift_verdict(report: DataFrame, score_psi: DataFrame, most: int = 2) -> DataFrame:
+    """features, severe ones and the verdict: keep with at most ``most`` severe features and a score PSI below 0.25."""
+    n = report.agg(F.count(F.lit(1)).alias("features"), F.count_if(F.col("psi") >= 0.25).alias("severe"))
+    ok = (F.col("severe") <= most) & (F.coalesce("psi", F.lit(0.0)) < 0.25)
+    return n.crossJoin(F.broadcast(score_psi)).select("features", "severe", F.when(ok, "keep").otherwise("retrain").alias("verdict"))
+
+
 def score_drift(ref: DataFrame, cur: DataFrame, score: str, tau: float) -> DataFrame:
     """One row: PSI, KS gap and p-value of a score, mean scores and shares of alerts (score from ``tau`` on)."""
     own = lambda df, name: df.agg(F.avg(score).alias(f"{name}_mean"), F.avg((F.col(score) >= tau).cast("double")).alias(f"{name}_alerts"))
@@ -235,12 +242,10 @@ def monte_carlo(df: DataFrame, key: str, margin: str, n: int = 1000, seed: int =
 
     Draws are seeded hashes of simulation and obligor, so that a task that runs again draws the same.
     """
-    sims = df.sparkSession.range(n).select(F.col("id").alias("sim"))
     uniform = lambda *c: (F.pmod(F.xxhash64(*c), F.lit(2**40)) + 0.5) / float(2**40)
     shock = F.sqrt(-2.0 * F.ln(uniform("sim", F.lit(seed)))) * F.cos(6.283185307179586 * uniform("sim", F.lit(seed + 1)))
-    sims = sims.withColumn("shock", shock)
-    # every obligor meets the bounded set of simulations; losses are summed on the map side
-    pairs = df.select(key, margin).join(F.broadcast(sims), how="cross") if n <= 100_000 else df.select(key, margin).crossJoin(sims)
+    # an obligor draws for each simulation where it lies; losses are summed on the map side
+    pairs = df.select(key, margin, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("sim")).withColumn("shock", shock)
     p = 1.0 / (1.0 + F.exp(-(F.col(margin) + rho * F.col("shock"))))
     loss = pairs.withColumn("loss", F.when(uniform(key, "sim", F.lit(seed + 2)) < p, ead * lgd).otherwise(0.0)).groupBy("sim").agg(F.sum("loss").alias("loss"))
     out = loss.agg(F.avg("loss").alias("mean_loss"), F.percentile("loss", F.array(F.lit(0.95), F.lit(0.99))).alias("q"))

@@ -243,9 +243,17 @@ def _edges(t):
     return network.correlations(_window(quotes(t)), "ticker", "day")
 
 
-@query("net02_correlation")
+@query("net02_correlation", """WITH r AS (SELECT ticker, day, price / nullif(lag(price) OVER (PARTITION BY ticker ORDER BY day), 0) - 1 AS ret FROM quotes),
+    s AS (SELECT ticker, day, ret, (date_trunc('month', day) + to_months(k::INTEGER))::DATE AS ym FROM r, range(0, 2) x(k) WHERE ret IS NOT NULL),
+    d AS (SELECT ym, count(DISTINCT day) AS days FROM s GROUP BY ym HAVING max(date_trunc('month', day)::DATE) = ym),
+    p AS (SELECT ym, ticker, count(*) AS valid, avg(ret) AS mean FROM s GROUP BY ALL), k AS (SELECT ym, ticker, mean FROM p JOIN d USING (ym) WHERE valid >= 0.1 * days),
+    c AS (SELECT ym, ticker, day, ret - mean AS x FROM s JOIN k USING (ym, ticker)), n AS (SELECT ym, ticker, sqrt(sum(x * x)) AS norm FROM c GROUP BY ALL), u AS (SELECT ym, ticker, day, x / nullif(norm, 0) AS x FROM c JOIN n USING (ym, ticker)),
+    o AS (SELECT a.ym, a.ticker AS i, b.ticker AS j, sum(a.x * b.x) AS rho FROM u a JOIN u b ON a.ym = b.ym AND a.day = b.day AND a.ticker < b.ticker GROUP BY ALL),
+    e AS (SELECT a.ym, a.ticker AS i, b.ticker AS j, least(greatest(coalesce(rho, 0), -1), 1) AS rho FROM k a JOIN k b ON a.ym = b.ym AND a.ticker < b.ticker LEFT JOIN o ON o.ym = a.ym AND o.i = a.ticker AND o.j = b.ticker)
+    SELECT strftime(ym, '%Y-%m-%d') AS ym, i, j, round(rho, 6) + 0 AS rho, round(sqrt(2 * (1 - rho)), 5) + 0 AS distance FROM e""")
 def net02(t):
-    return _edges(t)
+    e = _edges(t)
+    return e.select(day_text("ym").alias("ym"), "i", "j", F.round("rho", 6).alias("rho"), F.round("distance", 5).alias("distance"))
 
 
 @query("net04_spanning_forest")

@@ -127,9 +127,35 @@ def drf02(t):
     return rounded(rounded(metrics.ks_2samp(*_halves(t), "l_extendedprice"), 8, "ks"), 6, "p_value")
 
 
-@query("drf03_report")
+def _drift_parts(f: str) -> str:
+    """Tables of one feature: its edges, bucket counts, counts of values and gaps."""
+    return f"""e_{f} AS (SELECT {_EDGES.format(c=f)} AS edges FROM l WHERE y <= 1998), g_{f} AS (SELECT len(list_filter(edges, lambda x: {f} >= x)) AS bucket, sum((y <= 1998)::INTEGER) AS nr, sum((y > 1998)::INTEGER) AS nc FROM l, e_{f} GROUP BY 1),
+      v_{f} AS (SELECT {f} AS x, sum((y <= 1998)::INTEGER) AS nr, sum((y > 1998)::INTEGER) AS nc FROM l GROUP BY 1), k_{f} AS (SELECT abs(sum(nr) OVER (ORDER BY x) / sum(nr) OVER () - sum(nc) OVER (ORDER BY x) / sum(nc) OVER ()) AS gap FROM v_{f})"""
+
+
+def _drift_row(f: str) -> str:
+    shares = f"(SELECT greatest(nr / sum(nr) OVER (), 1e-4) AS p, greatest(nc / sum(nc) OVER (), 1e-4) AS q FROM g_{f})"
+    side = lambda f_, name, where: f"avg({f_}) FILTER ({where}) AS {name}_mean, stddev_pop({f_}) FILTER ({where}) AS {name}_std"
+    return f"""SELECT '{f}' AS feature, (SELECT sum((q - p) * ln(q / p)) FROM (SELECT p / sum(p) OVER () AS p, q / sum(q) OVER () AS q FROM {shares})) AS psi, (SELECT max(gap) FROM k_{f}) AS ks, (SELECT sum(nr) * sum(nc) / sum(nr + nc) FROM v_{f}) AS en,
+      {side(f, 'ref', 'y <= 1998')}, {side(f, 'cur', 'y > 1998')} FROM l"""
+
+
+_DRIFT = "WITH l AS (SELECT l_extendedprice, l_quantity, year(l_shipdate) AS y FROM lineitem), " + ", ".join(_drift_parts(f) for f in ("l_extendedprice", "l_quantity")) + ", r AS (" + " UNION ALL ".join(_drift_row(f) for f in ("l_extendedprice", "l_quantity")) + """),
+  d AS (SELECT *, CASE WHEN sqrt(en) * ks < 0.2 THEN 1 ELSE greatest(0, least(1, (SELECT sum(CASE WHEN j % 2 = 1 THEN 2 ELSE -2 END * exp(-2 * j * j * en * ks * ks)) FROM range(1, 101) steps(j)))) END AS p FROM r)"""
+
+
+@query("drf03_report", _DRIFT + """ SELECT feature, round(psi, 8) AS psi, round(ks, 8) AS ks, round(p, 6)::DOUBLE AS p_value, round(ref_mean, 4) AS ref_mean, round(ref_std, 4) AS ref_std, round(cur_mean, 4) AS cur_mean, round(cur_std, 4) AS cur_std,
+  CASE WHEN psi >= 0.25 THEN 'severe' WHEN psi >= 0.1 THEN 'moderate' ELSE 'stable' END AS band, psi >= 0.1 OR (p < 0.01 AND ks > 0.05) AS drifted FROM d""")
 def drf03(t):
-    return metrics.drift_report(*_halves(t), ["l_extendedprice", "l_quantity"])
+    r = metrics.drift_report(*_halves(t), ["l_extendedprice", "l_quantity"])
+    return rounded(rounded(rounded(r, 8, "psi", "ks"), 6, "p_value"), 4, "ref_mean", "ref_std", "cur_mean", "cur_std")
+
+
+@query("drf05_verdict", _DRIFT + " SELECT count(*) AS features, sum((psi >= 0.25)::INTEGER)::BIGINT AS severe, CASE WHEN sum((psi >= 0.25)::INTEGER) <= 2 AND max(psi) FILTER (feature = 'l_extendedprice') < 0.25 THEN 'keep' ELSE 'retrain' END AS verdict FROM d")
+def drf05(t):
+    r = metrics.drift_report(*_halves(t), ["l_extendedprice", "l_quantity"])
+    # the price stands for the score
+    return metrics.drift_verdict(r, metrics.psi(*_halves(t), "l_extendedprice"))
 
 
 @query("cv01_purged_folds", """WITH d AS (SELECT DISTINCT filed FROM filings), k AS (SELECT filed, ntile(6) OVER (ORDER BY filed) AS chunk FROM d), g AS (SELECT chunk, min(filed) AS lo, max(filed) AS hi FROM k GROUP BY 1),
@@ -215,17 +241,20 @@ def xai01(t):
     return rounded(scoring.attributions(s, "entity", _COEF, s.agg(*[F.avg(x).alias(x) for x in _COEF])), 8, "phi")
 
 
-@query("xai02_importance")
+_PHI = "m AS (SELECT avg(equity) AS e, avg(total_assets) AS t, avg(cash) AS k FROM sheet), phi AS (" + " UNION ALL ".join(f"SELECT entity, '{n}' AS feature, {w} * ({n} - {m}) AS phi FROM sheet, m" for (n, w), m in zip(_COEF.items(), "etk")) + ")"
+
+
+@query("xai02_importance", f"WITH {_PHI}, a AS (SELECT feature, avg(abs(phi)) AS v FROM phi GROUP BY 1) SELECT feature, CASE feature WHEN 'equity' THEN 'capital' WHEN 'cash' THEN 'liquidity' ELSE 'size' END AS pillar, round(v / sum(v) OVER (), 8) AS share FROM a")
 def xai02(t):
     s = sheet(t)
     phi = scoring.attributions(s, "entity", _COEF, s.agg(*[F.avg(x).alias(x) for x in _COEF]))
-    return scoring.global_importance(phi, {"equity": "capital", "total_assets": "size", "cash": "liquidity"})
+    return rounded(scoring.global_importance(phi, {"equity": "capital", "total_assets": "size", "cash": "liquidity"}), 8, "share")
 
 
-@query("xai03_top_drivers")
+@query("xai03_top_drivers", f"WITH {_PHI}, r AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY abs(phi) DESC, feature) AS rank FROM phi) SELECT entity, feature, round(phi, 8)::DOUBLE AS phi, rank::INTEGER AS rank, CASE WHEN phi > 0 THEN 'raises' ELSE 'lowers' END AS direction FROM r WHERE rank <= 2")
 def xai03(t):
     s = sheet(t)
-    return scoring.top_drivers(scoring.attributions(s, "entity", _COEF, s.agg(*[F.avg(x).alias(x) for x in _COEF])), "entity", 2)
+    return rounded(scoring.top_drivers(scoring.attributions(s, "entity", _COEF, s.agg(*[F.avg(x).alias(x) for x in _COEF])), "entity", 2), 8, "phi")
 
 
 @query("scr07_freshest", """WITH r AS (SELECT user_id, CAST(ts AS DATE) AS d, CASE WHEN event_type = 'error' THEN value END AS err, CASE WHEN event_type <> 'error' THEN value END AS act, event_id FROM events), n AS (SELECT max(d) AS now FROM r)

@@ -141,10 +141,13 @@ def rat09(t):
     return s.select("id", "firm_value", "default_point", "roa_volatility", "dtd", "cash_flow_to_debt", "working_capital_to_sales", "interest_cover")
 
 
-@query("rat09_pd", "WITH s AS (SELECT entity, (ln(total_assets / current_liabilities) + 0.05 - 0.35 * 0.35 / 2) / 0.35 AS d FROM sheet WHERE total_assets > 0 AND current_liabilities > 0) SELECT entity, round(CASE WHEN d >= 0 THEN (SELECT sum(exp(-power(d + (k + 0.5) * 0.001, 2) / 2)) * 0.001 / 2.5066282746310002 FROM range(0, 9000) steps(k)) ELSE 1 - (SELECT sum(exp(-power(-d + (k + 0.5) * 0.001, 2) / 2)) * 0.001 / 2.5066282746310002 FROM range(0, 9000) steps(k)) END, 5) AS pd FROM s")
+_UPPER = "((SELECT sum(exp(-power(abs(d) + (k + 0.5) * 0.002, 2) / 2)) FROM range(0, 4500) steps(k)) * 0.002 + 0.002 * 0.002 / 24 * abs(d) * exp(-d * d / 2)) / 2.5066282746310002"
+
+
+@query("rat09_pd", f"WITH s AS (SELECT entity, (ln(total_assets / current_liabilities) + 0.05 - 0.35 * 0.35 / 2) / 0.35 AS d FROM sheet WHERE total_assets > 0 AND current_liabilities > 0), q AS (SELECT entity, d, {_UPPER} AS q FROM s) SELECT entity, round(CASE WHEN d >= 0 THEN q ELSE 1 - q END, 8) AS pd FROM q")
 def rat09_pd(t):
     s = sheet(t).where("total_assets > 0 AND current_liabilities > 0")
-    return s.select("entity", F.round(normal_cdf(-finance.distance_to_default(c("total_assets"), c("current_liabilities"), F.lit(0.35))), 5).alias("pd"))
+    return s.select("entity", F.round(normal_cdf(-finance.distance_to_default(c("total_assets"), c("current_liabilities"), F.lit(0.35))), 8).alias("pd"))
 
 
 @query("mkt05_firm_value", "WITH v AS (SELECT l_suppkey AS id, sum(l_extendedprice * l_discount) AS debt, sum(l_extendedprice) / 10 AS cap, max(l_extendedprice) AS assets, CASE WHEN l_suppkey % 3 > 0 THEN stddev_samp(l_discount) * (l_suppkey % 3 - 1) END AS vol FROM lineitem GROUP BY l_suppkey) SELECT id, round(greatest(debt + cap, assets, 10000), 2) AS firm_asset_value, round(greatest(coalesce(nullif(vol, 0), CASE WHEN id % 2 = 0 THEN 0.3 END, 0.35), 0.05), 8) AS sigma_asset FROM v")
@@ -237,14 +240,6 @@ def eva15(t):
     return rounded(events.interpolate(p, "x", "y", grid, "p"), 6, "y")
 
 
-@query("drf05_verdict")
-def drf05(t):
-    l = t("lineitem").select("l_extendedprice", "l_quantity", F.year("l_shipdate").alias("y"))
-    r = metrics.drift_report(l.where("y <= 1998"), l.where("y > 1998"), ["l_extendedprice", "l_quantity"])
-    r = r.agg(F.count(F.lit(1)).alias("features"), F.sum((c("psi") >= 0.25).cast("int")).alias("severe"))
-    return r.withColumn("verdict", F.when(c("severe") <= 2, "keep").otherwise("retrain"))
-
-
 @query("str02_increment", "WITH p AS (SELECT least(greatest(1 / (1 + exp(-(1.10 - 0.75 * (net_income / 2000)))), 0.001), 0.999) AS p FROM sheet) SELECT round(sum(p) * 6e6, 0)::DOUBLE AS base, round(sum(1 / (1 + exp(-(ln(p / (1 - p)) + 0.9)))) * 6e6, 0)::DOUBLE AS stressed FROM p")
 def str02(t):
     p = sheet(t).select(scoring.structural_pd(c("net_income") / 2000, F.lit(0.0)).alias("p"))

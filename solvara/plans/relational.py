@@ -403,9 +403,9 @@ def sc11(t):
     return t("events").select("event_id", F.round(fx.logistic(z), 8).alias("p"), F.round(fx.softplus(z), 8).alias("sp"))
 
 
-@query("sc12_normal_cdf")
+@query("sc12_normal_cdf", "WITH z AS (SELECT event_id, (value - 50) / 20 AS z FROM events), q AS (SELECT event_id, z, ((SELECT sum(exp(-power(abs(z) + (k + 0.5) * 0.002, 2) / 2)) FROM range(0, 4500) steps(k)) * 0.002 + 0.002 * 0.002 / 24 * abs(z) * exp(-z * z / 2)) / 2.5066282746310002 AS q FROM z) SELECT event_id, round(CASE WHEN z >= 0 THEN 1 - q ELSE q END, 8) AS p FROM q")
 def sc12(t):
-    return t("events").select("event_id", fx.normal_cdf((c("value") - 50) / 20).alias("p"))
+    return t("events").select("event_id", F.round(fx.normal_cdf((c("value") - 50) / 20), 8).alias("p"))
 
 
 @query("sc15_text_length", r"SELECT doc_id, length(text)::INTEGER AS chars, CASE WHEN trim(regexp_replace(text, '\s+', ' ', 'g')) = '' THEN 0 ELSE len(string_split(trim(regexp_replace(text, '\s+', ' ', 'g')), ' ')) END::INTEGER AS words FROM documents")

@@ -220,7 +220,7 @@ def test_network_has_every_month(spark):
 
     folder = "/root/testdata/sf0.001"
     line = sources.table(spark, folder, "lineitem").agg(F.min("l_shipdate").alias("a"), F.max("l_shipdate").alias("b")).first()
-    months = {r.ym for r in plans.QUERIES["net02_correlation"](spark, folder).select("ym").distinct().collect()}
+    months = {dt.date.fromisoformat(r.ym) for r in plans.QUERIES["net02_correlation"](spark, folder).select("ym").distinct().collect()}
     assert min(months).year <= line.a.year + 1 and (max(months).year, max(months).month) == (line.b.year, line.b.month)
 
 
