@@ -40,6 +40,34 @@ def test_toxicity_held_out(spark):
     assert kept.columns == docs.columns and kept.count() == sum(g.predicted == 0 for g in got)
 
 
+def test_toxicity_on_the_given_tables(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{x}.parquet") for x in ("documents", "labels"))
+    own = docs.join(labels, "doc_id").select("doc_id", "text", "lang", "toxic")
+    truth = {r.doc_id: (r.lang, r.toxic) for r in own.select("doc_id", "lang", "toxic").collect()}
+    got = [(*truth[r.doc_id], r.predicted) for r in toxicity.toxicity(own, labels).collect() if r.held_out]
+    assert sum(p and y for _, y, p in got) > 0.9 * sum(y for _, y, _ in got)
+    assert sum(p and y for _, y, p in got) > 0.95 * sum(p for *_, p in got)
+    for lang in ("de", "en", "es", "fr"):  # languages with few labels are learned too
+        assert sum(p and y for k, y, p in got if k == lang) >= 0.8 * sum(y for k, y, _ in got if k == lang)
+
+
+def test_ties_and_repeated_rows_score_alike(spark):
+    rows = [(k, f"plain words of row {k % 5}", "en" if k % 2 else "de") for k in range(40)] + [(7, "twice", "en")] * 3 + [(8, "twice", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(k, 1, int(k % 5 == 0)) for k in range(40)], "doc_id long, quality int, toxic int")
+    scores = {}
+    for r in toxicity.toxicity(df, labels).join(df.select("doc_id", "text").distinct(), "doc_id").collect():
+        scores.setdefault(r.doc_id, set()).add(r.score)
+    assert toxicity.toxicity(df, labels).count() == len(rows) and len(scores[7]) <= 2
+    text = {k: t for k, t, _ in rows}
+    pages = spark.createDataFrame([(1, "u", PAGE, 0)] * 3 + [(2, "u", PAGE, 0)], "page_id long, url string, html string, n_chars int")
+    model = html_text.train(["some words to fill the layouts with"] * 3)
+    found = html_text.main_text(pages, model).collect()
+    assert len(found) == 4 and len({r.text for r in found}) == 1
+    same = language_id.identify(df.where("doc_id IN (7, 8)")).collect()
+    assert len(same) == 6 and text[8] == "twice"
+
+
 def test_lexicon_learns_from_all_parts(spark):
     r = random.Random(9)
     part = lambda k: zlib.crc32(str(k).encode()) % 4

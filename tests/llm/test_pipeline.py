@@ -34,3 +34,19 @@ def test_empty_documents(spark, tmp_path):
     for name in ("documents", "labels", "benchmark"):
         spark.read.parquet(f"{FOLDER}/{name}.parquet").limit(0).write.parquet(str(tmp_path / f"{name}.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_odd_documents_go_through_every_stage(spark):
+    # clashing columns, one very long text, many repeated rows, null everything
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").limit(60)
+    names = ("score", "slot", "taken", "n_hit", "set_key", "hash", "__text")
+    clash = lambda df: df.selectExpr("*", *(f"'x' AS {n}" for n in names))
+    odd = [(9001, "word " * 150_000, "en", "s", 0), (None, None, None, None, None), (9003, "", None, "s", 0)] + [(9002, "the very same words stand in each of these rows of one id", "en", "hot", 0)] * 900
+    docs = clash(docs.unionByName(spark.createDataFrame(odd, docs.schema)))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = corpus_pipeline.materialize(stage(spark, docs, FOLDER), name)
+        assert out.columns == docs.columns and out.where("score <> 'x'").count() == 0, name
+        if name == "near_duplicates":
+            assert out.where("doc_id = 9002").count() == 1 and out.where("doc_id IN (9001, 9003)").count() == 2
+        docs = out
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, FOLDER).count() > 0
