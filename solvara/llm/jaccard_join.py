@@ -371,14 +371,18 @@ def _part(parts):
 
 
 def _placed(sets: DataFrame) -> DataFrame:
-    """(set_key, block, part, place) of each document's first tokens; steps 2 and 3 share it, so that a
-    unit of step 3 never holds two documents that step 2 did not compare."""
+    """(set_key, block, part, place, docs) of each document's first tokens; steps 2 and 3 share it, so that a
+    unit of step 3 never holds two documents that step 2 did not compare.
+
+    Blocks are counted first, and the hot ones are broadcast, so that their documents stay where they are.
+    """
     firsts = sets.select("set_key", "n", F.posexplode("firsts").alias("place", "block"))
-    size = firsts.groupBy("block").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("held")).withColumn("parts", _parts("docs", "held"))
-    return firsts.join(size, "block").select("set_key", "block", _part(F.col("parts")).alias("part"), "place", "docs")
+    size = materialize(firsts.groupBy("block").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("held")).withColumn("parts", _parts("docs", "held")), "blocks")
+    placed = join_groups(firsts, size, "block", "docs")
+    return materialize(placed.select("set_key", "block", _part(F.col("parts")).alias("part"), "place", "docs"), "placed")
 
 
-def block_links(sets: DataFrame, percent: int, every: bool = False) -> DataFrame:
+def block_links(sets: DataFrame, placed: DataFrame, percent: int, every: bool = False) -> DataFrame:
     """Step 2: spanning links (or all) within blocks of documents that share one of their smallest tokens."""
 
     def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -390,18 +394,18 @@ def block_links(sets: DataFrame, percent: int, every: bool = False) -> DataFrame
         tree = SignatureTree(values, bits_for(values))
         yield _links([(keys[x], keys[y]) for x, y in dual_traversal(tree, None, percent, np.arange(len(keys)), every=every)])
 
-    placed = _placed(sets).where("docs > 1").select("set_key", "block", "part")
-    return sets.select("set_key", "tokens").join(placed, "set_key").groupBy("block", "part").applyInArrow(run, LINK)
+    own = placed.where("docs > 1").select("set_key", "block", "part")
+    return sets.select("set_key", "tokens").join(own, "set_key").groupBy("block", "part").applyInArrow(run, LINK)
 
 
-def remainder_links(sets: DataFrame, roots: DataFrame, percent: int, every: bool = False) -> DataFrame:
+def remainder_links(sets: DataFrame, placed: DataFrame, roots: DataFrame, percent: int, every: bool = False) -> DataFrame:
     """Step 3: links between components, as spanning forests of the units that are joined (or all links).
 
     A unit is a part of a block of documents with the same smallest token; step 2 has settled all
     pairs within it.  Two units are joined, tree against tree, if documents of different components
     in them share a prefix shingle and their ranges of sizes can agree.
     """
-    unit = _placed(sets).where("place = 0").select("set_key", F.xxhash64("block", "part").alias("unit")).distinct()
+    unit = placed.where("place = 0").select("set_key", F.xxhash64("block", "part").alias("unit")).distinct()
     known = sets.select("set_key", "n", "prefix").join(roots.select(F.col("node").alias("set_key"), "root"), "set_key", "left").join(unit, "set_key")
     known = known.withColumn("root", F.coalesce("root", "set_key"))
     known = materialize(known.select("set_key", "n", "prefix", "root", "unit"), "known")
@@ -488,8 +492,9 @@ def _grouped(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFram
     keep_key is the set that stays of its component: that of the smallest (doc_id, set_key), null ids last.
     """
     rows, again, groups, sets = _prepared(docs, k, percent)
-    links = materialize(block_links(sets, percent), "block-links")
-    rest = materialize(remainder_links(sets, components(links), percent), "rest-links")
+    placed = _placed(sets)
+    links = materialize(block_links(sets, placed, percent), "block-links")
+    rest = materialize(remainder_links(sets, placed, components(links), percent), "rest-links")
     roots = components(links.union(rest))
     named = groups.join(roots.select(F.col("node").alias("set_key"), "root"), "set_key", "left").withColumn("root", F.coalesce("root", "set_key"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "set_key"))
@@ -520,7 +525,8 @@ def near_links(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> tup
     """
     rows, _, _, sets = _prepared(docs, k, percent)
     none = sets.select(F.col("set_key").alias("node"), F.col("set_key").alias("root")).limit(0)
-    found = block_links(sets, percent, every=True).unionByName(remainder_links(sets, none, percent, every=True))
+    placed = _placed(sets)
+    found = block_links(sets, placed, percent, every=True).unionByName(remainder_links(sets, placed, none, percent, every=True))
     return rows.select("doc_id", "set_key", "n"), found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
