@@ -44,7 +44,7 @@ def softmax(values: Column | str) -> Column:
 
 
 def normal_tail(x: Column | str) -> Column:
-    """The upper tail of the standard normal distribution, to about 15 digits."""
+    """The upper tail of the standard normal distribution, off by less than 1e-14 and less than 1e-4 of itself."""
     x = col(x)
     a = F.abs(x)
     # fixed values: rational approximation of Hart as published by West (2005)

@@ -68,7 +68,7 @@ def latest_by_key(spark: SparkSession, folder: str, key: str, ts: str, value: st
     """The newest value of each key in a folder that is read as a stream; values older than ``ttl`` expire.
 
     Each key's state holds its newest row and a timer; when event time passes the row's time plus ``ttl``,
-    the state is dropped and the key leaves the result.
+    the state is dropped and the key leaves the result.  A numeric ``ts`` counts seconds.
     """
     source = spark.read.parquet(folder)
     kind = {f.name: f.dataType.simpleString() for f in source.schema}
@@ -96,7 +96,7 @@ def latest_by_key(spark: SparkSession, folder: str, key: str, ts: str, value: st
     found = rows.groupBy(key).applyInPandasWithState(newest, f"{key} {kind[key]}, at long, {value} {kind[value]}, expired boolean", f"at long, value {kind[value]}", "update", GroupStateTimeout.EventTimeTimeout)
     states = _memory_free(found, "latest", "update")
     last = states.groupBy(key).agg(F.max_by(F.struct("at", value, "expired"), "__batch").alias("s"))
-    return last.where("NOT s.expired").select(key, F.timestamp_micros("s.at").alias(ts), f"s.{value}")
+    return last.where("NOT s.expired").select(key, F.timestamp_micros("s.at").cast(kind[ts]).alias(ts), f"s.{value}")
 
 
 def stream_counts(spark: SparkSession, folder: str, key: str) -> DataFrame:
