@@ -46,6 +46,24 @@ def mdl09(t):
     return a.join(sig(s).select("event_id", c("calibrated").alias("sigmoid")), "event_id")
 
 
+@query("cv03_search")
+def cv03(t):
+    """The drawn parameters of least mean business cost over three folds."""
+    m = _matrix(t).withColumn("fold", F.pmod(F.xxhash64("vec_id"), F.lit(3)))
+
+    def cost(params):
+        total = 0.0
+        for k in range(3):
+            train = models.balanced_weight(m.where(c("fold") != k), "y")
+            scored_rows = models.fit_classifier(train, FEATURES, "y", "logistic", "weight", **params)(m.where(c("fold") == k))
+            n = metrics.confusion(scored_rows, "score", "y", 0.5).first()
+            total += (n["fn"] * 6e6 + n["fp"] * 250e3) / 3
+        return total
+
+    best, least = models.search({"regParam": [0.001, 0.01, 0.1], "elasticNetParam": [0.0, 0.5]}, cost, 4)
+    return m.agg(F.lit(best["regParam"]).alias("reg_param"), F.lit(best["elasticNetParam"]).alias("elastic_net"), F.lit(least).alias("cost"), F.count(F.lit(1)).alias("rows"))
+
+
 @query("sel01_random_probes")
 def sel01(t):
     return models.random_probes(_matrix(t), FEATURES, "y")

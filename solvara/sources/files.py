@@ -15,6 +15,8 @@ def shared_path(spark: SparkSession, name: str) -> str:
     """A new path in the folder shared by driver and executors (``spark.checkpoint.dir``)."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = f"file://{tempfile.mkdtemp(prefix='spark-')}"
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/solvara-{name}-{uuid.uuid4().hex}"
