@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from solvara.llm import chat_format, decontaminate, exact_dedup, html_text, jaccard_join, language_id, mixing, toxicity, training_order, warc
+from solvara.llm import chat_format, decontaminate, exact_dedup, html_text, jaccard_join, language_id, mixing, sharding, toxicity, training_order, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,6 +67,11 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.sharded(_table(spark, sf_dir, "documents"))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 _FOLD = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 DECONTAMINATE_SQL = rf"""
@@ -146,6 +152,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_main_text": op8_main_text,
     "op9_language_id": op9_language_id,
     "op10_jaccard_join": op10_jaccard_join,
+    "op11_sharding": op11_sharding,
 }
 
 ORACLES: dict[str, str] = {
@@ -155,4 +162,5 @@ ORACLES: dict[str, str] = {
     "op5_decontaminate": DECONTAMINATE_SQL,
     "op6_exact_dedup": EXACT_DEDUP_SQL,
     "op10_jaccard_join": JACCARD_SQL,
+    "op11_sharding": sharding.SHARDING_SQL,
 }
