@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from solvara.llm import chat_format, decontaminate, exact_dedup, html_text, jaccard_join, language_id, mixing, sharding, toxicity, training_order, warc
+from solvara.llm import chat_format, decontaminate, exact_dedup, hard_negatives, html_text, jaccard_join, language_id, mixing, sharding, toxicity, training_order, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,6 +72,10 @@ def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.hard_negatives(_table(spark, sf_dir, "embeddings"))
+
+
 _FOLD = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 DECONTAMINATE_SQL = rf"""
@@ -153,6 +157,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_language_id": op9_language_id,
     "op10_jaccard_join": op10_jaccard_join,
     "op11_sharding": op11_sharding,
+    "op12_hard_negatives": op12_hard_negatives,
 }
 
 ORACLES: dict[str, str] = {
@@ -163,4 +168,5 @@ ORACLES: dict[str, str] = {
     "op6_exact_dedup": EXACT_DEDUP_SQL,
     "op10_jaccard_join": JACCARD_SQL,
     "op11_sharding": sharding.SHARDING_SQL,
+    "op12_hard_negatives": hard_negatives.NEGATIVES_SQL,
 }
