@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from solvara.llm import chat_format, decontaminate, exact_dedup, hard_negatives, html_text, jaccard_join, language_id, mixing, sharding, toxicity, training_order, warc
+from solvara.llm import chat_format, collocations, decontaminate, exact_dedup, hard_negatives, html_text, jaccard_join, language_id, mixing, sharding, toxicity, training_order, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,6 +76,10 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.hard_negatives(_table(spark, sf_dir, "embeddings"))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
 _FOLD = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 DECONTAMINATE_SQL = rf"""
@@ -158,6 +162,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_jaccard_join": op10_jaccard_join,
     "op11_sharding": op11_sharding,
     "op12_hard_negatives": op12_hard_negatives,
+    "op13_collocations": op13_collocations,
 }
 
 ORACLES: dict[str, str] = {
@@ -169,4 +174,5 @@ ORACLES: dict[str, str] = {
     "op10_jaccard_join": JACCARD_SQL,
     "op11_sharding": sharding.SHARDING_SQL,
     "op12_hard_negatives": hard_negatives.NEGATIVES_SQL,
+    "op13_collocations": collocations.COLLOCATIONS_SQL,
 }
