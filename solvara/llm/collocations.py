@@ -30,7 +30,7 @@ MIN_COUNT, MOST_WORDS, FIRST = 100, 5, 2000
 #: Phrases in one trie, words in one broadcast dictionary: more are dealt to further blocks, one pass for each.
 TRIE_PHRASES, DICTIONARY_WORDS = 1_000_000, 1_000_000
 #: Bytes of text cut at once, and positions whose phrases are added up at once.
-CHUNK_BYTES, CHUNK_POSITIONS = 4 << 20, 1 << 21
+CHUNK_BYTES, CHUNK_POSITIONS = 2 << 20, 1 << 19
 
 # ---------------------------------------------------------------- words
 
@@ -59,7 +59,7 @@ def words(column: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     if not len(first):
         return pa.array([], pa.large_binary()), first, first.astype(bool)
     # the letters of all words on end: a word's bytes are those inside words between its start and the next
-    before = np.cumsum(inside) - 1
+    before = np.cumsum(inside, dtype=np.int64) - 1
     flat = _LOWER[data[inside]]
     own = np.append(before[first], len(flat)).astype(np.int64)
     found = pa.Array.from_buffers(pa.large_binary(), len(first), [None, pa.py_buffer(own), pa.py_buffer(flat)])
@@ -277,6 +277,29 @@ def _blocks(phrases: DataFrame, n: int, roots: int, words: int) -> Iterator[Doub
             yield DoubleArray.build(roots, langs, np.stack(codes, axis=1), ids)
 
 
+class _PairSums:
+    """Adds up keys (state, code) of a task, as many distinct ones as ``CHUNK_POSITIONS`` at once."""
+
+    def __init__(self, ids: np.ndarray):
+        self.ids, self.keys, self.counts = ids, np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def add(self, keys: np.ndarray) -> Iterator[pa.RecordBatch]:
+        keys, counts = np.unique(keys, return_counts=True)
+        keys = np.concatenate([self.keys, keys])
+        order = np.argsort(keys, kind="stable")
+        keys, counts = keys[order], np.concatenate([self.counts, counts])[order]
+        first = np.flatnonzero(np.diff(keys, prepend=-1))
+        self.keys, self.counts = keys[first], np.add.reduceat(counts, first) if len(first) else counts
+        if len(self.keys) > CHUNK_POSITIONS:
+            yield from self.rest()
+
+    def rest(self) -> Iterator[pa.RecordBatch]:
+        for k in range(0, len(self.keys), 65536):
+            keys, counts = self.keys[k : k + 65536], self.counts[k : k + 65536]
+            yield pa.RecordBatch.from_arrays([pa.array(self.ids[keys >> 32], pa.int64()), pa.array((keys & (2**32 - 1)).astype(np.int32)), pa.array(counts, pa.int64())], ["id", "code", "f"])
+        self.keys, self.counts = self.keys[:0], self.counts[:0]
+
+
 def extensions(texts: DataFrame, phrases: DataFrame, n: int, roots: int, m: int, min_count: int) -> DataFrame:
     """(id, code): phrases of m - 1 words by a further word, seen ``min_count`` times in all shards together.
 
@@ -289,6 +312,7 @@ def extensions(texts: DataFrame, phrases: DataFrame, n: int, roots: int, m: int,
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared, whole: bool = whole) -> Iterator[pa.RecordBatch]:
             trie: DoubleArray = shared.value
+            sums = _PairSums(trie.ids)
             for lang, code in _positions(batches):
                 at = np.flatnonzero(code)
                 state = lang[at].astype(np.int64) + 1
@@ -298,15 +322,14 @@ def extensions(texts: DataFrame, phrases: DataFrame, n: int, roots: int, m: int,
                     if not len(at):
                         break
                 # codes end in 0, so what follows a phrase is inside the chunk
-                accepted = np.full(len(code) + 1, -1, np.int64)
-                accepted[at] = trie.ids[state]
-                own = np.flatnonzero(accepted[:-1] >= 0)
+                reached = np.zeros(len(code) + 1, np.int32)
+                reached[at] = state * (trie.ids[state] >= 0)
+                own = np.flatnonzero(reached[:-1])
                 own = own[code[own + m - 1] > 0]
                 if whole:
-                    own = own[accepted[own + 1] >= 0]
-                ids, small = np.unique(accepted[own], return_inverse=True)
-                keys, counts = np.unique(small.astype(np.int64) << 32 | code[own + m - 1], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[keys >> 32], pa.int64()), pa.array((keys & (2**32 - 1)).astype(np.int32)), pa.array(counts, pa.int64())], ["id", "code", "f"])
+                    own = own[reached[own + 1] > 0]
+                yield from sums.add(reached[own].astype(np.int64) << 32 | code[own + m - 1])
+            yield from sums.rest()
 
         seen = texts.mapInArrow(run, "id long, code int, f long").groupBy("id", "code").agg(F.sum("f").alias("f")).where(F.col("f") >= min_count).select("id", "code")
         seen = materialize(seen, "extensions")
