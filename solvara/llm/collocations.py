@@ -29,6 +29,10 @@ from solvara.llm.sharding import numbered
 MIN_COUNT, MOST_WORDS, FIRST = 100, 5, 2000
 #: Phrases in one trie, words in one broadcast dictionary: more are dealt to further blocks, one pass for each.
 TRIE_PHRASES, DICTIONARY_WORDS = 1_000_000, 1_000_000
+#: Bits of a word's second digit, children from which a node takes fresh room, and slots looked at together for others.
+DIGIT, WIDE, WINDOW = 10, 256, 1024
+#: Codes in a written row, about; states in a vector of counts.
+ROW_CODES, SLICE = 16_384, 1024
 #: Bytes of text cut at once, and positions whose phrases are added up at once.
 CHUNK_BYTES, CHUNK_POSITIONS = 2 << 20, 1 << 19
 
@@ -118,9 +122,9 @@ def word_counts(docs: DataFrame, min_count: int = MIN_COUNT) -> DataFrame:
 
 @dataclass
 class DoubleArray:
-    """A trie in two arrays: the child of state ``s`` by code ``c`` is ``base[s] + c``, if ``check`` there is ``s``.
+    """A trie in two arrays: the child of state ``s`` by digit ``d`` is ``base[s] + d``, if ``check`` there is ``s``.
 
-    State 0 is dead, states 1 to the number of languages are their roots.  ``ids`` holds the id of the phrase that ends in a
+    A word is two digits, so that children lie close together and the arrays fill up.  State 0 is dead, states 1 to the number of languages are their roots.  ``ids`` holds the id of the phrase that ends in a
     state, or -1.
     """
 
@@ -132,14 +136,22 @@ class DoubleArray:
     @classmethod
     def build(cls, roots: int, langs: np.ndarray, flat: np.ndarray, ids: np.ndarray) -> DoubleArray:
         """From phrases as rows of codes from 1 on, filled up with zeros."""
+        flat = np.stack([np.where(flat > 0, (flat >> DIGIT) + 1, 0), np.where(flat > 0, (flat & (2**DIGIT - 1)) + 1, 0)], axis=2).reshape(len(flat), -1)
         lengths = (flat > 0).sum(axis=1)
-        size = max(1024, 4 * (roots + 1 + len(flat)), 2 * int(flat.max(initial=0)) + roots + 2)
+        size = max(1024, 4 * (roots + 1 + len(flat)))
         base, check, found = np.zeros(size, np.int64), np.full(size, -1, np.int64), np.full(size, -1, np.int64)
         free = np.ones(size, bool)
         free[: roots + 1] = False
         check[0] = -2
         state = langs.astype(np.int64) + 1
-        hint = roots + 1
+        hint = top = roots + 1
+
+        def grow(size: int) -> None:
+            nonlocal base, check, found, free
+            more = size - len(free)
+            free, base = np.append(free, np.ones(more, bool)), np.append(base, np.zeros(more, np.int64))
+            check, found = np.append(check, np.full(more, -1)), np.append(found, np.full(more, -1))
+
         for depth in range(flat.shape[1]):
             rows = np.flatnonzero(lengths > depth)
             edges, back = np.unique(np.stack([state[rows], flat[rows, depth]]), axis=1, return_inverse=True)
@@ -150,44 +162,48 @@ class DoubleArray:
             wide = np.flatnonzero(ends - cuts > 1)
             for k in wide[np.argsort(cuts[wide] - ends[wide], kind="stable")]:
                 own = code[cuts[k] : ends[k]]
-                at = hint - own[0]
+                # nodes with many children take fresh room, others the next gap that they fit
+                at = top if len(own) > WIDE else hint
                 while True:
-                    if at + own[-1] >= len(free):
-                        more = len(free)
-                        free, base = np.append(free, np.ones(more, bool)), np.append(base, np.zeros(more, np.int64))
-                        check, found = np.append(check, np.full(more, -1)), np.append(found, np.full(more, -1))
-                    if free[at + own].all():
+                    if at + WINDOW + own[-1] - own[0] >= len(free):
+                        grow(2 * len(free) + own[-1])
+                    slots = at + np.flatnonzero(free[at : at + WINDOW])
+                    fits = np.flatnonzero(free[(slots - own[0])[:, None] + own].all(axis=1)) if len(own) <= WIDE else np.zeros(1, int)
+                    if len(slots) and len(fits):
                         break
-                    at += 1
+                    at += WINDOW
+                at = int(slots[fits[0]])
+                hint = hint if len(own) > WIDE else at
+                at -= int(own[0])
                 free[at + own] = False
+                top = max(top, at + int(own[-1]) + 1)
                 base[parent[cuts[k]]] = at
                 child[cuts[k] : ends[k]] = at + own
-                while not free[hint : hint + 64].any():
-                    hint += 64
             # a single child can stand anywhere
             narrow = np.flatnonzero(ends - cuts == 1)
             room = np.flatnonzero(free)
             if len(room) < len(narrow):
-                more = max(len(free), len(narrow))
-                free, base = np.append(free, np.ones(more, bool)), np.append(base, np.zeros(more, np.int64))
-                check, found = np.append(check, np.full(more, -1)), np.append(found, np.full(more, -1))
+                grow(2 * len(free) + len(narrow))
                 room = np.flatnonzero(free)
             room = room[: len(narrow)]
             free[room] = False
             base[parent[cuts[narrow]]] = room - code[cuts[narrow]]
             child[cuts[narrow]] = room
+            top = max(top, int(room.max(initial=0)) + 1)
             check[child] = parent
             state[rows] = child[back]
         found[state] = ids
-        top = int(np.flatnonzero(check >= 0).max(initial=roots)) + 1
         return cls(base[:top], check[:top], found[:top], roots)
 
     def step(self, state: np.ndarray, code: np.ndarray) -> np.ndarray:
         """The states after one more word, of all positions at once; code 0 and missing children lead to the dead state."""
-        to = self.base[state] + code
-        there = (code > 0) & (state > 0) & (to >= 0) & (to < len(self.check))
-        to = np.where(there, to, 0)
-        return np.where(self.check[to] == state, to, 0)
+        state = np.where(code > 0, state, 0)
+        return self._child(self._child(state, (code >> DIGIT) + 1), (code & (2**DIGIT - 1)) + 1)
+
+    def _child(self, state: np.ndarray, digit: np.ndarray) -> np.ndarray:
+        to = self.base[state] + digit
+        to = np.where((to >= 0) & (to < len(self.check)), to, 0)
+        return np.where((self.check[to] == state) & (state > 0), to, 0)
 
 
 # ---------------------------------------------------------------- codes
@@ -227,7 +243,8 @@ def coded(docs: DataFrame, dictionary: DataFrame, langs: list[str]) -> DataFrame
                     for lang, own in _by_lang(langs, texts):
                         if lang in number:
                             code, _, goes_on = codes_of(own)
-                            yield pa.RecordBatch.from_arrays([pa.array([number[lang]], pa.int32()), pa.array([spaced(code, goes_on).tobytes()], pa.binary())], ["lang", "codes"])
+                            parts = [c.tobytes() for c in _cut(spaced(code, goes_on))]
+                            yield pa.RecordBatch.from_arrays([pa.array([number[lang]] * len(parts), pa.int32()), pa.array(parts, pa.binary())], ["lang", "codes"])
                 return
             for b in batches:
                 code, text, goes_on = codes_of(b.column(1))
@@ -245,6 +262,13 @@ def coded(docs: DataFrame, dictionary: DataFrame, langs: list[str]) -> DataFrame
     return rows if len(starts) else rows.select(F.lit(0).alias("lang"), "codes").limit(0)
 
 
+def _cut(code: np.ndarray) -> list[np.ndarray]:
+    """Codes in runs of about ``ROW_CODES``, cut only at zeros."""
+    ends = np.flatnonzero(code == 0)
+    at = np.unique(ends[np.searchsorted(ends, np.arange(ROW_CODES, len(code), ROW_CODES)).clip(max=len(ends) - 1)]) if len(ends) else ends
+    return np.split(code, at)
+
+
 def _positions(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(language, code) of consecutive positions, about ``CHUNK_POSITIONS`` at once; rows end in a 0."""
     lang: list[np.ndarray] = []
@@ -338,7 +362,10 @@ def extensions(texts: DataFrame, phrases: DataFrame, n: int, roots: int, m: int,
 
 
 def phrase_counts(texts: DataFrame, phrases: DataFrame, n: int, roots: int, words: int) -> DataFrame:
-    """(id, f) of all ``phrases``: the sums over shards of accepting states, one pass for each trie."""
+    """(id, f) of all ``phrases``: the sums over shards of accepting states, one pass for each trie.
+
+    A shard's counts are vectors of ``SLICE`` states; a slice's vectors are added up as they arrive.
+    """
     out = None
     for trie in _blocks(phrases, n, roots, words):
         shared = texts.sparkSession.sparkContext.broadcast(trie)
@@ -353,10 +380,24 @@ def phrase_counts(texts: DataFrame, phrases: DataFrame, n: int, roots: int, word
                     state = trie.step(state, code[at + depth])
                     at, state, depth = at[state > 0], state[state > 0], depth + 1
                     counts += np.bincount(state, minlength=len(counts))
-            own = np.flatnonzero((counts > 0) & (trie.ids >= 0))
-            yield pa.RecordBatch.from_arrays([pa.array(trie.ids[own]), pa.array(counts[own])], ["id", "f"])
+            if counts.any():
+                counts = np.append(counts, np.zeros(-len(counts) % SLICE, np.int64)).reshape(-1, SLICE)
+                own = np.flatnonzero(counts.any(axis=1))
+                yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array([counts[k].tobytes() for k in own], pa.binary())], ["slice", "counts"])
 
-        sums = materialize(texts.mapInArrow(run, "id long, f long").groupBy("id").agg(F.sum("f").alias("f")), "phrase-counts")
+        def add(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            sums: dict[int, np.ndarray] = {}
+            for b in batches:
+                for k, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                    sums[k] = sums.get(k, 0) + np.frombuffer(raw, np.int64)
+            for k, counts in sums.items():
+                ids = shared.value.ids[k * SLICE : (k + 1) * SLICE]
+                counts = counts[: len(ids)]
+                own = np.flatnonzero((counts > 0) & (ids >= 0))
+                yield pa.RecordBatch.from_arrays([pa.array(ids[own]), pa.array(counts[own])], ["id", "f"])
+
+        vectors = texts.mapInArrow(run, "slice long, counts binary")
+        sums = materialize(vectors.repartition("slice").mapInArrow(add, "id long, f long"), "phrase-counts")
         out = sums if out is None else out.unionByName(sums)
     return out
 
