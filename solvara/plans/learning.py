@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from solvara.operators import explain, models, scoring
+from solvara.operators import explain, folds, models, scoring
 from solvara.plans.modelling import FEATURES, _fold, _matrix
-from solvara.plans.registry import query, rounded, sheet
+from solvara.plans.registry import filings, query, rounded, sheet
 
 c = F.col
 
@@ -60,3 +60,42 @@ def _fitted_trees(kind):
 
 query("xai01_trees")(_fitted_trees("boosted"))
 query("xai01_forest")(_fitted_trees("forest"))
+
+
+# ---------------------------------------------------------------- purged folds with separated entities
+
+#: Filings of customers; positives are the orders of the two most urgent kinds.
+_FILED = "y AS (SELECT id, entity, filed, amount, CASE WHEN form IN ('1-URGENT', '2-HIGH') THEN 1 ELSE 0 END AS y FROM filings)"
+
+
+def _filed(t):
+    f = filings(t).withColumn("y", c("form").isin("1-URGENT", "2-HIGH").cast("int"))
+    return f.select("id", "entity", "filed", "amount", "y")
+
+
+@query("cv01_entity_parts", f"""WITH {_FILED}, e AS (SELECT entity, count(*) AS n, sum(y)::BIGINT AS p FROM y GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY p DESC, n DESC, entity) - 1 AS k FROM e)
+SELECT entity, (1 + CASE WHEN (k // 5) % 2 = 0 THEN k % 5 ELSE 4 - k % 5 END)::INTEGER AS part, n AS rows, p AS positives FROM r""")
+def cv01_parts(t):
+    return folds.entity_parts(_filed(t), "entity", "y", 5)
+
+
+@query("cv01_grouped_folds", f"""WITH {_FILED}, e AS (SELECT entity, count(*) AS n, sum(y) AS p FROM y GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY p DESC, n DESC, entity) - 1 AS k FROM e),
+g AS (SELECT entity, 1 + CASE WHEN (k // 5) % 2 = 0 THEN k % 5 ELSE 4 - k % 5 END AS part FROM r),
+d AS (SELECT DISTINCT filed FROM y), k AS (SELECT filed, ntile(6) OVER (ORDER BY filed) AS chunk FROM d), h AS (SELECT chunk, min(filed) AS lo, max(filed) AS hi FROM k GROUP BY 1),
+f AS (SELECT a.chunk AS fold, a.hi AS train_end, greatest(b.lo, (a.hi + 366)::DATE) AS valid_start, b.hi AS valid_end FROM h a JOIN h b ON b.chunk = a.chunk + 1 WHERE greatest(b.lo, (a.hi + 366)::DATE) <= b.hi),
+s AS (SELECT fold, entity, filed, y, CASE WHEN part <> fold AND filed <= train_end THEN 'train' WHEN part = fold AND filed BETWEEN valid_start AND valid_end THEN 'valid' END AS role FROM y JOIN g USING (entity), f)
+SELECT fold::INTEGER AS fold, count(*) FILTER (role = 'train') AS train_rows, count(*) FILTER (role = 'train' AND y = 1) AS train_positives, count(*) FILTER (role = 'valid') AS valid_rows, count(*) FILTER (role = 'valid' AND y = 1) AS valid_positives,
+  date_diff('day', max(filed) FILTER (role = 'train'), min(filed) FILTER (role = 'valid'))::INTEGER AS gap_days, 0::BIGINT AS shared_entities FROM s WHERE role IS NOT NULL GROUP BY 1""")
+def cv01_grouped(t):
+    rows, _ = folds.grouped_folds(_filed(t), "filed", "entity", "y")
+    return folds.fold_summary(rows, "filed", "entity", "y")
+
+
+@query("cv03_search")
+def cv03(t):
+    """All trials of a search over purged folds with separated customers, by business cost at each fold's own threshold."""
+    buyers = t("customer").select(c("c_custkey").alias("entity"), "c_acctbal", "c_nationkey")
+    rows = _filed(t).join(buyers, "entity").withColumns({"size": F.log("amount"), "month": F.month("filed").cast("double")})
+    dealt, _ = folds.grouped_folds(rows, "filed", "entity", "y")
+    trials = folds.drawn_trials({"l2": [0.001, 0.1], "positive_weight": [1.0, 5.0, 24.0], "rate": [0.03, 0.1]}, 8)
+    return folds.search_folds(dealt, ["size", "c_acctbal", "c_nationkey", "month"], "y", trials, (4, 8, 16))
