@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from solvara.functions import chi2_tail, ks_tail, normal_tail, softplus
 from solvara.operators.ordered import quantiles, running_sums
+from solvara.operators.resampling import bootstrap  # noqa: F401
 
 
 def score_counts(df: DataFrame, score: str, label: str, by: Sequence[str] = ()) -> DataFrame:
@@ -252,31 +253,6 @@ def monte_carlo(df: DataFrame, key: str, margin: str, n: int = 1000, seed: int =
     return out.select("mean_loss", F.col("q")[0].alias("var95"), F.col("q")[1].alias("var99"), (F.col("q")[1] - F.col("mean_loss")).alias("unexpected_99"))
 
 
-def bootstrap(df: DataFrame, score: str, label: str, key: str, b: int = 1000, seed: int = 42, tau: float = 0.3) -> DataFrame:
-    """(metric, mean, low, high): means and 95 % intervals of PR-AUC, ROC-AUC, F2 at ``tau`` and Brier score.
-
-    Replicates have Poisson(1) row weights from a seeded hash and are reduced to counts of each score,
-    from which all metrics come in one pass; a replicate without one of the classes is passed over.
-    """
-    u = (F.pmod(F.xxhash64(key, "replicate", F.lit(seed)), F.lit(2**30)) + 0.5) / float(2**30)
-    # fixed values: cumulative Poisson(1) probabilities
-    weight = sum(((u > c).cast("int") for c in (0.367879441, 0.735758882, 0.919698603, 0.981011843, 0.996340153, 0.999405815)), F.lit(0))
-    counts = df.select(F.col(score).alias("score"), F.col(label).alias("y"), key).withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(b)))).withColumn("w", weight)
-    counts = counts.groupBy("replicate", "score").agg(F.sum(F.col("y") * F.col("w")).alias("pos"), F.sum((1 - F.col("y")) * F.col("w")).alias("neg"))
-    c = F.col
-    r = _curve(_ranked(counts.where("pos + neg > 0"), ["replicate"]).where("P > 0 AND N > 0"))
-    hit = lambda n: F.sum(F.when(c("score") >= tau, c(n)).otherwise(0))
-    each = r.groupBy("replicate").agg(
-        F.sum((c("recall") - c("r0")) * (c("precision") + c("p0")) / 2.0).alias("pr_auc"),
-        (F.sum(c("neg") * (c("tp") - c("pos") / 2.0)) / (F.max("P") * F.max("N")).cast("double")).alias("roc_auc"),
-        (5.0 * hit("pos") / (hit("pos") + 4.0 * F.max("P") + hit("neg"))).alias("f2"),
-        (F.sum(c("pos") * F.pow(1.0 - c("score"), F.lit(2.0)) + c("neg") * F.pow(c("score"), F.lit(2.0))) / F.sum(c("pos") + c("neg"))).alias("brier"),
-    )
-    long = each.unpivot("replicate", ["pr_auc", "roc_auc", "f2", "brier"], "metric", "value")
-    q = F.percentile("value", F.array(F.lit(0.025), F.lit(0.975)))
-    return long.groupBy("metric").agg(F.avg("value").alias("mean"), q.alias("q")).select("metric", "mean", c("q")[0].alias("low"), c("q")[1].alias("high"))
-
-
 def information_value(df: DataFrame, column: str, label: str, bins: int = 6) -> DataFrame:
     """Weight of evidence of each quantile bin and its part of the information value."""
     b = F.size(F.filter("edges", lambda e: F.col(column) > e))

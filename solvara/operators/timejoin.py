@@ -7,20 +7,49 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from solvara.sources import saved
 
-def asof_join(left: DataFrame, right: DataFrame, by: str, left_ts: str, right_ts: str, columns: Sequence[str]) -> DataFrame:
+
+def asof_join(left: DataFrame, right: DataFrame, by: str, left_ts: str, right_ts: str, columns: Sequence[str], hot_rows: int = 1_000_000) -> DataFrame:
     """Left rows with ``columns`` of the last right row of the same key at or before ``left_ts``.
 
     Both sides are put in one time line and the last right row is carried on; a right row comes
-    before a left row of the same time.  Two right rows of one key and time must not differ.
+    before a left row of the same time.  Two right rows of one key and time must not differ.  A null key fits
+    nothing, nor does a null time.  Keys with more than ``hot_rows`` rows of both sides (fewer keys than
+    rows over ``hot_rows``) are cut into ranges of time, so that no task holds a whole one.
     """
     payload = F.struct(F.col(right_ts).alias("__rt"), *[F.col(c).alias(c) for c in columns])
-    r = right.select(F.col(by).alias("__by"), F.col(right_ts).alias("__ts"), F.lit(0).alias("__side"), payload.alias("__r"))
+    r = right.where(F.col(by).isNotNull() & F.col(right_ts).isNotNull()).select(F.col(by).alias("__by"), F.col(right_ts).alias("__ts"), F.lit(0).alias("__side"), payload.alias("__r"))
     l = left.select("*", F.col(by).alias("__by"), F.col(left_ts).alias("__ts"), F.lit(1).alias("__side"))
+    asked = F.col("__by").isNotNull() & F.col("__ts").isNotNull()
+    kept = lambda df, last: df.select(*left.columns, last["__rt"].alias(f"asof_{right_ts}"), *[last[c].alias(c) for c in columns])
+    nothing = F.lit(None).cast(r.schema["__r"].dataType)
+    both = l.where(asked).unionByName(r, allowMissingColumns=True)
     w = Window.partitionBy("__by").orderBy("__ts", "__side").rowsBetween(Window.unboundedPreceding, 0)
-    both = l.unionByName(r, allowMissingColumns=True)
-    carried = both.withColumn("__last", F.last("__r", ignorenulls=True).over(w)).where("__side = 1")
-    return carried.select(*left.columns, F.col("__last.__rt").alias(f"asof_{right_ts}"), *[F.col(f"__last.{c}").alias(c) for c in columns])
+    carried = lambda df: kept(df.withColumn("__last", F.last("__r", ignorenulls=True).over(w)).where("__side = 1"), F.col("__last"))
+    unasked = kept(l.where(~asked), nothing)
+    sizes = l.where(asked).select("__by").unionByName(r.select("__by")).groupBy("__by").agg(F.count(F.lit(1)).alias("__n"))
+    hot = [x[0] for x in sizes.where(F.col("__n") > hot_rows).select("__by").collect()]
+    if not hot:
+        return carried(both).unionByName(unasked)
+    is_hot = F.col("__by").isin(hot)
+    return carried(both.where(~is_hot)).unionByName(kept(*_carried_over_ranges(both.where(is_hot)))).unionByName(unasked)
+
+
+def _carried_over_ranges(both: DataFrame) -> tuple[DataFrame, Column]:
+    """Left rows of a time line with ``__last``: carried on within ranges of (key, time), and from range to range.
+
+    What a range hands on is one row for each key in it, so the table of these has about as many rows as
+    keys and ranges together.
+    """
+    order = ["__by", "__ts", "__side"]
+    placed = saved(both.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()), "time-line")
+    ends = placed.groupBy("__by", "__range").agg(F.max_by(F.when(F.col("__side") == 0, F.col("__r")), F.when(F.col("__side") == 0, F.col("__ts"))).alias("__end"))
+    before = Window.partitionBy("__by").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    handed = ends.select("__by", "__range", F.last("__end", ignorenulls=True).over(before).alias("__handed"))
+    own = Window.partitionBy("__range", "__by").orderBy("__ts", "__side").rowsBetween(Window.unboundedPreceding, 0)
+    rows = placed.join(handed, ["__range", "__by"]).withColumn("__last", F.coalesce(F.last("__r", ignorenulls=True).over(own), F.col("__handed")))
+    return rows.where("__side = 1"), F.col("__last")
 
 
 def series_asof(left: DataFrame, series: DataFrame, date: str, month: str, columns: Sequence[str]) -> DataFrame:
