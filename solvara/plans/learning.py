@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from solvara.operators import explain, folds, models, scoring
+from solvara.operators import articles, explain, folds, models, scoring
 from solvara.plans.modelling import FEATURES, _fold, _matrix
 from solvara.plans.registry import filings, query, rounded, sheet
 
@@ -99,3 +99,49 @@ def cv03(t):
     dealt, _ = folds.grouped_folds(rows, "filed", "entity", "y")
     trials = folds.drawn_trials({"l2": [0.001, 0.1], "positive_weight": [1.0, 5.0, 24.0], "rate": [0.03, 0.1]}, 8)
     return folds.search_folds(dealt, ["size", "c_acctbal", "c_nationkey", "month"], "y", trials, (4, 8, 16))
+
+
+# ---------------------------------------------------------------- articles
+
+_KIND = "CASE {k} % 4 WHEN 0 THEN strftime({d}, '%Y-%m-%d') WHEN 1 THEN strftime({d}, '%Y%m%dT%H%M%S') WHEN 2 THEN strftime({d}, '%a, %d %b %Y %H:%M:%S GMT') ELSE 'soon' END"
+
+
+def _time_text(key, day):
+    text = F.when(key % 4 == 0, F.date_format(day, "yyyy-MM-dd")).when(key % 4 == 1, F.date_format(day, "yyyyMMdd'T'HHmmss"))
+    return text.when(key % 4 == 2, F.concat(F.date_format(day, "EEE"), F.lit(", "), F.date_format(day, "dd MMM yyyy HH:mm:ss"), F.lit(" GMT"))).otherwise(F.lit("soon"))
+
+
+def _articles(t):
+    """Orders as an old source (1992 to 2022), events as a recent one (2024); some times can't be read."""
+    o = t("orders").withColumn("day", F.add_months(c("o_orderdate"), (c("o_orderkey") % 3 * 144).cast("int")).cast("timestamp"))
+    old = o.select(F.concat(F.lit(" c"), c("o_custkey") % 40).alias("symbol"), F.concat(c("o_orderpriority"), F.lit(" "), c("o_orderkey") % 9).alias("headline"), _time_text(c("o_orderkey"), c("day")).alias("date"), c("o_orderstatus").alias("publisher"))
+    e = t("events").select(F.concat(F.lit("C"), c("user_id") % 40).alias("ticker"), F.concat(F.initcap("event_type"), F.lit(" ")).alias("title"), _time_text(c("event_id"), c("ts")).alias("time_published"), c("props").alias("summary"), c("event_id").cast("string").alias("url"))
+    return (
+        articles.aligned(old, "old", {"ticker": "symbol", "title": "headline", "time_published": "date", "authors": "publisher"}, (1999, 2020)),
+        articles.aligned(e, "recent", {x: x for x in ("ticker", "title", "time_published", "summary", "url")}, (2021, None), keep_undated=True),
+    )
+
+
+_ARTICLES_SQL = f"""WITH o AS (SELECT *, (o_orderdate + to_months((o_orderkey % 3 * 144)::INTEGER))::TIMESTAMP AS day FROM orders),
+h AS (SELECT upper('c' || o_custkey % 40) AS ticker, NULL::VARCHAR AS company_name, o_orderpriority || ' ' || o_orderkey % 9 AS title, NULL::VARCHAR AS url, {_KIND.format(k='o_orderkey', d='day')} AS time_published, CASE WHEN o_orderkey % 4 < 3 THEN year(day) END::INTEGER AS pub_year, o_orderstatus AS authors, o_orderpriority || ' ' || o_orderkey % 9 AS summary, 'old' AS source_dataset FROM o),
+r AS (SELECT 'C' || user_id % 40 AS ticker, NULL::VARCHAR AS company_name, upper(substr(event_type, 1, 1)) || substr(event_type, 2) AS title, event_id::VARCHAR AS url, {_KIND.format(k='event_id', d='ts')} AS time_published, CASE WHEN event_id % 4 < 3 THEN year(ts) END::INTEGER AS pub_year, NULL::VARCHAR AS authors, props AS summary, 'recent' AS source_dataset FROM events),
+a AS (SELECT * FROM h WHERE pub_year BETWEEN 1999 AND 2020 UNION ALL SELECT * FROM r WHERE pub_year >= 2021 OR pub_year IS NULL)
+SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY ticker, lower(title), pub_year ORDER BY time_published DESC, source_dataset DESC, title DESC, url DESC NULLS LAST, authors DESC NULLS LAST) = 1"""
+
+
+@query("nlp01_consolidated", _ARTICLES_SQL)
+def nlp01(t):
+    return articles.consolidated(_articles(t))
+
+
+@query("nlp01_merged_loads", _ARTICLES_SQL)
+def nlp01_merged(t):
+    """The same table from three loads one after the other, the second of them twice."""
+    from solvara.sources import shared_path
+
+    old, recent = _articles(t)
+    spark, path = old.sparkSession, shared_path(old.sparkSession, "articles")
+    early = F.coalesce(c("pub_year"), F.lit(0)) <= 2010
+    for load in (old.where(early), old.where(~early), old.where(~early), recent):
+        articles.merge_articles(spark, path, load)
+    return spark.read.parquet(path).drop("bucket")
