@@ -23,15 +23,27 @@ from pyspark.sql import functions as F
 
 from solvara.llm.common import small_batches
 
+#: Encodings of the web (fixed values) that bodies are read in; any other counts as UTF-8.
+CHARSETS = frozenset(
+    """ascii us-ascii utf-8 utf8 utf-16 utf-16le utf-16be latin1 iso-8859-1 iso-8859-2 iso-8859-3 iso-8859-4 iso-8859-5 iso-8859-6
+    iso-8859-7 iso-8859-8 iso-8859-9 iso-8859-10 iso-8859-13 iso-8859-14 iso-8859-15 iso-8859-16 windows-1250 windows-1251 windows-1252 windows-1253
+    windows-1254 windows-1255 windows-1256 windows-1257 windows-1258 cp1250 cp1251 cp1252 koi8-r koi8-u ibm866 macintosh tis-620
+    gbk gb2312 gb18030 big5 big5-hkscs euc-jp shift_jis iso-2022-jp euc-kr""".split()
+)
+#: Bytes that a body, and a member of a gzipped file, may have when decompressed; beyond, it is a problem of its record.
+BODY_BYTES, MEMBER_BYTES = 64 << 20, 1 << 30
+
 #: Date of responses whose capture time is not known.
 UNDATED = "1970-01-01T00:00:00Z"
 
-_HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|template|noscript)\b.*?(?:</\1\s*>|\Z)|<!doctype[^>]*>", re.S | re.I)
-_TITLE = re.compile(r"<title\b[^>]*>(.*?)</title", re.S | re.I)
-_LANG = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([\w-]+)", re.I)
+#: Inside of a tag, up to what looks like the next one: no pattern looks further, so all take linear time.
+_INSIDE = r"(?:[^<>]|<(?![a-zA-Z/!]))*"
+_HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|template|noscript)\b.*?(?:</\1\s*>|\Z)|<!doctype[^<>]*>", re.S | re.I)
+_TITLE, _TITLE_END = re.compile(rf"<title\b{_INSIDE}>", re.I), re.compile(r"</title", re.I)
+_LANG = re.compile(rf"<html\b{_INSIDE}?\blang\s*=\s*[\"']?([\w-]+)", re.I)
 _META = re.compile(rb"<meta\b[^>]*?charset\s*=\s*[\"']?([\w-]+)", re.I)
-_LINK = re.compile(r"<(a|area|link|img|script|iframe)\b[^>]*?\b(href|src)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_BREAK = re.compile(r"</?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|fieldset|figcaption|figure|footer|form|h[1-6]|head|header|hr|html|li|main|nav|ol|p|pre|section|table|tbody|td|tfoot|th|thead|title|tr|ul)\b[^>]*>", re.I)
+_LINK = re.compile(rf"<(a|area|link|img|script|iframe)\b{_INSIDE}?\b(href|src)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_BREAK = re.compile(r"</?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|fieldset|figcaption|figure|footer|form|h[1-6]|head|header|hr|html|li|main|nav|ol|p|pre|section|table|tbody|td|tfoot|th|thead|title|tr|ul)\b[^>]*(?:>|\Z)", re.I)
 _TAG = re.compile(r"</?[a-zA-Z][^>]*(?:>|\Z)")
 _SPACE = re.compile(r"\s+")
 
@@ -67,6 +79,13 @@ def links(page: str, base: str) -> list[str]:
     return list(out)
 
 
+def title_of(page: str) -> str | None:
+    """What stands between the first title tag and the next end of one."""
+    start = _TITLE.search(page)
+    end = _TITLE_END.search(page, start.end()) if start else None
+    return page[start.end() : end.start()] if end else None
+
+
 def http_block(body: bytes, content_type: str = "text/html; charset=utf-8") -> bytes:
     return f"HTTP/1.1 200 OK\r\nContent-Type: {content_type}\r\nContent-Length: {len(body)}\r\n\r\n".encode() + body
 
@@ -82,13 +101,15 @@ def split_http(block: bytes) -> tuple[str, dict[str, str], bytes]:
 
 
 def decode(body: bytes, content_type: str) -> tuple[str, str]:
-    """Text and charset: of the header, else of a meta tag, else UTF-8; bad bytes are replaced."""
+    """Text and charset: of the header, else of a meta tag, if it is one of the web's, else UTF-8; bad bytes are replaced."""
     found = re.search(r"charset=\"?([\w-]+)", content_type, re.I)
-    name = found[1] if found else (m[1].decode() if (m := _META.search(body[:4096])) else "utf-8")
-    try:
-        return body.decode(name, "replace"), name.lower()
-    except LookupError:
-        return body.decode("utf-8", "replace"), "utf-8"
+    name = (found[1] if found else m[1].decode("ascii", "replace") if (m := _META.search(body[:4096])) else "utf-8").lower()
+    if name in CHARSETS:
+        try:
+            return body.decode(name, "replace"), name
+        except (LookupError, UnicodeError):
+            pass
+    return body.decode("utf-8", "replace"), "utf-8"
 
 
 def dechunked(body: bytes) -> bytes:
@@ -109,7 +130,8 @@ def dechunked(body: bytes) -> bytes:
 def unpacked(body: bytes, encoding: str) -> tuple[bytes, str]:
     """The body without its content encodings, and the name of one that can't be undone (or "").
 
-    gzip, deflate and zstd are undone; a cut stream gives what it has.
+    gzip, deflate and zstd are undone; a cut stream gives what it has.  A body of more than ``BODY_BYTES``
+    counts as one that can't be undone, and no more of it is decompressed.
     """
     for name in reversed([x.strip().lower() for x in encoding.split(",") if x.strip()]):
         if name in ("identity", "none"):
@@ -117,15 +139,22 @@ def unpacked(body: bytes, encoding: str) -> tuple[bytes, str]:
         try:
             if name in ("gzip", "x-gzip", "deflate"):
                 raw = name == "deflate" and (len(body) < 2 or body[0] & 15 != 8 or (body[0] << 8 | body[1]) % 31)
-                body = zlib.decompressobj(-15 if raw else 47).decompress(body)
+                body = zlib.decompressobj(-15 if raw else 47).decompress(body, BODY_BYTES + 1)
             elif name == "zstd":
                 import zstandard
 
-                body = zstandard.ZstdDecompressor().decompressobj().decompress(body)
+                out, size = [], 0
+                with zstandard.ZstdDecompressor().stream_reader(body) as stream:
+                    while size <= BODY_BYTES and (part := stream.read(1 << 20)):
+                        out.append(part)
+                        size += len(part)
+                body = b"".join(out)
             else:
                 return b"", name
         except Exception:  # noqa: BLE001  (each library has an error of its own)
             return b"", name
+        if len(body) > BODY_BYTES:
+            return b"", name
     return body, ""
 
 
@@ -143,12 +172,12 @@ def derive_record(headers: dict[str, str], block: bytes) -> list[tuple[dict[str,
     payload = body
     body, unknown = unpacked(body, http.get("content-encoding", ""))
     page, charset = decode(body, http.get("content-type", ""))
-    title = _TITLE.search(page)
+    title = title_of(page)
     language = _LANG.search(page)
     digest = known.get("warc-payload-digest") or sha1(payload)
     fields = [("source-status", status), *((f"source-{k}", v) for k, v in http.items()), ("charset", charset)]
     fields += [("undecoded", unknown)] if unknown else []
-    fields += [("title", _SPACE.sub(" ", html.unescape(title[1])).strip())] if title else []
+    fields += [("title", _SPACE.sub(" ", html.unescape(title)).strip())] if title is not None else []
     fields += [("language", language[1])] if language else []
     fields += [("outlink", x) for x in links(page, target)]
     out = []
@@ -189,13 +218,14 @@ def _members(data: bytes) -> Iterator[tuple[bytes, str]]:
     at = 0
     while at < len(data):
         unzip, problem = zlib.decompressobj(31), ""
-        out = []
+        out, size = [], 0
         try:
             step = at
-            while step < len(data) and not unzip.eof:
+            while step < len(data) and not unzip.eof and size <= MEMBER_BYTES:
                 out.append(unzip.decompress(data[step : step + 65536]))
+                size += len(out[-1])
                 step += 65536
-            problem = "" if unzip.eof else "gzip member is cut"
+            problem = "gzip member is too large" if size > MEMBER_BYTES else "" if unzip.eof else "gzip member is cut"
         except zlib.error:
             problem = "gzip member is broken"
         yield b"".join(out), problem
