@@ -160,3 +160,33 @@ def freshest(sources: Sequence[DataFrame], key: str, ts: str, fields: Mapping[st
         ok = F.col(c).isNotNull() & age.between(0, ttl)
         made.append(F.coalesce(F.max_by(F.when(ok, F.col(c)), F.when(ok, F.col(ts))), F.lit(default)).alias(c))
     return rows.groupBy(key).agg(*made)
+
+
+def field_values(sources: Mapping[str, DataFrame], key: str, ts: str, fields: Mapping[str, tuple[int, float]]) -> DataFrame:
+    """(key, ts, source, field, value): the non-null fields of several sources, one row each; absent columns give none."""
+    out = None
+    for name, df in sources.items():
+        own = [f for f in fields if f in df.columns]
+        rows = df.select(key, ts, F.lit(name).alias("source"), *[F.col(f).cast("double").alias(f) for f in own])
+        rows = rows.unpivot([key, ts, "source"], own, "field", "value").where("value IS NOT NULL")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def freshest_fields(rows: DataFrame, key: str, ts: str, fields: Mapping[str, tuple[int, float]], now) -> DataFrame:
+    """(key, field, value, at, source) of ``field_values``: per key and field the newest value not older than the field's days to live.
+
+    Ties of one time go to the greatest source, then the greatest value.  A key seen at all has a row for every
+    field: without a fresh value the field's default, with a null time and source.  Values of the future (after
+    ``now``) don't count.
+    """
+    age = F.datediff(F.lit(now), F.col(ts))
+    lives = F.create_map(*[F.lit(x) for f, (days, _) in fields.items() for x in (f, days)])
+    other = F.create_map(*[F.lit(x) for f, (_, default) in fields.items() for x in (f, float(default))])
+    fresh = age.between(0, lives[F.col("field")])
+    # one map-side combine a key: the newest of each field
+    newest = [F.max(F.when(fresh & (F.col("field") == f), F.struct(F.col(ts).alias("at"), "source", "value"))).alias(f"__{k}") for k, f in enumerate(fields)]
+    wide = rows.groupBy(key).agg(*newest)
+    parts = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"__{k}").alias("x")) for k, f in enumerate(fields)]))
+    long = wide.select(key, parts.alias("p")).select(key, "p.field", "p.x")
+    return long.select(key, "field", F.coalesce("x.value", other[F.col("field")]).alias("value"), "x.at", "x.source")

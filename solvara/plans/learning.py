@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from solvara.operators import articles, explain, folds, models, scoring
+from solvara.operators import articles, events, explain, folds, models, scoring, sentiment
 from solvara.plans.modelling import FEATURES, _fold, _matrix
 from solvara.plans.registry import filings, query, rounded, sheet
 
@@ -145,3 +145,55 @@ def nlp01_merged(t):
     for load in (old.where(early), old.where(~early), old.where(~early), recent):
         articles.merge_articles(spark, path, load)
     return spark.read.parquet(path).drop("bucket")
+
+
+# ---------------------------------------------------------------- sentiment
+
+
+@query("nlp04_learned_sentiment")
+def nlp04_learned(t):
+    """A scorer learned from the lexicon's decisions on three quarters of the news, applied to all of it."""
+    from solvara.plans.domain import _BAD, _GOOD, _news
+
+    news = _news(t)
+    decided = events.sentiment_shares(news, "text", _GOOD, _BAD).withColumn("y", (F.signum("index") + 1).cast("int"))
+    scorer = sentiment.fit_scorer(decided.where("doc_id % 4 <> 2"), "text", "y")
+    return sentiment.score_text(news, "text", lambda: scorer).select("doc_id", "positive", "negative", "neutral", "index")
+
+
+# ---------------------------------------------------------------- freshest record of several sources
+
+_LIVES = {"assets": (90, 0.0), "balance": (1500, -1.0)}
+_FRESH = """WITH l AS (SELECT o_custkey AS k, l_shipdate::DATE AS d, l_extendedprice AS assets, CASE WHEN l_returnflag = 'R' THEN l_quantity END AS balance FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+r AS (SELECT o_custkey AS k, 'filing' AS source, o_orderdate::DATE AS d, 'assets' AS field, o_totalprice AS v FROM orders UNION ALL SELECT k, 'market', d, 'assets', assets FROM l UNION ALL SELECT k, 'market', d, 'balance', balance FROM l
+  UNION ALL SELECT c_custkey, 'register', DATE '1995-06-01', 'balance', c_acctbal FROM customer),
+n AS (SELECT max(d) AS now FROM r), f AS (SELECT * FROM r, n WHERE v IS NOT NULL AND now - d BETWEEN 0 AND CASE field WHEN 'assets' THEN 90 ELSE 1500 END),
+b AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY k, field ORDER BY d DESC, source DESC, v DESC) = 1),
+a AS (SELECT * FROM (SELECT DISTINCT k FROM r), (VALUES ('assets', 0.0), ('balance', -1.0)) AS x(field, other))
+SELECT a.k AS entity, a.field, coalesce(v, other)::DOUBLE AS value, strftime(d, '%Y-%m-%d') AS at, source FROM a LEFT JOIN b ON a.k = b.k AND a.field = b.field"""
+
+
+def _sources(t):
+    l = t("lineitem").join(t("orders"), c("l_orderkey") == c("o_orderkey")).select(c("o_custkey").alias("entity"), F.to_date("l_shipdate").alias("day"), c("l_extendedprice").alias("assets"), F.when(c("l_returnflag") == "R", c("l_quantity")).alias("balance"))
+    o = t("orders").select(c("o_custkey").alias("entity"), F.to_date("o_orderdate").alias("day"), c("o_totalprice").alias("assets"))
+    r = t("customer").select(c("c_custkey").alias("entity"), F.lit("1995-06-01").cast("date").alias("day"), c("c_acctbal").alias("balance"))
+    return scoring.field_values({"filing": o, "market": l, "register": r}, "entity", "day", _LIVES)
+
+
+@query("scr07_freshest_sources", _FRESH)
+def scr07_sources(t):
+    rows = _sources(t)
+    found = scoring.freshest_fields(rows, "entity", "day", _LIVES, rows.agg(F.max("day")).first()[0])
+    return found.select("entity", "field", "value", F.date_format("at", "yyyy-MM-dd").alias("at"), "source")
+
+
+@query("stm03_freshest_fields", _FRESH[: _FRESH.index(",\na AS")] + " SELECT k AS entity, field, strftime(d, '%Y-%m-%d') AS at, source, v::DOUBLE AS value FROM b")
+def stm03_fields(t):
+    """The same sources landed as files and read as a stream, with a map state for each customer."""
+    from solvara import sources, streaming
+
+    rows = _sources(t)
+    path = sources.shared_path(rows.sparkSession, "fields")
+    rows.repartition(3).write.parquet(path)
+    found = streaming.freshest_fields_stream(rows.sparkSession, path, "entity", "day", {f: days for f, (days, _) in _LIVES.items()})
+    return found.select("entity", "field", F.date_format("at", "yyyy-MM-dd").alias("at"), "source", "value")
