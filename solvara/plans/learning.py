@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from solvara.operators import articles, events, explain, folds, models, scoring, sentiment
+from solvara.operators import articles, events, explain, folds, models, scoring, sentiment, tables
 from solvara.plans.modelling import FEATURES, _fold, _matrix
-from solvara.plans.registry import filings, query, rounded, sheet
+from solvara.plans.registry import filings, query, rounded, scored, sheet
 
 c = F.col
 
@@ -197,3 +197,46 @@ def stm03_fields(t):
     rows.repartition(3).write.parquet(path)
     found = streaming.freshest_fields_stream(rows.sparkSession, path, "entity", "day", {f: days for f, (days, _) in _LIVES.items()})
     return found.select("entity", "field", F.date_format("at", "yyyy-MM-dd").alias("at"), "source", "value")
+
+
+# ---------------------------------------------------------------- metric tables
+
+
+def _table_sql(rows: str, by: str) -> str:
+    """The table by its definition over ``rows``, a query that gives (<by>, s, y)."""
+    return f"""WITH k AS ({rows}), c AS (SELECT {by}, s, sum(y)::DOUBLE AS pos, sum(1 - y)::DOUBLE AS neg FROM k GROUP BY ALL),
+r AS (SELECT *, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp, sum(pos) OVER (PARTITION BY {by}) AS p, sum(neg) OVER (PARTITION BY {by}) AS n FROM c WINDOW w AS (PARTITION BY {by} ORDER BY s DESC)),
+m AS (SELECT {by}, any_value(p) AS p, any_value(n) AS n, sum(neg * (tp - pos / 2)) / any_value(p * n) AS roc_auc, sum(pos / p * (tp / (tp + fp) + CASE WHEN tp + fp > pos + neg THEN (tp - pos) / (tp + fp - pos - neg) ELSE 1 END) / 2) AS pr_auc,
+  sum(pos / p * tp / (tp + fp)) AS average_precision, sum(pos * (1 - s) * (1 - s) + neg * s * s) / any_value(p + n) AS brier FROM r GROUP BY {by}),
+g AS (SELECT {by}, g, sum(CASE WHEN round(s * 100) >= g THEN pos ELSE 0 END) AS tp, sum(CASE WHEN round(s * 100) >= g THEN neg ELSE 0 END) AS fp FROM c, range(1, 100) AS t(g) GROUP BY ALL),
+o AS (SELECT g.*, p, n, (p - tp) * 6e6 + fp * 250e3 AS cost FROM g JOIN m USING ({by})),
+b AS (SELECT *, 'optimal' AS rule FROM o QUALIFY row_number() OVER (PARTITION BY {by} ORDER BY cost, g) = 1 UNION ALL SELECT *, 'fixed' FROM o WHERE g = 50),
+x AS (SELECT {by}, rule, g / 100.0 AS tau, (p + n)::BIGINT AS rows, p::BIGINT AS positives, roc_auc, pr_auc, average_precision, brier, tp::BIGINT AS tp, fp::BIGINT AS fp, (m.p - tp)::BIGINT AS fn, (m.n - fp)::BIGINT AS tn, coalesce(tp / nullif(m.p, 0), 0) AS recall,
+  coalesce(tp / nullif(tp + fp, 0), 0) AS precision, coalesce((m.n - fp) / nullif(m.n, 0), 0) AS specificity, coalesce(2 * tp / nullif(tp + fp + m.p, 0), 0) AS f1, cost, (m.n - fp) * 250e3 + tp * 6e6 - cost AS pnl_full, (m.n - fp) * 250e3 - cost AS pnl_margin
+  FROM (SELECT * EXCLUDE (p, n) FROM b) JOIN m USING ({by}))"""
+
+
+_RATES = ("tau", "roc_auc", "pr_auc", "average_precision", "brier", "recall", "precision", "specificity", "f1")
+_ROUNDED = ", ".join(f"round({x}, 8)::DOUBLE AS {x}" for x in _RATES)
+_HORIZONS = "SELECT unnest([12, 24])::INTEGER AS horizon, unnest([a, b]) AS s, y FROM scored"
+_COHORTS = "SELECT unnest(['all', CASE WHEN event_id % 3 = 0 THEN 'flagged' ELSE 'clean' END]) AS cohort, a AS s, y FROM scored"
+_MODELS = "SELECT unnest(['first', 'second']) AS model, (user_id % 5)::INTEGER AS fold, unnest([a, b]) AS s, y FROM scored"
+
+
+@query("eva11_horizon_table", _table_sql(_HORIZONS, "horizon") + f" SELECT * REPLACE ({_ROUNDED}) FROM x")
+def eva11_table(t):
+    both = F.inline(F.array(*[F.struct(F.lit(h).alias("horizon"), c(s).alias("s")) for h, s in ((12, "a"), (24, "b"))]))
+    return rounded(tables.metric_table(scored(t).select(both, "y"), "s", "y", ["horizon"]), 8, *_RATES)
+
+
+@query("eva12_cohort_table", _table_sql(_COHORTS, "cohort") + f" SELECT * REPLACE ({_ROUNDED}) FROM x")
+def eva12_table(t):
+    tags = F.explode(F.array(F.lit("all"), F.when(c("event_id") % 3 == 0, "flagged").otherwise("clean")))
+    return rounded(tables.metric_table(scored(t).select(tags.alias("cohort"), c("a").alias("s"), "y"), "s", "y", ["cohort"]), 8, *_RATES)
+
+
+@query("eva10_model_table", _table_sql(_MODELS, "model, fold") + " SELECT model, count(*) AS folds, " + ", ".join(f"round(avg({x}), 6)::DOUBLE AS {x}" for x in (*_RATES, "cost", "pnl_full", "pnl_margin")) + " FROM x WHERE rule = 'optimal' AND positives BETWEEN 1 AND rows - 1 GROUP BY model")
+def eva10_table(t):
+    both = F.inline(F.array(*[F.struct(F.lit(m).alias("model"), c(s).alias("s")) for m, s in (("first", "a"), ("second", "b"))]))
+    rows = scored(t).select("user_id", both, "y").withColumn("fold", (c("user_id") % 5).cast("int"))
+    return rounded(tables.fold_table(rows, "s", "y", ["model"], "fold"), 6, *_RATES, "cost", "pnl_full", "pnl_margin")
