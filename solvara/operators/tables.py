@@ -29,8 +29,10 @@ def metric_table(df: DataFrame, score: str, label: str, by: Sequence[str], fixed
     columns come from these.  Areas are null without a class, rates 0 where undefined; rows without a score or
     label take no part; groups may be null.
     """
-    by = list(by)
-    counts = saved(score_counts(df.where(F.col(score).isNotNull() & F.col(label).isNotNull()), score, label, by), "score-counts")
+    # groups under names of their own, since the measures have columns too
+    groups, by = list(by), [f"__by{k}" for k in range(len(by))]
+    rows = df.where(F.col(score).isNotNull() & F.col(label).isNotNull()).select(*[F.col(g).alias(b) for g, b in zip(groups, by)], F.col(score).alias("__s"), F.col(label).alias("__y"))
+    counts = saved(score_counts(rows, "__s", "__y", by), "score-counts")
     c = F.col
     whole = counts.groupBy(*by).agg(
         F.sum(c("pos") + c("neg")).alias("rows"), F.sum("pos").alias("positives"),
@@ -54,12 +56,13 @@ def metric_table(df: DataFrame, score: str, label: str, by: Sequence[str], fixed
     out = out.withColumns({"fn": c("positives") - c("tp"), "tn": c("rows") - c("positives") - c("fp")})
     rate = lambda a, b: F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))
     no_class = (c("positives") == 0) | (c("positives") == c("rows"))
-    return out.withColumns(
+    out = out.withColumns(
         {
             "pr_auc": F.when(~no_class, c("pr_auc")), "average_precision": F.when(~no_class, c("average_precision")), "recall": rate(c("tp"), c("tp") + c("fn")), "precision": rate(c("tp"), c("tp") + c("fp")),
             "specificity": rate(c("tn"), c("tn") + c("fp")), "f1": rate(2 * c("tp"), 2 * c("tp") + c("fp") + c("fn")),
         } | money(c("tp"), c("fp"), c("fn"), c("tn"), fn_cost, fp_cost)
     )
+    return out.withColumnsRenamed(dict(zip(by, groups)))
 
 
 _MEANS = ("roc_auc", "pr_auc", "average_precision", "brier", "tau", "recall", "precision", "specificity", "f1", "cost", "pnl_full", "pnl_margin")
