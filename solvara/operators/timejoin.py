@@ -129,6 +129,23 @@ def returns(df: DataFrame, by: str, ts: str, price: str, lags: Sequence[int] = (
     return df.withColumns({f"return_{k}": F.try_divide(F.col(price), F.lag(price, k).over(w)) - 1 for k in lags})
 
 
+def trailing_months(df: DataFrame, by: str, day: str, value: str, months: int = 6) -> DataFrame:
+    """``df`` with <value>_avg, _max, _range and _std over a key's rows of the last ``months`` calendar months, its own included, and
+    market_mean, the mean of all keys' rows of that month.
+
+    All rows of a month see the same rows.  The deviation of one row is null, null values are passed over, and rows
+    without a day have nulls.  The market's means are one row a month.
+    """
+    m = F.year(day) * 12 + F.month(day)
+    w = Window.partitionBy(by).orderBy("__m").rangeBetween(-(months - 1), 0)
+    dated = F.col("__m").isNotNull()
+    rows = df.withColumn("__m", m)
+    market = rows.where(dated).groupBy(F.col("__m").alias("__month")).agg(F.avg(value).alias("market_mean"))
+    found = {"avg": F.avg(value), "max": F.max(value), "range": F.max(value), "std": F.stddev_samp(value)}
+    out = rows.withColumns({f"{value}_{k}": F.when(dated, x.over(w) - F.min(value).over(w) if k == "range" else x.over(w)) for k, x in found.items()})
+    return out.join(market, F.col("__m") == F.col("__month"), "left").drop("__m", "__month")
+
+
 def rolling_volatility(df: DataFrame, by: str, ts: str, ret: str, rows: int = 21, periods: int = 252, default: float = 0.20) -> DataFrame:
     """Yearly volatility: sample deviation of the last ``rows`` returns times the root of ``periods``."""
     w = Window.partitionBy(by).orderBy(ts).rowsBetween(-(rows - 1), 0)

@@ -48,9 +48,11 @@ def wn12(t):
     return ordered.running_sums(counts, [F.desc("score")], ["pos", "rows"]).select("score", c("pos_upto").alias("tp"), c("rows_upto").alias("seen"))
 
 
-@query("st01_total_order", "SELECT id, row_number() OVER (PARTITION BY year(filed) ORDER BY filings.filed, id) AS place FROM filings")
+@query("st01_total_order", "SELECT id, row_number() OVER (ORDER BY filings.filed, id) AS place FROM filings")
 def st01(t):
-    return filings(t).select("id", F.row_number().over(Window.partitionBy(F.year("filed")).orderBy("filed", "id")).cast("long").alias("place"))
+    """The place of each filing among all, from running sums over ranges of (date, id)."""
+    one = filings(t).select("id", "filed", F.lit(1).cast("long").alias("one"))
+    return ordered.running_sums(one, ["filed", "id"], ["one"]).select("id", c("one_upto").alias("place"))
 
 
 @query("sc05_intervals", "SELECT id, strftime(filed + INTERVAL 12 MONTH, '%Y-%m-%d') AS a, strftime(filed - INTERVAL 30 DAY, '%Y-%m-%d') AS b, strftime(date_trunc('month', filed), '%Y-%m-%d') AS m FROM filings")

@@ -29,10 +29,11 @@ def wn03(t):
 _W = "WINDOW w AS (PARTITION BY ticker ORDER BY day)"
 
 
-@query("wn04_returns", f"SELECT ticker, strftime(day, '%Y-%m-%d') AS day, round(price / nullif(lag(price, 1) OVER w, 0) - 1, 8) AS return_1, round(price / nullif(lag(price, 21) OVER w, 0) - 1, 8) AS return_21, round(price / nullif(lag(price, 63) OVER w, 0) - 1, 8) AS return_63 FROM quotes {_W}")
+@query("wn04_returns", f"SELECT ticker, strftime(day, '%Y-%m-%d') AS day, round(price / nullif(lag(price, 1) OVER w, 0) - 1, 8) AS return_1, round(price / nullif(lag(price, 21) OVER w, 0) - 1, 8) AS return_21, round(price / nullif(lag(price, 63) OVER w, 0) - 1, 8) AS return_63, round(price / nullif(lag(price, 252) OVER w, 0) - 1, 8) AS return_252 FROM quotes {_W}")
 def wn04(t):
-    r = timejoin.returns(quotes(t), "ticker", "day", "price", (1, 21, 63))
-    return r.select("ticker", day_text("day").alias("day"), *[F.round(f"return_{k}", 8).alias(f"return_{k}") for k in (1, 21, 63)])
+    lags = (1, 21, 63, 252)
+    r = timejoin.returns(quotes(t), "ticker", "day", "price", lags)
+    return r.select("ticker", day_text("day").alias("day"), *[F.round(f"return_{k}", 8).alias(f"return_{k}") for k in lags])
 
 
 @query("wn05_volatility", f"WITH r AS (SELECT ticker, day, price / nullif(lag(price) OVER w, 0) - 1 AS ret FROM quotes {_W}) SELECT ticker, strftime(day, '%Y-%m-%d') AS day, round(coalesce(stddev_samp(ret) OVER (PARTITION BY ticker ORDER BY r.day ROWS 20 PRECEDING) * sqrt(252), 0.20), 6) AS volatility FROM r")
@@ -83,3 +84,13 @@ def wn14(t):
     e = t("events").withColumn("at", F.struct("ts", "event_id"))
     w = finance.market_window(e, "user_id", "at", "value", 6)
     return w.select("event_id", F.round("value_avg", 6).alias("value_avg"), F.round(c("value_max") - c("value_min"), 6).alias("value_range"), F.round("value_std", 6).alias("value_std"))
+
+
+@query("nlp07_trailing_months", """WITH r AS (SELECT o_orderkey, o_custkey, year(o_orderdate) * 12 + month(o_orderdate) AS m, o_totalprice / 7000 AS v FROM orders)
+  SELECT o_orderkey AS id, round(avg(v) OVER w, 6) AS value_avg, round(max(v) OVER w, 6) AS value_max, round(max(v) OVER w - min(v) OVER w, 6) AS value_range, round(stddev_samp(v) OVER w, 6) AS value_std, round(avg(v) OVER (PARTITION BY m), 6) AS market_mean
+  FROM r WINDOW w AS (PARTITION BY o_custkey ORDER BY m RANGE BETWEEN 5 PRECEDING AND CURRENT ROW)""")
+def nlp07_months(t):
+    o = t("orders").select(c("o_orderkey").alias("id"), "o_custkey", F.to_date("o_orderdate").alias("day"), (c("o_totalprice") / 7000).alias("value"))
+    w = timejoin.trailing_months(o, "o_custkey", "day", "value", 6)
+    names = ("value_avg", "value_max", "value_range", "value_std", "market_mean")
+    return w.select("id", *[F.round(x, 6).alias(x) for x in names])

@@ -62,3 +62,11 @@ def test_bootstrap_over_ranges_is_that_of_one(spark):
     assert all(abs(x - y) < 1e-9 for a, b in zip(sorted(metrics.bootstrap(odd, "s", "y", "id", 40).collect()), sorted(one)) for x, y in zip(a[1:], b[1:]))
     assert metrics.bootstrap(df.limit(0), "s", "y", "id", 10).collect() == []
     assert metrics.bootstrap(df.where(F.col("y") == 0), "s", "y", "id", 10).collect() == []
+
+
+def test_trailing_months(spark):
+    rows = [(1, "a", DAY, 1.0), (2, "a", dt.date(2020, 6, 30), 3.0), (3, "a", dt.date(2020, 7, 1), 5.0), (4, "b", dt.date(2020, 6, 1), 7.0), (5, "a", dt.date(2020, 6, 2), None), (6, "a", None, 9.0)]
+    df = spark.createDataFrame(rows, "id int, k string, d date, x double")
+    got = {r.id: (r.x_avg, r.x_max, r.x_range, r.market_mean) for r in timejoin.trailing_months(df, "k", "d", "x", 6).collect()}
+    # January is within six months of June, not of July
+    assert got == {1: (1.0, 1.0, 0.0, 1.0), 2: (2.0, 3.0, 2.0, 5.0), 5: (2.0, 3.0, 2.0, 5.0), 3: (4.0, 5.0, 2.0, 5.0), 4: (7.0, 7.0, 0.0, 5.0), 6: (None, None, None, None)}
