@@ -16,7 +16,7 @@ from __future__ import annotations
 import html
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +42,7 @@ RUN_BLOCKS = 4000
 # ---------------------------------------------------------------- blocks
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|template)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][\w:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[a-zA-Z/!?][^>]*(?:>|\Z)",
+    r"<!--.*?(?:-->|\Z)|<(script|style|template)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][\w:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<[a-zA-Z/!?][^>]*(?:>|\Z)",
     re.S | re.I,
 )
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
@@ -52,40 +52,97 @@ BLOCK = frozenset("address article aside audio blockquote body button canvas cap
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Start tags that end an open element of these names, as far as the nearest of the limits.
 _P_ENDS = BLOCK - frozenset("audio canvas iframe noscript object video body button caption head html label legend li dd dt optgroup option td th tr tbody thead tfoot title".split())
-_CLOSES = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "option": ("option", ("select",)), "tr": ("tr", ("table",)), "td": ("td th", ("tr",)), "th": ("td th", ("tr",))}
+_CLOSES = {"li": (("li",), ("ul", "ol", "menu")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "option": (("option",), ("select",)), "tr": (("tr",), ("table",)), "td": (("td", "th"), ("tr",)), "th": (("td", "th"), ("tr",))}
 
 
-def blocks(page: str) -> list[tuple[tuple[str, ...], str, float]]:
+class Path(Sequence):
+    """Block elements from the outermost to the innermost; paths share the elements they have in common."""
+
+    __slots__ = ("parent", "element", "depth")
+
+    def __init__(self, parent: Path | None = None, element: str = ""):
+        self.parent, self.element, self.depth = parent, element, parent.depth + 1 if parent is not None else 0
+
+    def __len__(self) -> int:
+        return self.depth
+
+    def __iter__(self) -> Iterator[str]:
+        found, at = [], self
+        while at.parent is not None:
+            found.append(at.element)
+            at = at.parent
+        return reversed(found)
+
+    def __getitem__(self, k):
+        return tuple(self)[k]
+
+    @staticmethod
+    def of(elements: Iterable[str]) -> Path:
+        at = Path()
+        for element in elements:
+            at = Path(at, element)
+        return at
+
+
+class _Open:
+    """The open elements, with the places of each name, so that no tag looks through all of them."""
+
+    def __init__(self):
+        self.tags: list[str] = []
+        self.root = Path()
+        self.paths: list[Path] = []  # of the block elements up to each place
+        self.places: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+
+    def push(self, tag: str, element: str) -> None:
+        above = self.path()
+        self.places.setdefault(tag, []).append(len(self.tags))
+        if element:
+            self.blocks.append(len(self.tags))
+        self.tags.append(tag)
+        self.paths.append(Path(above, element) if element else above)
+
+    def path(self) -> Path:
+        return self.paths[-1] if self.paths else self.root
+
+    def last(self, tags: Iterable[str]) -> int:
+        """The place of the innermost open element with one of these names, or -1."""
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=-1)
+
+    def pop_to(self, k: int) -> None:
+        for tag in self.tags[k:]:
+            self.places[tag].pop()
+        while self.blocks and self.blocks[-1] >= k:
+            self.blocks.pop()
+        del self.tags[k:], self.paths[k:]
+
+
+def blocks(page: str) -> list[tuple[Path, str, float]]:
     """The page's leaf blocks in order: path of block elements, text, share of it within links.
 
     Path elements are tag names with the words of class, id and role after dots.  Character
-    references are decoded, white space (``<br>`` included) becomes one blank.  Only comments, scripts,
-    styles and templates are left out.
+    references are decoded, white space (``<br>`` included) becomes one blank.  Only comments, scripts, styles and templates are left out.  Time grows with the page's
+    length, however deep its elements are nested and whether or not its tags end.
     """
-    out: list[tuple[tuple[str, ...], str, float]] = []
-    stack: list[tuple[str, str]] = []  # tag, path element ("" for inline tags)
+    out: list[tuple[Path, str, float]] = []
+    stack = _Open()
     text: list[str] = []
     linked: list[str] = []
-    in_link = at = 0
+    at = 0
 
     def flush() -> None:
         if text:
             joined = " ".join(html.unescape("".join(text)).split())
             if joined:
                 share = len(" ".join(html.unescape("".join(linked)).split())) / len(joined) if linked else 0.0
-                out.append((tuple(e for _, e in stack if e), joined, min(share, 1.0)))
+                out.append((stack.path(), joined, min(share, 1.0)))
             text.clear()
             linked.clear()
 
-    def pop_to(k: int) -> None:
-        nonlocal in_link
-        in_link -= sum(t == "a" for t, _ in stack[k:])
-        del stack[k:]
-
     def add(piece: str) -> None:
         if piece:
             text.append(piece)
-            if in_link:
+            if stack.places.get("a"):
                 linked.append(piece)
 
     for m in _TOKEN.finditer(page):
@@ -95,39 +152,31 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, float]]:
         if not tag:
             continue
         tag = tag.lower()
-        if tag == "title" and any(t == "svg" for t, _ in stack):
+        if tag == "title" and stack.places.get("svg"):
             continue  # the name of a drawing within a line
         if m[2]:
-            k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), -1)
+            k = stack.last((tag,))
             if tag in BLOCK:
                 flush()
-            if k >= 0 and (tag in BLOCK or not any(e for _, e in stack[k:])):
-                pop_to(k)
+            if k >= 0 and (tag in BLOCK or not (stack.blocks and stack.blocks[-1] >= k)):
+                stack.pop_to(k)
             continue
         if tag == "br":
             add(" ")
             continue
         if tag in BLOCK:
             flush()
-            ends, limits = _CLOSES.get(tag, ("p", ("td", "th", "button", "table")) if tag in _P_ENDS else ("", ()))
-            if ends:
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] in ends.split():
-                        pop_to(k)
-                        break
-                    if stack[k][0] in limits:
-                        break
+            ends, limits = _CLOSES.get(tag, (("p",), ("td", "th", "button", "table")) if tag in _P_ENDS else ((), ()))
+            k = stack.last(ends)
+            if k > stack.last(limits):
+                stack.pop_to(k)
         if tag in VOID or (tag not in BLOCK and m[4] and m[4].endswith("/")):
             continue
         element = ""
-        if tag in BLOCK or tag in ("span", "a"):
+        if tag in BLOCK:
             names = " ".join("".join(x) for x in _NAMES.findall(m[4])).lower() if m[4] else ""
-            words = _PARTS.findall(names)
-            if tag in BLOCK:
-                element = ".".join([tag, *words, *(["hidden"] if m[4] and _HIDDEN.search(m[4]) else [])])
-        if tag == "a":
-            in_link += 1
-        stack.append((tag, element))
+            element = ".".join([tag, *_PARTS.findall(names), *(["hidden"] if m[4] and _HIDDEN.search(m[4]) else [])])
+        stack.push(tag, element)
     add(page[at:])
     flush()
     return out
@@ -136,23 +185,55 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, float]]:
 # ---------------------------------------------------------------- features
 
 
+def _bucket(name: str) -> int:
+    return zlib.crc32(name.encode()) % BUCKETS
+
+
 class Features:
-    """Bucket numbers of paths and words, remembered between pages."""
+    """Bucket numbers of paths and words, remembered between pages.
+
+    A path has a number, found from its parent's number and its own element.  For each number stand the
+    three innermost tags and the buckets of all else: tags and names anywhere on the path, tags further out.
+    """
 
     def __init__(self):
-        self.paths: dict[tuple[str, ...], list[int]] = {}
         self.words: dict[str, int] = {}
-
-    def path(self, path: tuple[str, ...]) -> list[int]:
-        found = self.paths.get(path)
-        if found is None:
-            parts = [e.split(".") for e in path]
-            names = [f"{min(k, 3)}:{p[0]}" for k, p in enumerate(reversed(parts))]
-            names += [f"in:{p[0]}" for p in parts] + [f"name:{w}" for p in parts for w in p[1:]]
-            if len(self.paths) > 20_000:
-                self.paths.clear()
-            found = self.paths[path] = sorted({zlib.crc32(x.encode()) % BUCKETS for x in names})
-        return found
+        self.forget()
+
+    def forget(self) -> None:
+        self.numbers: dict[tuple[int, str], int] = {}
+        self.near: list[tuple[str, ...]] = [()]
+        self.far: list[frozenset[int]] = [frozenset()]
+        self.lists: list[list[int]] = [[]]
+        self.merged: dict[tuple[int, tuple[str, ...]], list[int]] = {}
+
+    def path(self, path: Path, known: dict[int, int]) -> int:
+        """The number of a path; ``known`` holds those of the page's other paths (by identity)."""
+        chain, at = [], path
+        while at.parent is not None and id(at) not in known:
+            chain.append(at)
+            at = at.parent
+        number = known.get(id(at), 0)
+        for step in reversed(chain):
+            found = self.numbers.get((number, step.element))
+            known[id(step)] = number = self._add(number, step.element) if found is None else found
+        return number
+
+    def _add(self, parent: int, element: str) -> int:
+        tag, *names = element.split(".")
+        near, far = (tag, *self.near[parent])[:4], self.far[parent]
+        more = {_bucket(f"in:{tag}"), *(_bucket(f"name:{w}") for w in names), *(_bucket(f"3:{t}") for t in near[3:])}
+        near = near[:3]
+        if not more <= far:
+            far = far | more
+        self.near.append(near)
+        self.far.append(far)
+        made = self.merged.get((id(far), near))
+        if made is None:
+            made = self.merged[id(far), near] = sorted(far | {_bucket(f"{k}:{t}") for k, t in enumerate(near)})
+        self.lists.append(made)
+        number = self.numbers[parent, element] = len(self.near) - 1
+        return number
 
     def word(self, word: str) -> int:
         found = self.words.get(word)
@@ -162,11 +243,14 @@ class Features:
             found = self.words[word] = zlib.crc32(word.lower().encode("utf-8", "replace")) % BUCKETS
         return found
 
-    def of(self, page: list[tuple[tuple[str, ...], str, float]]) -> tuple[list[list[int]], list[list[int]], np.ndarray]:
+    def of(self, page: list[tuple[Path, str, float]]) -> tuple[list[list[int]], list[list[int]], np.ndarray]:
         paths, words, measures = [], [], np.zeros((len(page), MEASURES), np.float32)
+        known: dict[int, int] = {}
+        if len(self.near) > 20_000:
+            self.forget()
         for k, (path, text, share) in enumerate(page):
             own = text.split()
-            paths.append(self.path(path))
+            paths.append(self.lists[self.path(path, known)])
             words.append(list(map(self.word, own)))
             n = len(own)
             measures[k] = (np.log1p(n) / 4, share, min(n, 5) / 5, text[-1] in ".!?:\"'…", text[0] in "©&|•·»", (k + 1) / len(page), len(path) / 8, len(text) / n / 10)
@@ -181,15 +265,19 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 def _bag(table: np.ndarray, lists: list[list[int]]) -> np.ndarray:
-    """Mean of the table's rows for each list of buckets."""
-    size = np.array([len(x) for x in lists])
-    out = np.zeros((len(lists), table.shape[1]), table.dtype)
-    full = size > 0
-    if full.any():
-        flat = np.concatenate([np.asarray(x, dtype=np.int64) for x in lists if x])
-        start = np.concatenate([[0], np.cumsum(size[full])[:-1]])
-        out[full] = np.add.reduceat(table[flat], start, axis=0) / size[full, None]
-    return out
+    """Mean of the table's rows for each list of buckets; a list that is there more than once is summed once."""
+    _, first, place = np.unique(np.fromiter(map(id, lists), np.int64, len(lists)), return_index=True, return_inverse=True)
+    size = np.array([len(lists[k]) for k in first], dtype=np.int64)
+    out = np.zeros((len(first), table.shape[1]), table.dtype)
+    ends, start = np.cumsum(size), 0
+    while start < len(first):  # about a million buckets at a time
+        end = max(start + 1, int(np.searchsorted(ends, ends[start] + 1_000_000)))
+        full = np.flatnonzero(size[start:end]) + start
+        if len(full):
+            flat = np.concatenate([np.asarray(lists[first[k]], dtype=np.int64) for k in full])
+            out[full] = np.add.reduceat(table[flat], np.concatenate([[0], np.cumsum(size[full])[:-1]]), axis=0) / size[full, None]
+        start = end
+    return out[place]
 
 
 def _reverse(x: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -456,7 +544,7 @@ def layout(r: np.random.Generator, pool: list[str]) -> tuple[list, np.ndarray]:
         maybe(role, chance, base)
     for role, chance in (("comments", 0.3), ("side", 0.35), ("form", 0.12), ("ad", 0.2), ("nav", 0.1), ("footer", 0.85), ("notice", 0.15)):
         maybe(role, chance, root)
-    return [x[:3] for x in out], np.array([x[3] for x in out], np.float32)
+    return [(Path.of(x[0]), *x[1:3]) for x in out], np.array([x[3] for x in out], np.float32)
 
 
 def train(pool: list[str], seed: int = 5) -> Labeller:
