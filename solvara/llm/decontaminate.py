@@ -286,7 +286,11 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The documents without any benchmark window, with their own columns."""
+    """The documents without any benchmark window, with their own columns, whatever these are called.
+
+    Each row is judged by its own whole text, repeated ids and rows too; null, empty and blank texts hold
+    no window and stay.  An empty benchmark, or one without words, lets all stay; an empty table stays empty.
+    """
     own = docs.columns
     made = [f"__own_{k}" for k in range(len(own))]
     renamed = docs.toDF(*made).withColumn("text", F.col(made[own.index("text")]))

@@ -137,7 +137,12 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: int = MOS
 
 
 def repeat_rows(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: int = MOST) -> DataFrame:
-    """The mix itself: each row of ``docs`` as often as ``mix`` says, all columns."""
+    """The mix itself: each row of ``docs`` as often as ``mix`` says (0 to ``most`` times), all columns.
+
+    A null source is a source of its own.  Null, empty and blank texts have no words: they are taken like
+    others of their source, at no cost.  Rows alike in id and text are taken alike.  Own columns may have
+    any names; an empty table stays empty.
+    """
     rows = materialize(sized(docs), "sized")
     goal, few = plan(rows, weights, most)
     own = docs.columns

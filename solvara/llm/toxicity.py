@@ -212,33 +212,37 @@ class Model:
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    """The lexicon learns from all training documents, trees from two thirds, calibration from the rest.
+    """The lexicon learns from all training documents, trees from crc parts 0 and 1, calibration from part 3.
 
-    Trees and calibration see each document by a lexicon learned without its crc part.
+    Trees and calibration see each document by a lexicon learned without its crc part.  Where labels are
+    few: a part whose lexicon the other parts can't teach (they lack a class) is seen by the lexicon of all
+    parts; if parts 0 and 1, or part 3, lack a class, trees and calibration both learn from all three
+    parts.  Only if all three together lack a class is the score a constant.
     """
     small_batches(docs.sparkSession)
     train = training_documents(docs, labels)
     part = crc32_mod4(F.col("doc_id"))
     each = {(r["part"], r["toxic"] > 0): r["count"] for r in train.groupBy(part.alias("part"), "toxic").count().collect()}
     total = lambda y, parts: sum(n for (p, z), n in each.items() if z == y and p in parts)
-    count = {(c, y): total(y, (3,) if c else (0, 1)) for c in (False, True) for y in (False, True)}
-    positive, rows = sum(n for (_, y), n in count.items() if y), sum(count.values())
-    rate = positive / rows if rows else 0.0
-    if not count.get((False, True)) or not count.get((False, False)):
+    both = lambda parts: total(True, parts) > 0 and total(False, parts) > 0
+    learned = (0, 1, 3)
+    rows = sum(each.values())
+    rate = total(True, learned) / rows if rows else 0.0
+    if not both(learned):
         return Model({}, None, None, float(rate))
     entries = count_entries(train)
-    lexicon = learn_lexicon(entries, total(True, (0, 1, 3)), total(False, (0, 1, 3)))
-    others = {k: [p for p in (0, 1, 3) if p != k] for k in (0, 1, 3)}
-    folds = {k: learn_lexicon(entries, total(True, p), total(False, p), k) for k, p in others.items()}
+    lexicon = learn_lexicon(entries, total(True, learned), total(False, learned))
+    others = {k: [p for p in learned if p != k] for k in learned}
+    folds = {k: learn_lexicon(entries, total(True, p), total(False, p), k) if both(p) else lexicon for k, p in others.items()}
     data = add_features(train, "text", "__tox_x", folds, part).select(part.alias("part"), F.col("toxic").cast("double").alias("label"), "__tox_x")
     data = materialize(data.repartition(8), "toxicity-features")
+    apart = both((0, 1)) and both((3,))
     trees = GBTClassifier(
         featuresCol="__tox_x", labelCol="label", predictionCol="__tox_prediction",
         maxIter=TREES, maxDepth=DEPTH, stepSize=0.2, minInstancesPerNode=5 if rows > 500 else 1, seed=7,
     )
-    trees = trees.setProbabilityCol("__tox_probability").setRawPredictionCol("__tox_raw").fit(data.where("part <> 3").coalesce(4))
-    rest = data.where("part = 3") if count.get((True, True)) and count.get((True, False)) else data
-    scored = trees.transform(rest).withColumn("__tox_p", vector_to_array("__tox_probability")[1])
+    trees = trees.setProbabilityCol("__tox_probability").setRawPredictionCol("__tox_raw").fit((data.where("part <> 3") if apart else data).coalesce(4))
+    scored = trees.transform(data.where("part = 3") if apart else data).withColumn("__tox_p", vector_to_array("__tox_probability")[1])
     isotonic = IsotonicRegression(featuresCol="__tox_p", labelCol="label", predictionCol="__tox_score").fit(scored.select("__tox_p", "label").coalesce(1))
     return Model(lexicon, trees, isotonic, float(rate))
 
@@ -248,8 +252,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
 
     held_out: ``crc32(doc_id as text) mod 4`` is 2 (such labels are never learned from).  score is
     a calibrated probability, of null (as empty) and empty texts too; predicted is 1 from
-    ``threshold``.  If the labels lack a class, every score is the share of toxic labels (0 without
-    labels).  An empty table gives no rows; lang, source and other columns are never read.
+    ``threshold``.  If the labels that may be learned from lack a class, every score is their share of
+    toxic ones (0 without labels).  An empty table gives no rows; lang, source and other columns are never read.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     scored = fit(docs, labels).score(rows)
@@ -257,7 +261,11 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents scored below ``threshold``, with their own columns."""
+    """The documents scored below ``threshold``, with their own columns, whatever these are called.
+
+    Rows are scored by their text alone: null and empty texts, null and repeated ids too, rows of one text
+    alike.  Whole texts are read, however long.  An empty table stays empty.
+    """
     own = docs.columns
     renamed = docs.toDF(*(f"__own_{k}" for k in range(len(own))))
     scored = fit(docs, labels).score(renamed, f"__own_{own.index('text')}", "__tox_final")

@@ -367,7 +367,9 @@ def derivatives(records: DataFrame) -> DataFrame:
 
 
 def page_derivatives(pages: DataFrame) -> DataFrame:
-    """Per page two rows: page_id, record_type, record_id, refers_to, target_uri, source_digest, block_digest, content_type, content_length, text."""
+    """Per page two rows, also of pages without html or url (empty text) and of repeated ones; other columns
+    are ignored and an empty table gives none: page_id, record_type, record_id, refers_to, target_uri, source_digest,
+    block_digest, content_type, content_length, text."""
     made = derivatives(page_responses(pages))
     header = lambda name: F.col("headers")[name]
     return made.select(

@@ -110,6 +110,41 @@ def test_shards(spark, tmp_path):
     assert to.read_slots(spark, path, -5, 10**6).count() == len(got) and to.read_slots(spark, path, 10**6, 10**7).count() == 0
 
 
+def test_each_slot_is_the_permuted_rank(spark):
+    """Slots recomputed one by one: ranks from a plain sorted list, the permutation in whole numbers."""
+    texts = [(k % 60, "word " * (k % 7 * 30)) for k in range(150)] + [(None, "no id"), (None, None), (3, None), (3, ""), (3, "")]
+    seq_len, wide = 16, 2**64
+    encode = to.encoder(to.TOKENIZER)
+    listed = []
+    for doc, text in texts:
+        ids = [*encode(text or ""), to.END_ID]
+        cut = [ids[k : k + seq_len] for k in range(0, len(ids), seq_len)]
+        listed.append(((doc is not None, doc or 0, hashlib.sha256((text or "").encode()).digest()[:16]), doc, cut))
+    flat = [(doc, part, ids) for _, doc, cut in sorted(listed, key=lambda x: x[0]) for part, ids in enumerate(cut)]
+    n = len(flat)
+    half = max(1, -(-(n - 1).bit_length() // 2))
+
+    def mixed(x, key):
+        x = (x + key) * 0x9E3779B97F4A7C15 % wide
+        x = (x ^ (x >> 31)) * 0xBF58476D1CE4E5B9 % wide
+        return x ^ (x >> 29)
+
+    def slot(rank):
+        while True:
+            left, right = rank >> half, rank % 2**half
+            for r in range(to.ROUNDS):
+                key = int.from_bytes(hashlib.sha256(f"{to.KEY}:{r}".encode()).digest()[:8], "little")
+                left, right = right, left ^ mixed(right, key) % 2**half
+            rank = left << half | right
+            if rank < n:
+                return rank
+
+    want = {slot(k): (doc, part, np.array(ids, "<u2").tobytes()) for k, (doc, part, ids) in enumerate(flat)}
+    df = spark.createDataFrame(texts, "doc_id long, text string").repartition(5)
+    placed, count, _ = to.placed_sequences(df, to.TOKENIZER, seq_len, 8, to.KEY, None)
+    assert count == n and {r.slot: (r.doc_id, r.part, bytes(r.ids)) for r in placed.collect()} == want
+
+
 def test_order_does_not_depend_on_partitions(spark, monkeypatch):
     r = random.Random(8)
     rows = [(r.randrange(12) if k % 3 else None, " ".join(r.choices(["a", "b", "c d e f g h"], k=r.choice([0, 1, 2, 30])))) for k in range(120)] + [(5, "same text " * 9)] * 60

@@ -4,6 +4,7 @@ import random
 import zlib
 
 import numpy as np
+import pytest
 
 from solvara.llm import html_text, language_id, toxicity
 
@@ -89,6 +90,23 @@ def test_lexicon_learns_from_all_parts(spark):
     assert "grobor" in lexicon and "bomenteco" in lexicon and "zapfen" not in lexicon
 
 
+@pytest.mark.parametrize("parts", [(3,), (0,), (0, 1)])
+def test_toxicity_learns_where_one_part_holds_all_labels(spark, parts):
+    """The score isn't a constant as long as the labels that may be learned from have both classes."""
+    part = lambda k: zlib.crc32(str(k).encode()) % 4
+    ids = [k for k in range(2000) if part(k) in parts][:200]
+    texts = [(k, f"the weather number {k} is " + ("zorgish today" if n % 4 == 0 else "mild today")) for n, k in enumerate(ids)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(n % 4 == 0)) for n, k in enumerate(ids)], "doc_id long, toxic int")
+    got = {r.doc_id: r for r in toxicity.toxicity(docs, labels).collect()}
+    assert all(got[k].predicted == int(n % 4 == 0) for n, k in enumerate(ids))
+    # labels of held-out rows teach nothing
+    held = [k for k in range(2000) if part(k) == 2][:100]
+    docs = spark.createDataFrame([(k, f"text {k} " + ("zorgish" if k % 2 else "mild")) for k in held], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in held], "doc_id long, toxic int")
+    assert {r.score for r in toxicity.toxicity(docs, labels).collect()} == {0.0}
+
+
 def test_toxicity_without_labels(spark):
     docs = spark.createDataFrame([(1, "a"), (2, None)], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
