@@ -35,6 +35,17 @@ def one_hot(df: DataFrame, column: str, values: Sequence[str], drop_first: bool
     return df.withColumns({f"{column}_{re.sub('[^a-zA-Z0-9_]', '_', v)}": F.coalesce((F.col(column) == v).cast("int"), F.lit(0)) for v in kept})
 
 
+def learned_one_hot(df: DataFrame, column: str, most: int = 50) -> DataFrame:
+    """``one_hot`` over the categories that the column has (as text; nulls are 0 in all columns).
+
+    More than ``most`` categories are an error: only so many values come to the driver.
+    """
+    found = [r[0] for r in df.select(F.col(column).cast("string")).where(F.col(column).isNotNull()).distinct().limit(most + 1).collect()]
+    if len(found) > most:
+        raise ValueError(f"{column} has more than {most} categories")
+    return one_hot(df, column, found)
+
+
 def sanitised(df: DataFrame) -> DataFrame:
     """Column names with other characters than letters, digits and ``_`` replaced by ``_``."""
     return df.toDF(*[re.sub("[^a-zA-Z0-9_]", "_", c) for c in df.columns])
@@ -78,6 +89,30 @@ def lookup_priority(queries: DataFrame, df: DataFrame, rules: Sequence[tuple[Col
     return first_rows(found, [query], [F.col("priority"), *order])
 
 
+#: Legal suffixes tried after a company's name.
+SUFFIXES = ("CO", "CORP", "INC", "LTD", "COMPANY", "CORPORATION")
+
+
+def lookup_entity(queries: DataFrame, df: DataFrame, query: str, names: Mapping[str, str], newest: str, tie: str) -> DataFrame:
+    """For each query the best row of ``df``: by ticker (priority 1), exact name (2), name with a legal suffix (3);
+    then the largest ``newest``, then the smallest ``tie``.
+
+    ``names`` maps ticker and name of both sides: ``{"ticker": "name of the column", "name": ...}``, the same
+    on either side.  Texts are trimmed and compared in capitals.  All rules share one join on (rule, text), and
+    a query's best row is found by a sum on the map side.  Queries without a match are left out; nulls and
+    blanks match nothing.
+    """
+    clean = lambda c: F.nullif(F.upper(F.trim(F.col(c))), F.lit(""))
+    key = lambda kind, text, priority: F.struct(F.lit(kind).alias("__kind"), text.alias("__text"), F.lit(priority).alias("priority"))
+    ticker, name = clean(names["ticker"]), clean(names["name"])
+    wanted = [key("t", ticker, 1), key("n", name, 2), *[key("n", F.concat(name, F.lit(f" {s}")), 3) for s in SUFFIXES]]
+    asked = queries.select(F.col(query).alias("__query"), F.inline(F.array(*wanted)))
+    held = df.select(F.struct(*df.columns).alias("__row"), F.inline(F.array(key("t", ticker, 0), key("n", name, 0)))).drop("priority")
+    order = F.struct("priority", F.coalesce(-F.col(f"__row.{newest}").cast("double"), F.lit(float("inf"))), F.col(f"__row.{tie}"))
+    best = asked.join(held, ["__kind", "__text"]).groupBy("__query").agg(F.min_by(F.struct("priority", "__row"), order).alias("__best"))
+    return best.select(F.col("__query").alias(query), "__best.priority", "__best.__row.*")
+
+
 def variant_match(df: DataFrame, right: DataFrame, key: str, variants: Sequence[Column], right_key: str) -> DataFrame:
     """Rows of ``right`` under the first rewriting of each key that has any; kept under the key itself."""
     tries = F.array(*[F.struct(F.lit(k).alias("rank"), v.alias("variant")) for k, v in enumerate(variants)])

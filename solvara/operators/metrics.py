@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from solvara.functions import chi2_tail, ks_tail, normal_tail, softplus
 from solvara.operators.ordered import quantiles, running_sums
 from solvara.operators.resampling import bootstrap  # noqa: F401
+from solvara.sources import saved
 
 
 def score_counts(df: DataFrame, score: str, label: str, by: Sequence[str] = ()) -> DataFrame:
@@ -199,16 +200,34 @@ def ks_2samp(ref: DataFrame, cur: DataFrame, column: str) -> DataFrame:
     return found.select("ks", ks_tail(F.col("ks"), size).alias("p_value"))
 
 
-def drift_report(ref: DataFrame, cur: DataFrame, columns: Sequence[str]) -> DataFrame:
+def drift_report(ref: DataFrame, cur: DataFrame, columns: Sequence[str], buckets: int = 10, eps: float = 1e-4) -> DataFrame:
     """feature, psi, ks and its p-value, means, population deviations, a band, and whether the feature drifted
-    (PSI from 0.10 on, or p < 0.01 with a gap over 0.05), one row for each column."""
-    out = None
-    for c in columns:
-        stats = ref.agg(F.avg(c).alias("ref_mean"), F.stddev_pop(c).alias("ref_std")).crossJoin(cur.agg(F.avg(c).alias("cur_mean"), F.stddev_pop(c).alias("cur_std")))
-        row = psi(ref, cur, c).crossJoin(ks_2samp(ref, cur, c)).crossJoin(stats).withColumn("feature", F.lit(c))
-        out = row if out is None else out.unionByName(row)
+    (PSI from 0.10 on, or p < 0.01 with a gap over 0.05), one row for each column.
+
+    All columns are stacked and counted in one grouped job, however many there are.  Nulls are passed
+    over; a column without any value has a row of nulls and did not drift.
+    """
+    side = lambda df, r: df.select(F.lit(r).alias("__r"), *[F.col(c).cast("double").alias(c) for c in columns])
+    rows = side(ref, 1).unionByName(side(cur, 0)).unpivot(["__r"], list(columns), "feature", "value").where("value IS NOT NULL")
+    of = lambda r, f: f(F.when(F.col("__r") == r, F.col("value")))
+    stats = rows.groupBy("feature").agg(*[of(r, f).alias(f"{n}_{m}") for r, n in ((1, "ref"), (0, "cur")) for f, m in ((F.avg, "mean"), (F.stddev_pop, "std"))])
+    counts = saved(rows.groupBy("feature", "value").agg(F.sum("__r").alias("nr"), F.sum(1 - F.col("__r")).alias("nc")), "drift")
+    sums = running_sums(counts, ["value"], ["nr", "nc"], ["feature"])
+    gap = F.abs(F.try_divide(F.col("nr_upto").cast("double"), F.col("nr_all")) - F.try_divide(F.col("nc_upto").cast("double"), F.col("nc_all")))
+    ks = sums.groupBy("feature").agg(F.max(gap).alias("ks"), F.max("nr_all").alias("n"), F.max("nc_all").alias("m"))
+    ks = ks.select("feature", "ks", ks_tail(F.col("ks"), F.sqrt(F.col("n") * F.col("m") / (F.col("n") + F.col("m")))).alias("p_value"))
+    edges = quantiles(rows.where("__r = 1"), "value", [k / buckets for k in range(1, buckets)], ["feature"], "edges")
+    edges = edges.select("feature", F.array_distinct("edges").alias("edges"))
+    own = F.size(F.filter(F.coalesce("edges", F.array().cast("array<double>")), lambda e: F.col("value") >= e))
+    g = counts.join(F.broadcast(edges), "feature", "left").groupBy("feature", own.alias("bucket")).agg(F.sum("nr").alias("nr"), F.sum("nc").alias("nc"))
+    w = Window.partitionBy("feature")  # a row for each bucket
+    p = g.withColumns({"p": F.greatest(F.try_divide("nr", F.sum("nr").over(w)), F.lit(eps)), "q": F.greatest(F.try_divide("nc", F.sum("nc").over(w)), F.lit(eps))})
+    p = p.withColumns({"p": F.col("p") / F.sum("p").over(w), "q": F.col("q") / F.sum("q").over(w)})
+    psi_of = p.groupBy("feature").agg(F.sum((F.col("q") - F.col("p")) * F.ln(F.col("q") / F.col("p"))).alias("psi"))
+    names = ref.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, columns))).alias("feature"))
+    out = names.join(psi_of, "feature", "left").join(ks, "feature", "left").join(stats, "feature", "left")
     out = out.withColumn("band", F.when(F.col("psi") >= 0.25, "severe").when(F.col("psi") >= 0.10, "moderate").otherwise("stable"))
-    return out.withColumn("drifted", (F.col("psi") >= 0.10) | ((F.col("p_value") < 0.01) & (F.col("ks") > 0.05)))
+    return out.withColumn("drifted", F.coalesce((F.col("psi") >= 0.10) | ((F.col("p_value") < 0.01) & (F.col("ks") > 0.05)), F.lit(False)))
 
 
 def drift_verdict(report: DataFrame, score_psi: DataFrame, most: int = 2) -> DataFrame:

@@ -17,6 +17,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from solvara.operators import metrics
 from solvara.operators.finance import apply_median_scale, fit_median_scale, winsorise
 from solvara.operators.ordered import quantiles
 from solvara.sources import saved
@@ -76,6 +77,14 @@ def weighted_vote(df: DataFrame, scores: Mapping[str, float], out: str = "vote")
     return df.withColumn(out, sum((F.col(c) * (w / total) for c, w in scores.items()), F.lit(0.0)))
 
 
+def vote_weights(df: DataFrame, scores: Sequence[str], label: str) -> dict[str, float]:
+    """Each score's area under its precision-recall curve, of all scores in one grouped job (one number each)."""
+    rows = df.select(F.col(label).alias("__y"), *[F.col(s).cast("double").alias(s) for s in scores]).unpivot(["__y"], list(scores), "model", "s")
+    found = metrics.pr_auc(metrics.score_counts(rows.where("s IS NOT NULL"), "s", "__y", ["model"]), ["model"])
+    area = {r["model"]: r["pr_auc"] for r in found.collect()}
+    return {s: area.get(s) or 0.0 for s in scores}
+
+
 def random_probes(df: DataFrame, features: Sequence[str], label: str, seed: int = 42) -> DataFrame:
     """(feature, importance, kept): features whose boosted-tree importance is above both random probes'."""
     key = F.xxhash64(*features, F.lit(seed))

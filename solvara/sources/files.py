@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -80,6 +80,25 @@ def explode_parallel(df: DataFrame, json: str, fields: dict[str, str]) -> DataFr
     return parsed.select(*df.columns, F.inline(zipped).alias(*fields))
 
 
+def earliest_events(df: DataFrame, key: str, json: str, fields: dict[str, str], keep: Callable[[Column], Column], day: str, known: dict | None = None, default: str | None = None) -> DataFrame:
+    """(key, day, assumed): the earliest day among the positions of parallel JSON arrays that ``keep`` lets through.
+
+    Keys without any take the day of ``known`` (a small map by hand), else ``default``, and are marked as
+    assumed.  A null key is a key of its own; broken JSON counts as no position.
+    """
+    found = df.groupBy(key).agg(F.min(F.array_min(_days(json, fields, keep, day))).alias("__day"))
+    by_hand = F.lit(None).cast("string")
+    for k, d in (known or {}).items():
+        by_hand = F.when(F.col(key) == k, d).otherwise(by_hand)
+    return found.select(key, F.coalesce("__day", by_hand, F.lit(default)).alias("day"), F.col("__day").isNull().alias("assumed"))
+
+
+def _days(json: str, fields: dict[str, str], keep: Callable[[Column], Column], day: str) -> Column:
+    parsed = F.from_json(F.col(json), ", ".join(f"{c} array<{t}>" for c, t in fields.items()))
+    zipped = F.arrays_zip(*[parsed[c].alias(c) for c in fields])
+    return F.transform(F.filter(zipped, keep), lambda x: x[day])
+
+
 def parse_feed(df: DataFrame, xml: str) -> DataFrame:
     """title, link, pubDate and source of the items in an XML feed column; items without a title go."""
     schema = "channel struct<item:array<struct<title:string,link:string,pubDate:string,source:string>>>"
