@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from solvara.functions import ratio, word_count
 from solvara.operators import finance
+from solvara.operators.ordered import quantiles
 from solvara.plans.registry import filings, lagged, query, quotes, sheet
 
 c = F.col
@@ -92,9 +93,9 @@ def ag13(t):
 
 @query("ag14_profile", "SELECT count(amount) AS n, min(amount) AS lo, round(avg(amount), 4) AS mean, round(stddev_samp(amount), 4) AS std, max(amount) AS hi, round(quantile_cont(amount, 0.25), 4) AS p25, round(quantile_cont(amount, 0.95), 4) AS p95, round(quantile_cont(amount, 0.999), 4) AS p999 FROM filings")
 def ag14(t):
-    q = F.percentile("amount", F.array(F.lit(0.25), F.lit(0.95), F.lit(0.999)))
-    r = filings(t).agg(F.count("amount").alias("n"), F.min("amount").alias("lo"), F.round(F.avg("amount"), 4).alias("mean"), F.round(F.stddev_samp("amount"), 4).alias("std"), F.max("amount").alias("hi"), q.alias("q"))
-    return r.select("n", "lo", "mean", "std", "hi", *[F.round(c("q")[k], 4).alias(n) for k, n in enumerate(("p25", "p95", "p999"))])
+    q = quantiles(filings(t), "amount", [0.25, 0.95, 0.999])
+    r = filings(t).agg(F.count("amount").alias("n"), F.min("amount").alias("lo"), F.round(F.avg("amount"), 4).alias("mean"), F.round(F.stddev_samp("amount"), 4).alias("std"), F.max("amount").alias("hi"))
+    return r.crossJoin(F.broadcast(q)).select("n", "lo", "mean", "std", "hi", *[F.round(c("q")[k], 4).alias(n) for k, n in enumerate(("p25", "p95", "p999"))])
 
 
 @query(
@@ -105,7 +106,7 @@ def ag14(t):
 )
 def ag15(t):
     f = filings(t)
-    q = f.agg(F.percentile("amount", F.array(F.lit(0.25), F.lit(0.75))).alias("q"))
+    q = quantiles(f, "amount", [0.25, 0.75])
     a, b = c("q")[0], c("q")[1]
     out = (c("amount") < a - 1.5 * (b - a)) | (c("amount") > b + 1.5 * (b - a))
     return f.crossJoin(F.broadcast(q)).agg(F.round(F.skewness("amount"), 6).alias("skew"), F.round(F.kurtosis("amount"), 6).alias("kurt"), F.round(F.avg(out.cast("double")), 6).alias("outliers"))
