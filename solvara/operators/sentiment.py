@@ -75,7 +75,7 @@ def score_text(df: DataFrame, text: str, scorer: Callable[[], Scorer]) -> DataFr
 def fit_scorer(train: DataFrame, text: str, label: str, bits: int = 14, steps: int = 30, rate: float = 0.3, l2: float = 1e-4) -> SoftmaxScorer:
     """A ``SoftmaxScorer`` from rows labelled 0 (negative), 1 (neutral) or 2 (positive), classes weighted alike.
 
-    Texts are hashed once and written; each step is one job in which the tasks add up the gradient of all
+    Texts are hashed once and written as bytes, which pass to Python as they are; each step is one job in which the tasks add up the gradient of all
     rows.  Rows without such a label take no part, null texts count as empty, and without rows every
     probability is a third.
     """
@@ -84,9 +84,9 @@ def fit_scorer(train: DataFrame, text: str, label: str, bits: int = 14, steps: i
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [hashed(t or "", bits) for t in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([a.tolist() for a, _ in found], pa.list_(pa.int32())), pa.array([w.tolist() for _, w in found], pa.list_(pa.float64())), b.column(1)], ["at", "w", "y"])
+            yield pa.RecordBatch.from_arrays([pa.array([a.tobytes() for a, _ in found], pa.binary()), pa.array([w.tobytes() for _, w in found], pa.binary()), b.column(1)], ["at", "w", "y"])
 
-    data = saved(rows.mapInArrow(features, "at array<int>, w array<double>, y int"), "n-grams")
+    data = saved(rows.mapInArrow(features, "at binary, w binary, y int"), "n-grams")
     counts = {r.y: r.n for r in data.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     total = sum(counts.values())
     share = np.array([total / (len(counts) * counts[k]) if k in counts else 0.0 for k in range(3)])
@@ -97,9 +97,9 @@ def fit_scorer(train: DataFrame, text: str, label: str, bits: int = 14, steps: i
         now = theta
 
         def gradient(b: pa.RecordBatch, now: np.ndarray = now) -> np.ndarray:
-            at, w, y = b.column(0), b.column(1).flatten().to_numpy(), b.column(2).to_numpy()
-            lengths = np.diff(at.offsets.to_numpy())
-            row, flat = np.repeat(np.arange(len(y)), lengths), at.flatten().to_numpy()
+            at, y = b.column(0).to_pylist(), b.column(2).to_numpy()
+            flat, w = np.frombuffer(b"".join(at), np.int32), np.frombuffer(b"".join(b.column(1).to_pylist()))
+            row = np.repeat(np.arange(len(y)), [len(x) // 4 for x in at])
             z = np.tile(now[width], (len(y), 1))
             for k in range(3):
                 z[:, k] += np.bincount(row, w * now[flat, k], len(y))
