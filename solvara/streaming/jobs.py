@@ -33,14 +33,21 @@ def ingest_report(spark: SparkSession, folder: str, target: str) -> DataFrame:
 
 
 def _memory_free(stream: DataFrame, name: str, mode: str) -> DataFrame:
-    """Runs a bounded stream to its end, keeping the last state of every key in a table."""
+    """Runs a bounded stream to its end, keeping the last state of every key in a table.  States are held on disk, not in the
+    heap of a task."""
     spark = stream.sparkSession
     path, checkpoint = shared_path(spark, name), shared_path(spark, f"{name}-checkpoint")
 
     def save(batch: DataFrame, number: int) -> None:
         batch.withColumn("__batch", F.lit(number)).write.mode("append").parquet(path)
 
-    stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(save).start().awaitTermination()
+    setting = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(save).start().awaitTermination()
+    finally:
+        spark.conf.set(setting, before)
     return spark.read.parquet(path)
 
 
@@ -157,13 +164,7 @@ def freshest_fields_stream(spark: SparkSession, folder: str, key: str, ts: str,
     # names of these columns can't begin with an underscore
     rows = rows.select(key, ts, "source", "field", "value", F.unix_micros(ts).alias("micros"))
     found = rows.groupBy(key).transformWithStateInPandas(Freshest(), f"{key} {kind}, field string, at long, source string, value double", "Update", "EventTime")
-    name = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(name)
-    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    try:
-        states = _memory_free(found, "freshest", "update")
-    finally:
-        spark.conf.set(name, before)
+    states = _memory_free(found, "freshest", "update")
     last = states.groupBy(key, "field").agg(F.max(F.struct("at", "source", "value")).alias("s"))
     now = source.where(F.col("value").isNotNull() & F.col("field").isin(list(lives))).agg(F.max(F.col(ts).cast("timestamp")).alias("now"))
     life = F.create_map(*[F.lit(x) for kv in lives.items() for x in kv])[F.col("field")]
