@@ -189,12 +189,12 @@ def scr07_sources(t):
 
 @query("stm03_freshest_fields", _FRESH[: _FRESH.index(",\na AS")] + " SELECT k AS entity, field, strftime(d, '%Y-%m-%d') AS at, source, v::DOUBLE AS value FROM b")
 def stm03_fields(t):
-    """The same sources landed as files and read as a stream, with a map state for each customer."""
+    """The same sources landed as files and read as a stream, with a state for each customer and field."""
     from solvara import sources, streaming
 
     rows = _sources(t)
     path = sources.shared_path(rows.sparkSession, "fields")
-    rows.repartition(3).write.parquet(path)
+    rows.write.parquet(path)
     found = streaming.freshest_fields_stream(rows.sparkSession, path, "entity", "day", {f: days for f, (days, _) in _LIVES.items()})
     return found.select("entity", "field", F.date_format("at", "yyyy-MM-dd").alias("at"), "source", "value")
 

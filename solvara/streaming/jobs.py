@@ -116,55 +116,31 @@ def stream_counts(spark: SparkSession, folder: str, key: str) -> DataFrame:
     return states.groupBy(key).agg(F.max_by("rows", "__batch").alias("rows"))
 
 
+def newest_by_life(rows: DataFrame, key: str, ts: str, lives: Mapping[str, int]) -> DataFrame:
+    """(key, field, at, source, value): the newest of (key, ts, source, field, value) for each key, field and stretch of time in
+    which values expire; ``at`` counts microseconds.  Ties go to the greatest source, then the greatest value.
+
+    Works on a stream and on a batch.  Event time is when a value's days to live end, so the watermark, which stays behind by
+    the longest life and a day, drops a field's state after its own life and no value that is still fresh.
+    """
+    longest = max(lives.values())
+    life = F.create_map(*[F.lit(x) for kv in lives.items() for x in kv])[F.col("field")]
+    kept = rows.where(F.col("field").isin(list(lives)) & F.col("value").isNotNull()).withColumn("ends", F.col(ts) + F.make_dt_interval(life))
+    newest = F.max(F.struct(F.unix_micros(ts).alias("at"), "source", F.col("value").cast("double").alias("value"))).alias("s")
+    found = kept.withWatermark("ends", f"{longest + 1} days").groupBy(key, "field", F.window("ends", f"{longest} days")).agg(newest)
+    return found.select(key, "field", "s.*")
+
+
 def freshest_fields_stream(spark: SparkSession, folder: str, key: str, ts: str, lives: Mapping[str, int]) -> DataFrame:
     """(key, field, at, source, value) from a folder of (key, ts, source, field, value) that is read as a stream.
 
-    Each key has a map state with the newest row of each field (ties: greatest source, then value).  A field's
-    row leaves the state once the watermark, which stays behind by the longest life so that no fresh row comes
-    too late, has passed its days to live; in the result a field is fresh if it is no older than that at the
-    newest time seen.  Fields without a life take no part.
+    The state holds the newest rows of each key and field (``newest_by_life``); it is kept and dropped by Spark's own
+    aggregation, so no key costs a call into Python.  In the result a field is fresh if it is no older than its days to live
+    at the newest time seen.  Fields without a life take no part.
     """
-    from pyspark.sql.streaming import StatefulProcessor
-
-    source, by = spark.read.parquet(folder), key
-    kind, day_ms, lives = source.schema[key].dataType.simpleString(), 86_400_000, dict(lives)
-
-    class Freshest(StatefulProcessor):
-        def init(self, handle) -> None:
-            self.handle = handle
-            self.fields = handle.getMapState("fields", "field string", "at long, source string, value double")
-
-        def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803
-            import pandas as pd
-
-            best: dict[str, tuple] = {}
-            for part in rows:
-                for field, at, origin, value in zip(part["field"], part["micros"], part["source"], part["value"]):
-                    best[field] = max(best.get(field, (-(2**63), "", 0.0)), (int(at), origin, float(value)))
-            out = []
-            for field, row in best.items():
-                if self.fields.containsKey((field,)):
-                    row = max(row, tuple(self.fields.getValue((field,))))
-                self.fields.updateValue((field,), row)
-                self.handle.registerTimer(max(row[0] // 1000 + lives[field] * day_ms + 1, timerValues.getCurrentWatermarkInMs() + 1))
-                out.append((key[0], field, *row))
-            yield pd.DataFrame(out, columns=[by, "field", "at", "source", "value"]).astype({"field": object, "source": object})
-
-        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802, N803
-            now = timerValues.getCurrentWatermarkInMs()
-            for field in [field for (field,), row in self.fields.iterator() if row[0] // 1000 + lives[field] * day_ms < now]:
-                self.fields.removeKey((field,))
-            return iter(())
-
-        def close(self) -> None:
-            pass
-
+    source = spark.read.parquet(folder)
     stream = spark.readStream.schema(source.schema).parquet(folder).withColumn(ts, F.col(ts).cast("timestamp"))
-    rows = stream.where(F.col("field").isin(list(lives)) & F.col("value").isNotNull()).withWatermark(ts, f"{max(lives.values())} days")
-    # names of these columns can't begin with an underscore
-    rows = rows.select(key, ts, "source", "field", "value", F.unix_micros(ts).alias("micros"))
-    found = rows.groupBy(key).transformWithStateInPandas(Freshest(), f"{key} {kind}, field string, at long, source string, value double", "Update", "EventTime")
-    states = _memory_free(found, "freshest", "update")
+    states = _memory_free(newest_by_life(stream, key, ts, lives), "freshest", "update")
     last = states.groupBy(key, "field").agg(F.max(F.struct("at", "source", "value")).alias("s"))
     now = source.where(F.col("value").isNotNull() & F.col("field").isin(list(lives))).agg(F.max(F.col(ts).cast("timestamp")).alias("now"))
     life = F.create_map(*[F.lit(x) for kv in lives.items() for x in kv])[F.col("field")]
