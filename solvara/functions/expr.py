@@ -93,10 +93,14 @@ def ks_tail(gap: Column | str, root: Column) -> Column:
     return F.when(x < 0.2, 1.0).otherwise(F.least(F.greatest(total, F.lit(0.0)), F.lit(1.0)))
 
 
-def parse_timestamp(x: Column | str, formats: Sequence[str]) -> Column:
-    """The first format that fits, else null; a leading weekday name is taken off."""
+def parse_timestamp(x: Column | str, formats: Sequence[str] | Mapping[str, str]) -> Column:
+    """The first format that fits, else null; a leading weekday name is taken off.
+
+    A mapping gives a pattern for each format; the format is only tried on texts that fit it.
+    """
     text = F.regexp_replace(F.trim(col(x)), r"^[A-Za-z]{3},\s*", "")
-    return F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in formats])
+    tried = {f: F.try_to_timestamp(text, F.lit(f)) for f in formats}
+    return F.coalesce(*[F.when(text.rlike(formats[f]), t) if isinstance(formats, Mapping) else t for f, t in tried.items()])
 
 
 def word_count(x: Column | str) -> Column:

@@ -11,14 +11,24 @@ from solvara.functions import parse_timestamp
 from solvara.sources import saved
 
 COLUMNS = ("ticker", "company_name", "title", "url", "time_published", "pub_year", "authors", "summary", "source_dataset")
-#: How sources write times, beside what a cast to timestamp reads (a weekday name before is taken off).
-FORMATS = ("dd MMM yyyy HH:mm:ss z", "dd MMM yyyy HH:mm:ss", "yyyyMMdd'T'HHmmss", "yyyy-MM-dd'T'HH:mm:ssX", "yyyy-MM-dd HH:mm:ss z", "yyyy-MM-dd HH:mm:ss")
+#: How sources write times, beside what a cast to timestamp reads (a weekday name before is taken off), each with a
+#: pattern that every text of that form fits: a form is only tried on such texts, since a failed try costs an exception.
+FORMATS = {
+    "dd MMM yyyy HH:mm:ss z": r"^\d\d \p{L}+ [+-]?\d{4,} \d\d:\d\d:\d\d .",
+    "dd MMM yyyy HH:mm:ss": r"^\d\d \p{L}+ [+-]?\d{4,} \d\d:\d\d:\d\d$",
+    "yyyyMMdd'T'HHmmss": r"^[+-]?\d{8,}[Tt]\d{6}$",
+    "yyyy-MM-dd'T'HH:mm:ssX": r"^[+-]?\d{4,}-\d\d-\d\d[Tt]\d\d:\d\d:\d\d.",
+    "yyyy-MM-dd HH:mm:ss z": r"^[+-]?\d{4,}-\d\d-\d\d \d\d:\d\d:\d\d .",
+    "yyyy-MM-dd HH:mm:ss": r"^[+-]?\d{4,}-\d\d-\d\d \d\d:\d\d:\d\d$",
+}
 BUCKETS = 64
 
 
-def published(text: Column, formats: Sequence[str] = FORMATS) -> Column:
+def published(text: Column, formats: Sequence[str] | Mapping[str, str] = FORMATS) -> Column:
     """The time that a text states in any known form, else the date in its first ten characters, else null."""
-    return F.coalesce(text.try_cast("timestamp"), parse_timestamp(text, formats), F.try_to_timestamp(F.substring(text, 1, 10), F.lit("yyyy-MM-dd")))
+    day = F.substring(text, 1, 10)
+    by_day = F.when(day.rlike(r"^\d{4}-\d\d-\d\d$"), F.try_to_timestamp(day, F.lit("yyyy-MM-dd")))
+    return F.coalesce(text.try_cast("timestamp"), parse_timestamp(text, formats), by_day)
 
 
 def aligned(df: DataFrame, source: str, names: Mapping[str, str], years: tuple[int | None, int | None] = (None, None), keep_undated: bool = False) -> DataFrame:
@@ -31,8 +41,10 @@ def aligned(df: DataFrame, source: str, names: Mapping[str, str], years: tuple[i
     text = lambda c: F.col(names[c]).cast("string") if c in names else F.lit(None).cast("string")
     rows = df.select(
         F.upper(F.trim(text("ticker"))).alias("ticker"), text("company_name").alias("company_name"), F.trim(text("title")).alias("title"), text("url").alias("url"), text("time_published").alias("time_published"),
-        F.year(published(text("time_published"))).alias("pub_year"), F.trim(text("authors")).alias("authors"), (text("summary") if "summary" in names else F.trim(text("title"))).alias("summary"), F.lit(source).alias("source_dataset"),
+        F.trim(text("authors")).alias("authors"), (text("summary") if "summary" in names else F.trim(text("title"))).alias("summary"), F.lit(source).alias("source_dataset"),
     )
+    # a generator's result is not computed again by the conditions on it, as a projected expression would be
+    rows = rows.select("*", F.explode(F.array(F.year(published(F.col("time_published"))))).alias("pub_year")).select(*COLUMNS)
     first, last = years
     inside = F.col("pub_year").isNotNull()
     inside = inside & (F.col("pub_year") >= first) if first is not None else inside

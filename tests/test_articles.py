@@ -43,3 +43,18 @@ def test_merges_equal_a_rebuild_and_leave_other_buckets(spark, tmp_path):
     # a load that is merged again changes no row
     articles.merge_articles(spark, f"file://{path}", load(spark, second), 16)
     assert read() == rebuilt and files()
+
+
+def test_patterns_lose_no_time_and_years_are_read_once(spark):
+    from solvara.functions import parse_timestamp
+
+    texts = [
+        "02 Jan 2015 00:00:00 GMT", "Fri, 02 Jan 2015 00:00:00 +0100", "02 jan 2015 01:02:03", "02 Jan 2015 01:02:03 ", "02 Jan +12015 01:02:03", "2 Jan 2015 01:02:03", "20160101T000000", "20160101t235959", "+120160101T000000", "20160101T00000",
+        "2017-01-01T05:00:00Z", "2017-01-01t05:00:00+01", "2017-01-01T05:00:00", "2018-01-01 00:00:00 UTC", "2018-01-01 00:00:00 Europe/Berlin", "2018-01-01 00:00:00", " 2018-01-01 00:00:00 ", "2018-13-01 00:00:00", "soon", "", None,
+    ]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    rows = df.select("t", parse_timestamp("t", list(articles.FORMATS)).cast("string").alias("tried"), parse_timestamp("t", articles.FORMATS).cast("string").alias("fitting")).collect()
+    assert [r.tried for r in rows] == [r.fitting for r in rows] and sum(r.tried is not None for r in rows) > 10
+    plan = load(spark, [("a", "t", "soon", "u")])._jdf.queryExecution().optimizedPlan().toString()
+    # one try for each form and one for the date alone
+    assert plan.count("gettimestamp(") == len(articles.FORMATS) + 1
