@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from solvara.operators import metrics
+from solvara.operators.descent import summed
 from solvara.operators.finance import apply_median_scale, fit_median_scale, winsorise
 from solvara.operators.ordered import quantiles
 from solvara.sources import saved
@@ -226,6 +227,62 @@ def normalised(df: DataFrame, scores: Sequence[str]) -> DataFrame:
     return out.withColumn("component_name", F.array(*[F.lit(s) for s in scores])[F.col("component")])
 
 
+_EPS = float(np.finfo(float).eps)
+
+
+def _shares(x: np.ndarray, weights: np.ndarray, means: np.ndarray, covs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(densities, shares) of rows: weighted densities summed over the components, and each component's part of that.
+
+    As in MLlib, directions without variance count for nothing and every density has the machine's epsilon added.
+    """
+    d, p = x.shape[1], np.empty((len(x), len(weights)))
+    for j, (w, m, c) in enumerate(zip(weights, means, covs)):
+        values, vectors = np.linalg.eigh(c)
+        kept = values > _EPS * values.max() * d
+        root = vectors[:, kept] / np.sqrt(values[kept])
+        p[:, j] = _EPS + w * np.exp(-0.5 * (d * math.log(2 * math.pi) + np.log(values[kept]).sum()) - 0.5 * (((x - m) @ root) ** 2).sum(1))
+    total = p.sum(1)
+    return total, p / total[:, None]
+
+
+def _likeliest_mixture(rows: DataFrame, features: Sequence[str], k: int, seeds: Sequence[int], rounds: int = 100, tolerance: float = 0.01) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(weights, means, covariances) of the likeliest of several full-covariance fits, one for each seed.
+
+    The fits begin where MLlib's ``GaussianMixture`` does and take its steps, but a round of all of them is one job of sums
+    over blocks of rows, not a job with a shuffle for each.
+    """
+    given, d = _vector(rows, features).select("__x"), len(features)
+    given.cache()
+    first = [GaussianMixture(featuresCol="__x", predictionCol="__pred", probabilityCol="__prob", k=k, seed=s, maxIter=0).fit(given) for s in seeds]
+    fits = [(np.array(m.weights), *(np.array([g[c].toArray() for g in m.gaussiansDF.select(c).collect()]) for c in ("mean", "cov"))) for m in first]
+    given.unpersist()
+    found, x = [-math.inf] * len(fits), rows.select(*features)
+    live, size = list(range(len(fits))), 1 + k * (1 + d + d * d)
+    for _ in range(rounds):
+        now = [fits[f] for f in live]
+
+        def sums(b, now=now) -> np.ndarray:
+            block = np.stack([b.column(c).to_numpy(zero_copy_only=False) for c in range(d)], axis=1)
+            products, out = (block[:, :, None] * block[:, None, :]).reshape(len(block), d * d), []
+            for fit in now:
+                total, share = _shares(block, *fit)
+                out += [[np.log(total).sum()], share.sum(0), (share.T @ block).ravel(), (share.T @ products).ravel()]
+            return np.concatenate(out)
+
+        got, moving = summed(x, sums, size * len(live)).reshape(len(live), size), []
+        for f, v in zip(live, got):
+            n, m, q = v[1 : k + 1], v[k + 1 : k + 1 + k * d].reshape(k, d), v[k + 1 + k * d :].reshape(k, d, d)
+            m = m / n[:, None]
+            fits[f] = (n / n.sum(), m, q / n[:, None, None] - m[:, :, None] * m[:, None, :])
+            if abs(v[0] - found[f]) > tolerance:
+                moving.append(f)
+            found[f] = v[0]
+        live = moving
+        if not live:
+            break
+    return fits[max(range(len(fits)), key=lambda f: found[f])]
+
+
 def named_mixture(df: DataFrame, features: Sequence[str], k: int, order: Callable[[list[dict[str, float]]], list[int]], names: Sequence[str], winsor: bool = False, seed: int = 42, starts: int = 5) -> DataFrame:
     """``df`` with a probability column for each named component, their sum being 1, and ``component`` and
     ``component_name`` of the largest.
@@ -234,20 +291,22 @@ def named_mixture(df: DataFrame, features: Sequence[str], k: int, order: Callabl
     scaled, and ``order`` puts the fitted components (their means in the features' own units) in the order of names.
     Of ``starts`` fits the likeliest is taken.
     """
-    data = df.withColumns({f"__f_{f}": F.col(f).cast("double") for f in features})
+    data = saved(df.withColumns({f"__f_{f}": F.col(f).cast("double") for f in features}), "mixture")
     inner = [f"__f_{f}" for f in features]
     if winsor:
-        data = winsorise(data, inner)
-    fitted = fit_median_scale(data, inner)
-    scaled = saved(apply_median_scale(data, fitted, inner), "scaled")
+        data = saved(winsorise(data, inner), "winsorised")
+    fitted = saved(fit_median_scale(data, inner), "scale")
+    rows = saved(apply_median_scale(data, fitted, inner).fillna(0.0, inner), "scaled")
     units = fitted.first()
-    rows = _vector(scaled, inner)
-    fits = [GaussianMixture(featuresCol="__x", predictionCol="__pred", probabilityCol="__prob", k=k, seed=seed + j, maxIter=100).fit(rows) for j in range(starts)]
-    model = max(fits, key=lambda m: m.summary.logLikelihood)
-    means = [{f: float(r["mean"][j]) * (units[f"__f_{f}__std"] or 1.0) + units[f"__f_{f}__mean"] for j, f in enumerate(features)} for r in model.gaussiansDF.select("mean").collect()]
+    weights, centres, covs = _likeliest_mixture(rows, inner, k, [seed + j for j in range(starts)])
+    means = [{f: float(m[j]) * (units[f"__f_{f}__std"] or 1.0) + units[f"__f_{f}__mean"] for j, f in enumerate(features)} for m in centres]
     place = order(means)
-    p = vector_to_array("__prob")
-    out = model.transform(rows).withColumn("__p", F.array(*[p[j] for j in place]))
+
+    @F.pandas_udf("array<double>")
+    def shares(*columns: pd.Series) -> pd.Series:
+        return pd.Series(list(_shares(np.stack([c.to_numpy() for c in columns], axis=1), weights[place], centres[place], covs[place])[1]))
+
+    out = rows.withColumn("__p", shares(*inner))
     out = out.withColumns({n: F.col("__p")[j] for j, n in enumerate(names)}) if not set(names) & set(df.columns) else out
     return normalised(out, names).drop("__p", *names, *inner, *_HIDDEN)
 

@@ -62,3 +62,17 @@ def test_calibration_is_monotone(spark):
     for method in ("isotonic", "sigmoid"):
         values = [r.calibrated for r in models.calibrate(df, "score", "y", method)(df).orderBy("score").collect()]
         assert all(b >= a - 1e-9 for a, b in zip(values, values[1:]))
+
+
+def test_mixture_takes_mllibs_steps_in_one_job_a_round(spark):
+    from pyspark.ml.clustering import GaussianMixture
+
+    r = random.Random(4)
+    df = spark.createDataFrame([(r.gauss(3 * (k % 3), 1), r.gauss(k % 3 - 1, 0.5)) for k in range(600)], "a double, b double").cache()
+    fits = [GaussianMixture(featuresCol="__x", k=3, seed=s, maxIter=12, tol=0.0).fit(models._vector(df, ["a", "b"])) for s in (1, 2)]
+    best = max(fits, key=lambda m: m.summary.logLikelihood)
+    weights, means, covs = models._likeliest_mixture(df, ["a", "b"], 3, [1, 2], 12, 0.0)
+    got = sorted(zip(weights.tolist(), means.tolist(), covs.reshape(3, 4).tolist()))
+    want = sorted((w, g["mean"].toArray().tolist(), g["cov"].toArray().ravel().tolist()) for w, g in zip(best.weights, best.gaussiansDF.collect()))
+    for g, w in zip(got, want):
+        assert abs(g[0] - w[0]) < 1e-9 and all(abs(x - y) < 1e-8 for a, b in zip(g[1:], w[1:]) for x, y in zip(a, b))
