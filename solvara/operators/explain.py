@@ -20,6 +20,9 @@ from pyspark.sql import functions as F
 
 from solvara.sources.files import shared_path
 
+#: Leaves of up to so many conditions have a table of all patterns; beyond, the patterns that occur are looked for.
+TABLE_BITS = 8
+
 
 @dataclass
 class Leaf:
@@ -59,20 +62,28 @@ class Ensemble:
 
     def explain(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(margins, attributions) of rows of feature values."""
-        margin, phi = np.zeros(len(x)), np.zeros(x.shape)
+        columns, margin, phi = np.ascontiguousarray(x.T), np.zeros(len(x)), np.zeros(x.shape[::-1])
         for leaf in self.leaves:
             m = len(leaf.features)
             if not m:
                 margin += leaf.value
                 continue
-            own = x[:, leaf.features]
-            inside = (own > leaf.low) & (own <= leaf.high)
-            margin += leaf.value * inside.all(axis=1)
+            inside = [(columns[f] > low) & (columns[f] <= high) for f, low, high in zip(leaf.features, leaf.low, leaf.high)]
             # rows of one pattern of kept and broken conditions have one attribution
-            patterns, back = np.unique(np.packbits(inside, axis=1), axis=0, return_inverse=True)
-            kept = np.unpackbits(patterns, axis=1, count=m).astype(float)
-            phi[:, leaf.features] += (leaf.value * _parts(kept, leaf.share))[back.reshape(-1)]
-        return margin, phi
+            if m <= TABLE_BITS:
+                code = np.zeros(len(x), np.int64)
+                for k, own in enumerate(inside):
+                    code |= own.astype(np.int64) << k
+                margin += leaf.value * (code == (1 << m) - 1)
+                kept = (np.arange(1 << m)[:, None] >> np.arange(m) & 1).astype(float)
+            else:
+                own = np.stack(inside, axis=1)
+                margin += leaf.value * own.all(axis=1)
+                patterns, code = np.unique(np.packbits(own, axis=1), axis=0, return_inverse=True)
+                kept, code = np.unpackbits(patterns, axis=1, count=m).astype(float), code.reshape(-1)
+            for f, part in zip(leaf.features, (leaf.value * _parts(kept, leaf.share)).T):
+                phi[f] += part[code]
+        return margin, phi.T
 
 
 def _parts(kept: np.ndarray, share: np.ndarray) -> np.ndarray:
@@ -142,7 +153,7 @@ def with_covers(df: DataFrame, features: Sequence[str], trees: Sequence[dict[int
 def explained(df: DataFrame, key: str, trees: Ensemble) -> DataFrame:
     """(key, base, margin, phis): for each row the margin, and its parts by feature, ``base + sum(phis) = margin``.
 
-    Nulls and NaN in features count as 0.  Rows are explained where they lie, a batch at once; repeated keys give a
+    Nulls and NaN in features count as 0.  Rows are dealt to all cores and explained a batch at once; repeated keys give a
     row each, an empty table gives none.
     """
     features = trees.features
@@ -153,10 +164,12 @@ def explained(df: DataFrame, key: str, trees: Ensemble) -> DataFrame:
         for b in batches:
             x = np.stack([np.nan_to_num(b.column(k + 1).to_numpy(zero_copy_only=False), nan=0.0, posinf=np.inf, neginf=-np.inf) for k in range(len(features))], axis=1)
             margin, phi = held.explain(x)
-            parts = pa.ListArray.from_arrays(pa.array(np.arange(0, phi.size + 1, phi.shape[1]), pa.int32()), pa.array(phi.reshape(-1)))
+            parts = pa.ListArray.from_arrays(pa.array(np.arange(0, phi.size + 1, phi.shape[1]), pa.int32()), pa.array(np.ascontiguousarray(phi).reshape(-1)))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.full(len(x), held.base)), pa.array(margin), parts], [key, "base", "margin", "phis"])
 
     rows = df.select(F.col(key), *[F.coalesce(F.nanvl(F.col(f).cast("double"), F.lit(0.0)), F.lit(0.0)).alias(f"__x{k}") for k, f in enumerate(features)])
+    # a table of vectors is few splits of a file, each of many rows to explain
+    rows = rows.repartition(df.sparkSession.sparkContext.defaultParallelism * 4)
     return rows.mapInArrow(run, f"`{key}` {rows.schema[key].dataType.simpleString()}, base double, margin double, phis array<double>")
 
 

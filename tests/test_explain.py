@@ -84,3 +84,26 @@ def test_covers_of_given_trees(spark):
     trees = explain.with_covers(df, ["a"], [{0: (0.0, "a", 0.5, 1, 2), 1: (-1.0, "", 0.0, -1, -1), 2: (1.0, "", 0.0, -1, -1)}])
     got = {r.id: (r.base, r.margin, r.phi) for r in explain.tree_attributions(df, "id", trees).collect()}
     assert got == {1: (0.0, 1.0, 1.0), 2: (0.0, -1.0, -1.0), 3: (0.0, -1.0, -1.0), 4: (0.0, 1.0, 1.0)}
+
+
+def test_rows_of_one_file_are_dealt_to_all_cores(spark, tmp_path):
+    r = random.Random(9)
+    e = explain.Ensemble(list("abc"))
+    e.add_tree(random_tree(r, 3, 4))
+    rows = [(k, *(r.uniform(-1.2, 1.2) for _ in range(3))) for k in range(200)]
+    spark.createDataFrame(rows, "id int, a double, b double, c double").coalesce(1).write.parquet(f"file://{tmp_path}/one")
+    got = explain.explained(spark.read.parquet(f"file://{tmp_path}/one"), "id", e)
+    assert got.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    margin, phi = e.explain(np.array([x[1:] for x in rows]))
+    assert all(math.isclose(x.margin, margin[x.id], abs_tol=1e-12) and np.allclose(x.phis, phi[x.id], atol=1e-12) for x in got.collect())
+
+
+def test_long_paths_equal_tables(monkeypatch):
+    r = random.Random(5)
+    e = explain.Ensemble(list("abcdefghijkl"))
+    e.add_tree(random_tree(r, 12, 9))
+    x = np.array([[r.uniform(-1.2, 1.2) for _ in range(12)] for _ in range(50)])
+    with_tables = e.explain(x)
+    monkeypatch.setattr(explain, "TABLE_BITS", 0)
+    without = e.explain(x)
+    assert all(np.allclose(a, b, atol=1e-12) for a, b in zip(with_tables, without))
