@@ -98,7 +98,8 @@ _MATCHED = "s AS (SELECT DISTINCT o_orderkey AS id, l_suppkey AS ticker, date_tr
 
 
 def _matched(t):
-    f = t("orders").join(t("lineitem"), c("o_orderkey") == c("l_orderkey")).select(c("o_orderkey").alias("id"), c("l_suppkey").alias("ticker"), F.to_date("o_orderdate").alias("day"), (c("o_orderstatus") == "P").cast("int").alias("distressed")).distinct()
+    f = t("orders").join(t("lineitem"), c("o_orderkey") == c("l_orderkey")).select(c("o_orderkey").alias("id"), c("l_suppkey").alias("ticker"), F.to_date("o_orderdate").alias("day"), (c("o_orderstatus") == "P").cast("int").alias("distressed"))
+    # not made distinct: of equal rows the match keeps one, and their map would hold all rows of a task
     return network.match_filings(f, _infected(t), "id", "ticker", "day", "ym", "rank")
 
 
