@@ -103,6 +103,22 @@ def parse_timestamp(x: Column | str, formats: Sequence[str] | Mapping[str, str])
     return F.coalesce(*[F.when(text.rlike(formats[f]), t) if isinstance(formats, Mapping) else t for f, t in tried.items()])
 
 
+_WHOLE = r"^[\x00-\x20\x7F]*[+-]?[0-9]+[\x00-\x20\x7F]*$"
+_DECIMAL = r"^[\x00-\x20]*[+-]?(?:(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?[fFdD]?|0[xX][0-9a-fA-F.]+[pP][+-]?[0-9]+[fFdD]?|(?i:nan|inf|infinity))[\x00-\x20]*$"
+#: What a text must look like to be a number of a type; every text that the cast takes does.
+NUMBER_PATTERNS = {"tinyint": _WHOLE, "smallint": _WHOLE, "int": _WHOLE, "bigint": _WHOLE, "float": _DECIMAL, "double": _DECIMAL}
+
+
+def tried(text: Column | str, kind: str) -> Column:
+    """A text tried as a type, null where it does not fit.
+
+    Numbers are only tried on texts that look like one: a failed try costs an exception, many times the rest.
+    """
+    text = col(text)
+    made = text.try_cast(kind)
+    return F.when(text.rlike(NUMBER_PATTERNS[kind]), made) if kind in NUMBER_PATTERNS else made
+
+
 def word_count(x: Column | str) -> Column:
     """Words between white space; 0 for null and blank texts."""
     text = F.trim(F.regexp_replace(F.coalesce(col(x), F.lit("")), r"\s+", " "))

@@ -365,7 +365,7 @@ def set05(t):
 
 @query("sc01_try_cast", "SELECT event_id, TRY_CAST(event_type AS INTEGER) AS bad, TRY_CAST(CAST(user_id AS VARCHAR) AS INTEGER) AS good FROM events")
 def sc01(t):
-    return t("events").select("event_id", c("event_type").try_cast("int").alias("bad"), c("user_id").cast("string").try_cast("int").alias("good"))
+    return t("events").select("event_id", fx.tried("event_type", "int").alias("bad"), fx.tried(c("user_id").cast("string"), "int").alias("good"))
 
 
 @query("sc02_formats", "SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS parsed FROM events")

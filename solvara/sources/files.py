@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from solvara.functions.expr import tried
+
 
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path in the folder shared by driver and executors (``spark.checkpoint.dir``)."""
@@ -50,19 +52,30 @@ def read_union(spark: SparkSession, paths: Sequence[str], sep: str = ",") -> Dat
 
 def typed(df: DataFrame, types: dict[str, str]) -> DataFrame:
     """String columns tried as types; what does not fit becomes null."""
-    return df.withColumns({c: F.col(c).try_cast(t) for c, t in types.items()})
+    texts = {f.name for f in df.schema if isinstance(f.dataType, StringType)}
+    return df.withColumns({c: tried(c, t) if c in texts else F.col(c).try_cast(t) for c, t in types.items()})
 
 
 def joined_facts(header: DataFrame, values: DataFrame, key: str, types: dict[str, str], dates: dict[str, str]) -> DataFrame:
-    """Values with their header by ``key``, each text column tried as its type or date; what does not fit is null."""
-    out = typed(header.join(values, key), types)
-    return out.withColumns({c: F.to_date(F.try_to_timestamp(F.col(c), F.lit(f))) for c, f in dates.items()})
+    """Values with their header by ``key``, each text column tried as its type or date; what does not fit is null.
+
+    The key is joined as text and then tried.  Other columns are tried before the join, a header's once for the
+    header and not for each of its values.
+    """
+
+    def tries(df: DataFrame, mine: Callable[[str], bool]) -> DataFrame:
+        df = typed(df, {c: t for c, t in types.items() if mine(c)})
+        return df.withColumns({c: F.to_date(F.try_to_timestamp(F.col(c), F.lit(f))) for c, f in dates.items() if mine(c)})
+
+    sides = [tries(df, lambda c, own=set(df.columns) - {key}: c in own) for df in (header, values)]
+    before = {*header.columns, *values.columns} - {key}
+    return tries(sides[0].join(sides[1], key), lambda c: c not in before)
 
 
 def annual_series(df: DataFrame, day: str, value: str) -> DataFrame:
     """(y, n, mean, volatility) of a series of texts in which "." (or anything else that is no number) is missing;
     volatility is the sample deviation, 0 of a single value."""
-    v = F.col(value).try_cast("double")
+    v = tried(value, "double")
     return df.groupBy(F.year(day).alias("y")).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.coalesce(F.stddev_samp(v), F.lit(0.0)).alias("volatility"))
 
 
