@@ -10,8 +10,11 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows in one Arrow batch: bounds what a Python worker holds of very long texts.
-BATCH_ROWS = 256
+#: Rows and bytes of one Arrow batch: bound what a Python worker and its task hold of very long texts and packed arrays.
+BATCH_ROWS, BATCH_BYTES = 256, 4 << 20
+#: Rows that a scan decodes at once (Spark's default of 4096 texts is an array of tens of MB in each task), and bytes
+#: of a row group of intermediate tables, which its writer and each reader hold whole.
+SCAN_ROWS, GROUP_BYTES = 512, 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -29,8 +32,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bounds the rows of an Arrow batch, since one text may be very long."""
+    """Bounds the rows and bytes of Arrow batches and the rows of a scan's, since one text may be very long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", str(SCAN_ROWS))
 
 
 @cache
@@ -47,7 +52,7 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """Writes ``df`` as Parquet under the shared folder and reads it back (cuts the lineage)."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/solvara-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", GROUP_BYTES).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -196,16 +196,24 @@ def count_shared(docs: DataFrame, k: int = SHINGLE) -> tuple[DataFrame, DataFram
     shift = 64 - (shards.bit_length() - 1)
 
     def blocks(uid: int, ids: list, sets: list[np.ndarray]) -> pa.RecordBatch:
+        """Packs the sets and empties their list: arrays of a whole block are let go as soon as they are used."""
         sizes = np.array([len(s) for s in sets], dtype=np.int64)
+        keys = b"".join(map(set_key, sets))
         tokens = np.concatenate([*sets, np.zeros(0, U64)])
-        shard = (tokens >> U64(shift)).astype(np.int32)
+        sets.clear()
+        low, shard = tokens.astype("<u4"), np.empty(len(tokens), np.uint16 if shards <= 1 << 16 else np.uint32)
+        np.right_shift(tokens, U64(shift), out=shard, casting="unsafe")
+        del tokens
         order = np.argsort(shard, kind="stable")  # documents stay in order within a shard
-        low, doc = tokens.astype("<u4")[order], np.repeat(np.arange(len(sets)), sizes).astype("<u2")[order]
-        edge = np.searchsorted(shard[order], np.arange(shards + 1))
+        edge = np.concatenate([[0], np.cumsum(np.bincount(shard, minlength=shards))])
+        del shard
+        low, doc = low[order], np.repeat(np.arange(len(sizes), dtype="<u2"), sizes)[order]
+        del order
         out = [(s, uid, low[x:y].tobytes(), doc[x:y].tobytes(), None) for s, (x, y) in enumerate(zip(edge[:-1], edge[1:])) if x < y]
+        del low, doc
         named = np.array([x is not None for x in ids])
         facts = np.stack([np.array([x or 0 for x in ids], dtype="<i8"), sizes.astype("<i8"), named.astype("<i8")])
-        out.append((shards + uid % shards, uid, facts.tobytes(), b"".join(map(set_key, sets)), b""))
+        out.append((shards + uid % shards, uid, facts.tobytes(), keys, b""))
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.int64(), *[pa.binary()] * 3))], ["shard", "uid", "one", "two", "three"])
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,6 +247,7 @@ def count_shared(docs: DataFrame, k: int = SHINGLE) -> tuple[DataFrame, DataFram
         if not lows:
             return
         low = np.concatenate(lows)
+        lows.clear()
         order = np.argsort(low, kind="stable")
         ranked = low[order]
         equal = ranked[1:] == ranked[:-1]

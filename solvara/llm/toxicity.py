@@ -59,7 +59,7 @@ class Scorer:
         if found is None:
             names = [word, *(word[:k] + "*" for k in STEMS if k <= len(word))]
             found = max(((self.lexicon[x], x) for x in names if x in self.lexicon), default=(0.0, ""))
-            if len(self.seen) > 150_000:
+            if len(self.seen) > 50_000:
                 self.seen.clear()
             self.seen[word] = found
         return found
